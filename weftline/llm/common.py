@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,3 +53,34 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+def add_columns(
+    df: DataFrame,
+    source: str,
+    fields: dict[str, str],
+    start: Callable[[], Callable[[list], list]],
+    keep: list[str] | None = None,
+    rows: int = 512,
+) -> DataFrame:
+    """``df`` with columns computed in Python from the column ``source``, in one pass of Arrow batches and no shuffle.
+
+    ``fields`` has names and types of the new columns; columns of ``df`` with such names are replaced. ``start`` runs once
+    a task and returns a function from a list of values to a list of columns. ``keep`` names the columns of ``df`` to
+    return (all if None), so that long texts needn't travel back.
+    """
+    keep = [c for c in (df.columns if keep is None else keep) if c not in fields]
+    hidden = "__source"
+    narrow = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{source}`").alias(hidden))
+    types = [narrow.schema[c] for c in keep]
+    schema = StructType([*types, *[StructField(k, _parse_datatype_string(v)) for k, v in fields.items()]])
+    out = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for b in slices(batches, rows):
+            made = work(b.column(len(keep)).to_pylist())
+            arrays = [pa.array(x, out.field(n).type) for x, n in zip(made, fields, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *arrays], names=[*keep, *fields])
+
+    return narrow.mapInArrow(run, schema)

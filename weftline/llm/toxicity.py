@@ -16,15 +16,14 @@ share of label 1.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, plain_words, read, slices
+from .common import add_columns, held_out, plain_words, read
 
 
 @dataclass(frozen=True)
@@ -203,18 +202,15 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     return train([r["text"] for r in sample], [r["toxic"] for r in sample], s)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``toxicity`` (double, 0 to 1)."""
+def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns of ``docs`` (or those in ``keep``) with ``toxicity`` (double, 0 to 1)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.schema.add("toxicity", "double")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start() -> Callable[[list], list]:
         scorer = Scorer(shared.value)
-        for b in slices(batches):
-            value = scorer(b.column(b.schema.get_field_index(text)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(value)], names=[*b.schema.names, "toxicity"])
+        return lambda texts: [scorer(texts)]
 
-    return docs.mapInArrow(run, schema)
+    return add_columns(docs, text, {"toxicity": "double"}, start, keep)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +218,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, docs = Settings(), read(spark, sf_dir, "documents").select("doc_id", "text")
     out = held_out("doc_id", 3, 1)
     model = fit(docs.where(~out), read(spark, sf_dir, "labels"), s)
-    narrow = score(docs, model).select("doc_id", out.alias("held_out"), F.col("toxicity").alias("score"))
+    narrow = score(docs, model, keep=["doc_id"]).select("doc_id", out.alias("held_out"), F.col("toxicity").alias("score"))
     return narrow.withColumn("predicted", (F.col("score") >= s.threshold).cast("int"))
 
 
@@ -230,4 +226,4 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Pipeline stage: the documents whose toxicity stays under the threshold."""
     s = Settings()
     model = fit(docs.where(~held_out("doc_id", 3, 1)), read(spark, sf_dir, "labels"), s)
-    return score(docs, model).where(F.col("toxicity") < s.threshold).drop("toxicity")
+    return score(docs, model).where(F.col("toxicity") < s.threshold).select(docs.columns)
