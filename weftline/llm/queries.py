@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language import op7_language
+from .simhash import op8_simhash
 from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op7_language": op7_language,
+    "op8_simhash": op8_simhash,
 }
 
 ORACLES: dict[str, str] = {}
