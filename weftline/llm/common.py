@@ -84,3 +84,20 @@ def add_columns(
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *arrays], names=[*keep, *fields])
 
     return narrow.mapInArrow(run, schema)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_chars: int) -> list[tuple[str, int]]:
+    """At most ``max_rows`` texts of each class 0 and 1 with their labels, for fitting a model on the driver.
+
+    The rows with the smallest hashes of the ids are taken from ``labels (doc_id, <label>)`` alone, and only their ids, so
+    bounded in number, go to the documents: no text is shuffled to find them. An id labelled twice has the larger label;
+    of a repeated document one text is used; texts over ``max_chars`` and NULL ones are left out.
+    """
+    spark = docs.sparkSession
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    at = F.xxhash64("doc_id")
+    ids = [(r["doc_id"], c) for c in (0, 1) for r in known.where(F.col("y") == c).orderBy(at, "doc_id").limit(max_rows).collect()]
+    few = spark.createDataFrame(ids, "doc_id long, y int")
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    found = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).orderBy(at, "doc_id").collect()
+    return [(r["text"], r["y"]) for r in found]

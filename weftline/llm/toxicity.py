@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, held_out, plain_words, read
+from .common import add_columns, held_out, labelled_sample, plain_words, read
 
 
 @dataclass(frozen=True)
@@ -191,15 +191,9 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
-    """Learns from ``docs (doc_id, text)`` joined with ``labels (doc_id, toxic)``, over a bounded sample of each class.
-
-    The sample is the ``max_docs`` smallest hashes of the ids in each class, so it depends on neither row order nor partitions.
-    """
-    known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= s.max_chars)).join(known, "doc_id")
-    rows = rows.withColumn("at", F.xxhash64("doc_id", "text"))
-    sample = [r for c in (0, 1) for r in rows.where(F.col("toxic") == c).orderBy("at", "doc_id").limit(s.max_docs).collect()]
-    return train([r["text"] for r in sample], [r["toxic"] for r in sample], s)
+    """Learns from ``docs (doc_id, text)`` and ``labels (doc_id, toxic)``, over a bounded sample of each class."""
+    sample = labelled_sample(docs, labels, "toxic", s.max_docs, s.max_chars)
+    return train([text for text, _ in sample], [y for _, y in sample], s)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -217,7 +211,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learnt from the folds other than 1 of 3."""
     s, docs = Settings(), read(spark, sf_dir, "documents").select("doc_id", "text")
     out = held_out("doc_id", 3, 1)
-    model = fit(docs.where(~out), read(spark, sf_dir, "labels"), s)
+    model = fit(docs, read(spark, sf_dir, "labels").where(~out), s)
     narrow = score(docs, model, keep=["doc_id"]).select("doc_id", out.alias("held_out"), F.col("toxicity").alias("score"))
     return narrow.withColumn("predicted", (F.col("score") >= s.threshold).cast("int"))
 
@@ -225,5 +219,5 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents whose toxicity stays under the threshold."""
     s = Settings()
-    model = fit(docs.where(~held_out("doc_id", 3, 1)), read(spark, sf_dir, "labels"), s)
+    model = fit(docs, read(spark, sf_dir, "labels").where(~held_out("doc_id", 3, 1)), s)
     return score(docs, model).where(F.col("toxicity") < s.threshold).select(docs.columns)
