@@ -101,7 +101,7 @@ class Encoder:
         if ids is None:
             if len(known) >= most:
                 known.clear()
-            ids = known[piece] = np.array(self.encoding.encode(piece.decode("utf-8"), allowed_special="all"), np.int32)
+            ids = known[piece] = self.encoding.encode_to_numpy(piece.decode("utf-8"), allowed_special="all").astype(np.int32)
         return ids
 
     def __call__(self, text: str | None) -> np.ndarray:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op10_bpe
 from .language import op7_language
 from .simhash import op8_simhash
 from .toxicity import op1_toxicity
@@ -14,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op7_language": op7_language,
     "op8_simhash": op8_simhash,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLES: dict[str, str] = {}
