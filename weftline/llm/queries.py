@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_bpe
+from .decontaminate import op4_decontaminate
 from .language import op7_language
 from .simhash import op8_simhash
 from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op4_decontaminate": op4_decontaminate,
     "op7_language": op7_language,
     "op8_simhash": op8_simhash,
     "op10_bpe": op10_bpe,
