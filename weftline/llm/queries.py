@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op10_bpe
 from .decontaminate import op4_decontaminate
 from .language import op7_language
+from .quality import op2_quality
 from .simhash import op8_simhash
 from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_quality": op2_quality,
     "op4_decontaminate": op4_decontaminate,
     "op7_language": op7_language,
     "op8_simhash": op8_simhash,
