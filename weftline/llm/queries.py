@@ -9,17 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op10_bpe
 from .decontaminate import op4_decontaminate
 from .language import op7_language
+from .licenses import ORACLE as LICENSES_SQL
+from .licenses import op5_licenses
 from .quality import op2_quality
 from .simhash import op8_simhash
+from .tokencount import op9_token_counts
 from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
     "op4_decontaminate": op4_decontaminate,
+    "op5_licenses": op5_licenses,
     "op7_language": op7_language,
     "op8_simhash": op8_simhash,
+    "op9_token_counts": op9_token_counts,
     "op10_bpe": op10_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_licenses": LICENSES_SQL}
