@@ -29,6 +29,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,12 @@ def edit_distance_within(item: np.ndarray, stretch: np.ndarray) -> int:
     return int(row.min())
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of a sorted array, and how often each stands."""
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+    return values[first], np.diff(np.append(first, len(values)))
+
+
 class Index:
     """Items, their anchor words, and the keys of their embeddings, by size of item."""
 
@@ -124,79 +131,93 @@ class Index:
         ladder = np.unique((1.1 ** np.floor(np.log(np.maximum(self.size, 1)) / np.log(1.1))).astype(np.int64)) if len(self.size) else self.size
         self.group = ladder[np.searchsorted(ladder, self.size, "right") - 1] if len(self.size) else self.size
         self.places: dict[int, np.ndarray] = {}
-        self.tables: dict[int, list[dict[bytes, list[int]]]] = {}
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for size in np.unique(self.group):
             own = np.flatnonzero(self.group == size)
             self.places[size] = rng.integers(0, max(1, 3 * size // 2), (s.bands, s.bits))
             keys = self.keys(np.stack([np.frombuffer(self.items[k].text[:size], np.uint8) for k in own]), size)
-            tables: list[dict[bytes, list[int]]] = [defaultdict(list) for _ in range(s.bands)]
-            for band in range(s.bands):
-                for k, key in zip(own.tolist(), keys[:, band], strict=True):
-                    tables[band][key.tobytes()].append(k)
-            self.tables[size] = [dict(t) for t in tables]
+            order = np.argsort(keys.T, axis=1, kind="stable")
+            self.tables[int(size)] = own, np.take_along_axis(keys.T, order, 1), order
 
     def keys(self, texts: np.ndarray, size: int) -> np.ndarray:
-        """Sampled bytes: rows by bands by bits."""
+        """The sampled bytes of each row and band, as one number."""
         walked = cgk(texts, max(1, 3 * int(size) // 2), self.s)
         places = self.places[size]
-        return np.stack([walked[b % self.s.walks][:, places[b]] for b in range(self.s.bands)], 1)
-
-    def windows(self, at: np.ndarray, anchor: np.ndarray) -> set[tuple[int, int]]:
-        """Size classes and places where an item of that size may start. ``at``: byte places of the anchors of one text."""
+        weights = np.uint64(256) ** np.arange(self.s.bits, dtype=np.uint64)  # up to 8 bits
+        return np.stack([walked[b % self.s.walks][:, places[b]].astype(np.uint64) @ weights for b in range(self.s.bands)], 1)
+
+    def retrieve(self, texts: np.ndarray, size: int) -> list[tuple[int, int]]:
+        """Sorted pairs (row of ``texts``, item) that share a key."""
+        own, ranked, order = self.tables[size]
+        keys = self.keys(texts, size)
+        pairs = []
+        for band in range(self.s.bands):
+            low, high = np.searchsorted(ranked[band], keys[:, band], "left"), np.searchsorted(ranked[band], keys[:, band], "right")
+            for w in np.flatnonzero(high > low).tolist():
+                pairs += [(w, int(own[k])) for k in order[band, low[w] : high[w]]]
+        return sorted(set(pairs))
+
+    def _enough(self, cells: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Cells that hold, with the one before or after, as many words as their item needs."""
+        beside = np.append(cells[1:] == cells[:-1] + 1, False)[: len(cells)]
+        enough = words + np.where(beside, np.append(words[1:], 0)[: len(cells)], 0) >= self.need[(cells >> 34) % len(self.items)]
+        return enough | np.append(False, (enough & beside)[:-1])[: len(cells)]
+
+    def windows(self, doc: np.ndarray, at: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        """Rows (size class, document, byte place) where an item may start, from the anchors found and their byte places."""
         each = self.count[anchor]
         inner = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
         found = self.flat[np.repeat(self.first[anchor], each) + inner]
-        item, offset = found[:, 0], found[:, 1]
+        doc, item, offset = np.repeat(doc, each), found[:, 0], found[:, 1]
         start = np.repeat(at, each) - offset
         # whole words of a near copy say where it starts to within its edits, so that they fall into two cells side by side
         width = 2 * self.edits[item] + 1
-        cell = item * (1 << 40) + (start + (1 << 32)) // width
-        first = np.lexsort((offset, cell))
-        new = np.append(True, (np.diff(cell[first]) != 0) | (np.diff(offset[first]) != 0))  # an item's word counts once a cell
-        cells, words = np.unique(cell[first][new], return_counts=True)
-        beside = np.append(cells[1:] == cells[:-1] + 1, False)
-        enough = words + np.where(beside, np.append(words[1:], 0), 0) >= self.need[cells >> 40]
-        enough |= np.append(False, (enough & beside)[:-1])
-        if not enough.any():
-            return set()
-        inside = enough[np.searchsorted(cells, cell)]
-        return {(k, max(0, p)) for k, p in zip(self.group[item[inside]].tolist(), start[inside].tolist(), strict=True)}
+        cell = (doc * len(self.items) + item) * (1 << 34) + (start + (1 << 32)) // width
+        # few cells are full enough even if words count more than once; only these are counted in full
+        order = np.argsort(cell)
+        cells, size = _runs(cell[order])
+        inside = order[np.repeat(self._enough(cells, size), size)]
+        inside = inside[np.lexsort((offset[inside], cell[inside]))]
+        cells, size = _runs(cell[inside])
+        new = np.append(True, (np.diff(cell[inside]) != 0) | (np.diff(offset[inside]) != 0))[: len(inside)]
+        words = np.add.reduceat(new.astype(np.int64), np.cumsum(size) - size) if len(inside) else size
+        inside = inside[np.repeat(self._enough(cells, words), size)]
+        return np.unique(np.stack([self.group[item[inside]], doc[inside], np.maximum(start[inside], 0)], 1), axis=0)
 
     def search(self, texts: list[str | None]) -> list[list[tuple[int, int]]]:
         """For each text, (item_id, edits) of the items that it holds."""
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
         get = self.anchor.get
-        joined: dict[int, bytes] = {}
-        by_size: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for doc, text in enumerate(texts):
+        normal, doc, at, anchor = [], [], [], []
+        for d, text in enumerate(texts):
             words = plain_words(text)
-            hits = [(i, a) for i, a in enumerate(map(get, words)) if a is not None]
-            if len(hits) < self.least:
-                continue
-            word, anchor = np.array(hits, np.int64).T
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-            for size, place in self.windows(np.append(0, ends)[word], anchor):
-                by_size[size].append((doc, place))
-                joined[doc] = b""
-            if doc in joined:
-                joined[doc] = b" ".join(words)
+            normal.append(b" ".join(words))
+            hit = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+            where = np.flatnonzero(hit >= 0)
+            if len(where) >= self.least:
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+                doc.append(np.full(len(where), d))
+                at.append(np.append(0, ends)[where])
+                anchor.append(hit[where])
+        if not doc:
+            return out
+        windows = self.windows(np.concatenate(doc), np.concatenate(at), np.concatenate(anchor))
         best: dict[tuple[int, int], int] = {}
-        for size, windows in by_size.items():
-            windows.sort()
-            for k in range(0, len(windows), 4096):
-                some = windows[k : k + 4096]
-                cut = b"".join(joined[d][p : p + size].ljust(size, b"\0") for d, p in some)
-                keys = self.keys(np.frombuffer(cut, np.uint8).reshape(-1, size), size)
-                for w, i in sorted({(w, i) for band, table in enumerate(self.tables[size]) for w, key in enumerate(map(bytes, keys[:, band])) for i in table.get(key, ())}):
-                    (doc, place), item = some[w], self.items[i]
-                    if best.get((doc, i)) == 0:
+        for size in np.unique(windows[:, 0]).tolist():
+            all_of = windows[windows[:, 0] == size, 1:]
+            for k in range(0, len(all_of), 4096):
+                some = all_of[k : k + 4096].tolist()
+                cut = b"".join(normal[d][p : p + size].ljust(size, b"\0") for d, p in some)
+                for w, i in self.retrieve(np.frombuffer(cut, np.uint8).reshape(-1, size), size):
+                    (d, place), item = some[w], self.items[i]
+                    if best.get((d, i)) == 0:
                         continue
-                    part = joined[doc][max(0, place - 2 * item.edits) : place + len(item.text) + 2 * item.edits]
-                    d = 0 if item.text in part else edit_distance_within(np.frombuffer(item.text, np.uint8), np.frombuffer(part, np.uint8))
-                    if d <= item.edits:
-                        best[doc, i] = min(d, best.get((doc, i), d))
-        out: list[list[tuple[int, int]]] = [[] for _ in texts]
-        for (doc, i), d in sorted(best.items()):
-            out[doc].append((self.items[i].item_id, d))
+                    part = normal[d][max(0, place - 2 * item.edits) : place + len(item.text) + 2 * item.edits]
+                    edits = 0 if item.text in part else edit_distance_within(np.frombuffer(item.text, np.uint8), np.frombuffer(part, np.uint8))
+                    if edits <= item.edits:
+                        best[d, i] = min(edits, best.get((d, i), edits))
+        for (d, i), edits in sorted(best.items()):
+            out[d].append((self.items[i].item_id, edits))
         return out
 
 
