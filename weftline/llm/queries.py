@@ -11,6 +11,7 @@ from .decontaminate import op4_decontaminate
 from .language import op7_language
 from .licenses import ORACLE as LICENSES_SQL
 from .licenses import op5_licenses
+from .lm import op3_lm
 from .quality import op2_quality
 from .simhash import op8_simhash
 from .tokencount import op9_token_counts
@@ -19,6 +20,7 @@ from .toxicity import op1_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
+    "op3_lm": op3_lm,
     "op4_decontaminate": op4_decontaminate,
     "op5_licenses": op5_licenses,
     "op7_language": op7_language,
