@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op6_ann
 from .bpe import op10_bpe
 from .decontaminate import op4_decontaminate
 from .language import op7_language
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lm": op3_lm,
     "op4_decontaminate": op4_decontaminate,
     "op5_licenses": op5_licenses,
+    "op6_ann": op6_ann,
     "op7_language": op7_language,
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
