@@ -1,16 +1,425 @@
-"""Queries over the given tables by name, with their SQL."""
+"""Queries over the given tables by name, with their DuckDB SQL where SQL can express them.
+
+Doubles are rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..operators import display, genes, graph, markers, metrics, potts, qc
+from ..sources.adapters import COUNTS_SQL, SPOTS_SQL, counts, spots
+from . import iterative
 
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query, with its SQL: the CTEs counts, spots and those below come first."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = f"WITH {', '.join(v for k, v in CTES.items() if _needs(k, sql))} {sql}" if any(_needs(k, sql) for k in CTES) else sql
+        return f
+
+    return add
+
+
+#: Tables that oracles share, in order of their needs.
+CTES = {
+    "counts": COUNTS_SQL,
+    "spots": SPOTS_SQL,
+    "kept_spots": "kept_spots AS (SELECT sample_id, spot_id FROM counts GROUP BY ALL HAVING count(*) FILTER (cnt > 0) > 20)",
+    "spot_ok": "spot_ok AS (SELECT counts.* FROM counts JOIN kept_spots USING (sample_id, spot_id))",
+    "kept": "kept AS (SELECT * FROM spot_ok SEMI JOIN (SELECT sample_id, gene FROM spot_ok GROUP BY ALL HAVING count(*) FILTER (cnt > 0) > 20) g USING (sample_id, gene))",
+    "expr": "expr AS (SELECT *, ln(1 + 1e4 * cnt / sum(cnt) OVER (PARTITION BY sample_id, spot_id)) AS value FROM kept)",
+    "visium": 'visium AS (SELECT a.sample_id, a.spot_id, b.spot_id nbr_id FROM spots a JOIN spots b ON a.sample_id = b.sample_id AND ((b.row = a.row AND abs(b.col - a.col) = 2) OR (abs(b.row - a.row) = 1 AND abs(b.col - a.col) = 1)))',
+    "labelled": "labelled AS (SELECT sample_id, spot_id, covar, dense_rank() OVER (ORDER BY label) AS y FROM spots)",
+    "same": "same AS (SELECT s.sample_id, s.spot_id, k, count(n.y) FILTER (n.y = k) AS same, count(n.y) AS degree FROM spots s CROSS JOIN range(1, 6) r(k) LEFT JOIN visium e ON s.sample_id = e.sample_id AND s.spot_id = e.spot_id LEFT JOIN labelled n ON n.sample_id = e.sample_id AND n.spot_id = e.nbr_id GROUP BY ALL)",
+    "energy": "energy AS (SELECT *, ln(sum(exp(-0.75 * (degree - same))) OVER (PARTITION BY sample_id, spot_id)) + 0.75 * (degree - same) AS energy FROM same)",
+    "total": "total AS (SELECT e.*, energy + abs(k - 1 - covar % 5) * 0.5 AS t FROM energy e JOIN spots USING (sample_id, spot_id))",
+    "resp": "resp AS (SELECT *, ln(sum(exp(-t)) OVER (PARTITION BY sample_id, spot_id)) AS loglik, exp(-t) / sum(exp(-t)) OVER (PARTITION BY sample_id, spot_id) AS resp FROM total)",
+    "ranked": "ranked AS (SELECT sample_id, gene, row_number() OVER (PARTITION BY sample_id ORDER BY sum(cnt) DESC, gene) AS rank FROM kept GROUP BY sample_id, gene)",
+    "scaled": "scaled AS (SELECT sample_id, spot_id, gene, value, CASE WHEN sd > 0 THEN least((value - mean) / sd, 10) ELSE 0 END AS scaled FROM expr JOIN (SELECT gene, sum(value) / n AS mean, sqrt(greatest((sum(value * value) - n * (sum(value) / n) ** 2) / (n - 1), 0)) AS sd FROM expr, (SELECT count(*) n FROM (SELECT DISTINCT sample_id, spot_id FROM expr)) GROUP BY gene, n) USING (gene))",
+    "dots": "dots AS (SELECT label AS cluster, gene, coalesce(sum(e.ev), 0) / n AS mean, coalesce(sum(e.k), 0) / n AS pct FROM (SELECT DISTINCT gene FROM expr) CROSS JOIN (SELECT label, count(*) n FROM spots GROUP BY label) LEFT JOIN (SELECT label, gene, exp(value) - 1 AS ev, CAST(value > 0 AS INT) AS k FROM expr JOIN spots USING (sample_id, spot_id)) e USING (label, gene) GROUP BY label, gene, n)",
+}
+
+
+def _needs(cte: str, sql: str, seen: frozenset[str] = frozenset()) -> bool:
+    """Whether the SQL names the table, or a table that does."""
+    import re
+
+    return any(re.search(rf"\b{c}\b", sql) and (c == cte or (c not in seen and _needs(cte, CTES[c].split(" AS ", 1)[1], seen | {c}))) for c in CTES)
+
+
+def r6(c: Column | str) -> Column:
+    """Six places."""
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def kept(spark: SparkSession, sf: str) -> DataFrame:
+    """The counts after both filters."""
+    return qc.gene_filter(qc.spot_filter(counts(spark, sf), 20), 20)
+
+
+def expr(spark: SparkSession, sf: str) -> DataFrame:
+    """The kept counts, log-normalised."""
+    return qc.log_normalize(kept(spark, sf))
+
+
+def labelled(spark: SparkSession, sf: str) -> DataFrame:
+    """Spots with the label's number as ``y``."""
+    return display.scatter_codes(spots(spark, sf).drop("x", "y"), "label").withColumnRenamed("code", "y")
+
+
+def clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Spots with their label as the cluster."""
+    return spots(spark, sf).select("sample_id", "spot_id", F.col("label").alias("cluster"))
+
+
+def ranked(spark: SparkSession, sf: str) -> DataFrame:
+    """Genes of each sample ranked by their total."""
+    from pyspark.sql import Window
+
+    totals = kept(spark, sf).groupBy("sample_id", "gene").agg(F.sum("cnt").alias("t"))
+    return totals.select("sample_id", "gene", F.row_number().over(Window.partitionBy("sample_id").orderBy(F.desc("t"), "gene")).alias("rank"))
+
+
+@query("spot_filter", "SELECT * FROM spot_ok")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return qc.spot_filter(counts(spark, sf), 20)
+
+
+@query("gene_filter", "SELECT * FROM kept")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return kept(spark, sf)
+
+
+@query("inclusive_filter", "SELECT * FROM (SELECT counts.* FROM counts SEMI JOIN (SELECT sample_id, spot_id FROM counts GROUP BY ALL HAVING count(*) FILTER (cnt > 0) >= 10) k USING (sample_id, spot_id)) c SEMI JOIN (SELECT sample_id, gene FROM counts SEMI JOIN (SELECT sample_id, spot_id FROM counts GROUP BY ALL HAVING count(*) FILTER (cnt > 0) >= 10) k USING (sample_id, spot_id) GROUP BY ALL HAVING count(*) FILTER (cnt > 0) >= 10) g USING (sample_id, gene)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return qc.inclusive_filter(counts(spark, sf))
+
+
+@query("log_normalize", "SELECT sample_id, spot_id, gene, cnt, round(value, 6) AS value FROM expr")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return expr(spark, sf).select("sample_id", "spot_id", "gene", "cnt", r6("value").alias("value"))
+
+
+@query("gene_means", "SELECT sample_id, gene, round(sum(value) / n, 6) AS mean FROM expr JOIN (SELECT sample_id, count(DISTINCT spot_id) n FROM expr GROUP BY sample_id) USING (sample_id) GROUP BY sample_id, gene, n")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return qc.gene_means(expr(spark, sf)).select("sample_id", "gene", r6("mean").alias("mean"))
+
+
+@query("sparse_sums_means", "SELECT sample_id, gene, CAST(sum(cnt) AS BIGINT) AS total, round(sum(cnt) / n, 6) AS mean FROM counts JOIN (SELECT sample_id, count(DISTINCT spot_id) n FROM counts GROUP BY sample_id) USING (sample_id) GROUP BY sample_id, gene, n")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return genes.sparse_sums(counts(spark, sf)).select("sample_id", "gene", "total", r6("mean").alias("mean"))
+
+
+@query("sparse_spot_sums", "SELECT sample_id, spot_id, CAST(sum(cnt) AS BIGINT) AS total, round(sum(cnt) / n, 6) AS mean FROM counts JOIN (SELECT sample_id, count(DISTINCT gene) n FROM counts GROUP BY sample_id) USING (sample_id) GROUP BY sample_id, spot_id, n")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return genes.sparse_sums(counts(spark, sf), "spot_id").select("sample_id", "spot_id", "total", r6("mean").alias("mean"))
+
+
+@query("firstup", "SELECT p_partkey, upper(substr(p_name, 1, 1)) || lower(substr(p_name, 2)) AS name FROM part")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", qc.firstup(F.col("p_name")).alias("name"))
+
+
+@query("make_unique", "SELECT p_partkey, CASE WHEN n = 0 THEN b ELSE b || '.' || CAST(n AS VARCHAR) END AS unique_name FROM (SELECT p_partkey, upper(p_brand) AS b, row_number() OVER (PARTITION BY upper(p_brand) ORDER BY p_partkey) - 1 AS n FROM part)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return qc.make_unique(spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_brand"), "p_brand", "p_partkey").select("p_partkey", "unique_name")
+
+
+@query("subset_genes", "SELECT counts.*, gene_idx FROM counts JOIN (SELECT gene, row_number() OVER (ORDER BY gene DESC) AS gene_idx FROM (SELECT DISTINCT gene FROM counts WHERE gene LIKE 'Brand#1%')) USING (gene)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    c = counts(spark, sf)
+    listed = c.where("gene LIKE 'Brand#1%'").select("gene").distinct().withColumn("gene_idx", F.row_number().over(Window.orderBy(F.desc("gene"))))
+    return qc.subset_genes(c, listed).select("sample_id", "spot_id", "gene", "cnt", "gene_idx")
+
+
+@query("disambiguate_ids", "SELECT sample_id, spot_id, CASE WHEN (SELECT max(c) FROM (SELECT count(*) c FROM (SELECT sample_id, CAST(\"row\" AS BIGINT) AS r, CAST(col AS BIGINT) AS q FROM spots) GROUP BY r, q)) > 1 THEN short || CAST(dense_rank() OVER (ORDER BY sample_id) AS VARCHAR) ELSE short END AS new_id FROM (SELECT *, CAST(CAST(\"row\" AS BIGINT) AS VARCHAR) || 'x' || CAST(CAST(col AS BIGINT) AS VARCHAR) AS short FROM spots)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    short = F.concat_ws("x", F.col("row").cast("long").cast("string"), F.col("col").cast("long").cast("string"))
+    s = spots(spark, sf).select("sample_id", F.col("spot_id").alias("old_id"), short.alias("spot_id"))
+    return qc.disambiguate_ids(s).select("sample_id", F.col("old_id").alias("spot_id"), "new_id")
+
+
+@query("rotate", f"SELECT sample_id, spot_id, round(col * {math.cos(0.5)!r} - \"row\" * {math.sin(0.5)!r}, 6) AS col, round(col * {math.sin(0.5)!r} + \"row\" * {math.cos(0.5)!r}, 6) AS \"row\" FROM spots")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return qc.rotate(spots(spark, sf), 0.5).select("sample_id", "spot_id", r6("col").alias("col"), r6("row").alias("row"))
+
+
+@query("add_embedding", "SELECT sample_id, spot_id, 'position' AS name, round(\"row\", 6) AS v1, round(col, 6) AS v2 FROM spots UNION ALL SELECT sample_id, spot_id, 'irregular', round(x, 6), round(y, 6) FROM spots")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    s = spots(spark, sf)
+    first = s.select("sample_id", "spot_id", F.lit("position").alias("name"), F.array("row", "col").alias("vec"))
+    both = qc.add_embedding(first, s.select("sample_id", "spot_id", F.array("x", "y").alias("vec")), "irregular")
+    return both.select("sample_id", "spot_id", "name", r6(F.col("vec")[0]).alias("v1"), r6(F.col("vec")[1]).alias("v2"))
+
+
+@query("design_matrix", "SELECT sample_id, spot_id, 1.0::DOUBLE AS intercept, (label = 'BUILDING')::DOUBLE AS label_BUILDING, (label = 'FURNITURE')::DOUBLE AS label_FURNITURE, (label = 'HOUSEHOLD')::DOUBLE AS label_HOUSEHOLD, (label = 'MACHINERY')::DOUBLE AS label_MACHINERY, covar::DOUBLE AS covar FROM spots")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return qc.design_matrix(spots(spark, sf), ["label", "covar"])
+
+
+@query("align_spots", "SELECT counts.* FROM counts SEMI JOIN kept_spots USING (sample_id, spot_id)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    c = counts(spark, sf)
+    return qc.align_spots(c, qc.spot_filter(c, 20))
+
+
+@query("lattice_visium", "SELECT * FROM visium")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.lattice(spots(spark, sf), "Visium")
+
+
+@query("lattice_st", 'SELECT a.sample_id, a.spot_id, b.spot_id AS nbr_id FROM spots a JOIN spots b ON a.sample_id = b.sample_id AND ((a."row" = b."row" AND abs(floor(a.col / 2) - floor(b.col / 2)) = 1) OR (abs(a."row" - b."row") = 1 AND floor(a.col / 2) = floor(b.col / 2)))')
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.lattice(spots(spark, sf).withColumn("col", F.floor(F.col("col") / 2).cast("double")), "ST")
+
+
+@query("radius_graph", "SELECT a.sample_id, a.spot_id, b.spot_id AS nbr_id FROM spots a JOIN spots b ON a.sample_id = b.sample_id AND a.spot_id <> b.spot_id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 8")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.radius_graph(spots(spark, sf), 8.0)
+
+
+@query("auto_radius")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    s = spots(spark, sf)
+    return graph.degree_summary(s, graph.radius_graph(s, graph.auto_radius(s)))
+
+
+@query("knn_graph", "SELECT sample_id, spot_id, nbr_id FROM (SELECT a.sample_id, a.spot_id, b.spot_id AS nbr_id, row_number() OVER (PARTITION BY a.sample_id, a.spot_id ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.spot_id) AS r FROM spots a JOIN spots b ON a.sample_id = b.sample_id AND a.spot_id <> b.spot_id) WHERE r <= 6")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.knn_graph(spots(spark, sf), 6, "x", "y")
+
+
+@query("degree_summary", "SELECT sample_id, count(*) AS n_spots, count(d) AS n_identified, CAST(coalesce(sum(d), 0) AS BIGINT) AS n_edges FROM spots LEFT JOIN (SELECT sample_id, spot_id, count(*) d FROM visium GROUP BY ALL) USING (sample_id, spot_id) GROUP BY sample_id")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    s = spots(spark, sf)
+    return graph.degree_summary(s, graph.lattice(s))
+
+
+@query("neighbor_mean", "SELECT s.sample_id, s.spot_id, round(coalesce(avg(n.x), 0), 6) AS x, round(coalesce(avg(n.y), 0), 6) AS y FROM spots s LEFT JOIN visium e ON s.sample_id = e.sample_id AND s.spot_id = e.spot_id LEFT JOIN spots n ON n.sample_id = e.sample_id AND n.spot_id = e.nbr_id GROUP BY ALL")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    s = spots(spark, sf)
+    return graph.neighbor_mean(s, graph.lattice(s), ["x", "y"]).select("sample_id", "spot_id", r6("x").alias("x"), r6("y").alias("y"))
+
+
+@query("same_label_counts", "SELECT sample_id, spot_id, k, same, degree FROM same")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    s = labelled(spark, sf)
+    n = graph.same_label_counts(s, graph.lattice(s), 5)
+    return n.select("sample_id", "spot_id", F.posexplode("same").alias("k", "same"), "degree").withColumn("k", (F.col("k") + 1).cast("long"))
+
+
+@query("potts_energy", "SELECT sample_id, spot_id, k, round(energy, 6) AS energy FROM energy")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    s = labelled(spark, sf)
+    e = potts.energies(s, graph.lattice(s), 5, 1.5)
+    return e.select("sample_id", "spot_id", F.posexplode("energy").alias("k", "e")).select("sample_id", "spot_id", (F.col("k") + 1).cast("long").alias("k"), r6("e").alias("energy"))
+
+
+def _unary(s: DataFrame) -> DataFrame:
+    """A made-up cost of each label: half its distance to the covariate modulo 5."""
+    return s.withColumn("u", F.array(*[F.abs(F.lit(k) - F.col("covar") % 5) * 0.5 for k in range(5)]))
+
+
+@query("icm_label_sweep", "SELECT sample_id, spot_id, CAST(min_by(k, (round(t, 9), k)) AS INTEGER) AS y, round(min(t), 6) AS energy FROM total GROUP BY ALL")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    s = _unary(labelled(spark, sf))
+    return potts.label_sweep(s, graph.lattice(s), 5, 1.5).select("sample_id", "spot_id", "y", r6("energy").alias("energy"))
+
+
+def _resp(spark: SparkSession, sf: str) -> DataFrame:
+    s = _unary(labelled(spark, sf))
+    e = potts.energies(s, graph.lattice(s), 5, 1.5).join(s.select("sample_id", "spot_id", "u"), ["sample_id", "spot_id"])
+    return potts.responsibilities(e.withColumn("t", F.zip_with("energy", "u", lambda a, b: a + b)))
+
+
+@query("responsibilities", "SELECT sample_id, spot_id, k, round(resp, 6) AS resp, round(loglik, 6) AS loglik FROM resp")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _resp(spark, sf).select("sample_id", "spot_id", F.posexplode("resp").alias("k", "r"), "loglik").select("sample_id", "spot_id", (F.col("k") + 1).cast("long").alias("k"), r6("r").alias("resp"), r6("loglik").alias("loglik"))
+
+
+@query("beta_grid", "SELECT sample_id, max_by(beta, (o, -beta)) AS beta, round(max(o), 6) AS objective FROM (SELECT sample_id, beta, -sum(resp * (lse + beta / 2 * (degree - same))) AS o FROM (SELECT r.*, beta, ln(sum(exp(-beta / 2 * (degree - same))) OVER (PARTITION BY sample_id, spot_id, beta)) AS lse FROM resp r CROSS JOIN (SELECT CAST(unnest([0.5, 1.0, 1.5, 2.0, 2.5, 3.0]) AS DOUBLE) AS beta)) GROUP BY sample_id, beta) GROUP BY sample_id")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return potts.beta_grid(_resp(spark, sf), [0.5, 1.0, 1.5, 2.0, 2.5, 3.0]).select("sample_id", "beta", r6("objective").alias("objective"))
+
+
+@query("svg_projection_p", """SELECT sample_id, gene, round(n * (bb * a * a - 2 * ab * a * b + aa * b * b) / (aa * bb - ab * ab) / syy, 6) AS stat,
+  round(exp(-(n * (bb * a * a - 2 * ab * a * b + aa * b * b) / (aa * bb - ab * ab) / syy) / (2 * (1 - sy * sy / n / syy))), 6) AS p FROM
+  (SELECT kept.sample_id, gene, sum(cnt * fa) AS a, sum(cnt * fb) AS b, sum(cnt)::DOUBLE AS sy, sum(cnt * cnt)::DOUBLE AS syy FROM kept JOIN (SELECT sample_id, spot_id, col - avg(col) OVER (PARTITION BY sample_id) AS fa, "row" - avg("row") OVER (PARTITION BY sample_id) AS fb FROM spots SEMI JOIN kept_spots USING (sample_id, spot_id)) f USING (sample_id, spot_id) GROUP BY ALL)
+  JOIN (SELECT sample_id, count(*) AS n, sum(fa * fa) AS aa, sum(fa * fb) AS ab, sum(fb * fb) AS bb FROM (SELECT sample_id, col - avg(col) OVER (PARTITION BY sample_id) AS fa, "row" - avg("row") OVER (PARTITION BY sample_id) AS fb FROM spots SEMI JOIN kept_spots USING (sample_id, spot_id)) GROUP BY ALL) USING (sample_id)""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    k = kept(spark, sf)
+    s = spots(spark, sf).join(qc.spot_filter(counts(spark, sf), 20).select("sample_id", "spot_id").distinct(), ["sample_id", "spot_id"], "left_semi")
+    return genes.projection_p(*genes.projection_sums(k, genes.kernel_features(s), 1)).select("sample_id", "gene", r6("stat").alias("stat"), r6("p").alias("p"))
+
+
+@query("svg_rank")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    k = kept(spark, sf)
+    return genes.svg_rank(k, spots(spark, sf).join(k.select("sample_id", "spot_id").distinct(), ["sample_id", "spot_id"], "left_semi"))
+
+
+@query("hvg_moments", "SELECT sample_id, gene, round(sum(cnt) / n, 6) AS mean, round((sum(cnt * cnt) - n * (sum(cnt) / n) ** 2) / (n - 1), 6) AS var, count(*) AS nnz FROM kept JOIN (SELECT sample_id, count(DISTINCT spot_id) n FROM kept GROUP BY sample_id) USING (sample_id) GROUP BY sample_id, gene, n")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    k = kept(spark, sf)
+    n = k.select("sample_id", "spot_id").distinct().groupBy("sample_id").agg(F.count("*").alias("n"))
+    return genes.moments(k, n).select("sample_id", "gene", r6("mean").alias("mean"), r6("var").alias("var"), "nnz")
+
+
+@query("hvg_rank")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return genes.hvg_rank(kept(spark, sf))
+
+
+@query("gene_rank", "SELECT sample_id, gene, rank FROM ranked WHERE rank <= 50")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return genes.top_genes(ranked(spark, sf), 50)
+
+
+@query("common_genes", "SELECT gene, gene_idx FROM (SELECT gene, row_number() OVER (ORDER BY votes DESC, median, k, r) AS gene_idx FROM (SELECT gene, min((CAST(sample_id AS INT), rank))[1] AS k, min((CAST(sample_id AS INT), rank))[2] AS r FROM ranked WHERE rank <= 60 GROUP BY gene) SEMI JOIN (SELECT gene FROM (SELECT sample_id, gene FROM kept GROUP BY ALL HAVING sum(cnt) > 0) GROUP BY gene HAVING count(*) = 5) c USING (gene) JOIN (SELECT gene, count(*) AS votes, median(rank) AS median FROM ranked GROUP BY gene) USING (gene)) WHERE gene_idx <= 60")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return genes.common_genes(ranked(spark, sf), kept(spark, sf), 60)
+
+
+@query("user_gene_list", "SELECT gene, row_number() OVER (ORDER BY pos) AS gene_idx FROM (SELECT gene, row_number() OVER (ORDER BY gene DESC) AS pos FROM (SELECT DISTINCT gene FROM counts)) SEMI JOIN (SELECT gene FROM kept GROUP BY gene HAVING count(DISTINCT sample_id) = 5) k USING (gene)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    listed = counts(spark, sf).select("gene").distinct().withColumn("pos", F.row_number().over(Window.orderBy(F.desc("gene"))))
+    return genes.user_gene_list(kept(spark, sf), listed)
+
+
+@query("dropped_genes", "SELECT DISTINCT gene FROM counts ANTI JOIN (SELECT gene FROM kept GROUP BY gene HAVING count(DISTINCT sample_id) = 5) k USING (gene)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    listed = counts(spark, sf).select("gene").distinct().withColumn("pos", F.lit(1))
+    return genes.dropped_genes(kept(spark, sf), listed)
+
+
+@query("list_size", "SELECT CAST(least(150, min(c)) AS BIGINT) AS n FROM (SELECT count(*) AS c FROM ranked GROUP BY sample_id)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    r = ranked(spark, sf)
+    return r.groupBy("sample_id").count().agg(F.least(F.lit(150), F.min("count")).cast("long").alias("n"))
+
+
+@query("preprocess")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return genes.preprocess(counts(spark, sf), spots(spark, sf), gene_number=120)[0]
+
+
+ARI = "SELECT {by} CASE WHEN (ai + bj) / 2 = ai * bj / t THEN 1.0 ELSE round((nij - ai * bj / t) / ((ai + bj) / 2 - ai * bj / t), 6) END AS ari FROM (SELECT {by} sum(n * (n - 1) / 2) AS nij, sum(n) * (sum(n) - 1) / 2 AS t FROM c GROUP BY ALL) {j1} (SELECT {by} sum(n * (n - 1) / 2) AS ai FROM (SELECT {by} label, sum(n) AS n FROM c GROUP BY ALL) GROUP BY ALL) {j2} (SELECT {by} sum(n * (n - 1) / 2) AS bj FROM (SELECT {by} covar, sum(n) AS n FROM c GROUP BY ALL) GROUP BY ALL) {j3}"
+
+
+@query("ari", "SELECT * FROM (WITH c AS (SELECT label, covar, count(*)::DOUBLE AS n FROM spots GROUP BY ALL) " + ARI.format(by="", j1="CROSS JOIN", j2="CROSS JOIN", j3="") + ")")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.adjusted_rand(spots(spark, sf), "label", "covar").select(r6("ari").alias("ari"))
+
+
+@query("ari_by_sample", "SELECT * FROM (WITH c AS (SELECT sample_id, label, covar, count(*)::DOUBLE AS n FROM spots GROUP BY ALL) " + ARI.format(by="sample_id,", j1="JOIN", j2="USING (sample_id) JOIN", j3="USING (sample_id)") + ")")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.adjusted_rand(spots(spark, sf), "label", "covar", ["sample_id"]).select("sample_id", r6("ari").alias("ari"))
+
+
+@query("cluster_batch_cube", "SELECT label AS cluster, sample_id AS batch, count(*) AS n FROM spots GROUP BY CUBE (label, sample_id)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.cluster_batch_cube(spots(spark, sf).select(F.col("label").alias("cluster"), F.col("sample_id").alias("batch")))
+
+
+@query("dataset_rollup", "SELECT sample_id, count(DISTINCT (sample_id, spot_id)) AS n_spots, count(DISTINCT gene) AS n_genes, CAST(sum(cnt) AS BIGINT) AS total FROM counts GROUP BY ROLLUP (sample_id)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.dataset_rollup(counts(spark, sf))
+
+
+@query("top_markers", "SELECT cluster, gene, pct, rank FROM (SELECT cluster, gene, round(pct, 6) AS pct, rank() OVER (PARTITION BY cluster ORDER BY round(pct, 6) DESC) AS rank FROM dots) WHERE rank <= 10")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    d = display.dot_summary(expr(spark, sf), clusters(spark, sf)).select("cluster", "gene", r6("pct").alias("pct"))
+    return markers.top_n(d, "cluster", "pct", 10)
+
+
+@query("downsample", "SELECT sample_id, spot_id, cluster FROM (SELECT sample_id, spot_id, label AS cluster, row_number() OVER (PARTITION BY label ORDER BY spot_id) AS r FROM spots) WHERE r <= 40")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return markers.downsample(clusters(spark, sf), "cluster", 40, seed=None)
+
+
+@query("sample_rate", "SELECT CAST(floor(0.3 * count(*)) AS BIGINT) AS n FROM spots")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return markers.sample_rate(spots(spark, sf), 0.3).agg(F.count("*").alias("n"))
+
+
+@query("scale_genes", "SELECT sample_id, spot_id, gene, round(scaled, 6) AS scaled FROM scaled")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return display.scale_genes(expr(spark, sf)).select("sample_id", "spot_id", "gene", r6("scaled").alias("scaled"))
+
+
+@query("feature_quantile", "SELECT gene, round(quantile_cont(scaled, 0.5), 6) AS midpoint FROM scaled GROUP BY gene")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return display.feature_quantile(expr(spark, sf)).select("gene", r6("midpoint").alias("midpoint"))
+
+
+@query("dot_summary", "SELECT cluster, gene, round(mean, 6) AS mean, round(pct, 6) AS pct, round(CASE WHEN sd > 0 THEN least(greatest((v - m) / sd, 0), 1) ELSE 0 END, 6) AS scaled FROM (SELECT *, avg(v) OVER (PARTITION BY gene) AS m, stddev_samp(v) OVER (PARTITION BY gene) AS sd FROM (SELECT *, ln(1 + mean) AS v FROM dots))")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return display.dot_summary(expr(spark, sf), clusters(spark, sf)).select("cluster", "gene", r6("mean").alias("mean"), r6("pct").alias("pct"), r6("scaled").alias("scaled"))
+
+
+@query("heatmap_rows", "SELECT label AS cluster, sample_id, spot_id, gene, round(scaled, 6) AS scaled FROM scaled JOIN (SELECT sample_id, spot_id, label FROM spots QUALIFY row_number() OVER (PARTITION BY label ORDER BY spot_id) <= 40) USING (sample_id, spot_id) SEMI JOIN (SELECT gene FROM ranked WHERE rank <= 10) g USING (gene)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    chosen = ranked(spark, sf).where("rank <= 10").select("gene").distinct()
+    return display.heatmap_rows(expr(spark, sf), clusters(spark, sf), chosen, 40, None).withColumn("scaled", r6("scaled"))
+
+
+@query("rgb_display", "SELECT sample_id, spot_id, '#' || " + " || ".join(f"printf('%02X', CAST(floor((CASE WHEN max({c}) OVER w > min({c}) OVER w THEN ({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) ELSE 0 END) * 255 + 0.5) AS BIGINT))" for c in ("x", "y", "col")) + " AS rgb FROM spots WINDOW w AS (PARTITION BY sample_id)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return display.rgb_display(spots(spark, sf), ("x", "y", "col")).select("sample_id", "spot_id", "rgb")
+
+
+@query("scatter_codes", "SELECT sample_id, spot_id, \"row\", col, label, dense_rank() OVER (ORDER BY label) AS code FROM spots")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return display.scatter_codes(spots(spark, sf), "label").select("sample_id", "spot_id", "row", "col", "label", "code")
+
+
+@query("box_summary", "SELECT name, round(mn, 6) AS min, round(q1, 6) AS q1, round(q2, 6) AS median, round(q3, 6) AS q3, round(mx, 6) AS max, round(min(v) FILTER (v >= q1 - 1.5 * (q3 - q1)), 6) AS low, round(max(v) FILTER (v <= q3 + 1.5 * (q3 - q1)), 6) AS high FROM (SELECT *, min(v) OVER w AS mn, quantile_cont(v, 0.25) OVER w AS q1, quantile_cont(v, 0.5) OVER w AS q2, quantile_cont(v, 0.75) OVER w AS q3, max(v) OVER w AS mx FROM (SELECT 'x' AS name, x AS v FROM spots UNION ALL SELECT 'y', y FROM spots UNION ALL SELECT 'covar', covar FROM spots) WINDOW w AS (PARTITION BY name)) GROUP BY name, mn, q1, q2, q3, mx")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return display.box_summary(spots(spark, sf), ["x", "y", "covar"]).select("name", *[r6(c).alias(c) for c in ("min", "q1", "median", "q3", "max", "low", "high")])
+
+
+MARKER_SQL = """SELECT cluster, gene, round(round(p1 / n1, 3), 6) AS pct1, round(round((pos - p1) / (n - n1), 3), 6) AS pct2, round(log2(e1 / n1 + 1) - log2((e - e1) / (n - n1) + 1), 6) AS avg_log2fc,
+  round((u - sign(u) * 0.5) / sqrt(n1 * (n - n1) / 12.0 * ((n + 1) - ties / (n * (n - 1.0)))), 6) AS z FROM (
+  SELECT *, r - n1 * (n1 + 1) / 2.0 - n1 * (n - n1) / 2.0 AS u FROM (
+    SELECT cluster, gene, sum(mid) AS r, count(*)::DOUBLE AS n1, count(*) FILTER (value > 0)::DOUBLE AS p1, sum(exp(value) - 1) AS e1,
+      any_value(n)::DOUBLE AS n, any_value(pos)::DOUBLE AS pos, any_value(e) AS e FROM (
+      SELECT *, rank() OVER (PARTITION BY gene ORDER BY value) + (count(*) OVER (PARTITION BY gene, value) - 1) / 2.0 AS mid,
+        count(*) OVER (PARTITION BY gene) AS n, count(*) FILTER (value > 0) OVER (PARTITION BY gene) AS pos, sum(exp(value) - 1) OVER (PARTITION BY gene) AS e
+      FROM (SELECT label AS cluster, gene, coalesce(value, 0) AS value FROM spots CROSS JOIN (SELECT DISTINCT gene FROM expr) LEFT JOIN expr USING (sample_id, spot_id, gene)))
+    GROUP BY cluster, gene))
+  JOIN (SELECT gene, sum(t ** 3 - t)::DOUBLE AS ties FROM (SELECT gene, value, count(*)::DOUBLE AS t FROM (SELECT gene, coalesce(value, 0) AS value FROM spots CROSS JOIN (SELECT DISTINCT gene FROM expr) LEFT JOIN expr USING (sample_id, spot_id, gene)) GROUP BY ALL) GROUP BY gene) USING (gene)"""
+
+
+@query("marker_stats", MARKER_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return markers.rank_sums(expr(spark, sf), clusters(spark, sf)).select("cluster", "gene", r6("pct1").alias("pct1"), r6("pct2").alias("pct2"), r6("avg_log2fc").alias("avg_log2fc"), r6("z").alias("z"))
+
+
+@query("markers")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return markers.markers(expr(spark, sf), clusters(spark, sf), min_pct=0.0, min_log2fc=0.0, max_p=1.01)
+
+
+for _name, (_run, _sql) in iterative.QUERIES.items():
+    query(_name, _sql)(_run)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spots and genes of the counts table."""
-    return spark.read.parquet(f"{sf_dir}/customer.parquet")
+    """Preprocess, graph, a short fit, and the sizes of its clusters in each sample."""
+    return iterative.flagship(spark, sf_dir)
