@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.checkpoints import checkpointed
 from .qc import SPOT, gene_filter, log_normalize, spot_filter, subset_genes
 
 
@@ -175,11 +176,11 @@ def preprocess(counts: DataFrame, spots: DataFrame, gene_number: int = 2000, sel
     """
     if select not in ("spatial", "dispersion"):
         raise ValueError("select is 'spatial' or 'dispersion'")
-    kept = gene_filter(spot_filter(counts, pre[0]), pre[1])
+    kept = checkpointed(gene_filter(spot_filter(counts, pre[0]), pre[1]))  # the votes read it several times
     if genes is None:
-        ranked = svg_rank(kept, spots.join(kept.select(*SPOT).distinct(), SPOT, "left_semi")) if select == "spatial" else hvg_rank(kept)
+        ranked = checkpointed(svg_rank(kept, spots.join(kept.select(*SPOT).distinct(), SPOT, "left_semi")) if select == "spatial" else hvg_rank(kept))
         chosen = common_genes(ranked, kept, list_size(ranked, gene_number))
     else:
         chosen = user_gene_list(kept, genes)
-    cut = gene_filter(spot_filter(subset_genes(kept, chosen), post[0]), post[1])
+    cut = gene_filter(spot_filter(subset_genes(kept, checkpointed(chosen)), post[0]), post[1])
     return log_normalize(cut), counts if keep_raw else None
