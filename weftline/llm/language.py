@@ -166,15 +166,15 @@ class Inference:
         return names, scores
 
 
-def predict(docs: DataFrame, model: Model, s: Settings = Settings(), text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns of ``docs`` (or those in ``keep``) with ``lang_pred`` and ``lang_score``."""
+def predict(docs: DataFrame, model: Model, s: Settings = Settings(), text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """The columns of ``docs`` (or those in ``keep``) with ``lang_pred`` and ``lang_score``, or other ``names``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start() -> Callable[[list], list]:
         infer = Inference(shared.value, s)
         return lambda texts: list(infer(texts))
 
-    return add_columns(docs, text, {"lang_pred": "string", "lang_score": "double"}, start, keep)
+    return add_columns(docs, text, dict(zip(names, ("string", "double"), strict=True)), start, keep)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,5 +188,5 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents with a language; ``und`` ones go."""
     s = Settings()
-    found = predict(docs, fit(docs.where(~held_out("doc_id", 5, 0)), s), s)
-    return found.where(F.col("lang_pred") != UNDETERMINED).select(docs.columns)
+    found = predict(docs, fit(docs.where(~held_out("doc_id", 5, 0)), s), s, names=("__lang", "__share"))
+    return found.where(F.col("__lang") != UNDETERMINED).drop("__lang", "__share")

@@ -7,8 +7,8 @@ so that any stretch of T shingles lies whole in a window.
 
 1. A window is looked at if it holds a shingle of some template (a window without has containment 0).
 2. Each of ``bands`` MinHash values of a window is a band of one row. A template that shares a band is retrieved. A window
-   that holds a template whole is at least half made of it, so it is retrieved with probability 1 - 2^-bands; one that holds
-   the least accepted share of it, ``containment``, with at least 1 - (1 - 0.8/2.2)^bands, above 0.999 by default.
+   that holds a template whole is to three eighths made of it, so it is retrieved with probability 1 - (5/8)^bands, above
+   0.9999 by default; one that holds the least accepted share of it, ``containment``, with at least 0.999.
 3. The share of the template's shingles that the window holds is computed exactly, and kept if at least ``containment``.
 
 The result has a row for each document and license: the best containment and the number of windows that reached the

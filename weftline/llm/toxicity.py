@@ -35,7 +35,7 @@ class Settings:
     window: int = 8
     max_docs: int = 3000
     max_chars: int = 60_000
-    epochs: int = 20
+    steps: int = 1500
     batch: int = 64
     rate: float = 0.03
     shrink: float = 1e-5
@@ -139,8 +139,9 @@ def train(texts: list[str], labels: list[int], s: Settings = Settings()) -> Mode
     bias = np.array([0, bias0], np.float32)
     params = (emb, soft, bias)
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in params]
-    steps, step = s.epochs * -(-len(docs) // s.batch), 0
-    for epoch in range(s.epochs):
+    epochs = -(-s.steps // -(-len(docs) // s.batch))  # a small sample is gone over more often
+    steps, step = epochs * -(-len(docs) // s.batch), 0
+    for epoch in range(epochs):
         best = sample.best_windows((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float64))
         order = rng.permutation(docs)
         for k in range(0, len(order), s.batch):
@@ -196,15 +197,15 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     return train([text for text, _ in sample], [y for _, y in sample], s)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns of ``docs`` (or those in ``keep``) with ``toxicity`` (double, 0 to 1)."""
+def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, name: str = "toxicity") -> DataFrame:
+    """The columns of ``docs`` (or those in ``keep``) with ``toxicity`` (double, 0 to 1), or another ``name``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start() -> Callable[[list], list]:
         scorer = Scorer(shared.value)
         return lambda texts: [scorer(texts)]
 
-    return add_columns(docs, text, {"toxicity": "double"}, start, keep)
+    return add_columns(docs, text, {name: "double"}, start, keep)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,4 +221,4 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Pipeline stage: the documents whose toxicity stays under the threshold."""
     s = Settings()
     model = fit(docs, read(spark, sf_dir, "labels").where(~held_out("doc_id", 3, 1)), s)
-    return score(docs, model).where(F.col("toxicity") < s.threshold).select(docs.columns)
+    return score(docs, model, name="__toxicity").where(F.col("__toxicity") < s.threshold).drop("__toxicity")
