@@ -22,6 +22,7 @@ class equally likely.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -39,7 +40,7 @@ END = " "
 
 @dataclass(frozen=True)
 class Settings:
-    """``head`` bounds what is broadcast of the vocabulary; ``buckets`` times classes the table of weights."""
+    """``head`` bounds what is broadcast of the vocabulary; ``buckets`` (a power of two up to 2^16) times classes the weights."""
 
     buckets: int = 1 << 14
     frequent: int = 31
@@ -68,7 +69,7 @@ class Lexicon:
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.hash, self.cls = [], []
+        self.hash, self.cls = array("Q"), array("q")
 
     def class_of(self, word: bytes) -> int:
         return self.own.get(word) or 1 + self.s.frequent + zlib.crc32(word[-2:]) % self.s.endings
@@ -84,12 +85,12 @@ class Lexicon:
 
 
 def batch_of(texts: list[list[bytes]], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all tokens of the texts: rows of the features (tokens by 3), class, and number of the text."""
+    """For all tokens of the texts: rows of the features (3 by tokens), class, and number of the text."""
     if len(lexicon.known) > lexicon.keep:
         lexicon.clear()
     at = lexicon.numbers([w for words in texts for w in words])
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    hashes, classes = np.array(lexicon.hash or [0], np.uint64), np.array(lexicon.cls or [0], np.int64)
+    hashes, classes = np.array(lexicon.hash), np.array(lexicon.cls)
     ends = np.cumsum(sizes + 1) - 1
     n = int(sizes.sum()) + len(texts)
     word = np.ones(n, bool)
@@ -104,22 +105,34 @@ def batch_of(texts: list[list[bytes]], lexicon: Lexicon) -> tuple[np.ndarray, np
     rows = []
     for k, mix in enumerate((one * np.uint64(3), one * np.uint64(0x9E3779B1) + two * np.uint64(0x85EBCA77), two * np.uint64(5))):
         mix = (mix + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
-        rows.append(((mix >> np.uint64(33)) % np.uint64(lexicon.s.buckets - 1) + np.uint64(1)).astype(np.int64))
-    return np.stack(rows, 1), cls, text
+        rows.append((mix >> np.uint64(33)) & np.uint64(lexicon.s.buckets - 1))
+    return np.stack(rows).astype(np.uint16), cls, text
 
 
 def class_log_probs(table: np.ndarray, rows: np.ndarray, block: int) -> Iterator[tuple[slice, np.ndarray]]:
-    """Blocks of tokens with the log-probabilities of all classes (natural). Row 0 of the table is the bias."""
-    for k in range(0, len(rows), block):
-        part = slice(k, min(k + block, len(rows)))
-        logit = table[rows[part, 0]] + table[rows[part, 1]]
-        logit += table[rows[part, 2]]
-        logit += table[0]
+    """Blocks of tokens with the log-probabilities of all classes (natural). The table's last row is the bias."""
+    for k in range(0, rows.shape[1], block):
+        part = slice(k, min(k + block, rows.shape[1]))
+        logit = table[rows[0, part]]
+        for more in rows[1:, part]:
+            logit += table[more]
+        logit += table[-1]
         logit -= logit.max(1, keepdims=True)
         logit -= np.log(np.exp(logit).sum(1, keepdims=True))
         yield part, logit
 
 
+def run_sums(values: np.ndarray, order: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each run of ``order``: most runs are short, so all k-th rows are added at a time; the few long ones follow."""
+    out, k = values[order[first]], 1
+    while len(longer := np.flatnonzero(count > k)) > 64:
+        out[longer] += values[order[first[longer] + k]]
+        k += 1
+    for i in longer:
+        out[i] += values[order[first[i] + k : first[i] + count[i]]].sum(0)
+    return out
+
+
 class Trainer:
     """Gradient steps from given weights; a row's steps shrink with the squares of its gradients."""
 
@@ -132,12 +145,13 @@ class Trainer:
         for part, log_p in class_log_probs(self.table, rows, self.s.block):
             up = -np.exp(log_p)
             up[np.arange(len(up)), cls[part]] += 1
-            changes = [(np.zeros(1, np.int64), up.sum(0, keepdims=True), np.array([len(up)]))]
-            for f in range(rows.shape[1]):
-                order = np.argsort(rows[part, f], kind="stable")
-                ordered = rows[part, f][order]
+            changes = [(np.array([len(self.table) - 1]), up.sum(0, keepdims=True), np.array([len(up)]))]
+            for row in rows[:, part]:
+                order = np.argsort(row, kind="stable")
+                ordered = row[order]
                 first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-                changes.append((ordered[first], np.add.reduceat(up[order], first, axis=0), np.diff(np.append(first, len(ordered)))))
+                count = np.diff(np.append(first, len(ordered)))
+                changes.append((ordered[first], run_sums(up, order, first, count), count))
             for row, g, n in changes:
                 self.squares[row] += (g * g).mean(1)
                 self.table[row] += self.s.rate / 3 * g / np.sqrt(self.squares[row])[:, None]
@@ -223,9 +237,9 @@ def fit(docs: DataFrame, vocabulary: DataFrame, s: Settings = Settings()) -> tup
         n[r["k"]], v[r["k"]] = r["n"], r["v"]
     offset = np.log10(n + v + 1)
     offset[: 1 + s.frequent] = np.nan
-    table = np.zeros((s.buckets, lexicon.classes), np.float32)
-    table[0] = np.log(n + 1)
-    height = -(-s.buckets // s.slices)
+    table = np.zeros((s.buckets + 1, lexicon.classes), np.float32)
+    table[-1] = np.log(n + 1)
+    height = -(-len(table) // s.slices)
 
     def learn(batches: Iterator[pa.RecordBatch], start) -> Iterator[pa.RecordBatch]:
         trainer, words = Trainer(start.value, s), Lexicon(frequent, s)
@@ -233,7 +247,7 @@ def fit(docs: DataFrame, vocabulary: DataFrame, s: Settings = Settings()) -> tup
             rows, cls, _ = batch_of([tokens(t) for t in b.column(0).to_pylist()], words)
             trainer.learn(rows, cls)
         change = np.concatenate([(trainer.table - start.value) * trainer.met[:, None], trainer.met[:, None]], 1).astype(np.float32)
-        parts = [change[k : k + height].tobytes() for k in range(0, s.buckets, height)]
+        parts = [change[k : k + height].tobytes() for k in range(0, len(change), height)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "sums"])
 
     for r in range(s.rounds if n.sum() else 0):
@@ -276,8 +290,7 @@ def score(docs: DataFrame, vocabulary: DataFrame, model: Model, head: dict[str,
                     else:
                         seen += k
                         total += k * x
-                        if w not in lexicon.own:
-                            shared_classes += k * x
+                shared_classes = total - sum(got[w] * log_c[w] for w in lexicon.own if w in got)
                 known.append(seen + end_known)
                 log_all.append(total + (end_log or 0.0))
                 log_open.append(shared_classes)
