@@ -143,8 +143,9 @@ def list_size(ranked: DataFrame, n: int) -> int:
 def common_genes(ranked: DataFrame, counts: DataFrame, n: int) -> DataFrame:
     """``(gene, gene_idx)``: the vote of the samples' ranked lists for ``n`` genes.
 
-    Candidates are the genes among some list's first ``n`` that every sample has with a total over 0. More lists with the gene
-    (whole lists) win, then the smaller median rank, then the order of first appearance. A single sample's list is its first n.
+    Candidates are the genes among some list's first ``n`` that every sample has with a total over 0, each with the number of
+    (whole) lists that have it. Genes with more than the n-th largest number come first, in order of first appearance; those with
+    just that number fill up by the smaller median rank, then by first appearance. A single sample's list is its first n.
     """
     samples = counts.select("sample_id").distinct().count()
     number = counts.select("sample_id").distinct().withColumn("k", F.row_number().over(Window.orderBy("sample_id")))
@@ -153,7 +154,12 @@ def common_genes(ranked: DataFrame, counts: DataFrame, n: int) -> DataFrame:
     there = counts.groupBy("sample_id", "gene").agg(F.sum("cnt").alias("t")).where("t > 0").groupBy("gene").count().where(F.col("count") == samples)
     votes = listed.groupBy("gene").agg(F.count("*").alias("votes"), F.percentile("rank", F.lit(0.5)).alias("median"))
     kept = union.join(there, "gene", "left_semi").join(votes, "gene")
-    order = Window.orderBy(F.desc("votes"), "median", "first")  # at most samples * n genes
+    place = F.row_number().over(Window.orderBy(F.desc("votes"), "median", "first"))  # at most samples * n genes
+    kept = kept.withColumn("place", place)
+    cut = F.coalesce(F.max(F.when(F.col("place") == n, F.col("votes"))).over(Window.partitionBy()), F.lit(0))
+    sure = F.col("votes") > cut
+    order = Window.orderBy(F.desc("sure"), F.when(F.col("sure"), 0).otherwise(-F.col("votes")), F.when(F.col("sure"), 0).otherwise(F.col("median")), "first")
+    kept = kept.withColumn("sure", sure)
     return kept.withColumn("gene_idx", F.row_number().over(order)).where(F.col("gene_idx") <= n).select("gene", "gene_idx")
 
 

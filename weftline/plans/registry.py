@@ -289,7 +289,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return genes.top_genes(ranked(spark, sf), 50)
 
 
-@query("common_genes", "SELECT gene, gene_idx FROM (SELECT gene, row_number() OVER (ORDER BY votes DESC, median, k, r) AS gene_idx FROM (SELECT gene, min((CAST(sample_id AS INT), rank))[1] AS k, min((CAST(sample_id AS INT), rank))[2] AS r FROM ranked WHERE rank <= 60 GROUP BY gene) SEMI JOIN (SELECT gene FROM (SELECT sample_id, gene FROM kept GROUP BY ALL HAVING sum(cnt) > 0) GROUP BY gene HAVING count(*) = 5) c USING (gene) JOIN (SELECT gene, count(*) AS votes, median(rank) AS median FROM ranked GROUP BY gene) USING (gene)) WHERE gene_idx <= 60")
+@query("common_genes", "SELECT gene, gene_idx FROM (SELECT gene, row_number() OVER (ORDER BY votes <= cut, CASE WHEN votes > cut THEN 0 ELSE -votes END, CASE WHEN votes > cut THEN 0 ELSE median END, k, r) AS gene_idx FROM (SELECT *, coalesce((SELECT votes FROM (SELECT gene, count(*) AS votes FROM ranked SEMI JOIN (SELECT gene FROM ranked WHERE rank <= 60) f USING (gene) SEMI JOIN (SELECT gene FROM (SELECT sample_id, gene FROM kept GROUP BY ALL HAVING sum(cnt) > 0) GROUP BY gene HAVING count(*) = 5) c USING (gene) GROUP BY gene ORDER BY votes DESC) OFFSET 59 LIMIT 1), 0) AS cut FROM (SELECT gene, min((CAST(sample_id AS INT), rank))[1] AS k, min((CAST(sample_id AS INT), rank))[2] AS r FROM ranked WHERE rank <= 60 GROUP BY gene) SEMI JOIN (SELECT gene FROM (SELECT sample_id, gene FROM kept GROUP BY ALL HAVING sum(cnt) > 0) GROUP BY gene HAVING count(*) = 5) c USING (gene) JOIN (SELECT gene, count(*) AS votes, median(rank) AS median FROM ranked GROUP BY gene) USING (gene))) WHERE gene_idx <= 60")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return genes.common_genes(ranked(spark, sf), kept(spark, sf), 60)
 
