@@ -139,13 +139,15 @@ def build_graph(points: np.ndarray, s: Settings) -> tuple[np.ndarray, int]:
     return graph, start
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """``(vec_id, v)``: the rows that take part, vectors as arrays of double."""
+def usable(vectors: DataFrame, length: int | None = None) -> tuple[DataFrame, int]:
+    """``(vec_id, v)``: the rows that take part, vectors as arrays of double; and their length (the most frequent, if not given)."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     rows = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(fine)
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("v") == (sizes[0]["n"] if sizes else 0))
+    if length is None:
+        sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+        length = sizes[0]["n"] if sizes else 0
+    return rows.where(F.size("v") == length), length
 
 
 def distinct_points(rows: DataFrame, s: Settings) -> DataFrame:
@@ -216,9 +218,10 @@ def search(queries: DataFrame, index: DataFrame, shards: int, s: Settings) -> Da
 
 def neighbours(vectors: DataFrame, asked: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for the rows ``asked`` the nearest of ``vectors``, but for themselves."""
-    points = checkpointed(distinct_points(usable(vectors), s))
+    rows, length = usable(vectors)
+    points = checkpointed(distinct_points(rows, s))
     index, shards = build_index(points, s)
-    queries = checkpointed(usable(asked).distinct())
+    queries = checkpointed(usable(asked, length)[0].distinct())
     found = search(queries.select("v").distinct(), index, shards, s)
     rows = queries.join(found, "v").select("vec_id", F.filter("found", lambda x: x["vec_id"] != F.col("vec_id")).alias("found"))
     rows = rows.select(F.col("vec_id").alias("query_id"), F.posexplode(F.slice("found", 1, s.k)).alias("rank", "x"))
