@@ -182,6 +182,42 @@ def test_edited_items_are_found_and_others_are_not():
     assert not any(got[i] for i in range(0, 160, 2))
 
 
+def test_copies_with_spaces_removed_or_inserted_and_unspaced_texts_are_found():
+    rng = random.Random(81)
+    items = [(i, words(rng, 40, "abcdefghijklmnop")) for i in range(40)]
+    items += [(100 + i, "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(60))) for i in range(40)]
+    index = decontaminate.Index(items, decontaminate.Settings())
+    docs, full = [], []
+    for k, (_, text) in enumerate(items):
+        for share in (0.7, 1):
+            x, edits = list(text), int(share * index.items[k].edits)
+            for n in range(edits // 6 if k >= 40 else edits):  # a letter of three bytes removed and one inserted
+                gaps = [i for i, c in enumerate(x) if c == " "]
+                if k >= 40:
+                    x.pop(rng.randrange(len(x)))
+                    x.insert(rng.randrange(len(x)), chr(0x5E00 + n))
+                elif k % 3 == 0 and gaps:
+                    x.pop(rng.choice(gaps))
+                elif k % 3 == 1 and gaps:
+                    x[rng.choice(gaps)] = "q"
+                else:
+                    x.insert(rng.choice([i for i in range(1, len(x)) if x[i] != " " and x[i - 1] != " "]), " ")
+            (docs if share < 1 else full).append(words(rng, 40, "abcdefghijklmnop") + " " + "".join(x) + " " + words(rng, 40, "abcdefghijklmnop"))
+    got = index.search(docs)
+    for kind in (range(0, 40, 3), range(1, 40, 3), range(2, 40, 3), range(40, 80)):
+        assert np.mean([items[k][0] in [i for i, _ in got[k]] for k in kind]) >= 0.9
+    # with all edits allowed, no copy is passed over before it is embedded
+    normal = [b" ".join(decontaminate.plain_words(x)) for x in full]
+    windows = index.windows(*index.found(normal))
+    assert {k for _, k, _ in windows.tolist()} == set(range(80))
+
+
+def test_pieces_are_enough_for_every_size():
+    for size in range(1, 1200):
+        q, need = decontaminate._piece(size, size // 10, 6)
+        assert need >= 1 and size // q - size // 10 >= need
+
+
 # --- licenses
 
 

@@ -3,9 +3,11 @@
 A document holds an item if some stretch of it is within ``ratio`` of the item's length in edits (both in normal form:
 lower case, each run of other characters than letters and digits a single space).
 
-1. *Windows.* Of each item-sized stretch, only those that can be within the distance are looked at. An item with W words
-   and k allowed edits loses at most k words, so of its k + m rarest words at least m stay whole, each telling where the
-   copy starts to within k characters. Stretches without m such words are passed over; no near copy is among them.
+1. *Windows.* Of each item-sized stretch, only those that can be within the distance are looked at. An item is tiled by
+   pieces of q bytes (spaces too), which don't overlap, so that an edit of a byte changes at most one. With k allowed edits,
+   of its k + m rarest pieces at least m stand unchanged in a copy, each telling where the copy starts to within k bytes.
+   Stretches without m such pieces are passed over; no near copy is among them, whatever its edits do to words. Each item
+   has the q of at most 8 that leaves the most bytes to be found, m q; m is at least 1, as q is at most size / (k + 1).
 2. *Embedding.* Each window, and each item, is mapped by CGK random walks (Chakraborty, Goldenberg, Koucky 2016): step t
    writes the character under the pointer, and a random bit of (t, character) says whether the pointer moves. Few edits
    become few differing positions of equally long strings.
@@ -25,11 +27,10 @@ rows.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from .common import plain_words, read, slices
 @dataclass(frozen=True)
 class Settings:
     ratio: float = 0.1
-    whole_words: int = 6
+    whole_pieces: int = 6
     walks: int = 8
     bands: int = 256
     bits: int = 6
@@ -95,38 +96,66 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[first], np.diff(np.append(first, len(values)))
 
 
+def _grams(texts: bytes, q: int) -> np.ndarray:
+    """The q bytes (at most 8) from each place on, as a number; past the end come zeros."""
+    return np.ndarray((len(texts),), "<u8", texts + bytes(8), strides=(1,)) & np.uint64((1 << 8 * q) - 1)
+
+
+def _piece(size: int, edits: int, most: int) -> tuple[int, int]:
+    """Bytes of the pieces of an item, and how many of any ``edits`` more are unchanged in a copy."""
+    fit = [(min(most, size // q - edits), q) for q in range(1, min(8, size // (edits + 1)) + 1)]
+    need, q = max(fit, key=lambda x: (x[0] * x[1], x[1]))
+    return q, need
+
+
+#: Bits of the hashes that tell most places of a text from pieces.
+HASH_BITS = 20
+
+
+def _hashed(grams: np.ndarray) -> np.ndarray:
+    return (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)
+
+
 class Index:
-    """Items, their anchor words, and the keys of their embeddings, by size of item."""
+    """Items, their anchor pieces, and the keys of their embeddings, by size of item."""
 
     def __init__(self, items: list[tuple[int, str | None]], s: Settings):
+        if not 0 <= s.ratio < 1 or s.whole_pieces < 1:
+            raise ValueError("ratio must be at least 0 and below 1, whole_pieces at least 1")
         self.s = s
         rng = np.random.default_rng(s.seed + 1)
         self.items: list[Item] = []
-        split = []
         for item_id, text in sorted(items, key=lambda x: x[0]):
-            words = plain_words(text)
-            if words:
-                joined = b" ".join(words)
+            joined = b" ".join(plain_words(text))
+            if joined:
                 self.items.append(Item(item_id, joined, int(s.ratio * len(joined))))
-                split.append(words)
-        often = Counter(w for words in split for w in words)
-        self.need = np.zeros(len(self.items), np.int64)
-        anchors: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for k, (item, words) in enumerate(zip(self.items, split, strict=True)):
-            # the rarest words of the item: by the benchmark, and then by length, as short words are frequent
-            rare = sorted(range(len(words)), key=lambda i: (often[words[i]], -len(words[i]), i))
-            self.need[k] = max(1, min(s.whole_words, len(words) - item.edits))
-            places = np.append(0, np.cumsum([len(w) + 1 for w in words])).tolist()
-            for i in rare[: item.edits + int(self.need[k])]:
-                anchors[words[i]].append((k, places[i]))
-        self.anchor = {w: a for a, w in enumerate(anchors)}
-        self.of = [np.array(x, np.int64) for x in anchors.values()]
+        pieces = [_piece(len(x.text), x.edits, s.whole_pieces) for x in self.items]
+        self.need = np.array([m for _, m in pieces], np.int64)
+        whole = b"\0".join(x.text for x in self.items)
+        #: For each q: bits of the hashes of the pieces, the sorted pieces, and the number of the first of them.
+        self.anchors: list[tuple[int, np.ndarray, np.ndarray, int]] = []
+        anchors = []
+        for size in sorted({q for q, _ in pieces}):
+            often = np.unique(_grams(whole, size), return_counts=True)
+            own: dict[int, list[tuple[int, int]]] = defaultdict(list)
+            for k, item in enumerate(self.items):
+                if pieces[k][0] == size:
+                    tiles = _grams(item.text, size)[: len(item.text) - size + 1 : size]
+                    # the rarest pieces of the item, by the benchmark
+                    rare = np.argsort(often[1][np.searchsorted(often[0], tiles)], kind="stable")[: item.edits + int(self.need[k])]
+                    for i in rare.tolist():
+                        own[int(tiles[i])].append((k, i * size))
+            ranked = np.array(sorted(own), np.uint64)
+            bits = np.zeros(1 << HASH_BITS, np.bool_)
+            bits[_hashed(ranked)] = True
+            self.anchors.append((size, bits, ranked, len(anchors)))
+            anchors += [own[x] for x in ranked.tolist()]
+        self.of = [np.array(x, np.int64) for x in anchors]
         self.count = np.array([len(x) for x in self.of] or [0])
         self.first = np.append(0, np.cumsum(self.count))[:-1]
         self.flat = np.concatenate(self.of) if self.of else np.zeros((0, 2), np.int64)
         self.size = np.array([len(x.text) for x in self.items])
         self.edits = np.array([x.edits for x in self.items])
-        self.least = int(self.need.min(initial=1 << 30))
         # a window is as long as the shortest item of its size class, so that both strings are full
         ladder = np.unique((1.1 ** np.floor(np.log(np.maximum(self.size, 1)) / np.log(1.1))).astype(np.int64)) if len(self.size) else self.size
         self.group = ladder[np.searchsorted(ladder, self.size, "right") - 1] if len(self.size) else self.size
@@ -157,10 +186,10 @@ class Index:
                 pairs += [(w, int(own[k])) for k in order[band, low[w] : high[w]]]
         return sorted(set(pairs))
 
-    def _enough(self, cells: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Cells that hold, with the one before or after, as many words as their item needs."""
+    def _enough(self, cells: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+        """Cells that hold, with the one before or after, as many pieces as their item needs."""
         beside = np.append(cells[1:] == cells[:-1] + 1, False)[: len(cells)]
-        enough = words + np.where(beside, np.append(words[1:], 0)[: len(cells)], 0) >= self.need[(cells >> 34) % len(self.items)]
+        enough = pieces + np.where(beside, np.append(pieces[1:], 0)[: len(cells)], 0) >= self.need[(cells >> 34) % len(self.items)]
         return enough | np.append(False, (enough & beside)[:-1])[: len(cells)]
 
     def windows(self, doc: np.ndarray, at: np.ndarray, anchor: np.ndarray) -> np.ndarray:
@@ -170,38 +199,45 @@ class Index:
         found = self.flat[np.repeat(self.first[anchor], each) + inner]
         doc, item, offset = np.repeat(doc, each), found[:, 0], found[:, 1]
         start = np.repeat(at, each) - offset
-        # whole words of a near copy say where it starts to within its edits, so that they fall into two cells side by side
+        # unchanged pieces of a near copy say where it starts to within its edits, so that they fall into two cells side by side
         width = 2 * self.edits[item] + 1
         cell = (doc * len(self.items) + item) * (1 << 34) + (start + (1 << 32)) // width
-        # few cells are full enough even if words count more than once; only these are counted in full
+        # few cells are full enough even if pieces count more than once; only these are counted in full
         order = np.argsort(cell)
         cells, size = _runs(cell[order])
         inside = order[np.repeat(self._enough(cells, size), size)]
         inside = inside[np.lexsort((offset[inside], cell[inside]))]
         cells, size = _runs(cell[inside])
         new = np.append(True, (np.diff(cell[inside]) != 0) | (np.diff(offset[inside]) != 0))[: len(inside)]
-        words = np.add.reduceat(new.astype(np.int64), np.cumsum(size) - size) if len(inside) else size
-        inside = inside[np.repeat(self._enough(cells, words), size)]
+        pieces = np.add.reduceat(new.astype(np.int64), np.cumsum(size) - size) if len(inside) else size
+        inside = inside[np.repeat(self._enough(cells, pieces), size)]
         return np.unique(np.stack([self.group[item[inside]], doc[inside], np.maximum(start[inside], 0)], 1), axis=0)
 
+    def found(self, normal: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, byte place and number of the anchors in texts of normal form."""
+        whole = b"\0".join(normal)  # no piece holds the zero
+        begin = np.append(0, np.cumsum([len(x) + 1 for x in normal]))
+        place, anchor = [], []
+        for low in range(0, len(whole), 1 << 18):
+            for size, bits, ranked, first in self.anchors:
+                grams = _grams(whole[low : low + (1 << 18) + size - 1], size)[: 1 << 18]
+                some = np.flatnonzero(bits[_hashed(grams)])
+                rank = np.minimum(np.searchsorted(ranked, grams[some]), len(ranked) - 1)
+                same = ranked[rank] == grams[some]
+                place.append(some[same] + low)
+                anchor.append(rank[same] + first)
+        at = np.concatenate(place) if place else np.zeros(0, np.int64)
+        doc = np.searchsorted(begin, at, "right") - 1
+        return doc, at - begin[doc], np.concatenate(anchor) if anchor else at
+
     def search(self, texts: list[str | None]) -> list[list[tuple[int, int]]]:
         """For each text, (item_id, edits) of the items that it holds."""
         out: list[list[tuple[int, int]]] = [[] for _ in texts]
-        get = self.anchor.get
-        normal, doc, at, anchor = [], [], [], []
-        for d, text in enumerate(texts):
-            words = plain_words(text)
-            normal.append(b" ".join(words))
-            hit = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-            where = np.flatnonzero(hit >= 0)
-            if len(where) >= self.least:
-                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-                doc.append(np.full(len(where), d))
-                at.append(np.append(0, ends)[where])
-                anchor.append(hit[where])
-        if not doc:
+        normal = [b" ".join(plain_words(text)) for text in texts]
+        doc, at, anchor = self.found(normal)
+        if not len(doc):
             return out
-        windows = self.windows(np.concatenate(doc), np.concatenate(at), np.concatenate(anchor))
+        windows = self.windows(doc, at, anchor)
         best: dict[tuple[int, int], int] = {}
         for size in np.unique(windows[:, 0]).tolist():
             all_of = windows[windows[:, 0] == size, 1:]
