@@ -238,6 +238,20 @@ def test_every_stretch_of_a_template_lies_in_a_window():
         assert (most + 1) / length >= 3 / 8
 
 
+def test_whole_license_texts_are_templates(spark):
+    rng = random.Random(91)
+    long = {f"L{n}": words(rng, n, "abcdefghijklmnop") for n in (100, 101, 260, 1500)}
+    templates = spark.createDataFrame(list(long.items()), "license string, notice string")
+    docs = [(n, f"{words(rng, 300)} {text} {words(rng, 200)}") for n, text in enumerate(long.values())]
+    docs.append((10, " ".join(long["L1500"].split()[:1350])))
+    docs.append((11, " ".join(long["L1500"].split()[:1000])))
+    got = {(r["doc_id"], r["license"]): r["containment"] for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"), templates).collect()}
+    assert set(got) == {(0, "L100"), (1, "L101"), (2, "L260"), (3, "L1500"), (10, "L1500")}
+    assert all(got[n, x] == 1.0 for n, x in enumerate(long)) and abs(got[10, "L1500"] - 1346 / 1496) < 1e-9
+    for most, length, step in licenses.LONG_CLASSES:
+        assert step <= length - most + 1
+
+
 # --- nearest neighbours
 
 

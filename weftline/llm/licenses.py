@@ -3,7 +3,7 @@
 Templates are short license notices. Words are runs of lower-case letters and digits; a shingle is five words; a text with
 fewer words has none. Templates are put into classes by their number of shingles, and texts into windows by class: a class
 for templates of up to T shingles has windows of ``length`` shingles that start every ``step``, where step <= length - T + 1,
-so that any stretch of T shingles lies whole in a window.
+so that any stretch of T shingles lies whole in a window. Classes double up to any length, so whole license texts can be given.
 
 1. A window is looked at if it holds a shingle of some template (a window without has containment 0).
 2. Each of ``bands`` MinHash values of a window is a band of one row. A template that shares a band is retrieved. A window
@@ -46,6 +46,8 @@ TEMPLATES = [
 
 #: Classes of templates: most shingles of a template, shingles of a window, step between windows.
 CLASSES = [(1, 1, 1), (3, 4, 2), (6, 8, 3), (12, 16, 5), (24, 32, 9), (48, 64, 17), (96, 128, 33)]
+#: The same doubled on, for texts that a caller gives: longer than any array of words.
+LONG_CLASSES = [*CLASSES, *((96 << i, 128 << i, (32 << i) + 1) for i in range(1, 24))]
 
 
 @dataclass(frozen=True)
@@ -92,9 +94,9 @@ def template_table(templates: DataFrame, s: Settings) -> DataFrame:
     t = templates.select("license", "notice").distinct().withColumn("w", words_of(F.col("notice"))).where(F.size("w") >= s.words)
     t = t.withColumn("grams", F.array_distinct(shingles_of(F.col("w"), s.words, "text"))).withColumn("hashes", F.array_distinct(shingles_of(F.col("w"), s.words)))
     n, length, step = F.size("w") - s.words + 1, F.lit(None).cast("int"), F.lit(None).cast("int")
-    for most, long, every in reversed(CLASSES):
+    for most, long, every in reversed(LONG_CLASSES):
         length, step = F.when(n <= most, long).otherwise(length), F.when(n <= most, every).otherwise(step)
-    return t.select(F.xxhash64("license", "notice").alias("t_id"), "license", "grams", "hashes", length.alias("length"), step.alias("step")).where("length IS NOT NULL")
+    return t.select(F.xxhash64("license", "notice").alias("t_id"), "license", "grams", "hashes", length.alias("length"), step.alias("step"))
 
 
 def scan(docs: DataFrame, templates: DataFrame | None = None, s: Settings = Settings()) -> DataFrame:
@@ -106,6 +108,8 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, s: Settings = Sett
     rows = table.limit(s.max_templates + 1).collect()
     if len(rows) > s.max_templates:
         raise ValueError(f"more than {s.max_templates} templates")
+    if any(r["length"] is None for r in rows):
+        raise ValueError("a template is longer than the longest class")
     known = spark.createDataFrame(rows, table.schema)
     wanted = sorted({h for r in rows for h in r["hashes"]})
     classes = sorted({(r["length"], r["step"]) for r in rows})
