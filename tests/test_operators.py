@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.blocks import Sparse, sparse_rows
 from weftline.operators import correct, display, genes, graph, metrics, model, potts, qc, start
+from weftline.plans import iterative
 from weftline.sources import tables
 
 
@@ -210,6 +211,20 @@ def test_fit_recovers_bands(spark, simulated, spatial):
     assert {r["name"] for r in table.collect()} == {"w", "mu", "sigma", "lam", "psi", "beta", "loglik"}
 
 
+def test_every_component_of_the_embeddings_counts(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    side = np.arange(60) // 3 % 2
+    x = np.concatenate([np.full((60, 8), 0.5), rng.normal(0, 0.1, (60, 4)) + 9.0 * side[:, None]], 1)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for query in (iterative.kmeans_start, iterative.gmm_start):
+        got = {int(r["spot_id"]): r["y"] for r in query(spark, str(tmp_path)).collect()}
+        assert not {y for i, y in got.items() if side[i]} & {y for i, y in got.items() if not side[i]}
+    assert {len(r["vec"]) for r in iterative.harmonize(spark, str(tmp_path)).collect()} == {12}
+    shown = {int(r["spot_id"]): r["vec"][0] for r in iterative.display_components(spark, str(tmp_path)).collect()}
+    one, two = ([v for i, v in shown.items() if side[i] == k] for k in (0, 1))
+    assert max(one) < min(two) or max(two) < min(one)
+
+
 def test_settings_are_checked():
     for bad in ({"init": "x"}, {"max_rounds": 1}, {"beta_grid": ()}, {"potts_direction": "up"}):
         with pytest.raises(ValueError):

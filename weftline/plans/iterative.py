@@ -68,10 +68,10 @@ def wpca(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _embedded(spark: SparkSession, sf: str) -> DataFrame:
-    """The embeddings table as scores of three samples."""
+    """The embeddings table, all components of its vectors, as scores of three samples."""
     e = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x))
-    v = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
+    v = F.transform("embedding", lambda x: x.cast("double"))
     return e.where(fine).select((F.col("vec_id") % 3).cast("string").alias("sample_id"), F.col("vec_id").cast("string").alias("spot_id"), v.alias("vec"))
 
 
@@ -153,9 +153,9 @@ def integrate(spark: SparkSession, sf: str) -> DataFrame:
 def display_components(spark: SparkSession, sf: str) -> DataFrame:
     """Three display coordinates of the aligned embeddings."""
     e = checkpointed(harmonize(spark, sf))
-    rows = e.select(*KEY, F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: i).alias("idx"), F.col("vec").alias("val"))
-    samples = _samples(rows)
-    m = start.gramian(rows, 8, samples)
+    rows = e.select(*KEY, F.transform("vec", lambda _, i: i).alias("idx"), F.col("vec").alias("val"))
+    samples, p = _samples(rows), e.agg(F.max(F.size("vec"))).first()[0]
+    m = start.gramian(rows, p or 0, samples)
     v, _ = start.pca(m, 3, by_sample=False)
     return start.project(rows, v, (m.sums.sum(0) / max(m.n.sum(), 1))[None], samples)
 
