@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import bench
 from weftline.functions.blocks import Sparse, sparse_rows
 from weftline.operators import correct, display, genes, graph, metrics, model, potts, qc, start
 from weftline.plans import iterative
@@ -225,6 +226,11 @@ def test_every_component_of_the_embeddings_counts(spark, tmp_path):
     assert max(one) < min(two) or max(two) < min(one)
 
 
+def test_a_partial_sum_is_no_total():
+    assert bench.summary({"a": 1.5, "b": 2.0}, [], 0.1)["value"] == 3.5
+    assert bench.summary({"a": 1.5}, ["b"], 0.1)["value"] is None
+
+
 def test_settings_are_checked():
     for bad in ({"init": "x"}, {"max_rounds": 1}, {"beta_grid": ()}, {"potts_direction": "up"}):
         with pytest.raises(ValueError):
