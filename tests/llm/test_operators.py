@@ -109,28 +109,80 @@ def test_base_score_and_normalisation(spark, tmp_path):
         assert r["held_out"] == (i not in train) and r["n_tokens"] == len(split[i]) and r["train_tokens"] == total
         assert r["n_known"] == sum(w in c for w in split[i])
         assert abs(r["base_score"] - sum(math.log10((c[w] + 1) / (total + v + 1)) for w in split[i])) < 1e-8
-    assert sum(r["score"] for r in got.values() if r["held_out"]) > sum(r["base_score"] for r in got.values() if r["held_out"])
+
+
+def test_model_learns_which_words_follow_each_other(spark, tmp_path):
+    rng = random.Random(51)
+    follow = {w: rng.sample(FILLER, 2) for w in FILLER}
+    docs = []
+    for i in range(200):
+        text = [rng.choice(FILLER)]
+        while len(text) < 40:
+            text.append(rng.choice(follow[text[-1]]) if rng.random() < 0.9 else f"w{rng.randrange(500)}" if rng.random() < 0.3 else rng.choice(FILLER))
+            if text[-1] not in follow:
+                text.append(rng.choice(FILLER))
+        docs.append((i, " ".join(text), *[None] * 9))
+    got = [r for r in lm.op3_lm(spark, write(spark, tmp_path, documents=docs)).collect() if r["held_out"]]
+    n = sum(r["n_tokens"] for r in got)
+    assert sum(r["score"] - r["base_score"] for r in got) / n > 0.2
 
 
 def test_lm_probabilities_sum_to_one(spark):
     rng = random.Random(6)
     docs = spark.createDataFrame([(i, prose(rng, 30)) for i in range(60)], "doc_id long, text string")
-    s = lm.Settings(frequent=5, endings=4, buckets=256)
+    s = lm.Settings(classes=6, leaves=6, shared_leaves=3, least_buckets=256, per_bucket=100, head=20)
     vocabulary = lm.count_words(docs)
-    model, head = lm.fit(docs, vocabulary, s)
+    model = lm.fit(docs, vocabulary, s)
     known = {r["token"]: r["c"] for r in vocabulary.collect()}
-    # one word after "the": each known word, and one unknown word of each shared class
-    lexicon = lm.Lexicon(model.frequent, s)
-    rows, _, _ = lm.batch_of([[b"the"]], lexicon)
-    log_p = next(lm.class_log_probs(model.table, rows, 8))[1][1]
-    total = 0.0
-    for w, c in known.items():
-        k = 0 if w == lm.END else lexicon.class_of(w.encode())
-        total += math.exp(log_p[k]) * (1 if k <= s.frequent else (c + 1) / 10 ** model.offset[k])
-    shared = range(1 + s.frequent, lexicon.classes)
-    total += sum(math.exp(log_p[k]) / 10 ** model.offset[k] for k in shared)
-    total += sum(math.exp(log_p[k]) for k in range(1 + len(model.frequent), 1 + s.frequent))  # classes without a word
-    assert abs(total - 1) < 1e-5
+    scorer = lm.Scorer(model, s)
+
+    def log10_p(word):  # of a word after "the": what it adds to the text, without the end
+        w = lm.words_of([f"the {word}"], lm.Powers(), s)
+        found, leaf, _ = lm.looked_up(w, model.head)
+        rows, target, _, _ = lm.events(w, leaf, model.buckets, s.classes)
+        log_p = lm.picked_log_probs(model.table, rows, target, 8) / math.log(10)
+        return log_p[1] + log_p[4] - model.offset[w.cls[1], leaf[1]], int(w.cls[1])
+
+    total = sum(10 ** log10_p(w)[0] * (c + 1) for w, c in known.items() if w != lm.END)
+    unknown = {k: p for p, k in (log10_p(f"xq{i}") for i in range(400))}
+    assert set(unknown) == set(range(1, s.classes))
+    total += sum(10**p for p in unknown.values())
+    rows, target, _, _ = lm.events(lm.words_of(["the"], lm.Powers(), s), np.zeros(1, np.int64), model.buckets, s.classes)
+    total += math.exp(lm.picked_log_probs(model.table, rows, target, 8)[1])
+    assert abs(total - 1) < 1e-4
+    # a text's score is the sum over its tokens, whichever words the head has
+    text = "the river walks stones"
+    n, seen, counts, value, rest = scorer([text, None, ""])
+    assert n.tolist() == [5, 1, 1] and value[1] == value[2] and all(w in text for w, _ in rest[0])
+
+
+def test_word_hashes_do_not_depend_on_place_and_blocks():
+    rng = random.Random(61)
+    s, texts = lm.Settings(), [words(rng, 200), None, "", "A\tb\x0b\u00e9 ", "x" * 5000, words(rng, 50)]
+    whole, cut = lm.words_of(texts, lm.Powers(), s), lm.words_of(texts, lm.Powers(), s, block=64)
+    assert (whole.hash == cut.hash).all() and whole.sizes.tolist() == [200, 0, 0, 3, 1, 50]
+    want = [w for t in texts for w in lm.tokens(t)]
+    assert [whole.data[a:b] for a, b in zip(whole.start, whole.end)] == want
+    by = {}
+    for w, h in zip(want, whole.hash.tolist()):
+        assert by.setdefault(w, h) == h
+    assert len(set(by.values())) == len(by)
+
+
+def test_class_of_a_word_in_tasks_and_in_columns(spark):
+    s, names = lm.Settings(), ["a", "ab", "stone", "naïve", "日本", "x9"]
+    rows = spark.createDataFrame([(w,) for w in names], "w string").select(lm.class_column("w", s)).collect()
+    assert [r[0] for r in rows] == lm.hash_of(names, lm.Powers(), s)[1].tolist()
+
+
+def test_changes_are_averaged_in_a_tree(spark):
+    rng = np.random.default_rng(62)
+    s = lm.Settings(slices=3, fan_in=4)
+    change, met = rng.normal(size=(20, 10, 2)).astype(np.float16), rng.integers(0, 5, (20, 10)).astype(np.float32)
+    rows = [(k, t, change[t, 4 * k : 4 * k + 4].tobytes(), met[t, 4 * k : 4 * k + 4].tobytes()) for t in range(20) for k in range(3)]
+    got = lm.averaged(spark.createDataFrame(rows, "slice int, task int, change binary, met binary"), np.zeros((10, 2), np.float32), 20, s)
+    want = (change.astype(np.float64) * met[..., None]).sum(0) / np.maximum(met.sum(0), 1)[:, None]
+    assert np.abs(got - want).max() < 5e-3
 
 
 def test_head_words_by_count(spark):
