@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 import xxhash
 from tokenizers import Tokenizer, models
 
@@ -48,6 +49,21 @@ def test_toxicity_reaches_unseen_spellings():
     assert abs(toxicity.Scorer(model)([None, ""])[0] - toxicity.Scorer(model)(["..."])[0]) < 1e-12
 
 
+def test_scores_against_brute_force():
+    rng = np.random.default_rng(17)
+    model = toxicity.Model(rng.normal(size=1 << 10), -0.3, 2)
+    text_rng = random.Random(18)
+    texts = [words(text_rng, n) for n in (1, 2, 3, 4, 7, 50)] + ["Ünï cödé!", None, "..."]
+    for text, got in zip(texts, toxicity.Scorer(model)(texts), strict=True):
+        value = []
+        for w in re.sub(r"[^a-z0-9\x80-\U0010ffff]", " ", (text or "").lower()).split():
+            ids, _ = toxicity.subwords([w.encode()], 1 << 10)
+            value.append(model.bucket_score[ids].mean())
+        starts = list(range(0, max(1, len(value) - 1), 2)) if value else []
+        best = max((np.mean(value[a:b]) for a, b in zip(starts, [*starts[1:], len(value)])), default=0.0)
+        assert abs(got - 1 / (1 + math.exp(-(best - 0.3)))) < 1e-12
+
+
 def test_subwords_of_a_word_do_not_depend_on_the_others():
     alone = set(toxicity.subwords([b"stone"], 1 << 16)[0].tolist())
     ids, owner = toxicity.subwords([b"a", b"stone", "é".encode()], 1 << 16)
@@ -94,6 +110,26 @@ def test_quality_of_held_out_documents():
     assert quality.quality([None, "", " \n"], model).tolist() == [model.prior] * 3
 
 
+def test_a_bad_block_inside_a_good_document_is_bad():
+    rng = random.Random(31)
+    bad_line = lambda: "!! ".join(w.upper() for w in prose(rng, 10).split())
+    good_line = lambda: prose(rng, rng.randint(8, 20))
+    data = []
+    for i in range(400):  # good documents have a bad line at times, bad ones a good line
+        n = rng.randint(4, 10)
+        data.append(("\n".join(bad_line() if (i % 2) != (rng.random() < 0.08) else good_line() for _ in range(n)), 1 - i % 2))
+    model = quality.train([t for t, _ in data], [y for _, y in data])
+    hit = []
+    for _ in range(60):
+        at = rng.randrange(4, 10)
+        lines = [bad_line() if at <= k < at + 4 else good_line() for k in range(16)]
+        features, _ = quality.line_features("\n".join(lines))
+        p = quality.Packed(np.array([16]))
+        good, _, _ = quality.marginals(model.weight[features[p.line]].sum(1), model.pair, p)
+        hit.append([(good[k] < 0.5) == (at <= k < at + 4) for k in np.argsort(p.line)])
+    assert np.mean(hit) > 0.9
+
+
 # --- language models
 
 
@@ -264,6 +300,36 @@ def test_copies_with_spaces_removed_or_inserted_and_unspaced_texts_are_found():
     assert {k for _, k, _ in windows.tolist()} == set(range(80))
 
 
+@pytest.mark.parametrize("kind", ["substitute", "delete", "insert", "join words", "split words", "long words"])
+def test_recall_at_exactly_the_allowed_edits(kind):
+    rng = random.Random(82)
+    letters = "abcdefghijklmnop"
+    n = 3 if kind == "long words" else 40
+    items = [(i, " ".join("".join(rng.choice(letters) for _ in range(40 if n == 3 else rng.randint(2, 6))) for _ in range(n))) for i in range(40)]
+    index = decontaminate.Index(items, decontaminate.Settings())
+    docs = []
+    for item in index.items:
+        x, done = list(item.text.decode()), set()
+        for _ in range(item.edits):
+            gaps = [i for i in range(1, len(x) - 1) if x[i] == " "]
+            inner = [i for i in range(1, len(x) - 1) if " " not in x[i - 1 : i + 2]]
+            if kind == "join words" and gaps:
+                x.pop(rng.choice(gaps))
+            elif kind == "split words" or kind == "join words":
+                x.insert(rng.choice(inner), " ")
+            elif kind == "delete":
+                x.pop(rng.choice(inner))
+            elif kind == "insert":
+                x.insert(rng.choice(inner), rng.choice(letters))
+            else:
+                x[rng.choice(inner)] = rng.choice(letters)
+        docs.append(words(rng, 40, letters) + " " + "".join(x) + " " + words(rng, 40, letters))
+    near = [decontaminate.edit_distance_within(np.frombuffer(a.text, np.uint8), np.frombuffer(d.encode(), np.uint8)) <= a.edits for a, d in zip(index.items, docs)]
+    assert sum(near) >= 30
+    got = index.search(docs)
+    assert np.mean([k in [i for i, _ in got[k]] for k in range(40) if near[k]]) >= 0.9
+
+
 def test_pieces_are_enough_for_every_size():
     for size in range(1, 1200):
         q, need = decontaminate._piece(size, size // 10, 6)
@@ -314,7 +380,7 @@ def test_recall_against_brute_force(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     asked = [i for i in range(0, 1500, 20)]
-    got = ann.neighbours(v, v.where("vec_id % 20 = 0"), ann.Settings(shard_rows=400)).collect()
+    got = ann.neighbours(v, v.where("vec_id % 20 = 0"), ann.Settings(growth=1, least_rows=400, part=30)).collect()
     by = {}
     for r in sorted(got, key=lambda r: r["rank"]):
         by.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
@@ -327,6 +393,33 @@ def test_recall_against_brute_force(spark):
     assert hits / (20 * len(asked)) >= 0.9
 
 
+def brute_neighbours(rows, k=20):
+    length = Counter(len(v) for _, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)).most_common(1)[0][0]
+    good = {i: np.array(v, np.float64) for i, v in rows if i is not None and v is not None and len(v) == length and all(x is not None and math.isfinite(x) for x in v) and any(v)}
+    out = {}
+    for q in good:
+        if q % 20 == 0:
+            score = sorted(((-float(good[q] @ good[i]), i) for i in good if i != q))
+            out[q] = [(i, -x) for x, i in score[:k]]
+    return out
+
+
+def test_odd_vectors_against_brute_force(spark, odd):
+    table = spark.read.parquet(f"{odd}/embeddings.parquet")
+    want = brute_neighbours([(r["vec_id"], r["embedding"]) for r in table.collect()])
+    got = {}
+    for r in ann.op6_ann(spark, odd).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(got) == set(want) and not {300, 320, 340, 360, 380, 400} & set(got)
+    for q in want:
+        assert [i for i, _ in got[q]] == [i for i, _ in want[q]] and np.allclose([x for _, x in got[q]], [x for _, x in want[q]])
+
+
+def test_shards_grow_with_the_root_of_the_rows():
+    s = ann.Settings()
+    assert [ann.shard_rows(n, s) for n in (0, 10_000, 1_000_000, 10**12)] == [1024, 6400, 64_000, 1 << 19]
+
+
 def test_fewer_candidates_than_neighbours(spark):
     v = spark.createDataFrame([(20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.neighbours(v, v.where("vec_id % 20 = 0")).orderBy("rank").collect()]
@@ -346,6 +439,48 @@ def test_language_of_held_out_and_mixed_texts(spark):
     assert shares[0] == 1.0 and 0.6 < shares[1] < 0.8 and shares[2:] == [0.0, 0.0]
 
 
+def test_trigram_counts_against_brute_force(spark):
+    rng = random.Random(111)
+    rows = [(i, words(rng, 30, "abcé"), ["a", "b", None][i % 3]) for i in range(60)]
+    s = language.Settings(buckets=64)
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), s)
+    want = {k: np.full(64, s.smooth) for k in "ab"}
+    for _, text, lang in rows:
+        data = (" " + text + " ").encode()
+        for i in range(len(data) - 2 if lang else 0):
+            want[lang][language.trigrams(np.frombuffer(data[i : i + 3], np.uint8), 64)[0]] += 1
+    assert model.langs == ["a", "b"]
+    assert np.allclose(np.exp(model.log_prob), [x / x.sum() for x in want.values()], atol=1e-6)
+    few = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), language.Settings(buckets=1024, max_cells=600))
+    assert few.langs == ["a", "b"] and few.log_prob.shape[1] == 256
+
+
+def test_predictions_against_brute_force_mixtures():
+    rng = np.random.default_rng(112)
+    infer = language.Inference(language.Model(["a", "b", "c"], np.zeros((3, 4), np.float32)), language.Settings(rounds=200))
+    for _ in range(60):
+        like = rng.normal(size=(int(rng.integers(2, 40)), 3)) * rng.uniform(0.5, 4)
+        name, share = infer.one(like)
+        # greedy penalised likelihood, with mixtures fitted on a grid
+        best, chosen = max(((like[:, k].sum(), (k,)) for k in range(3)), key=lambda x: x[0])
+        grid = np.linspace(0, 1, 201)
+        while len(chosen) < 3:
+            tries = []
+            for k in set(range(3)) - set(chosen):
+                e = np.exp(like[:, [*chosen, k]])
+                shares = [(1 - g, g) for g in grid] if len(chosen) == 1 else [(x, y, 1 - x - y) for x in grid[::4] for y in grid[::4] if x + y <= 1]
+                tries.append((max(np.log(np.maximum(e @ np.array(w), 1e-300)).sum() for w in shares), k))
+            value, k = max(tries)
+            cost = np.log(len(like) + 1)
+            if abs(value - best - cost) < 0.05:
+                break  # too near to tell on a grid
+            if value - best <= cost:
+                e = np.exp(like[:, list(chosen)])
+                assert "abc".index(name) in chosen and (len(chosen) > 1 or share == 1.0)
+                break
+            best, chosen = value, (*chosen, k)
+
+
 def test_em_does_not_lower_the_likelihood():
     rng = np.random.default_rng(12)
     like = rng.normal(size=(50, 3)) * 3
@@ -387,20 +522,44 @@ def test_links_at_two_bits_and_long_chains(spark):
     assert found[5] == found[6] == 5
 
 
+def test_a_fingerprint_without_id_links_its_neighbours(spark):
+    rows = spark.createDataFrame([(5, 0), (None, 3), (9, 15), (7, 0xFF << 40)], "doc_id long, simhash long")
+    got = {(r["doc_id"], r["simhash"]): r["component_id"] for r in simhash._with_components(rows, 2).collect()}
+    assert got == {(5, 0): 5, (None, 3): 5, (9, 15): 5, (7, 0xFF << 40): 7}
+
+
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(131)
+    a, b, c = (words(rng, 200) for _ in range(3))
+    rows = [(1, a, "x"), (1, b, "y"), (2, a, "z"), (3, c, "u"), (3, c, "v"), (4, c + " ", "w"), (None, a, "n"), (None, a, "n"), (6, None, "e"), (7, "", "e")]
+    got = Counter((r["doc_id"], r["text"]) for r in simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    assert got == Counter({(1, a): 1, (1, b): 1, (3, c): 1, (None, a): 2, (6, None): 1})
+
+
 # --- token counts and encoding
 
 
 def test_token_counts_against_a_lattice_library():
-    table = tokencount.pieces("piece_bpe_32k.model")
+    table, by_bytes = tokencount.pieces("piece_bpe_32k.model")
+    assert by_bytes and abs(sum(math.exp(x) for x in table.values()) - 1) < 1e-9
     unigram = Tokenizer(models.Unigram([("<unk>", 0.0), *table.items()], 0, False))
     rng = random.Random(14)
-    pool = [words(rng, 1, "abcdefghijklmnopqrstuvwxyz") for _ in range(800)] + ["日本語", "naïve", "zzzzzzzzzz", "a", "ẞß"]
-    counter = tokencount.TrieCounter(table, 10.0, 1000)
+    pool = [words(rng, 1, "abcdefghijklmnopqrstuvwxyz") for _ in range(800)] + ["日本語", "naïve", "zzzzzzzzzz", "a", "ẞß", "understanding"]
+    counter = tokencount.TrieCounter(table, 10.0, 1000, by_bytes)
     got = counter([" ".join(pool), None, "", "  \n"])
     one = [counter([w])[0][0] for w in pool]
     assert got[0][0] == sum(one) and got[0][1:] == [0, 0, 0] and got[1][0] == len(pool)
     known = [w for w in pool if all(ch in table for ch in w)]
     assert [counter([w])[0][0] for w in known] == [len(unigram.encode("▁" + w).ids) for w in known]
+    assert counter(["\U00012345"])[0][0] == 5  # the space mark and four bytes
+
+
+def test_token_counts_are_near_those_of_the_vocabularys_own_encoder():
+    own = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    counter = tokencount.TrieCounter(tokencount.pieces("piece_bpe_32k.model")[0], 10.0, 1000, True)
+    text = "hello world this is text about understanding information and other common words of the language"
+    assert counter(["understanding", "information", "hello world this is text"])[0] == [1, 1, 6]
+    assert abs(counter([text])[0][0] / len(own.encode(text)) - 1) < 0.05
 
 
 @pytest.mark.parametrize("mask", [7, 1023])

@@ -2,14 +2,17 @@
 
 Vectors are lengthened by sqrt(M^2 - |x|^2), M being the largest norm, so that the largest inner product is the least
 Euclidean distance. Equal vectors are merged before anything else, each with its ``k + 1`` smallest ids: no answer needs
-more of them, and a vector that a third of all rows share is one point. Points are dealt to shards of about ``shard_rows``
-by a hash; in each a graph is built in blocks: greedy searches from the point nearest the middle propose neighbours, and a
-neighbour is dropped if a closer one kept before is nearer to it by the factor ``alpha``, so that diverse edges stay.
-Edges are made mutual and pruned again where there are too many.
+more of them, and a vector that a third of all rows share is one point. Points are dealt to shards by a hash; in each a graph
+is built in blocks: greedy searches from the point nearest the middle propose neighbours, and a neighbour is dropped if a
+closer one kept before is nearer to it by the factor ``alpha``, so that diverse edges stay. Edges are made mutual and pruned
+again where there are too many.
 
-Queries are dealt in blocks, and every block meets every shard: a beam search of width ``beam`` finds its nearest points,
-whose inner products are then taken in double precision on the original vectors. A grouped sort over the shards' answers
-gives the ``k`` best of each query. Index rows and query blocks have a bounded size, and both are read from checkpoints.
+Every query is searched for in every shard, so shards are few and large: for n points about ``growth`` times the root of n
+rows each, from ``least_rows`` to ``most_rows`` (which bounds a task's memory). A search keeps no table of visited points: a
+point that fell out of the beam can't come back into it, so only the beam is compared. Queries are dealt in parts, and a
+task has one shard and one part: a beam search of width ``beam`` finds the nearest points, whose inner products are then
+taken in double precision on the original vectors. The shards' answers are rows, of which a ranking that drops the worse ones
+before the shuffle leaves the ``k`` best of each query.
 
 Edge cases: vectors that are NULL, zero, or hold NULL or non-finite components take no part, nor do those of another
 length than most have; rows without id take no part; repeated rows count once; fewer than ``k`` candidates are all returned; ties go to
@@ -32,7 +35,10 @@ from .common import checkpointed, read
 @dataclass(frozen=True)
 class Settings:
     k: int = 20
-    shard_rows: int = 4096
+    growth: int = 64
+    least_rows: int = 1024
+    most_rows: int = 1 << 19
+    part: int = 1 << 16
     degree: int = 32
     beam: int = 96
     build_beam: int = 48
@@ -45,35 +51,35 @@ class Settings:
 
 def beam_search(points: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """For each query the ids and squared distances of the ``beam`` nearest points met, nearest first; -1 and inf fill up."""
-    b, n = len(queries), len(points)
+    b = len(queries)
     rows = np.arange(b)[:, None]
-    norms = (points**2).sum(1)
-    own = np.full((b, n), -1, np.int32)  # in which place of which step a point was met
-    ids = np.full((b, beam), -1, np.int64)
+    norms = np.einsum("nd,nd->n", points, points)
+    ids = np.full((b, beam), -1, np.int32)
     dist = np.full((b, beam), np.inf, np.float32)
     open_ = np.zeros((b, beam), bool)
-    ids[:, 0], open_[:, 0], own[:, start] = start, True, 0
+    ids[:, 0], open_[:, 0] = start, True
     dist[:, 0] = norms[start] - 2 * queries @ points[start]
-    step = 1
-    while open_.any():
-        order = np.argsort(~open_, axis=1, kind="stable")[:, :width]  # the nearest that aren't expanded
-        live = open_[rows, order]
-        open_[rows, order] = False
-        near = np.where(live[:, :, None], graph[ids[rows, order]], -1).reshape(b, -1)
-        tag = step + np.arange(near.shape[1], dtype=np.int32)
-        step += near.shape[1]
-        fresh = (near >= 0) & (own[rows, near] < 0)
-        who, what = np.nonzero(fresh)
-        own[who, near[who, what]] = tag[what]
-        fresh[who, what] = own[who, near[who, what]] == tag[what]  # once, if two parents have it
-        d = norms[near] - 2 * np.matmul(points[near], queries[:, :, None])[:, :, 0]
-        d = np.where(fresh, d, np.inf)
-        all_d = np.concatenate([dist, d], 1)
+    live = np.arange(b)  # queries with points to expand
+    while len(live):
+        r = rows[: len(live)]
+        own_ids, own_dist, own_open = ids[live], dist[live], open_[live]
+        order = np.argsort(~own_open, axis=1, kind="stable")[:, :width]  # the nearest that aren't expanded
+        some = own_open[r, order]
+        own_open[r, order] = False
+        near = np.where(some[:, :, None], graph[own_ids[r, order]], -1).reshape(len(live), -1).astype(np.int32)
+        both = np.concatenate([own_ids, near], 1)
+        by = np.argsort(both, axis=1, kind="stable")
+        ranked = np.take_along_axis(both, by, 1)
+        again = np.zeros(both.shape, bool)  # in the beam already, or reached from two points
+        np.put_along_axis(again, by[:, 1:], ranked[:, 1:] == ranked[:, :-1], 1)
+        fresh = (near >= 0) & ~again[:, beam:]
+        d = norms[near] - 2 * np.matmul(points[near], queries[live][:, :, None])[:, :, 0]
+        all_d = np.concatenate([own_dist, np.where(fresh, d, np.inf)], 1)
         pick = np.argsort(all_d, axis=1, kind="stable")[:, :beam]
-        ids = np.concatenate([ids, near], 1)[rows, pick]
-        dist = all_d[rows, pick]
-        open_ = np.concatenate([open_, fresh], 1)[rows, pick] & np.isfinite(dist)
-    return np.where(np.isfinite(dist), ids, -1), dist + (queries**2).sum(1, keepdims=True)
+        ids[live], dist[live] = both[r, pick], all_d[r, pick]
+        open_[live] = np.concatenate([own_open, fresh], 1)[r, pick] & np.isfinite(dist[live])
+        live = live[open_[live].any(1)]
+    return np.where(np.isfinite(dist), ids, -1).astype(np.int64), dist + (queries**2).sum(1, keepdims=True)
 
 
 def robust_prune(points: np.ndarray, own: np.ndarray, near: np.ndarray, degree: int, alpha: float) -> np.ndarray:
@@ -160,60 +166,81 @@ def distinct_points(rows: DataFrame, s: Settings) -> DataFrame:
     return few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
+def shard_rows(n: int, s: Settings) -> int:
+    """About how many rows a shard has."""
+    return int(min(s.most_rows, max(s.least_rows, s.growth * n**0.5)))
+
+
+def _lengthened(vectors: np.ndarray, most: float) -> np.ndarray:
+    return np.concatenate([vectors, np.sqrt(np.maximum(most**2 - (vectors**2).sum(1), 0))[:, None]], 1).astype(np.float32)
+
+
 def build_index(points: DataFrame, s: Settings) -> tuple[DataFrame, int]:
-    """One row a shard: (shard, vectors, ids, sizes, graph, start, top), arrays as bytes; and the number of shards."""
+    """One row a shard: (shard, vectors, ids, sizes, graph, start, most), arrays as bytes; and the number of shards."""
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     n, most = points.agg(F.count("*"), F.max(norm)).first()
-    shards = max(1, round((n or 0) / s.shard_rows))
+    shards = max(1, round((n or 0) / shard_rows(n or 0, s)))
     most = float(most or 0.0)
 
     def build(t: pa.Table) -> pa.Table:
-        vectors = np.array(t.column("v").to_pylist(), np.float64)
-        long = np.concatenate([vectors, np.sqrt(np.maximum(most**2 - (vectors**2).sum(1), 0))[:, None]], 1).astype(np.float32)
-        graph, start = build_graph(long, s)
-        ids = t.column("ids").to_pylist()
-        blob = [vectors.tobytes(), np.array([i for x in ids for i in x], np.int64).tobytes(), np.array([len(x) for x in ids], np.int32).tobytes(), graph.astype(np.int32).tobytes()]
-        return pa.table({"shard": pa.array([t.column("shard")[0].as_py()], pa.int32()), **{k: pa.array([x], pa.binary()) for k, x in zip(("vectors", "ids", "sizes", "graph"), blob, strict=True)}, "start": pa.array([start], pa.int32()), "most": pa.array([most], pa.float64())})
-
-    dealt = points.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
+        vectors = t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        graph, start = build_graph(_lengthened(vectors, most), s)
+        ids = t.column("ids").combine_chunks()
+        blob = [vectors.tobytes(), ids.flatten().to_numpy().tobytes(), np.diff(ids.offsets.to_numpy()).astype(np.int32).tobytes(), graph.astype(np.int32).tobytes()]
+        return pa.table({"shard": t.column("shard").slice(0, 1), **{k: pa.array([x], pa.binary()) for k, x in zip(("vectors", "ids", "sizes", "graph"), blob, strict=True)}, "start": pa.array([start], pa.int32()), "most": pa.array([most], pa.float64())})
+
+    dealt = points.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")).repartition(2 * shards, "shard")
     index = dealt.groupBy("shard").applyInArrow(build, "shard int, vectors binary, ids binary, sizes binary, graph binary, start int, most double")
     return checkpointed(index), shards
 
 
+#: Columns that stand for a vector: two 64-bit hashes of it.
+KEY = ["h1", "h2"]
+
+
 def search(queries: DataFrame, index: DataFrame, shards: int, s: Settings) -> DataFrame:
-    """``(v, found)`` for distinct ``queries (v)``: at most k + 1 (score, vec_id) of all shards, best first."""
-    total = queries.count()
-    blocks = max(1, -(-total // s.block))
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("v", F.lit(1)), F.lit(blocks)).cast("int"))
-    dealt = dealt.groupBy("block").agg(F.collect_list("v").alias("vs"))
-    pairs = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(index, "shard")
-    pairs = pairs.repartition(min(10_000, blocks * shards), "shard", "block")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                row = {k: b.column(j)[i] for j, k in enumerate(b.schema.names)}
-                q = np.array(row["vs"].as_py(), np.float64)
-                vectors = np.frombuffer(row["vectors"].as_py()).reshape(-1, q.shape[1])
-                sizes = np.frombuffer(row["sizes"].as_py(), np.int32)
-                ids, first = np.frombuffer(row["ids"].as_py(), np.int64), np.append(0, np.cumsum(sizes))
-                most = row["most"].as_py()
-                long = np.concatenate([vectors, np.sqrt(np.maximum(most**2 - (vectors**2).sum(1), 0))[:, None]], 1).astype(np.float32)
-                graph = np.frombuffer(row["graph"].as_py(), np.int32).reshape(len(vectors), -1).astype(np.int64)
-                asked = np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32)
-                near, _ = beam_search(long, graph, row["start"].as_py(), asked, s.beam)
-                found = []
-                for v, at in zip(q, near, strict=True):
-                    at = at[at >= 0]
-                    score = vectors[at] @ v
-                    got = [(x, int(j)) for p, x in zip(at.tolist(), score.tolist(), strict=True) for j in ids[first[p] : first[p + 1]]]
-                    found.append([{"score": x, "vec_id": j} for x, j in sorted(got, key=lambda g: (-g[0], g[1]))[: s.k + 1]])
-                kind = pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([pa.array(q.tolist(), pa.list_(pa.float64())), pa.array(found, kind)], names=["v", "found"])
-
-    answers = pairs.mapInArrow(run, "v array<double>, found array<struct<score:double,vec_id:long>>")
-    best = F.transform(F.array_sort(F.transform(F.flatten(F.collect_list("found")), lambda x: F.struct((-x["score"]).alias("m"), x["vec_id"].alias("vec_id")))), lambda x: F.struct((-x["m"]).alias("score"), x["vec_id"].alias("vec_id")))
-    return answers.groupBy("v").agg(F.slice(best, 1, s.k + 1).alias("found"))
+    """``(h1, h2, found)`` for distinct ``queries (v, h1, h2)``: at most k + 1 (score, vec_id) of all shards, best first."""
+    parts = max(1, -(-queries.count() // s.part))
+    dealt = queries.withColumn("part", F.pmod("h1", F.lit(parts)).cast("int"))
+    every = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    whole = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    tasks = min(10_000, 2 * shards * parts)
+
+    def run(shard: pa.Table, asked: pa.Table) -> pa.Table:
+        names = ["h1", "h2", "score", "vec_id"]
+        if not shard.num_rows or not asked.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.int64())], names=names)
+        row = {k: shard.column(k)[0] for k in ("vectors", "ids", "sizes", "graph", "start", "most")}
+        q = asked.column("v").combine_chunks().flatten().to_numpy().reshape(asked.num_rows, -1)
+        vectors = np.frombuffer(row["vectors"].as_buffer()).reshape(-1, q.shape[1])
+        sizes = np.frombuffer(row["sizes"].as_buffer(), np.int32).astype(np.int64)
+        ids, first = np.frombuffer(row["ids"].as_buffer(), np.int64), np.append(0, np.cumsum(sizes))
+        long = _lengthened(vectors, row["most"].as_py())
+        graph = np.frombuffer(row["graph"].as_buffer(), np.int32).reshape(len(vectors), -1)
+        who, scores, found = [], [], []
+        for low in range(0, len(q), s.block):
+            some = q[low : low + s.block]
+            near, _ = beam_search(long, graph, row["start"].as_py(), np.concatenate([some, np.zeros((len(some), 1))], 1).astype(np.float32), s.beam)
+            query, place = np.nonzero(near >= 0)
+            at = near[query, place]
+            score = np.einsum("nd,nd->n", vectors[at], some[query])
+            each = sizes[at]
+            inner = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            query, score, of = np.repeat(query, each), np.repeat(score, each), ids[np.repeat(first[at], each) + inner]
+            order = np.lexsort((of, -score, query))
+            rank = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+            order = order[rank <= s.k]
+            who.append(query[order] + low)
+            scores.append(score[order])
+            found.append(of[order])
+        who = np.concatenate(who)
+        return pa.table([asked.column("h1").take(pa.array(who)), asked.column("h2").take(pa.array(who)), pa.array(np.concatenate(scores)), pa.array(np.concatenate(found))], names=names)
+
+    pairs = whole.repartition(tasks, "shard", "part").groupBy("shard", "part").cogroup(every.repartition(tasks, "shard", "part").groupBy("shard", "part"))
+    answers = pairs.applyInArrow(run, "h1 long, h2 long, score double, vec_id long")
+    ranked = answers.withColumn("r", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= s.k + 1)
+    best = F.array_sort(F.collect_list(F.struct("r", "score", "vec_id")))
+    return ranked.groupBy(*KEY).agg(F.transform(best, lambda x: F.struct(x["score"].alias("score"), x["vec_id"].alias("vec_id"))).alias("found"))
 
 
 def neighbours(vectors: DataFrame, asked: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -221,9 +248,10 @@ def neighbours(vectors: DataFrame, asked: DataFrame, s: Settings = Settings()) -
     rows, length = usable(vectors)
     points = checkpointed(distinct_points(rows, s))
     index, shards = build_index(points, s)
-    queries = checkpointed(usable(asked, length)[0].distinct())
-    found = search(queries.select("v").distinct(), index, shards, s)
-    rows = queries.join(found, "v").select("vec_id", F.filter("found", lambda x: x["vec_id"] != F.col("vec_id")).alias("found"))
+    queries = usable(asked, length)[0].distinct()
+    queries = checkpointed(queries.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64("v", F.lit(1))))
+    found = search(queries.groupBy(*KEY).agg(F.first("v").alias("v")), index, shards, s)
+    rows = queries.drop("v").join(found, KEY).select("vec_id", F.filter("found", lambda x: x["vec_id"] != F.col("vec_id")).alias("found"))
     rows = rows.select(F.col("vec_id").alias("query_id"), F.posexplode(F.slice("found", 1, s.k)).alias("rank", "x"))
     return rows.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
 

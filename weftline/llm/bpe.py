@@ -191,7 +191,17 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents as token ids, with their number and whether they decode to the same text."""
-    coded = encode(docs.select("doc_id", "lang", "source", "text"))
-    back = decode(coded)
-    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+    """Pipeline stage: the documents as token ids, with their number and whether they decode to the same text (NULL as empty)."""
+    s = Settings()
+
+    def start() -> Callable[[list], list]:
+        encoder, decoder = Encoder(s), Decoder(s)
+
+        def work(texts: list) -> list:
+            ids = [encoder(t) for t in texts]
+            same = [decoder(x) == (t or "") for x, t in zip(ids, texts, strict=True)]
+            return [[len(x) for x in ids], ids, same]
+
+        return work
+
+    return add_columns(docs, "text", {"n_tokens": "long", "ids": "array<int>", "round_trip": "boolean"}, start, ["doc_id", "lang", "source"], rows=128)

@@ -51,6 +51,18 @@ def plain_words(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(WORD_BYTES).split() if text else []
 
 
+#: Most bytes of an Arrow batch between Spark and Python, so that what a task holds doesn't grow with the texts' length.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on the bytes of Arrow batches to ``BATCH_BYTES``, if it is higher."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sql(f"SET {name}").first()["value"].rstrip("bB")
+    if not now.lstrip("-").isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into short ones, so that a task holds few texts as Python objects at a time."""
     for batch in batches:
@@ -70,11 +82,13 @@ def add_columns(
 
     ``fields`` has names and types of the new columns; columns of ``df`` with such names are replaced. ``start`` runs once
     a task and returns a function from a list of values to a list of columns. ``keep`` names the columns of ``df`` to
-    return (all if None), so that long texts needn't travel back.
+    return (all if None), so that long texts needn't travel back. ``source`` goes to Python once, whether kept or not.
     """
+    bounded_batches(df.sparkSession)
     keep = [c for c in (df.columns if keep is None else keep) if c not in fields]
-    hidden = "__source"
-    narrow = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{source}`").alias(hidden))
+    sent = keep if source in keep else [*keep, source]
+    narrow = df.select(*[F.col(f"`{c}`") for c in sent])
+    at = sent.index(source)
     types = [narrow.schema[c] for c in keep]
     schema = StructType([*types, *[StructField(k, _parse_datatype_string(v)) for k, v in fields.items()]])
     out = to_arrow_schema(schema)
@@ -82,13 +96,38 @@ def add_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for b in slices(batches, rows):
-            made = work(b.column(len(keep)).to_pylist())
+            made = work(b.column(at).to_pylist())
             arrays = [pa.array(x, out.field(n).type) for x, n in zip(made, fields, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *arrays], names=[*keep, *fields])
 
     return narrow.mapInArrow(run, schema)
 
 
+def where_text(df: DataFrame, start: Callable[[], Callable[[list], list[bool]]], text: str = "text", rows: int = 512) -> DataFrame:
+    """The rows of ``df`` whose texts are picked in Python, all columns as they are: one pass, no shuffle and no join.
+
+    ``start`` runs once a task and returns a function from a list of texts to a list of booleans.
+    """
+    bounded_batches(df.sparkSession)
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for b in slices(batches, rows):
+            yield b.filter(pa.array(work(b.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+#: Most rows of a table of keys that is broadcast: 64 MB at some 32 bytes a row.
+MOST_KEYS = 2_000_000
+
+
+def sized_broadcast(keys: DataFrame) -> DataFrame:
+    """``keys`` marked for broadcast if it has at most ``MOST_KEYS`` rows; otherwise as it is, so that a join shuffles."""
+    return F.broadcast(keys) if keys.limit(MOST_KEYS + 1).count() <= MOST_KEYS else keys
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_chars: int) -> list[tuple[str, int]]:
     """At most ``max_rows`` texts of each class 0 and 1 with their labels, for fitting a model on the driver.
 

@@ -1,7 +1,8 @@
 """Benchmark decontamination: near copies of benchmark items inside documents, by edit distance.
 
-A document holds an item if some stretch of it is within ``ratio`` of the item's length in edits (both in normal form:
-lower case, each run of other characters than letters and digits a single space).
+A document holds an item if some stretch of it is within ``ratio`` of the item's length in edits of UTF-8 bytes (both in
+normal form: lower case, each run of white space and of ASCII characters other than letters and digits a single space; all
+characters beyond ASCII stay).
 
 1. *Windows.* Of each item-sized stretch, only those that can be within the distance are looked at. An item is tiled by
    pieces of q bytes (spaces too), which don't overlap, so that an edit of a byte changes at most one. With k allowed edits,
@@ -12,8 +13,9 @@ lower case, each run of other characters than letters and digits a single space)
    writes the character under the pointer, and a random bit of (t, character) says whether the pointer moves. Few edits
    become few differing positions of equally long strings.
 3. *LSH.* Each of ``bands`` keys samples ``bits`` positions of one of ``walks`` walks. An item that agrees with a window in
-   a key is a candidate. With half of the positions equal, the defaults find a pair with probability 1 - (1 - 2^-6)^256,
-   above 0.98; a copy gives several windows, and nearer copies have more equal positions.
+   a key is a candidate. With half of the positions equal, the defaults find a pair with probability 1 - (1 - 2^-6)^1024,
+   above 0.9999, and with three tenths equal above 0.52; a copy gives several windows, and nearer copies have more equal
+   positions.
 4. *Verification.* The exact edit distance of each candidate item to the best stretch around its window.
 
 The benchmark is a list of questions, not a corpus: it is broadcast if its text has at most ``max_item_chars`` characters,
@@ -28,7 +30,7 @@ rows.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -37,15 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plain_words, read, slices
+from .common import bounded_batches, plain_words, read, slices, where_text
 
 
 @dataclass(frozen=True)
 class Settings:
     ratio: float = 0.1
     whole_pieces: int = 6
-    walks: int = 8
-    bands: int = 256
+    walks: int = 16
+    bands: int = 1024
     bits: int = 6
     seed: int = 11
     max_item_chars: int = 4_000_000
@@ -273,6 +275,7 @@ def _parts(benchmark: DataFrame, s: Settings) -> list[list[tuple[int, str]]]:
 def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``(doc_id, item_id, edits, similarity)``: the items that each document holds, with the least number of edits."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     schema = "doc_id long, item_id long, edits int, similarity double"
     found = None
     for items in _parts(benchmark, s):
@@ -281,7 +284,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> Da
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value, s)
             size = {x.item_id: len(x.text) for x in index.items}
-            for b in slices(batches, 2048):
+            for b in slices(batches, 512):
                 held = index.search(b.column(1).to_pylist())
                 rows = [(d, i, e, 1 - e / size[i]) for d, x in zip(b.column(0).to_pylist(), held, strict=True) for i, e in x]
                 if rows:
@@ -301,6 +304,14 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that hold no benchmark item; rows without id are looked at too and stay only if clean."""
-    found = leaks(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti").select(docs.columns)
+    """Pipeline stage: the documents that hold no benchmark item, picked in the pass that looks for them; no text is shuffled."""
+    s = Settings()
+    for items in _parts(read(spark, sf_dir, "benchmark"), s):
+        shared = spark.sparkContext.broadcast(items)
+
+        def start(shared=shared) -> Callable[[list], list[bool]]:
+            index = Index(shared.value, s)
+            return lambda texts: [not held for held in index.search(texts)]
+
+        docs = where_text(docs, start)
+    return docs

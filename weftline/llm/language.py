@@ -3,12 +3,13 @@
 Each language is a model of byte trigrams inside words (hashed, smoothed). A document is a mixture: every word was written
 in one of its languages, and expectation-maximisation finds the proportions from the words' trigram likelihoods. Which
 languages a document has is chosen by penalised likelihood: starting from the best single language, the language that
-raises the log-likelihood most joins while the gain exceeds a penalty (BIC). The prediction is the language with the
+raises the log-likelihood most joins while the gain exceeds a penalty (BIC); languages that by a bound can't gain more than
+the best one tried aren't tried. The prediction is the language with the
 largest proportion, its proportion the score.
 
 Learning: trigram counts over a bounded sample of labelled rows (about ``max_docs`` a language, by a hash of the row; texts
-up to ``max_chars``), in tasks; the driver gets one row of ``buckets`` counts a language, so at most ``max_langs`` rows, the most
-frequent languages. Inference is one pass over all whole texts, without a shuffle.
+up to ``max_chars``), in tasks, summed by language and bucket there; the driver gets one row of at most ``buckets`` counts a
+language. No language is left out: with very many, buckets are fewer (``max_cells``). Inference is one pass over all whole texts, without a shuffle.
 
 Edge cases: ``und`` with score 0 for NULL, empty and letterless texts, and for all where no language was learnt; ties go
 to the language that sorts first; repeated rows are predicted each; rows with a NULL language aren't learnt from.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, held_out, read
+from .common import add_columns, checkpointed, held_out, read, sized_broadcast, where_text
 
 UNDETERMINED = "und"
 #: Bytes of digits and ASCII punctuation become spaces: they tell no language.
@@ -33,12 +34,13 @@ LETTER_BYTES = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(25
 
 @dataclass(frozen=True)
 class Settings:
-    """``max_docs`` and ``max_chars`` bound the training sample, ``max_langs`` the model."""
+    """``max_docs`` and ``max_chars`` bound the training sample. A model has ``buckets`` numbers a language; from ``max_cells`` in
+    all on, buckets are halved rather than languages left out."""
 
     buckets: int = 1 << 16
     max_docs: int = 2000
     max_chars: int = 100_000
-    max_langs: int = 200
+    max_cells: int = 1 << 26
     smooth: float = 0.5
     rounds: int = 12
     penalty: float = 1.0
@@ -72,35 +74,47 @@ def _normal(text: str) -> bytes:
 
 
 def _counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, bucket, n) of a task, without zeros."""
     total: dict[str, np.ndarray] = {}
     for b in batches:
         for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             data = np.frombuffer(_normal(text), np.uint8)
             if len(data) > 3:
+                if lang not in total and len(total) >= 64:  # what a task holds doesn't grow with the languages
+                    yield from _rows(total)
+                    total.clear()
                 total.setdefault(lang, np.zeros(buckets, np.int64))
                 total[lang] += np.bincount(trigrams(data, buckets), minlength=buckets)
-    names = list(total)
-    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([total[k].tolist() for k in names], pa.list_(pa.int64()))], names=["lang", "n"])
+    yield from _rows(total)
+
+
+def _rows(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for lang, counts in total.items():
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["lang", "bucket", "n"])
 
 
 def fit(docs: DataFrame, s: Settings = Settings()) -> Model:
     """Learns from ``docs (doc_id, text, lang)``."""
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(F.length("text") <= s.max_chars).select("text", "lang", F.xxhash64("doc_id", "text").alias("at"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.max_langs).collect()}
-    if not sizes:
-        return Model([], np.zeros((0, s.buckets), np.float32))
-    chosen = F.lit(False)
-    for lang, size in sorted(sizes.items()):  # the share of the hashes that holds about max_docs rows
-        share = min(1_000_000, -(-1_000_000 * s.max_docs // size))
-        chosen = chosen | ((F.col("lang") == lang) & (F.pmod("at", F.lit(1_000_000)) < share))
-    got = rows.where(chosen).select("text", "lang").mapInArrow(lambda it: _counts(it, s.buckets), "lang string, n array<bigint>")
-    total: dict[str, np.ndarray] = {}
-    for r in got.toLocalIterator():
-        total[r["lang"]] = total.get(r["lang"], 0) + np.asarray(r["n"], np.int64)
-    langs = sorted(total)
-    counts = np.array([total[k] for k in langs], np.float64) + s.smooth
-    log_prob = np.log(counts / counts.sum(1, keepdims=True))
-    return Model(langs, log_prob.astype(np.float32))
+    sizes = checkpointed(rows.groupBy("lang").count())
+    languages = sizes.count()
+    # the share of the hashes that holds about max_docs rows of the language
+    share = F.least(F.lit(1_000_000.0), F.ceil(F.lit(1e6 * s.max_docs) / F.col("count"))).alias("share")
+    chosen = rows.join(sized_broadcast(sizes.select("lang", share)), "lang").where(F.pmod("at", F.lit(1_000_000)) < F.col("share"))
+    buckets = s.buckets
+    while languages * buckets > s.max_cells and buckets > 256:
+        buckets //= 2
+    parts = chosen.select("text", "lang").mapInArrow(lambda it: _counts(it, buckets), "lang string, bucket int, n bigint")
+    summed = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c"))
+    table = summed.orderBy("lang").toArrow()
+    log_prob = np.empty((table.num_rows, buckets), np.float32)
+    for k in range(table.num_rows):
+        pairs = table.column("c")[k].values
+        counts = np.full(buckets, s.smooth)
+        counts[pairs.field("bucket").to_numpy()] += pairs.field("n").to_numpy()
+        log_prob[k] = np.log(counts / counts.sum())
+    return Model(table.column("lang").to_pylist(), log_prob)
 
 
 class Inference:
@@ -132,13 +146,16 @@ class Inference:
             covered = like[:, chosen].max(1)
             gain = np.maximum(like, covered[:, None]).sum(0) - covered.sum()  # no set with this language can gain more
             gain[chosen] = -np.inf
-            new = int(gain.argmax())
-            if gain[new] <= cost:
-                break
-            more, value = self._proportions(like, [*chosen, new])
-            if value - best <= cost:
+            best_new = None
+            for new in np.argsort(-gain, kind="stable").tolist():
+                if gain[new] <= max(cost, best_new[2] - best if best_new else cost):
+                    break
+                more, value = self._proportions(like, [*chosen, new])
+                if value - best > cost and (best_new is None or value > best_new[2]):
+                    best_new = new, more, value
+            if best_new is None:
                 break
-            chosen, share, best = [*chosen, new], more, value
+            chosen, share, best = [*chosen, best_new[0]], best_new[1], best_new[2]
         k = max(range(len(chosen)), key=lambda i: (round(share[i], 9), -chosen[i]))
         return self.model.langs[chosen[k]], float(min(1.0, share[k]))
 
@@ -188,5 +205,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents with a language; ``und`` ones go."""
     s = Settings()
-    found = predict(docs, fit(docs.where(~held_out("doc_id", 5, 0)), s), s, names=("__lang", "__share"))
-    return found.where(F.col("__lang") != UNDETERMINED).drop("__lang", "__share")
+    shared = spark.sparkContext.broadcast(fit(docs.where(~held_out("doc_id", 5, 0)), s))
+
+    def start() -> Callable[[list], list[bool]]:
+        infer = Inference(shared.value, s)
+        return lambda texts: [name != UNDETERMINED for name in infer(texts)[0]]
+
+    return where_text(docs, start)

@@ -59,7 +59,8 @@ class Settings:
     caution: float = 1.0
     damping: float = 0.2
     slices: int = 64
-    trainers: int = 64
+    least_trainers: int = 8
+    per_trainer: int = 38
     fan_in: int = 32
     head: int = 65_536
 
@@ -405,8 +406,8 @@ def fit(docs: DataFrame, vocabulary: DataFrame, s: Settings = Settings()) -> Mod
     for r in range(s.rounds if tokens_ else 0):
         start = spark.sparkContext.broadcast(table)
         part = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(s.rounds)) == r).select("text")
-        tasks = part.rdd.getNumPartitions()
-        tasks = min(tasks, max(s.trainers, tasks // 8))  # a task goes over up to eight parts of a large table
+        # a task's table is about as large as the text it learns from, so that the changes are not more than the input
+        tasks = min(part.rdd.getNumPartitions(), max(s.least_trainers, tokens_ // (s.per_trainer * buckets)))
         changes = part.coalesce(tasks).mapInArrow(lambda it, start=start: learn(it, start), "slice int, task int, change binary, met binary")
         table = averaged(changes, table, tasks, s)
     return Model(table, known, offset, words, tokens_)

@@ -5,8 +5,13 @@ column bars, repeated words, its length, whether the text had that line before),
 The field has a weight for each feature and for each pair of neighbouring labels. Forward-backward gives each line's
 probability of being good; a document's quality is their mean, weighted by length.
 
-Fitting is by gradient ascent on the driver, over a bounded sample of labelled rows (``max_docs`` a class, texts up to
-``max_chars``), each line labelled as its document. Scoring is one pass over all whole texts in Arrow batches, without a
+Only documents have labels, so lines are partly observed: of a document labelled 1 the length-weighted mean of its lines'
+probabilities of being good is to be at least ``good``, of one labelled 0 at most ``bad``. Each round tilts the line scores of
+the documents that break their bound, by one number a document, until they keep it; the field's weights then climb towards
+the tilted probabilities of lines and of pairs of lines, every document counting the same (posterior regularisation, an
+expectation-maximisation with the labels as constraints). So a good document may have bad lines, and a bad one good lines.
+
+Fitting is on the driver, over a bounded sample of labelled rows (``max_docs`` a class, texts up to ``max_chars``). Scoring is one pass over all whole texts in Arrow batches, without a
 shuffle; the model has a fixed size.
 
 Edge cases: a NULL or empty text, and one of white space only, has no line and scores the share of label 1 in the sample
@@ -36,6 +41,9 @@ class Settings:
     max_chars: int = 60_000
     rounds: int = 120
     rate: float = 0.1
+    good: float = 0.8
+    bad: float = 0.05
+    tilt: float = 1.0
     shrink: float = 1e-3
     threshold: float = 0.3
 
@@ -97,8 +105,11 @@ class Packed:
         self.line = np.concatenate([first[:k] + t for t, k in enumerate(self.active)]) if steps else np.zeros(0, np.int64)
 
 
-def marginals(score: np.ndarray, pair: np.ndarray, p: Packed) -> tuple[np.ndarray, np.ndarray, float]:
-    """P(good) of each packed line, expected label pairs, and the log partition, by forward-backward over all documents."""
+def marginals(score: np.ndarray, pair: np.ndarray, p: Packed, share: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """P(good) of each packed line, expected label pairs, and the log partition, by forward-backward over all documents.
+
+    ``share`` weighs the pair that ends at each packed line.
+    """
     n = len(score)
     node = np.stack([np.zeros(n), score], 1)
     ahead, back = np.empty((n, 2)), np.zeros((n, 2))
@@ -121,30 +132,38 @@ def marginals(score: np.ndarray, pair: np.ndarray, p: Packed) -> tuple[np.ndarra
         a, b = p.at[t], p.at[t + 1]
         left, right = ahead[p.at[t - 1] : p.at[t - 1] + b - a], (node[a:b] + back[a:b])
         joint = left[:, :, None] + pair[None] + right[:, None, :] - total[a:b, None, None]
-        pairs += np.exp(joint).sum(0)
+        joint = np.exp(joint)
+        pairs += joint.sum(0) if share is None else np.einsum("nij,n->ij", joint, share[a:b])
     return good, pairs, float(total[: p.active[0]].sum()) if steps else 0.0
 
 
 def train(texts: list[str], labels: list[int], s: Settings = Settings()) -> Model:
-    """Gradient ascent (Adam) on the likelihood of the documents' labels at all their lines."""
+    """Gradient ascent (Adam) on the likelihood of the lines as the documents' labels allow them to be."""
     prior = (sum(labels) + 1) / (len(labels) + 2)
-    made = [(f, y) for (f, _), y in ((line_features(t), y) for t, y in zip(texts, labels, strict=True)) if len(f)]
+    made = [(f, n, y) for (f, n), y in ((line_features(t), y) for t, y in zip(texts, labels, strict=True)) if len(f)]
     weight, pair = np.zeros(FEATURES), np.zeros((2, 2))
-    if len({y for _, y in made}) < 2:
+    if len({y for _, _, y in made}) < 2:
         return Model(weight, pair, prior)
-    sizes = np.array([len(f) for f, _ in made])
+    sizes = np.array([len(f) for f, _, _ in made])
     p = Packed(sizes)
-    features = np.concatenate([f for f, _ in made])[p.line]
-    y = np.repeat([y for _, y in made], sizes)[p.line]
+    features = np.concatenate([f for f, _, _ in made])[p.line]
+    doc = np.repeat(np.arange(len(made)), sizes)[p.line]
+    y = np.array([y for _, _, y in made])
+    length = np.concatenate([n for _, n, _ in made])[p.line]
+    part = length / np.bincount(doc, length)[doc]
     # each document counts the same, however many lines it has
-    share = np.repeat(1 / sizes, sizes)[p.line] / len(made)
-    seen = np.array([[(1 - y[p.active[0] :]).sum(), 0], [0, y[p.active[0] :].sum()]])
+    share = (1 / sizes)[doc] / len(made)
+    bound, side = np.where(y == 1, s.good, s.bad), np.where(y == 1, 1.0, -1.0)
+    tilt = np.zeros(len(made))
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (weight, pair)]
     for step in range(1, s.rounds + 1):
-        good, pairs, _ = marginals(weight[features].sum(1), pair, p)
-        error = (y - good) * share
-        up = np.bincount(features.ravel(), np.repeat(error, features.shape[1]), FEATURES) - s.shrink * weight
-        for value, g, (m, v) in zip((weight, pair), (up, (seen - pairs) / len(y) - s.shrink * pair), state, strict=True):
+        score = weight[features].sum(1)
+        good, pairs, _ = marginals(score, pair, p, share)
+        wanted, wanted_pairs, _ = marginals(score + tilt[doc], pair, p, share)
+        # pushes the tilt where the bound is broken, and takes it back where it is kept
+        tilt = side * np.maximum(0, side * tilt + s.tilt * side * (bound - np.bincount(doc, wanted * part)))
+        up = np.bincount(features.ravel(), np.repeat((wanted - good) * share, features.shape[1]), FEATURES) - s.shrink * weight
+        for value, g, (m, v) in zip((weight, pair), (up, wanted_pairs - pairs - s.shrink * pair), state, strict=True):
             m[...] = 0.9 * m + 0.1 * g
             v[...] = 0.999 * v + 0.001 * g * g
             value += s.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)

@@ -8,7 +8,8 @@
    At most as many fingerprints as a ball has points can meet on a variant, so no group is large.
 4. Each group links its members to its smallest one; links are deduplicated and verified by counting differing bits.
    Members of a group are within twice the radius of each other, so these stars join all that pairs would.
-5. Components of the links, by alternating large and small stars over fingerprints, with a checkpoint a round.
+5. Components of the links, by alternating large and small stars over fingerprints, with a checkpoint a round. A component
+   has the smallest document id of its fingerprints.
 
 Edge cases: NULL, empty and blank texts have the fingerprint zero, linked like any other; fewer words than a shingle's
 give one shingle of them all; repeated rows give repeated rows; a NULL id gives a row whose component comes from the
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, checkpointed, read
+from .common import add_columns, checkpointed, read, sized_broadcast
 
 SEED = 42
 
@@ -69,7 +70,8 @@ def ball(fingerprint: str, radius: int) -> F.Column:
 
 def ball_links(nodes: DataFrame, distance: int) -> DataFrame:
     """Verified links ``a < b`` (ids) of ``nodes (id, simhash)`` with distinct fingerprints, enough to join all within ``distance``."""
-    variants = nodes.select("id", "simhash", F.explode(ball("simhash", -(-distance // 2))).alias("variant"))
+    dealt = nodes.select("id", "simhash").repartition(F.col("simhash"))
+    variants = dealt.select("id", "simhash", F.explode(ball("simhash", -(-distance // 2))).alias("variant"))
     group = variants.groupBy("variant").agg(F.collect_list(F.struct("id", "simhash")).alias("g")).where(F.size("g") > 1)
     least = F.array_min("g")
     links = group.select(least.alias("x"), F.explode("g").alias("y")).where("y.id > x.id")
@@ -100,13 +102,19 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def _with_components(marked: DataFrame, distance: int) -> DataFrame:
+    """``marked (doc_id, simhash)`` with ``component``, a fingerprint, and ``component_id``, the smallest id of it."""
+    prints = marked.groupBy("simhash").agg(F.min("doc_id").alias("least"))
+    nodes = checkpointed(prints.select("simhash", F.col("simhash").alias("id"), "least"))
+    # components are of fingerprints, so that one whose rows have no id still links its neighbours
+    found = nodes.join(components(ball_links(nodes, distance)), "id", "left").select("simhash", F.coalesce("component", "id").alias("component"), "least")
+    least = found.groupBy("component").agg(F.min("least").alias("component_id"))
+    return marked.drop("component", "component_id").join(found.join(least, "component").select("simhash", "component", "component_id"), "simhash", "left")
+
+
 def near_duplicates(docs: DataFrame, distance: int = 2, words: int = 3, keep: list[str] | None = None) -> DataFrame:
     """The columns of ``docs`` (or those in ``keep``, with ``doc_id``) with ``simhash`` (long) and ``component_id``."""
-    marked = checkpointed(fingerprints(docs, keep=keep, words=words))
-    nodes = checkpointed(marked.groupBy("simhash").agg(F.min("doc_id").alias("id")).where("id IS NOT NULL"))
-    found = components(ball_links(nodes, distance))
-    by_print = nodes.join(found, "id", "left").select("simhash", F.coalesce("component", "id").alias("component_id"))
-    return marked.drop("component_id").join(by_print, "simhash", "left")
+    return _with_components(checkpointed(fingerprints(docs, keep=keep, words=words)), distance).drop("component")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,9 +123,30 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def first_of_each(docs: DataFrame, distance: int = 2, words: int = 3) -> DataFrame:
+    """Of each component one row of ``docs``: of the smallest id, and of its texts that with the smallest hash.
+
+    Rows without id stay. Only ids and hashes are shuffled: the keys of the rows to drop are joined to the documents, by
+    broadcast if there are few enough. Texts are shuffled only beyond that, and where the same id and text repeat.
+    """
+    key = F.xxhash64("text").alias("__key")
+    marked = checkpointed(fingerprints(docs.select("doc_id", "text", key).where("doc_id IS NOT NULL"), keep=["doc_id", "__key"], words=words))
+    found = _with_components(marked.groupBy("doc_id", "__key", "simhash").agg(F.count("*").alias("n")), distance)
+    first = found.where("doc_id = component_id").groupBy("component").agg(F.min("__key").alias("first"))
+    found = found.join(first, "component", "left")
+    stays = (F.col("doc_id") == F.col("component_id")) & (F.col("__key") == F.col("first"))
+    found = checkpointed(found.select("doc_id", "__key", "n", stays.alias("stays")))
+    keyed = docs.withColumn("__key", key)
+    drop = sized_broadcast(found.where("NOT stays").select("doc_id", "__key"))
+    again = found.where("stays AND n > 1").select("doc_id", "__key")
+    kept = keyed.join(drop, ["doc_id", "__key"], "left_anti")
+    if not again.isEmpty():
+        again = sized_broadcast(again)
+        once = kept.join(again, ["doc_id", "__key"], "left_semi").dropDuplicates(["doc_id", "__key"]).select(keyed.columns)
+        kept = kept.join(again, ["doc_id", "__key"], "left_anti").select(keyed.columns).union(once)
+    return kept.select(docs.columns)
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the document with the smallest id (one row of it); rows without id stay."""
-    found = near_duplicates(docs.select("doc_id", "text"), keep=["doc_id"])
-    drop = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(drop, "doc_id", "left_anti")
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.where("doc_id IS NULL")).select(docs.columns)
+    return first_of_each(docs)

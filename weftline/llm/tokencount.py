@@ -2,7 +2,12 @@
 
 A text's pre-tokens are its words between white space, each led by the space mark U+2581. A pre-token's tokens are the
 pieces of the vocabulary that cover it with the largest sum of scores (unigram Viterbi); a character without piece costs
-``unknown`` below the lowest score and counts as one token. Scores are the vocabulary's own: nothing is trained here.
+``unknown`` below the lowest score for each of its bytes, and counts as that many tokens if the vocabulary has byte pieces, else as one.
+
+The given vocabulary is one of merges: its own scores are ranks, not log-probabilities, and a sum of them would cut words into
+many small pieces. As tokenizers are never trained, a piece's unigram log-probability is taken from its rank r among the
+pieces by the Zipf-Mandelbrot law, log 1 / (r + ``offset``), normalised over all pieces. It depends on the file alone, so a
+text has the same count in every corpus.
 
 The distinct pre-tokens of a batch are walked in order of their characters, which is a walk of their trie: the forward
 scores of a shared prefix are computed once and stand on a stack, and what a pre-token adds is cut back for the next. Each
@@ -21,6 +26,7 @@ from dataclasses import dataclass
 from functools import cache
 from os.path import commonprefix
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
@@ -34,23 +40,29 @@ SPACE_MARK = "▁"
 class Settings:
     vocabulary: str = "piece_bpe_32k.model"
     unknown: float = 10.0
+    offset: float = 2.7
     keep: int = 400_000
 
 
 @cache
-def pieces(vocabulary: str) -> dict[str, float]:
-    """The vocabulary's pieces with their scores; control and byte pieces cover no characters and are left out."""
+def pieces(vocabulary: str, offset: float = 2.7) -> tuple[dict[str, float], bool]:
+    """The vocabulary's pieces with their unigram log-probabilities by rank, and whether it has byte pieces.
+
+    Control and byte pieces cover no characters and are left out.
+    """
     path = vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-    return {model.id_to_piece(i): model.get_score(i) for i in ids}
+    weights = 1 / (np.arange(1, len(ids) + 1) + offset)
+    scores = np.log(weights / weights.sum())
+    return {model.id_to_piece(i): float(x) for i, x in zip(ids, scores, strict=True)}, any(map(model.is_byte, range(model.get_piece_size())))
 
 
 class TrieCounter:
     """Counts tokens of pre-tokens; ``best[i]`` is the best score of the first i characters of the walk, ``count[i]`` its tokens."""
 
-    def __init__(self, table: dict[str, float], unknown: float, keep: int):
-        self.table, self.keep = table, keep
+    def __init__(self, table: dict[str, float], unknown: float, keep: int, by_bytes: bool = False):
+        self.table, self.keep, self.by_bytes = table, keep, by_bytes
         self.longest = max(map(len, table), default=1)
         self.low = min(table.values(), default=0.0) - unknown
         self.known: dict[str, int] = {}
@@ -68,8 +80,10 @@ class TrieCounter:
                     value = score(word[start:end])
                     if value is not None and (top is None or best[start] + value > top):
                         top, tokens = best[start] + value, count[start] + 1
-                if word[end - 1 : end] not in table and (top is None or best[end - 1] + low > top):
-                    top, tokens = best[end - 1] + low, count[end - 1] + 1
+                if word[end - 1 : end] not in table:
+                    parts = len(word[end - 1 : end].encode("utf-8", "replace")) if self.by_bytes else 1
+                    if top is None or best[end - 1] + parts * low > top:
+                        top, tokens = best[end - 1] + parts * low, count[end - 1] + parts
                 best.append(top)
                 count.append(tokens)
             self.known[word] = count[len(word)]
@@ -92,7 +106,8 @@ def count_tokens(docs: DataFrame, s: Settings = Settings(), text: str = "text",
     """The columns of ``docs`` (or those in ``keep``) with ``n_tokens`` and ``n_pretokens``."""
 
     def start() -> Callable[[list], list]:
-        counter = TrieCounter(pieces(s.vocabulary), s.unknown, s.keep)
+        table, by_bytes = pieces(s.vocabulary, s.offset)
+        counter = TrieCounter(table, s.unknown, s.keep, by_bytes)
         return lambda texts: list(counter(texts))
 
     return add_columns(docs, text, {"n_tokens": "long", "n_pretokens": "long"}, start, keep, rows=4096)

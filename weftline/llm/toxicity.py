@@ -1,8 +1,9 @@
 """Toxicity scores from subword-bag embeddings and a linear softmax.
 
-A word is the bag of its hashed character n-grams (3 to 5 bytes, with word edges) and of itself. A window of words is the
-mean of its words' mean vectors; a linear softmax reads its class. A document is as toxic as its most toxic window, so a
-short insult in a long text isn't averaged away. Vectors and softmax are trained jointly in NumPy on the driver, over a
+A word is the bag of its hashed character n-grams (3 to 6 bytes, with word edges) and of itself. A stretch of words is the
+mean of its words' mean vectors; a linear softmax reads its class. A document is as toxic as its most toxic window of two
+words, so a short insult in a long text isn't averaged away. Training starts with whole documents as stretches (``whole``
+rounds), which tells words apart, and goes on with each document's most toxic window. Vectors and softmax are trained jointly in NumPy on the driver, over a
 bounded sample of labelled rows (``max_docs`` a class, texts up to ``max_chars``). As n-gram vectors are shared, unseen
 misspellings get the score of what they resemble.
 
@@ -23,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, held_out, labelled_sample, plain_words, read
+from .common import add_columns, held_out, labelled_sample, plain_words, read, where_text
 
 
 @dataclass(frozen=True)
@@ -32,7 +33,8 @@ class Settings:
 
     buckets: int = 1 << 16
     dim: int = 8
-    window: int = 8
+    window: int = 2
+    whole: int = 4
     max_docs: int = 3000
     max_chars: int = 60_000
     steps: int = 1500
@@ -52,6 +54,10 @@ class Model:
     window: int
 
 
+#: Bytes of the longest n-gram.
+LONGEST = 6
+
+
 def subwords(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket ids of all words' n-grams and of the words themselves, with the index of the word that each belongs to."""
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
@@ -67,7 +73,7 @@ def subwords(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
         owners.append(own)
 
     h = buffer.copy()
-    for n in range(2, 6):
+    for n in range(2, LONGEST + 1):
         h = h[:-1] * np.uint64(257) + buffer[n - 1 :]
         if n > 2 and len(h):
             inside = owner[: len(h)] == owner[n - 1 :]
@@ -112,16 +118,17 @@ class _Sample:
         row = np.add.reduceat(word[self.token], self.start[:-1]) / self.size
         return np.array([a + int(np.argmax(row[a:b])) if b > a else -1 for a, b in zip(self.doc_row, self.doc_row[1:], strict=False)])
 
-    def bag(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For some windows: shares of their distinct words (dense), those words' ids in a row, and where each word's begin."""
-        at = np.concatenate([self.token[self.start[r] : self.start[r + 1]] for r in rows])
-        line = np.repeat(np.arange(len(rows)), self.size[rows])
+    def bag(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For some stretches of tokens: shares of their distinct words (dense), those words' ids in a row, and where each word's begin."""
+        size = end - begin
+        line = np.repeat(np.arange(len(begin)), size)
+        at = self.token[np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)]
         words, back = np.unique(at, return_inverse=True)
-        share = np.bincount(line * len(words) + back, minlength=len(rows) * len(words)).reshape(len(rows), -1)
+        share = np.bincount(line * len(words) + back, minlength=len(begin) * len(words)).reshape(len(begin), -1)
         each = self.count[words]
-        begin = np.cumsum(each) - each
-        inner = np.arange(each.sum()) - np.repeat(begin - self.first[words], each)
-        return (share / self.size[rows][:, None] / each).astype(np.float32), self.ids[inner], begin
+        first = np.cumsum(each) - each
+        inner = np.arange(each.sum()) - np.repeat(first - self.first[words], each)
+        return (share / size[:, None] / each).astype(np.float32), self.ids[inner], first
 
 
 def train(texts: list[str], labels: list[int], s: Settings = Settings()) -> Model:
@@ -146,14 +153,14 @@ def train(texts: list[str], labels: list[int], s: Settings = Settings()) -> Mode
         order = rng.permutation(docs)
         for k in range(0, len(order), s.batch):
             chosen = order[k : k + s.batch]
-            rows = best[chosen] if epoch else rng.integers(sample.doc_row[chosen], sample.doc_row[chosen + 1])
-            share, ids, begin = sample.bag(rows)
+            first, last = (best[chosen], best[chosen] + 1) if epoch >= s.whole else (sample.doc_row[chosen], sample.doc_row[chosen + 1])
+            share, ids, begin = sample.bag(sample.start[first], sample.start[last])
             bag = share @ np.add.reduceat(emb[ids], begin)
             logit = bag @ soft + bias
             p = np.exp(logit - logit.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(p)), y[chosen]] -= 1
-            p /= len(rows)
+            p /= len(chosen)
             per_word = share.T @ (p @ soft.T)
             used, back = np.unique(ids, return_inverse=True)
             spread = np.repeat(per_word, np.diff(np.append(begin, len(ids))), axis=0)
@@ -220,5 +227,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents whose toxicity stays under the threshold."""
     s = Settings()
-    model = fit(docs, read(spark, sf_dir, "labels").where(~held_out("doc_id", 3, 1)), s)
-    return score(docs, model, name="__toxicity").where(F.col("__toxicity") < s.threshold).drop("__toxicity")
+    shared = spark.sparkContext.broadcast(fit(docs, read(spark, sf_dir, "labels").where(~held_out("doc_id", 3, 1)), s))
+
+    def start() -> Callable[[list], list[bool]]:
+        scorer = Scorer(shared.value)
+        return lambda texts: (scorer(texts) < s.threshold).tolist()
+
+    return where_text(docs, start)
