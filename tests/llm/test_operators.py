@@ -574,6 +574,33 @@ def test_encoding_equals_the_library(mask):
         assert decoder(e.ids) == library.decode(e.ids, skip_special_tokens=False) == t
 
 
+def test_chunks_are_reused_in_every_script_and_the_cache_is_bounded():
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(151)
+    cjk = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(6000))
+    marks = "".join(rng.choice("。，、！ 　") if rng.random() < 0.1 else c for c in cjk)
+    texts = [marks, "一" + marks, marks[5:] + "二", " ".join(prose(rng, 400) for _ in range(3)), "x " + prose(rng, 900)]
+    encoder = bpe.Encoder(bpe.Settings(mask=127))
+    for t in texts:
+        assert encoder(t).tolist() == library.encode(t, add_special_tokens=False).ids
+    before = len(encoder.chunks)
+    assert encoder("三" + marks).tolist() == library.encode("三" + marks, add_special_tokens=False).ids
+    assert len(encoder.chunks) <= before + 2  # the same chunks again
+    small = bpe.Encoder(bpe.Settings(mask=127, keep_bytes=20_000))
+    for t in texts:
+        assert small(t).tolist() == encoder(t).tolist() and small.held <= 20_000
+
+
+def test_every_character_at_a_join():
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(152)
+    pool = [chr(c) for c in range(32, 0x3000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(rng.choice(pool) if rng.random() < 0.5 else rng.choice(" \n'srtveldm1a!　") for _ in range(200)) for _ in range(300)]
+    encoder = bpe.Encoder(bpe.Settings(mask=3, longest=12))
+    for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encoder(t).tolist() == e.ids
+
+
 def test_ids_that_are_no_text_decode_as_the_library_does():
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rng = random.Random(16)
