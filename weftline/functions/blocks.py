@@ -6,34 +6,46 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Doubles in a slice of an array that is summed.
 SLICE = 1 << 16
+#: Groups of tasks whose sums are added first.
+FAN = 32
 
 
 def block_sums(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     """Runs ``work`` over each task's Arrow batches and adds up the arrays that it returns, name by name.
 
-    Arrays are cut into slices that are added in tasks, so the driver gets one copy of each sum, whatever the number of
-    tasks. Shapes are the model's (genes, dimensions, clusters, samples), never the number of spots.
+    Arrays are cut into slices that are added in tasks, first within ``FAN`` groups of tasks and then over these, one slice
+    at a time, so that neither a worker nor the driver holds more than a copy of a sum, whatever the number of tasks. Shapes
+    are the model's (genes, dimensions, clusters, samples), never the number of spots.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.array([TaskContext.get().partitionId() % FAN], pa.int32())
         for name, value in work(batches).items():
             flat = np.ascontiguousarray(value, np.float64).ravel()
             for k in range(0, max(1, len(flat)), SLICE):
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([list(value.shape)], pa.list_(pa.int32())), pa.array([flat[k : k + SLICE].tobytes()], pa.binary())], names=["name", "at", "shape", "part"])
-
-    def add(t: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x, np.float64) for x in t.column("part").to_pylist()], axis=0)
-        return pa.table({"name": t.column("name").slice(0, 1), "at": t.column("at").slice(0, 1), "shape": t.column("shape").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
-
-    kind = "name string, at long, shape array<int>, part binary"
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), group, pa.array([list(value.shape)], pa.list_(pa.int32())), pa.array([flat[k : k + SLICE].tobytes()], pa.binary())], names=["name", "at", "group", "shape", "part"])
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, last = None, None
+        for b in batches:
+            for part in b.column(b.schema.get_field_index("part")):
+                x = np.frombuffer(part.as_buffer(), np.float64)
+                total = x.copy() if total is None else total + x
+            last = b.slice(0, 1) if b.num_rows else last
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()) if n == "part" else last.column(i) for i, n in enumerate(last.schema.names)], names=last.schema.names)
+
+    kind = "name string, at long, group int, shape array<int>, part binary"
+    parts = df.mapInArrow(run, kind).groupBy("name", "at", "group").applyInArrow(add, kind)
     found: dict[str, dict[int, bytes]] = {}
     shapes = {}
-    for r in df.mapInArrow(run, kind).groupBy("name", "at").applyInArrow(add, kind).collect():
+    for r in parts.groupBy("name", "at").applyInArrow(add, kind).collect():
         found.setdefault(r["name"], {})[r["at"]] = r["part"]
         shapes[r["name"]] = r["shape"]
     return {k: np.concatenate([np.frombuffer(v[a], np.float64) for a in sorted(v)]).reshape(shapes[k]) for k, v in found.items()}
@@ -59,13 +71,15 @@ class Sparse:
         self.n = len(idx)
         self.idx = idx.flatten().to_numpy(zero_copy_only=False)
         self.val = val.flatten().to_numpy(zero_copy_only=False)
-        self.row = np.repeat(np.arange(self.n), np.diff(idx.offsets.to_numpy()))
+        self.first = idx.offsets.to_numpy().astype(np.int64)
+        self.first = self.first - self.first[0]
+        self.row = np.repeat(np.arange(self.n), np.diff(self.first))
 
     def dense(self, p: int, block: slice) -> np.ndarray:
         """Some rows as a matrix."""
-        inside = (self.row >= block.start) & (self.row < block.stop)
+        low, high = self.first[block.start], self.first[block.stop]
         out = np.zeros((block.stop - block.start, p))
-        np.add.at(out, (self.row[inside] - block.start, self.idx[inside]), self.val[inside])
+        out[self.row[low:high] - block.start, self.idx[low:high]] = self.val[low:high]  # a row has a gene once
         return out
 
     def blocks(self, size: int = 512) -> Iterator[slice]:
@@ -74,7 +88,11 @@ class Sparse:
 
 
 def sparse_rows(expr: DataFrame, genes: DataFrame, by: list[str]) -> DataFrame:
-    """One row a spot, ``idx`` (from 0, sorted) and ``val``; ``genes (gene, gene_idx)`` from 1. The one large shuffle."""
-    listed = expr.join(genes.select("gene", "gene_idx"), "gene")
+    """One row a spot, ``idx`` (from 0, sorted) and ``val``; ``genes (gene, gene_idx)`` from 1. The one large shuffle.
+
+    Rows with a NULL key take no part; a spot's repeated gene counts with its sum.
+    """
+    listed = expr.where(F.forall(F.array(*by), lambda x: x.isNotNull())).join(genes.select("gene", "gene_idx"), "gene")
+    listed = listed.groupBy(*by, "gene_idx").agg(F.sum("value").alias("value"))
     cells = F.array_sort(F.collect_list(F.struct((F.col("gene_idx") - 1).cast("int").alias("i"), F.col("value").alias("v"))))
     return listed.groupBy(*by).agg(cells.alias("c")).select(*by, F.col("c.i").alias("idx"), F.col("c.v").alias("val"))

@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.blocks import Sparse, block_sums, vectors
-from .qc import SPOT
+from ..functions.blocks import Sparse, block_sums, sparse_rows, vectors
+from ..sources.checkpoints import checkpointed
+from .markers import sample_rate
+from .qc import SPOT, align_spots, log_normalize
 from .start import gramian, pca, project
 
 
@@ -44,6 +46,8 @@ def least_squares(rows: DataFrame, p: int, fixed: int) -> tuple[np.ndarray, np.n
         return {} if dd is None else {"dd": dd, "dx": dx}
 
     got = block_sums(fine, work)
+    if not got:  # no rows
+        return np.zeros((fixed, p)), np.zeros((fixed, p))
     beta = np.linalg.pinv(got["dd"], rcond=1e-10, hermitian=True) @ got["dx"].T
     return beta, beta[:fixed]
 
@@ -61,11 +65,27 @@ def subtract(rows: DataFrame, part: np.ndarray, p: int, column: str = "h") -> Da
     return rows.select(*SPOT, "idx", "val", column).mapInArrow(run, "sample_id string, spot_id string, corrected array<double>")
 
 
-def correct_by_factors(rows: DataFrame, factors: DataFrame, design: DataFrame, p: int) -> DataFrame:
-    """Method 1: regress on the spatial factors ``(…, h)`` and the design ``(…, d)`` with intercept; subtract the factors' part."""
+def correct_by_factors(rows: DataFrame, factors: DataFrame, design: DataFrame, p: int, rate: float | None = None, seed: int = 1) -> DataFrame:
+    """Method 1: regress on the spatial factors ``(…, h)`` and the design ``(…, d)`` with intercept; subtract the factors' part.
+
+    With ``rate``, coefficients are of that share of the spots, picked by hash; all spots are corrected. No rows give no rows.
+    """
     d = rows.join(factors.select(*SPOT, "h"), SPOT).join(design.select(*SPOT, "d"), SPOT).withColumn("d", F.concat("h", "d"))
-    size = len(factors.select("h").first()[0])
-    return subtract(d, least_squares(d, p, size)[1], p)
+    first = factors.select(F.size("h")).first()
+    size = first[0] if first else 0
+    fitted = d if rate is None else sample_rate(d, rate, seed=seed)
+    return subtract(d, least_squares(fitted, p, size)[1], p)
+
+
+def correct_all_genes(counts: DataFrame, genes: DataFrame, factors: DataFrame, design: DataFrame, rate: float | None = None, seed: int = 1) -> DataFrame:
+    """Method 1 for a whole gene list after a fit on selected genes: ``(sample_id, spot_id, corrected)``.
+
+    ``counts`` are cut to the spots of the fit (``factors``), normalised over all their genes, and every gene of
+    ``genes (gene, gene_idx)`` is regressed and corrected. ``rate`` fits on a share of the spots (all are corrected).
+    """
+    aligned = checkpointed(align_spots(counts, factors))
+    rows = checkpointed(sparse_rows(log_normalize(aligned), genes, SPOT))
+    return correct_by_factors(rows, factors, design, genes.count(), rate, seed)
 
 
 def correct_by_controls(rows: DataFrame, controls: list[int], resp: DataFrame, design: DataFrame, p: int, most: int = 10) -> DataFrame:

@@ -43,25 +43,29 @@ def dot_summary(expr: DataFrame, clusters: DataFrame, low: float = 0.0, high: fl
 
 def rgb_display(points: DataFrame, columns: tuple[str, str, str]) -> DataFrame:
     """``rgb``: three components, each from its least to its largest value in the sample, as #RRGGBB; a constant one is 0."""
-    per, parts = Window.partitionBy("sample_id"), []
-    for c in columns:
-        low, high = F.min(c).over(per), F.max(c).over(per)
+    ends = [f(c).alias(f"__{k}{i}") for i, c in enumerate(columns) for k, f in (("low", F.min), ("high", F.max))]
+    limits = points.groupBy(F.col("sample_id").alias("__sample")).agg(*ends)  # one row a sample
+    parts = []
+    for i, c in enumerate(columns):
+        low, high = F.col(f"__low{i}"), F.col(f"__high{i}")
         share = F.when(high > low, (F.col(c) - low) / (high - low)).otherwise(F.lit(0.0))
         parts.append(F.lpad(F.hex(F.floor(share * 255 + 0.5).cast("long")), 2, "0"))
-    return points.withColumn("rgb", F.concat(F.lit("#"), *parts))
+    joined = points.join(F.broadcast(limits), F.col("sample_id").eqNullSafe(F.col("__sample")))
+    return joined.withColumn("rgb", F.concat(F.lit("#"), *parts)).select(*[c for c in points.columns if c != "rgb"], "rgb")
 
 
 def scatter_codes(spots: DataFrame, label: str, seed: int | None = None) -> DataFrame:
     """Places with the label's number 1..n in sorted order, and a plotting order (by a hash with a seed)."""
     codes = spots.select(F.col(label).alias("__l")).where("__l IS NOT NULL").distinct().withColumn("code", F.row_number().over(Window.orderBy("__l")))
-    d = spots.join(F.broadcast(codes), F.col(label) == F.col("__l"), "left").drop("__l")
+    d = spots.join(codes, F.col(label) == F.col("__l"), "left").drop("__l")
     return d if seed is None else d.withColumn("plot_order", F.xxhash64(F.lit(seed), *SPOT))
 
 
 def box_summary(rows: DataFrame, columns: list[str]) -> DataFrame:
     """``(name, min, q1, median, q3, max, low, high)`` of each column that isn't all NULL; low and high end the whiskers."""
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*").where("v IS NOT NULL")
-    q = long.groupBy("name").agg(F.min("v").alias("min"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max("v").alias("max"))
+    each = long.groupBy("name", "v").agg(F.count("*").alias("n"))  # equal values are one row before they meet
+    q = each.groupBy("name").agg(F.min("v").alias("min"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias("q"), F.max("v").alias("max"))
     q = q.select("name", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     ends = long.join(F.broadcast(q), "name").groupBy("name").agg(F.min(F.when(F.col("v") >= F.col("q1") - reach, F.col("v"))).alias("low"), F.max(F.when(F.col("v") <= F.col("q3") + reach, F.col("v"))).alias("high"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -24,11 +25,13 @@ def kernel_features(spots: DataFrame, x: str = "col", y: str = "row") -> DataFra
 
     Pairs are the places themselves, and exp(-s^2 / 2l^2) and cos(2 pi s / l) for five lengths l, quantiles of |s|.
     """
-    per = Window.partitionBy("sample_id")
-    s = spots.select(*SPOT, *[(F.col(c) - F.avg(c).over(per)).cast("double").alias(k) for c, k in ((x, "a"), (y, "b"))])
+    middle = spots.groupBy("sample_id").agg(F.avg(x).alias("__x"), F.avg(y).alias("__y"))  # one row a sample, as below
+    s = spots.join(F.broadcast(middle), "sample_id").select(*SPOT, (F.col(x) - F.col("__x")).cast("double").alias("a"), (F.col(y) - F.col("__y")).cast("double").alias("b"))
     q = [0.2, 0.4, 0.6, 0.8, 1.0]
-    quantiles = s.groupBy("sample_id").agg(*[F.percentile(F.abs(k), F.array(*map(F.lit, q))).alias(f"q{k}") for k in "ab"])
-    s = s.join(F.broadcast(quantiles), "sample_id")
+    for k in "ab":  # places are counted first: on a lattice few differ
+        each = s.groupBy("sample_id", F.abs(k).alias("v")).agg(F.count("*").alias("n"))
+        quantiles = each.groupBy("sample_id").agg(F.percentile("v", F.array(*map(F.lit, q)), F.col("n")).alias(f"q{k}"))
+        s = s.join(F.broadcast(quantiles), "sample_id")
     columns = [F.col(k) for k in "ab"]
     for i in range(len(q)):
         for form in (lambda v, w: F.exp(-v * v / (2 * w * w)), lambda v, w: F.cos(2 * math.pi * v / w)):
@@ -62,7 +65,7 @@ def projection_p(sums: DataFrame, moments: DataFrame, pair: int = 0) -> DataFram
 
 def svg_rank(counts: DataFrame, spots: DataFrame, pairs: int = 11) -> DataFrame:
     """``(sample_id, gene, rank, p_adj)``: spatially variable genes by the combined, Benjamini-Yekutieli adjusted p-value."""
-    sums, moments = projection_sums(counts, kernel_features(spots), pairs)
+    sums, moments = projection_sums(counts, checkpointed(kernel_features(spots)), pairs)
     d = sums.join(F.broadcast(moments), "sample_id")
     scale = 1 - F.col("sy") * F.col("sy") / F.col("n") / F.col("syy")
     terms = []
@@ -123,21 +126,23 @@ def hvg_rank(counts: DataFrame, span: float = 0.3) -> DataFrame:
     # one row a gene: a sample's genes are tens of thousands, whatever its spots
     fitted = moments(counts, n).groupBy("sample_id").applyInPandas(fit, "sample_id string, gene string, mean double, sd double, nnz long, n long").where("sd > 0")
     z = F.least((F.col("cnt") - F.col("mean")) / F.col("sd"), F.sqrt(F.col("n").cast("double")))
-    some = counts.join(F.broadcast(fitted), ["sample_id", "gene"]).groupBy("sample_id", "gene").agg(F.sum(z * z).alias("zz"), F.first("mean").alias("mean"), F.first("sd").alias("sd"), F.first("nnz").alias("nnz"), F.first("n").alias("n"))
+    some = counts.join(checkpointed(fitted), ["sample_id", "gene"]).groupBy("sample_id", "gene").agg(F.sum(z * z).alias("zz"), F.first("mean").alias("mean"), F.first("sd").alias("sd"), F.first("nnz").alias("nnz"), F.first("n").alias("n"))
     score = (F.col("zz") + (F.col("n") - F.col("nnz")) * (F.col("mean") / F.col("sd")) ** 2) / (F.col("n") - 1)
     rows = some.select("sample_id", "gene", score.alias("score"))
     return rows.select("sample_id", "gene", F.row_number().over(Window.partitionBy("sample_id").orderBy(F.desc("score"), "gene")).alias("rank"), "score")
 
 
 def top_genes(ranked: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` genes of each sample."""
+    """The first ``n`` genes of each sample; a sample with fewer gives all it has (see ``list_size``)."""
     return ranked.where(F.col("rank") <= n)
 
 
 def list_size(ranked: DataFrame, n: int) -> int:
-    """``n``, or the length of the shortest list if that is less."""
-    shortest = ranked.groupBy("sample_id").count().agg(F.min("count")).first()[0]
-    return min(n, shortest or 0)
+    """``n``, or the length of the shortest list if that is less, with a warning."""
+    shortest = ranked.groupBy("sample_id").count().agg(F.min("count")).first()[0] or 0
+    if shortest < n:
+        warnings.warn(f"a sample's list has {shortest} genes, fewer than {n}: the vote is for {shortest}", stacklevel=2)
+    return min(n, shortest)
 
 
 def common_genes(ranked: DataFrame, counts: DataFrame, n: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.checkpoints import checkpointed
 from .qc import SPOT
 
 #: Neighbour offsets (column, row) of the two lattices.
@@ -72,6 +73,8 @@ def knn_graph(spots: DataFrame, k: int = 6, x: str = "col", y: str = "row", roun
     as no spot outside the adjacent cells is nearer; for the others the side is doubled.
     """
     size = spots.groupBy("sample_id").agg(F.count("*").alias("n"), (F.max(x) - F.min(x)).alias("w"), (F.max(y) - F.min(y)).alias("h"))
+    if size.isEmpty():
+        return spots.select(*SPOT, F.col("spot_id").alias("nbr_id"))
     if not size.where(F.col("n") <= k).isEmpty():
         raise ValueError(f"a sample has no more than {k} spots")
     side, far = size.agg(F.min(F.sqrt(F.greatest(F.col("w") * F.col("h"), F.lit(1e-9)) * k / F.col("n"))), F.max(F.greatest("w", "h"))).first()
@@ -81,11 +84,11 @@ def knn_graph(spots: DataFrame, k: int = 6, x: str = "col", y: str = "row", roun
         pairs = _close_pairs(spots, side, x, y).join(open_, SPOT, "left_semi").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
         kept = pairs.withColumn("last", F.max(F.when(F.col("r") == k, F.sqrt("d2"))).over(Window.partitionBy(*SPOT)))
         done = kept if side > far else kept.where(F.col("last") <= side)
-        done = done.select(*SPOT, "nbr_id")
+        done = checkpointed(done.select(*SPOT, "nbr_id"))
         found = done if found is None else found.union(done)
         if side > far:
             return found
-        open_ = open_.join(done.select(*SPOT).distinct(), SPOT, "left_anti")
+        open_ = checkpointed(open_.join(done.select(*SPOT).distinct(), SPOT, "left_anti"))
         if open_.isEmpty():
             return found
         side *= 2

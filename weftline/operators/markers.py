@@ -24,15 +24,25 @@ def downsample(rows: DataFrame, group: str, m: int, key: str = "spot_id", seed:
 
 def sample_rate(rows: DataFrame, rate: float, key: str = "spot_id", seed: int = 1) -> DataFrame:
     """Exactly floor(rate * n) rows, the same ones however rows are partitioned."""
-    n = int(rate * rows.count())
-    h = F.xxhash64(F.lit(seed), key)
-    return rows.orderBy(h, key).limit(n)
+    n, h = int(rate * rows.count()), F.xxhash64(F.lit(seed), key)
+    bin_of = F.shiftright(h, 48)
+    bins = rows.groupBy(bin_of.alias("b")).agg(F.count("*").alias("n")).orderBy("b").collect()  # at most 65,536 rows
+    below = 0
+    for r in bins:
+        if below + r["n"] >= n:
+            break
+        below += r["n"]
+    else:
+        return rows
+    # whole bins are taken where they stand; only the last one is sorted
+    return rows.where(bin_of < r["b"]).union(rows.where(bin_of == r["b"]).orderBy(h, key).limit(n - below))
 
 
 def rank_sums(expr: DataFrame, clusters: DataFrame) -> DataFrame:
     """``(cluster, gene, n1, n, pct1, pct2, mean1, mean2, z)``: each cluster against the rest, by mid-ranks.
 
-    Only values over 0 are ranked: zeros, stored or not, are one block of ties below them. Values of equal size are summed
+    Rows are genes times clusters at most, which is what the joins without a key make. Only values over 0 are ranked: zeros,
+    stored or not, are one block of ties below them. Values of equal size are summed
     before they are ranked, so a gene's window has a row for each distinct value and not for each spot.
     """
     size = clusters.groupBy("cluster").agg(F.count("*").alias("n1"))

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ class ModelSettings:
     max_sweeps: int = 6
     eps_loglik: float = 1e-5
     init: str = "mixture"
-    init_starts: int = 1
+    init_starts: int = 5
     weighted_pca: bool = True
     potts_direction: str = "in"
     seed: int = 1
@@ -157,19 +158,25 @@ def e_step(state: DataFrame, p: Params, spatial: bool) -> DataFrame:
     return state.select(*SPOT, "idx", "val", "y", "v", "m").mapInArrow(run, "sample_id string, spot_id string, y int, u array<double>, g array<double>, v array<double>, m array<double>")
 
 
-def neighbourhood(state: DataFrame, edges: DataFrame, k: int, q: int) -> DataFrame:
-    """Each spot's ``same`` (neighbours by label), ``degree`` and ``near`` (mean of v), by one join and one grouping."""
+def neighbourhood(state: DataFrame, edges: DataFrame, k: int, q: int, factor_edges: DataFrame | None = None) -> DataFrame:
+    """Each spot's ``same`` (neighbours by label), ``degree`` and ``near`` (mean of v), by one join and one grouping.
+
+    ``factor_edges`` is another graph for ``near`` (a second join and grouping).
+    """
+    if factor_edges is not None:
+        own = neighbourhood(state, edges, k, q).drop("near")
+        return own.join(neighbourhood(state, factor_edges, k, q).select(*SPOT, "near"), SPOT)
     nbr = state.select("sample_id", F.col("spot_id").alias("nbr_id"), F.col("y").alias("__y"), F.col("v").alias("__v"))
     d = edges.join(nbr, ["sample_id", "nbr_id"]).groupBy(*SPOT).agg(F.count("*").alias("degree"), F.array(*[F.count_if(F.col("__y") == i + 1) for i in range(k)]).alias("same"), F.array(*[F.avg(F.col("__v")[i]) for i in range(q)]).alias("near"))
     zero = F.array(*[F.lit(0.0)] * q)
     return state.join(d, SPOT, "left").withColumns({"degree": F.coalesce("degree", F.lit(0)), "same": F.coalesce("same", F.array(*[F.lit(0).cast("long")] * k)), "near": F.coalesce("near", zero)})
 
 
-def sweep(state: DataFrame, edges: DataFrame, p: Params, spatial: bool) -> DataFrame:
+def sweep(state: DataFrame, edges: DataFrame, p: Params, spatial: bool, factor_edges: DataFrame | None = None) -> DataFrame:
     """One label sweep of all spots at once, from the labels and factors before it: new ``y``, ``v``, ``m_new``, and ``low`` (energy)."""
     k, q = len(p.mu), p.w.shape[1]
     beta = F.create_map(*[F.lit(x) for s, b in zip(p.samples, p.beta, strict=True) for x in (s, float(b))])[F.col("sample_id")]
-    d = neighbourhood(state, edges, k, q).withColumn("e", potts.potts_energy(F.col("same"), F.col("degree"), beta))
+    d = neighbourhood(state, edges, k, q, factor_edges).withColumn("e", potts.potts_energy(F.col("same"), F.col("degree"), beta))
     d = d.withColumn("t", F.zip_with("e", "u", lambda a, b: a + b)).withColumn("low", F.array_min("t")).withColumn("y", F.array_position("t", F.col("low")).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,18 +283,26 @@ class Inputs:
     residual: np.ndarray
     scores: DataFrame
     raw_scores: DataFrame
+    factor_edges: DataFrame | None = None
+
 
+def prepare(rows: DataFrame, edges: DataFrame, p: int, q: int, s: ModelSettings = ModelSettings(), factor_edges: DataFrame | None = None) -> Inputs:
+    """Checkpoints the rows, and computes components and aligned scores once for all K.
 
-def prepare(rows: DataFrame, edges: DataFrame, p: int, q: int, s: ModelSettings = ModelSettings()) -> Inputs:
-    """Checkpoints the rows, and computes components and aligned scores once for all K."""
+    Labels are smoothed over ``edges``, spatial factors over ``factor_edges`` (the same graph if None). The sparse rows are
+    dealt by spot once and persisted so: a round's joins shuffle the small state to them, never the rows. What a lost
+    executor held is dealt again from the checkpoint.
+    """
     rows = checkpointed(rows)
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *SPOT).persist(StorageLevel.MEMORY_AND_DISK)
     samples = [r[0] for r in rows.select("sample_id").distinct().orderBy("sample_id").collect()]
     m = start.gramian(rows, p, samples)
     v, residual = start.pca(m, q, s.weighted_pca)
     scores = checkpointed(start.project(rows, v, m.sums / np.maximum(m.n, 1)[:, None], samples))
     aligned = scores if len(samples) < 2 else checkpointed(start.harmonize(scores, samples, seed=s.seed))
     flipped = edges if s.potts_direction == "in" else edges.select("sample_id", F.col("nbr_id").alias("spot_id"), F.col("spot_id").alias("nbr_id"))
-    return Inputs(rows, checkpointed(flipped.select(*SPOT, "nbr_id")), m, v, residual, aligned, scores)
+    others = None if factor_edges is None else checkpointed(factor_edges.select(*SPOT, "nbr_id"))
+    return Inputs(rows, checkpointed(flipped.select(*SPOT, "nbr_id")), m, v, residual, aligned, scores, others)
 
 
 def starting(x: Inputs, k: int, s: ModelSettings) -> tuple[DataFrame, Params]:
@@ -342,7 +357,7 @@ def fit(x: Inputs, k: int, s: ModelSettings = ModelSettings()) -> tuple[DataFram
         now, last = checkpointed(e_step(x.rows.join(state, SPOT), p, s.spatial_factor)), math.inf
         swept = now
         for _ in range(s.max_sweeps - 1):
-            swept = sweep(swept, x.edges, p, s.spatial_factor)
+            swept = sweep(swept, x.edges, p, s.spatial_factor, x.factor_edges)
             energy = swept.agg(F.sum("low")).first()[0]
             if energy > last + 1e-5 or (not s.spatial_factor and last - energy < 1e-5):
                 break
@@ -364,9 +379,9 @@ def fit(x: Inputs, k: int, s: ModelSettings = ModelSettings()) -> tuple[DataFram
     raise AssertionError("unreachable")
 
 
-def fit_all(x: Inputs, ks: list[int], s: ModelSettings = ModelSettings()) -> dict[int, tuple[DataFrame, Params]]:
-    """A fit for each K, on the same checkpointed inputs."""
-    return {k: fit(x, k, s) for k in ks}
+def fit_all(x: Inputs, ks: list[int] | None = None, s: ModelSettings = ModelSettings()) -> dict[int, tuple[DataFrame, Params]]:
+    """A fit for each K (4 to 12 if none are given), on the same inputs."""
+    return {k: fit(x, k, s) for k in (range(4, 13) if ks is None else ks)}
 
 
 def degrees_of_freedom(k: int, p: int, q: int, r: int, s: ModelSettings = ModelSettings()) -> float:
@@ -378,10 +393,9 @@ def degrees_of_freedom(k: int, p: int, q: int, r: int, s: ModelSettings = ModelS
 
 def select_k(logliks: DataFrame, p: int, q: int, r: int, n: int, s: ModelSettings = ModelSettings(), pen_const: float = 1.0) -> DataFrame:
     """``(k, loglik, dfree, mbic, bic, maic, aic)`` of ``logliks (k, loglik)``. MBIC and BIC are one expression, as they are defined."""
-    full = q * (q + 1) / 2
-    k = F.col("k")
-    covariance = {(False, True): 2 * k * q, (False, False): k * (q + full), (True, True): k * q + q, (True, False): k * q + full}[s.sigma_equal, s.sigma_diag]
-    d = logliks.withColumn("dfree", F.lit(float((r if s.mix_prop_heter else 1) + p * (q + r) + r * full)) + covariance)
+    # linear in K: the value at 0 and the step
+    at0, at1 = (degrees_of_freedom(k, p, q, r, s) for k in (0, 1))
+    d = logliks.withColumn("dfree", F.lit(float(at0)) + F.col("k") * F.lit(float(at1 - at0)))
     heavy = math.log(math.log(p + n)) * pen_const
     criteria = {"mbic": math.log(n) * heavy, "bic": math.log(n) * heavy, "maic": 2 * heavy, "aic": 2.0}
     return d.withColumns({name: -2 * F.col("loglik") + F.col("dfree") * weight for name, weight in criteria.items()})

@@ -30,7 +30,7 @@ def _listed(kept: DataFrame, n: int | None = None) -> DataFrame:
 
 def _rows(spark: SparkSession, sf: str, n: int | None = None, pre: int = 20, cells: int = 20) -> tuple[DataFrame, DataFrame, int]:
     """Sparse log-normalised rows, the genes, and how many there are."""
-    kept = _kept(spark, sf, pre, cells)
+    kept = checkpointed(_kept(spark, sf, pre, cells))
     listed = checkpointed(_listed(kept, n))
     return sparse_rows(qc.log_normalize(qc.subset_genes(kept, listed)).drop("gene_idx"), listed, KEY), listed, listed.count()
 
@@ -100,7 +100,7 @@ def _lattice_inputs(spark: SparkSession, sf: str, n: int, q: int, s: model.Model
 
 def fit(spark: SparkSession, sf: str) -> DataFrame:
     """Labels, embeddings and spatial factors for the K in 3, 4 that the criterion prefers; three rounds each."""
-    s = model.ModelSettings(max_rounds=4, max_sweeps=4, init="kmeans")
+    s = model.ModelSettings(max_rounds=4, max_sweeps=4, init="kmeans", init_starts=1)
     x = _lattice_inputs(spark, sf, 60, 4, s, 20, 20)
     fits = model.fit_all(x, [3, 4], s)
     ll = spark.createDataFrame([(k, float(p.path[-1])) for k, (_, p) in fits.items()], "k int, loglik double")
@@ -131,6 +131,17 @@ def ols_correct_1d(spark: SparkSession, sf: str) -> DataFrame:
     return done.select(*KEY, F.posexplode("corrected").alias("j", "v")).select(*KEY, F.get(names, F.col("j")).alias("gene"), F.round("v", 5).alias("corrected"))
 
 
+def correct_all_genes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every gene of the unfiltered counts corrected in the spots of a fit (the kept ones), by a factor (the spot's x)."""
+    every = counts(spark, sf)
+    listed = every.select("gene").distinct().withColumn("gene_idx", F.row_number().over(Window.orderBy("gene")))
+    kept = qc.spot_filter(every, 20).select(*KEY).distinct()
+    s = spots(spark, sf).join(kept, KEY, "left_semi").select(*KEY, F.array(F.col("x") / 100).alias("h"), F.array(F.lit(1.0)).alias("d"))
+    done = correct.correct_all_genes(every, checkpointed(listed), s.drop("d"), s.drop("h"))
+    names = F.array(*[F.lit(r["gene"]) for r in listed.orderBy("gene_idx").collect()])
+    return done.select(*KEY, F.posexplode("corrected").alias("j", "v")).select(*KEY, F.get(names, F.col("j")).alias("gene"), F.round("v", 5).alias("corrected"))
+
+
 def correct_controls(spark: SparkSession, sf: str) -> DataFrame:
     """Correction by components of the first twenty genes, with label shares as clusters."""
     rows, _, p = _rows(spark, sf)
@@ -142,7 +153,7 @@ def correct_controls(spark: SparkSession, sf: str) -> DataFrame:
 
 def integrate(spark: SparkSession, sf: str) -> DataFrame:
     """A short fit, the correction by its spatial factors, and both joined with places."""
-    s = model.ModelSettings(max_rounds=3, max_sweeps=3, init="kmeans")
+    s = model.ModelSettings(max_rounds=3, max_sweeps=3, init="kmeans", init_starts=1)
     x = _lattice_inputs(spark, sf, 60, 4, s, 20, 20)
     fitted = checkpointed(model.fit(x, 4, s)[0])
     one = x.rows.select(*KEY, F.array(F.lit(1.0)).alias("d"))
@@ -162,7 +173,7 @@ def display_components(spark: SparkSession, sf: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Preprocess, lattice, a fit with K = 4, and ``(sample_id, cluster, n_spots)``; limits fit small inputs too."""
-    s = model.ModelSettings(max_rounds=3, max_sweeps=3, init="kmeans")
+    s = model.ModelSettings(max_rounds=3, max_sweeps=3, init="kmeans", init_starts=1)
     x = _lattice_inputs(spark, sf, 40, 3, s, 5, 2)
     fitted, _ = model.fit(x, 4, s)
     return fitted.groupBy("sample_id", "cluster").agg(F.count("*").alias("n_spots"))
@@ -189,6 +200,9 @@ QUERIES = {
     "control_genes": (control_genes, "SELECT DISTINCT gene FROM kept WHERE gene LIKE 'Brand#2%' OR gene LIKE '%#3'"),
     "ols_correct_1d": (ols_correct_1d, f"""SELECT * FROM (WITH {_FULL},
   d AS (SELECT sample_id, spot_id, gene, coalesce(value, 0) AS value, x / 100 AS h FROM full_spots CROSS JOIN full_genes LEFT JOIN full_expr USING (sample_id, spot_id, gene) JOIN spots USING (sample_id, spot_id))
+  SELECT sample_id, spot_id, gene, round(value - b * h, 5) AS corrected FROM d JOIN (SELECT gene, regr_slope(value, h) AS b FROM d GROUP BY gene) USING (gene))"""),
+    "correct_all_genes": (correct_all_genes, """SELECT * FROM (WITH e AS (SELECT sample_id, spot_id, gene, ln(1 + 1e4 * cnt / sum(cnt) OVER (PARTITION BY sample_id, spot_id)) AS value FROM spot_ok),
+  d AS (SELECT sample_id, spot_id, gene, coalesce(value, 0) AS value, x / 100 AS h FROM kept_spots CROSS JOIN (SELECT DISTINCT gene FROM counts) LEFT JOIN e USING (sample_id, spot_id, gene) JOIN spots USING (sample_id, spot_id))
   SELECT sample_id, spot_id, gene, round(value - b * h, 5) AS corrected FROM d JOIN (SELECT gene, regr_slope(value, h) AS b FROM d GROUP BY gene) USING (gene))"""),
     "correct_controls": (correct_controls, None),
     "integrate": (integrate, None),

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from ..operators import display, genes, graph, markers, metrics, potts, qc
 from ..sources.adapters import COUNTS_SQL, SPOTS_SQL, counts, spots
+from ..sources.checkpoints import checkpointed
 from . import iterative
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+OWN_SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -26,6 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql is not None:
+            OWN_SQL[name] = sql
             ORACLES[name] = f"WITH {', '.join(v for k, v in CTES.items() if _needs(k, sql))} {sql}" if any(_needs(k, sql) for k in CTES) else sql
         return f
 
@@ -64,9 +67,10 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
-def kept(spark: SparkSession, sf: str) -> DataFrame:
-    """The counts after both filters."""
-    return qc.gene_filter(qc.spot_filter(counts(spark, sf), 20), 20)
+def kept(spark: SparkSession, sf: str, once: bool = True) -> DataFrame:
+    """The counts after both filters, written once where a query reads them several times."""
+    found = qc.gene_filter(qc.spot_filter(checkpointed(counts(spark, sf)), 20), 20)
+    return checkpointed(found) if once else found
 
 
 def expr(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,7 +103,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("gene_filter", "SELECT * FROM kept")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return kept(spark, sf)
+    return kept(spark, sf, once=False)
 
 
 @query("inclusive_filter", "SELECT * FROM (SELECT counts.* FROM counts SEMI JOIN (SELECT sample_id, spot_id FROM counts GROUP BY ALL HAVING count(*) FILTER (cnt > 0) >= 10) k USING (sample_id, spot_id)) c SEMI JOIN (SELECT sample_id, gene FROM counts SEMI JOIN (SELECT sample_id, spot_id FROM counts GROUP BY ALL HAVING count(*) FILTER (cnt > 0) >= 10) k USING (sample_id, spot_id) GROUP BY ALL HAVING count(*) FILTER (cnt > 0) >= 10) g USING (sample_id, gene)")
@@ -266,10 +270,38 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return genes.projection_p(*genes.projection_sums(k, genes.kernel_features(s), 1)).select("sample_id", "gene", r6("stat").alias("stat"), r6("p").alias("p"))
 
 
-@query("svg_rank")
+def _svg_sql() -> str:
+    """The combined test of all eleven pairs of features by SQL over every spot, with its adjusted ranks."""
+    pairs = [("a", "b")]
+    for i in range(1, 6):
+        pairs += [(f"exp(-a * a / (2 * qa[{i}] * qa[{i}]))", f"exp(-b * b / (2 * qb[{i}] * qb[{i}]))"), (f"cos(2 * pi() * a / qa[{i}])", f"cos(2 * pi() * b / qb[{i}])")]
+    flat = [x for p in pairs for x in p]
+    n, each = len(flat), range(len(pairs))
+    det = [f"(aa{k} * bb{k} - ab{k} * ab{k})" for k in each]
+    stat = [f"n * (bb{k} * s{2 * k} * s{2 * k} - 2 * ab{k} * s{2 * k} * s{2 * k + 1} + aa{k} * s{2 * k + 1} * s{2 * k + 1}) / {det[k]} / syy" for k in each]
+    p = [f"least(exp(-({stat[k]}) / (2 * (1 - sy * sy / n / syy))), {1 - 1 / len(pairs)!r})" for k in each]
+    terms = [f"CASE WHEN {det[k]} > 1e-9 * aa{k} * bb{k} AND 1 - sy * sy / n / syy > 0 THEN CASE WHEN p{k} < 1e-15 THEN 1 / (greatest(p{k}, 1e-300) * pi()) ELSE tan((0.5 - p{k}) * pi()) END ELSE 0 END" for k in each]
+    return f"""SELECT sample_id, gene, row_number() OVER (PARTITION BY sample_id ORDER BY p_adj, p, gene) AS rank, round(p_adj, 6) AS p_adj FROM (WITH
+  s0 AS (SELECT sample_id, spot_id, col - avg(col) OVER (PARTITION BY sample_id) AS a, "row" - avg("row") OVER (PARTITION BY sample_id) AS b FROM spots SEMI JOIN kept USING (sample_id, spot_id)),
+  q AS (SELECT sample_id, quantile_cont(abs(a), [0.2, 0.4, 0.6, 0.8, 1.0]) AS qa0, quantile_cont(abs(b), [0.2, 0.4, 0.6, 0.8, 1.0]) AS qb0 FROM s0 GROUP BY sample_id),
+  q1 AS (SELECT sample_id, list_transform(qa0, lambda x: greatest(x, 1e-12)) AS qa, list_transform(qb0, lambda x: greatest(x, 1e-12)) AS qb FROM q),
+  f0 AS (SELECT sample_id, spot_id, {", ".join(f"{x} AS f{i}" for i, x in enumerate(flat))} FROM s0 JOIN q1 USING (sample_id)),
+  f AS (SELECT sample_id, spot_id, {", ".join(f"f{i} - avg(f{i}) OVER (PARTITION BY sample_id) AS f{i}" for i in range(n))} FROM f0),
+  g AS (SELECT kept.sample_id, gene, {", ".join(f"sum(cnt * f{i}) AS s{i}" for i in range(n))}, sum(cnt)::DOUBLE AS sy, sum(cnt * cnt)::DOUBLE AS syy FROM kept JOIN f USING (sample_id, spot_id) GROUP BY ALL),
+  m AS (SELECT sample_id, count(*) AS n, {", ".join(f"sum(f{2 * k} * f{2 * k}) AS aa{k}, sum(f{2 * k} * f{2 * k + 1}) AS ab{k}, sum(f{2 * k + 1} * f{2 * k + 1}) AS bb{k}" for k in each)} FROM f GROUP BY sample_id),
+  j AS (SELECT g.*, m.* EXCLUDE (sample_id), {", ".join(f"{x} AS p{k}" for k, x in enumerate(p))} FROM g JOIN m USING (sample_id)),
+  t AS (SELECT sample_id, gene, ({" + ".join(terms)}) / {len(pairs)} AS t FROM j),
+  p AS (SELECT sample_id, gene, CASE WHEN t > 1e15 THEN 1 / (t * pi()) ELSE 0.5 - atan(t) / pi() END AS p FROM t),
+  r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY p, gene) AS i, count(*) OVER (PARTITION BY sample_id) AS g FROM p),
+  h AS (SELECT *, sum(1.0::DOUBLE / i) OVER (PARTITION BY sample_id) AS h FROM r)
+  SELECT sample_id, gene, p, least(1.0, min(p * g * h / i) OVER (PARTITION BY sample_id ORDER BY i DESC ROWS UNBOUNDED PRECEDING)) AS p_adj FROM h)"""
+
+
+@query("svg_rank", _svg_sql())
 def _(spark: SparkSession, sf: str) -> DataFrame:
     k = kept(spark, sf)
-    return genes.svg_rank(k, spots(spark, sf).join(k.select("sample_id", "spot_id").distinct(), ["sample_id", "spot_id"], "left_semi"))
+    found = genes.svg_rank(k, spots(spark, sf).join(k.select("sample_id", "spot_id").distinct(), ["sample_id", "spot_id"], "left_semi"))
+    return found.withColumn("p_adj", r6("p_adj"))
 
 
 @query("hvg_moments", "SELECT sample_id, gene, round(sum(cnt) / n, 6) AS mean, round((sum(cnt * cnt) - n * (sum(cnt) / n) ** 2) / (n - 1), 6) AS var, count(*) AS nnz FROM kept JOIN (SELECT sample_id, count(DISTINCT spot_id) n FROM kept GROUP BY sample_id) USING (sample_id) GROUP BY sample_id, gene, n")
@@ -310,8 +342,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("list_size", "SELECT CAST(least(150, min(c)) AS BIGINT) AS n FROM (SELECT count(*) AS c FROM ranked GROUP BY sample_id)")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    r = ranked(spark, sf)
-    return r.groupBy("sample_id").count().agg(F.least(F.lit(150), F.min("count")).cast("long").alias("n"))
+    return spark.range(1).select(F.lit(genes.list_size(ranked(spark, sf), 150)).cast("long").alias("n"))
 
 
 @query("preprocess")
@@ -319,6 +350,31 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return genes.preprocess(counts(spark, sf), spots(spark, sf), gene_number=120)[0]
 
 
+_LISTED = "listed AS (SELECT gene, row_number() OVER (ORDER BY pos) AS gene_idx FROM (SELECT gene, row_number() OVER (ORDER BY gene DESC) AS pos FROM (SELECT DISTINCT gene FROM counts WHERE gene LIKE 'Brand#1%')) SEMI JOIN (SELECT gene FROM kept GROUP BY gene HAVING count(DISTINCT sample_id) = (SELECT count(DISTINCT sample_id) FROM kept)) k USING (gene))"
+
+
+@query("preprocess_user_list", f"""SELECT sample_id, spot_id, gene, gene_idx, cnt, round(ln(1 + 1e4 * cnt / sum(cnt) OVER (PARTITION BY sample_id, spot_id)), 6) AS value FROM (WITH {_LISTED},
+  own AS (SELECT kept.*, gene_idx FROM kept JOIN listed USING (gene)),
+  spots15 AS (SELECT * FROM own SEMI JOIN (SELECT sample_id, spot_id FROM own GROUP BY ALL HAVING count(*) FILTER (cnt > 0) > 5) USING (sample_id, spot_id))
+  SELECT * FROM spots15 SEMI JOIN (SELECT sample_id, gene FROM spots15 GROUP BY ALL HAVING count(*) FILTER (cnt > 0) > 5) USING (sample_id, gene))""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    listed = counts(spark, sf).where("gene LIKE 'Brand#1%'").select("gene").distinct().withColumn("pos", F.row_number().over(Window.orderBy(F.desc("gene"))))
+    done = genes.preprocess(counts(spark, sf), spots(spark, sf), genes=listed, post=(5, 5))[0]
+    return done.select("sample_id", "spot_id", "gene", "gene_idx", "cnt", r6("value").alias("value"))
+
+
+@query("build_graph_number", OWN_SQL["knn_graph"].replace("(a.x - b.x) ** 2 + (a.y - b.y) ** 2", '(a.col - b.col) ** 2 + (a."row" - b."row") ** 2').replace("r <= 6", "r <= 4"))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.build_graph(spots(spark, sf), "fixed_number", number=4)
+
+
+@query("build_graph_radius", OWN_SQL["radius_graph"].replace("(a.x - b.x) ** 2 + (a.y - b.y) ** 2", '(a.col - b.col) ** 2 + (a."row" - b."row") ** 2').replace("< 8", "< 3"))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.build_graph(spots(spark, sf), "fixed_distance", "other", 3.0)
+
+
 ARI = "SELECT {by} CASE WHEN (ai + bj) / 2 = ai * bj / t THEN 1.0 ELSE round((nij - ai * bj / t) / ((ai + bj) / 2 - ai * bj / t), 6) END AS ari FROM (SELECT {by} sum(n * (n - 1) / 2) AS nij, sum(n) * (sum(n) - 1) / 2 AS t FROM c GROUP BY ALL) {j1} (SELECT {by} sum(n * (n - 1) / 2) AS ai FROM (SELECT {by} label, sum(n) AS n FROM c GROUP BY ALL) GROUP BY ALL) {j2} (SELECT {by} sum(n * (n - 1) / 2) AS bj FROM (SELECT {by} covar, sum(n) AS n FROM c GROUP BY ALL) GROUP BY ALL) {j3}"
 
 
@@ -411,9 +467,20 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return markers.rank_sums(expr(spark, sf), clusters(spark, sf)).select("cluster", "gene", r6("pct1").alias("pct1"), r6("pct2").alias("pct2"), r6("avg_log2fc").alias("avg_log2fc"), r6("z").alias("z"))
 
 
-@query("markers")
+def _markers_sql() -> str:
+    """The same statistics with two-sided normal p-values from the series of the error function (0 where they are below 1e-9)."""
+    z = "(u - sign(u) * 0.5) / sqrt(n1 * (n - n1) / 12.0 * ((n + 1) - ties / (n * (n - 1.0))))"
+    inner = MARKER_SQL.replace(f"round({z}, 6) AS z", f"{z} AS z").replace("round(log2(e1 / n1 + 1) - log2((e - e1) / (n - n1) + 1), 6) AS avg_log2fc", "log2(e1 / n1 + 1) - log2((e - e1) / (n - n1) + 1) AS avg_log2fc")
+    x = "(abs(z) / sqrt(2))"
+    series = f"list_sum(list_transform(range(0, 90), lambda i: CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END * pow({x}, 2 * i + 1) / (gamma(i + 1) * (2 * i + 1))))"
+    p = f"CASE WHEN {x} > 4.5 THEN 0 ELSE 1 - 2 / sqrt(pi()) * {series} END"
+    return f"SELECT cluster, gene, pct1, pct2, round(avg_log2fc, 6) AS avg_log2fc, round(z, 6) AS z, round(p, 6) AS p, round(least(1, p * (SELECT count(DISTINCT gene) FROM expr)), 6) AS p_adj FROM (SELECT *, {p} AS p FROM ({inner})) WHERE greatest(pct1, pct2) >= 0.05 AND avg_log2fc >= 0 AND p < 0.5"
+
+
+@query("markers", _markers_sql())
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return markers.markers(expr(spark, sf), clusters(spark, sf), min_pct=0.0, min_log2fc=0.0, max_p=1.01)
+    d = markers.markers(expr(spark, sf), clusters(spark, sf), min_pct=0.05, min_log2fc=0.0, max_p=0.5)
+    return d.select("cluster", "gene", "pct1", "pct2", *[r6(c).alias(c) for c in ("avg_log2fc", "z", "p", "p_adj")])
 
 
 for _name, (_run, _sql) in iterative.QUERIES.items():
