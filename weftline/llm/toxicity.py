@@ -107,9 +107,12 @@ class _Sample:
         self.size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
         self.start = np.append(0, np.cumsum(self.size))
         self.doc_row = np.searchsorted(row_doc, np.arange(len(texts) + 1))
-        ids, owner = subwords(list(known), s.buckets) if known else (self.token, self.token)
-        self.ids = ids[np.argsort(owner, kind="stable")]
-        self.count = np.bincount(owner, minlength=len(known))
+        ids, count, names = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], list(known)
+        for k in range(0, len(names), 20_000):  # so that what hashing needs beside the ids is bounded
+            some, owner = subwords(names[k : k + 20_000], s.buckets)
+            ids.append(some[np.argsort(owner, kind="stable")].astype(np.int32))
+            count.append(np.bincount(owner))
+        self.ids, self.count = np.concatenate(ids), np.concatenate(count)
         self.first = np.append(0, np.cumsum(self.count))
 
     def best_windows(self, bucket_score: np.ndarray) -> np.ndarray:
