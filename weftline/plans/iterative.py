@@ -14,24 +14,25 @@ from ..sources.adapters import counts, spots
 from ..sources.checkpoints import checkpointed
 
 KEY = ["sample_id", "spot_id"]
+#: Factors of a fit.
+Q = 15
 
 
 def _kept(spark: SparkSession, sf: str, pre: int = 20, cells: int = 20) -> DataFrame:
     return qc.gene_filter(qc.spot_filter(counts(spark, sf), pre), cells)
 
 
-def _listed(kept: DataFrame, n: int | None = None) -> DataFrame:
-    """``(gene, gene_idx)``: genes that all samples have, by total (all, or the first n)."""
+def _listed(kept: DataFrame) -> DataFrame:
+    """``(gene, gene_idx)``: all genes that every sample has, by total."""
     samples = kept.select("sample_id").distinct().count()
     g = kept.groupBy("gene").agg(F.sum("cnt").alias("t"), F.countDistinct("sample_id").alias("m")).where(F.col("m") == samples)
-    g = g.withColumn("gene_idx", F.row_number().over(Window.orderBy(F.desc("t"), "gene"))).select("gene", "gene_idx")
-    return g if n is None else g.where(F.col("gene_idx") <= n)
+    return g.withColumn("gene_idx", F.row_number().over(Window.orderBy(F.desc("t"), "gene"))).select("gene", "gene_idx")
 
 
-def _rows(spark: SparkSession, sf: str, n: int | None = None, pre: int = 20, cells: int = 20) -> tuple[DataFrame, DataFrame, int]:
+def _rows(spark: SparkSession, sf: str, pre: int = 20, cells: int = 20) -> tuple[DataFrame, DataFrame, int]:
     """Sparse log-normalised rows, the genes, and how many there are."""
     kept = checkpointed(_kept(spark, sf, pre, cells))
-    listed = checkpointed(_listed(kept, n))
+    listed = checkpointed(_listed(kept))
     return sparse_rows(qc.log_normalize(qc.subset_genes(kept, listed)).drop("gene_idx"), listed, KEY), listed, listed.count()
 
 
@@ -91,20 +92,21 @@ def gmm_start(spark: SparkSession, sf: str) -> DataFrame:
     return start.mixture_start(checkpointed(_embedded(spark, sf)), 10)[0]
 
 
-def _lattice_inputs(spark: SparkSession, sf: str, n: int, q: int, s: model.ModelSettings, pre: int, cells: int) -> model.Inputs:
-    rows, _, p = _rows(spark, sf, n, pre, cells)
+def _lattice_inputs(spark: SparkSession, sf: str, q: int, s: model.ModelSettings, pre: int = 20, cells: int = 20) -> model.Inputs:
+    """Inputs of a fit over all genes that every sample has; q factors, or one a gene if there are fewer genes."""
+    rows, _, p = _rows(spark, sf, pre, cells)
     rows = checkpointed(rows)
     edges = graph.lattice(spots(spark, sf).join(rows.select(*KEY), KEY, "left_semi"))
-    return model.prepare(rows, edges, p, q, s)
+    return model.prepare(rows, edges, p, min(q, p), s)
 
 
 def fit(spark: SparkSession, sf: str) -> DataFrame:
-    """Labels, embeddings and spatial factors for the K in 3, 4 that the criterion prefers; three rounds each."""
+    """Labels, embeddings and spatial factors over all common genes, for the K of 3 and 4 that the criterion prefers; three rounds each."""
     s = model.ModelSettings(max_rounds=4, max_sweeps=4, init="kmeans", init_starts=1)
-    x = _lattice_inputs(spark, sf, 60, 4, s, 20, 20)
+    x = _lattice_inputs(spark, sf, Q, s)
     fits = model.fit_all(x, [3, 4], s)
     ll = spark.createDataFrame([(k, float(p.path[-1])) for k, (_, p) in fits.items()], "k int, loglik double")
-    k = model.best_k(model.select_k(ll, len(x.loadings), 4, len(x.moments.samples), int(x.moments.n.sum()), s))
+    k = model.best_k(model.select_k(ll, *x.loadings.shape, len(x.moments.samples), int(x.moments.n.sum()), s))
     return fits[k][0].withColumn("k", F.lit(k))
 
 
@@ -152,9 +154,9 @@ def correct_controls(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def integrate(spark: SparkSession, sf: str) -> DataFrame:
-    """A short fit, the correction by its spatial factors, and both joined with places."""
+    """A fit of two rounds over all common genes, their correction by its spatial factors, and both joined with places."""
     s = model.ModelSettings(max_rounds=3, max_sweeps=3, init="kmeans", init_starts=1)
-    x = _lattice_inputs(spark, sf, 60, 4, s, 20, 20)
+    x = _lattice_inputs(spark, sf, Q, s)
     fitted = checkpointed(model.fit(x, 4, s)[0])
     one = x.rows.select(*KEY, F.array(F.lit(1.0)).alias("d"))
     done = correct.correct_by_factors(x.rows, fitted.select(*KEY, F.col("hv").alias("h")), one, len(x.loadings))
@@ -174,7 +176,7 @@ def display_components(spark: SparkSession, sf: str) -> DataFrame:
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Preprocess, lattice, a fit with K = 4, and ``(sample_id, cluster, n_spots)``; limits fit small inputs too."""
     s = model.ModelSettings(max_rounds=3, max_sweeps=3, init="kmeans", init_starts=1)
-    x = _lattice_inputs(spark, sf, 40, 3, s, 5, 2)
+    x = _lattice_inputs(spark, sf, Q, s, 5, 2)
     fitted, _ = model.fit(x, 4, s)
     return fitted.groupBy("sample_id", "cluster").agg(F.count("*").alias("n_spots"))
 
