@@ -70,7 +70,9 @@ def ball(fingerprint: str, radius: int) -> F.Column:
 
 def ball_links(nodes: DataFrame, distance: int) -> DataFrame:
     """Verified links ``a < b`` (ids) of ``nodes (id, simhash)`` with distinct fingerprints, enough to join all within ``distance``."""
-    dealt = nodes.select("id", "simhash").repartition(F.col("simhash"))
+    # a set number of tasks: small rows would be dealt to a few, though each makes a ball of rows
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = nodes.select("id", "simhash").repartition(tasks, "simhash")
     variants = dealt.select("id", "simhash", F.explode(ball("simhash", -(-distance // 2))).alias("variant"))
     group = variants.groupBy("variant").agg(F.collect_list(F.struct("id", "simhash")).alias("g")).where(F.size("g") > 1)
     least = F.array_min("g")
