@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import op6_ann
 from .bpe import op10_bpe
 from .decontaminate import op4_decontaminate
+from .divergence import ORACLE as DIVERGENCE_SQL
+from .divergence import op11_divergence
 from .language import op7_language
 from .licenses import ORACLE as LICENSES_SQL
 from .licenses import op5_licenses
@@ -29,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
     "op10_bpe": op10_bpe,
+    "op11_divergence": op11_divergence,
 }
 
-ORACLES: dict[str, str] = {"op5_licenses": LICENSES_SQL}
+ORACLES: dict[str, str] = {"op5_licenses": LICENSES_SQL, "op11_divergence": DIVERGENCE_SQL}
