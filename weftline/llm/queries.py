@@ -16,6 +16,7 @@ from .licenses import ORACLE as LICENSES_SQL
 from .licenses import op5_licenses
 from .lm import op3_lm
 from .quality import op2_quality
+from .rules import op12_rules
 from .simhash import op8_simhash
 from .tokencount import op9_token_counts
 from .toxicity import op1_toxicity
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_bpe": op10_bpe,
     "op11_divergence": op11_divergence,
+    "op12_rules": op12_rules,
 }
 
 ORACLES: dict[str, str] = {"op5_licenses": LICENSES_SQL, "op11_divergence": DIVERGENCE_SQL}
