@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpus_pipeline import STAGES, run
 from weftline.llm.queries import QUERIES
 
-PER_DOCUMENT = ["op1_toxicity", "op2_quality", "op3_lm", "op7_language", "op8_simhash", "op9_token_counts", "op10_bpe"]
+PER_DOCUMENT = ["op1_toxicity", "op2_quality", "op3_lm", "op7_language", "op8_simhash", "op9_token_counts", "op10_bpe", "op12_rules", "op13_alignment"]
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .align import op13_alignment
 from .ann import op6_ann
 from .bpe import op10_bpe
 from .decontaminate import op4_decontaminate
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
     "op11_divergence": op11_divergence,
     "op12_rules": op12_rules,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLES: dict[str, str] = {"op5_licenses": LICENSES_SQL, "op11_divergence": DIVERGENCE_SQL}
