@@ -455,6 +455,18 @@ def test_trigram_counts_against_brute_force(spark):
     assert few.langs == ["a", "b"] and few.log_prob.shape[1] == 256
 
 
+def test_many_languages_share_fewer_buckets(spark):
+    """Beyond ``max_cells`` buckets are halved, for predictions as for fitting."""
+    rng = random.Random(12)
+    stems = {f"l{k:02d}": "".join(chr(97 + (k + 5 * i) % 26) for i in range(4)) + chr(0x100 + k) for k in range(40)}
+    docs = spark.createDataFrame([(i, words(rng, 80, stems[k]), k) for i, k in enumerate(list(stems) * 6)], "doc_id long, text string, lang string")
+    s = language.Settings(max_cells=40 * 2048)
+    model = language.fit(docs.where("doc_id < 200"), s)
+    assert model.log_prob.shape == (40, 2048)
+    found = language.predict(docs.where("doc_id >= 200"), model, s).toPandas()
+    assert (found.lang_pred == found.lang).mean() >= 0.95
+
+
 def test_predictions_against_brute_force_mixtures():
     rng = np.random.default_rng(112)
     infer = language.Inference(language.Model(["a", "b", "c"], np.zeros((3, 4), np.float32)), language.Settings(rounds=200))

@@ -122,6 +122,7 @@ class Inference:
 
     def __init__(self, model: Model, s: Settings):
         self.model, self.s, self.table = model, s, np.ascontiguousarray(model.log_prob.T)
+        self.buckets = len(self.table)  # the model's, which may have fewer than the settings
 
     def _proportions(self, like: np.ndarray, langs: list[int]) -> tuple[np.ndarray, float]:
         """EM over the words of one document: shares of ``langs``, and the log-likelihood."""
@@ -173,7 +174,7 @@ class Inference:
             block = 1 << 18
             parts = []
             starts = np.flatnonzero(data[:-3] == 32) if len(data) > 3 else np.zeros(1, np.int64)
-            ids = trigrams(data, self.s.buckets)
+            ids = trigrams(data, self.buckets)
             for k in range(0, len(starts), block):  # long texts in blocks of words
                 some = starts[k : k + block]
                 end = starts[k + block] if k + block < len(starts) else len(ids)
