@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import bench
 from weftline.functions.blocks import Sparse, sparse_rows
-from weftline.operators import correct, display, genes, graph, metrics, model, potts, qc, start
+from weftline.operators import correct, display, genes, graph, markers, metrics, model, potts, qc, start
 from weftline.plans import iterative
 from weftline.sources import tables
 
@@ -254,3 +254,138 @@ def test_combined_p_values_find_a_spatial_gene(spark):
     got = {r["gene"]: (r["rank"], r["p_adj"]) for r in genes.svg_rank(c, s).collect()}
     assert got["band"][0] == 1 and got["band"][1] < 1e-6 and min(p for g, (_, p) in got.items() if g != "band") > 0.01
     assert sorted(r["gene"] for r in genes.hvg_rank(c).collect()) == sorted(got)
+
+
+def brute_rank_sums(values, labels):
+    """z, shares over 0 and fold change of each (cluster, gene) by ranking all spots: values[gene] has one value a spot."""
+    out = {}
+    for gene, x in values.items():
+        order = np.sort(x)
+        low, high = np.searchsorted(order, x, "left"), np.searchsorted(order, x, "right")
+        rank, n = (low + high + 1) / 2, len(x)
+        t = np.unique(x, return_counts=True)[1].astype(float)
+        for c in sorted(set(labels)):
+            own = labels == c
+            n1, n2 = own.sum(), (~own).sum()
+            u = rank[own].sum() - n1 * (n1 + 1) / 2 - n1 * n2 / 2
+            sd = math.sqrt(max(0, n1 * n2 / 12 * ((n + 1) - (t**3 - t).sum() / (n * (n - 1)))))
+            z = (u - np.sign(u) * 0.5) / sd if sd > 0 else 0.0
+            out[c, gene] = (z, (x[own] > 0).mean(), (x[~own] > 0).mean(), math.log2(np.expm1(x[own]).mean() + 1) - math.log2(np.expm1(x[~own]).mean() + 1))
+    return out
+
+
+@pytest.mark.parametrize("small", [100_000, 7])
+def test_markers_of_values_of_both_signs(spark, small):
+    """Dense corrected values, sparse counts and mixtures, also ranked in parts between cut points."""
+    rng = np.random.default_rng(12)
+    n = 100
+    labels = np.array(["a"] * 50 + ["b"] * 30 + ["c"] * 20)
+    values = {
+        "negative": np.where(labels == "a", -1.0, -3.0) + rng.random(n) * 0.5,
+        "signs": np.where(labels == "a", 1.0, -1.0) + rng.random(n) * 0.5,
+        "sparse": np.where(rng.random(n) < 0.6, 0.0, np.round(rng.random(n), 1)),
+        "mixed": np.round(rng.normal(size=n), 1),
+        "zeros": np.zeros(n),
+        "constant": np.full(n, 2.0),
+        "minus": np.where(labels == "c", -2.0, 0.0),
+    }
+    rows = [("s", str(i), g, float(x[i])) for g, x in values.items() for i in range(n) if g == "zeros" or x[i] != 0 or rng.random() < 0.5]
+    expr = spark.createDataFrame(rows, "sample_id string, spot_id string, gene string, value double")
+    clusters = spark.createDataFrame([("s", str(i), str(c)) for i, c in enumerate(labels)], "sample_id string, spot_id string, cluster string")
+    want = brute_rank_sums(values, labels)
+    got = {(r["cluster"], r["gene"]): r for r in markers.rank_sums(expr, clusters, small).collect()}
+    assert set(got) == set(want)
+    for k, (z, p1, p2, fold) in want.items():
+        assert got[k]["z"] == pytest.approx(z, abs=1e-9), k
+        assert got[k]["avg_log2fc"] == pytest.approx(fold, abs=1e-9), k
+        assert (got[k]["pct1"], got[k]["pct2"]) == (pytest.approx(p1, abs=5.1e-4), pytest.approx(p2, abs=5.1e-4))
+
+
+def test_samples_are_picked_by_row_and_not_by_barcode(spark):
+    """Five slides with equal barcodes: the same rows for any partitioning, and no barcode stands out."""
+    rows = spark.createDataFrame([(s, f"b{i}", "xy"[i % 2] if i % 5 else None) for s in "12345" for i in range(400)], "sample_id string, spot_id string, cluster string")
+    a, b = ({tuple(r) for r in markers.sample_rate(d, 0.1).collect()} for d in (rows, rows.repartition(7, "spot_id")))
+    assert a == b and len(a) == 200 and len({r[1] for r in a}) > 150
+    each = {s: sum(r[0] == s for r in a) for s in "12345"}
+    assert min(each.values()) > 20
+    a, b = ({tuple(r) for r in markers.downsample(d, "cluster", 30).collect()} for d in (rows, rows.repartition(5, "sample_id")))
+    assert a == b and len(a) == 90 and all(sum(r[2] == c for r in a) == 30 for c in ("x", "y", None))
+    assert {tuple(r) for r in markers.downsample(rows, "cluster", 30, seed=2).collect()} != a
+    assert markers.downsample(rows, "cluster", 10_000).count() == 2000 and markers.sample_rate(rows, 1.0).count() == 2000
+    import hashlib
+
+    order = sorted((hashlib.md5(f"1|{r[0]}|{r[1]}".encode()).hexdigest(), tuple(r)) for r in rows.collect())
+    assert {r for _, r in order[:200]} == {tuple(r) for r in markers.sample_rate(rows, 0.1).collect()}
+
+
+def _to_integrate(spark, samples=2, n=60):
+    rng = np.random.default_rng(13)
+    h = rng.normal(size=(samples, n))
+    genes_ = [f"Hk{i}" for i in range(8)] + [f"Gene{i}" for i in range(6)]
+    counts = [(str(s), f"b{i}", g, int(v)) for s in range(samples) for i in range(n) for k, g in enumerate(genes_) if (v := rng.poisson(20 * np.exp(0.4 * h[s, i] * (k % 3 + s)))) > 0]
+    places = [(str(s), f"b{i}", float(i // 8), float(i % 8), float(rng.integers(0, 3))) for s in range(samples) for i in range(n)]
+    fitted = [(str(s), f"b{i}", int(i % 2), [0.0], [float(h[s, i])], [float(i % 2), float(1 - i % 2)]) for s in range(samples) for i in range(n - 5)]
+    return (
+        spark.createDataFrame(counts, "sample_id string, spot_id string, gene string, cnt long"),
+        spark.createDataFrame(fitted, "sample_id string, spot_id string, cluster int, hz array<double>, hv array<double>, resp array<double>"),
+        spark.createDataFrame(places, "sample_id string, spot_id string, row double, col double, age double"),
+    )
+
+
+def _dense(counts, fitted, genes_):
+    """Log-normalised values of the fitted spots, in order of sample and barcode."""
+    key = sorted((r["sample_id"], r["spot_id"]) for r in fitted.collect())
+    x = np.zeros((len(key), len(genes_)))
+    for r in counts.collect():
+        if (r["sample_id"], r["spot_id"]) in key and r["gene"] in genes_:
+            x[key.index((r["sample_id"], r["spot_id"])), genes_.index(r["gene"])] += r["cnt"]
+    return key, np.log1p(1e4 * x / x.sum(1, keepdims=True))
+
+
+@pytest.mark.parametrize("samples", [1, 2])
+@pytest.mark.parametrize("species", ["human", "unknown"])
+def test_composed_integration_by_either_method(spark, samples, species):
+    """The count of control genes chooses the method; values are those of dense least squares."""
+    counts, fitted, places = _to_integrate(spark, samples)
+    listed = sorted({r["gene"] for r in counts.select("gene").distinct().collect()})
+    key, x = _dense(counts, fitted, listed)
+    by = {(r["sample_id"], r["spot_id"]): r for r in fitted.join(places.select("sample_id", "spot_id", "age"), ["sample_id", "spot_id"]).collect()}
+    h, resp, age = (np.array([by[k][c] for k in key]) for c in ("hv", "resp", "age"))
+    known = spark.createDataFrame([(f"HK{i}" if species == "human" else f"Hk{i}",) for i in range(20)], "gene string")
+    few = spark.createDataFrame([("gene1",), ("hk2",), ("absent",)], "gene string")
+    for controls, custom in ((known, None), (None, few)):
+        got = correct.integrate_samples(counts, fitted, places, species, controls, custom, ["age"])
+        many = controls is not None
+        assert got.method == ("controls" if many else "factors")
+        names = [r["gene"] for r in got.genes.orderBy("gene_idx").collect()]
+        assert names == sorted(g.upper() if species == "human" else g for g in listed)
+        assert {r["gene"] for r in got.controls.collect()} == ({f"HK{i}" if species == "human" else f"Hk{i}" for i in range(8)} if many else {"GENE1", "HK2"} if species == "human" else set())
+        at = [names.index(g.upper() if species == "human" else g) for g in listed]
+        if many:
+            own = x[:, [listed.index(f"Hk{i}") for i in range(8)]]
+            c = own - own.mean(0)
+            left = c @ np.linalg.svd(c, full_matrices=False)[2].T
+            d = np.column_stack([left, resp, age])
+        else:
+            left = h
+            d = np.column_stack([h, np.ones(len(h)), age])
+        want = x - left @ np.linalg.lstsq(d, x, rcond=None)[0][: left.shape[1]]
+        rows = {(r["sample_id"], r["spot_id"]): r for r in got.rows.collect()}
+        assert sorted(rows) == key
+        for k, w in zip(key, want, strict=True):
+            r = rows[k]
+            assert np.allclose(np.array(r["corrected"])[at], w, atol=1e-7)
+            assert r["new_id"] == (k[1] + str(int(k[0]) + 1) if samples > 1 else k[1]) and r["batch"] == k[0] and r["cluster"] == by[k]["cluster"]
+
+
+def test_composed_integration_checks_its_input(spark):
+    counts, fitted, places = _to_integrate(spark)
+    with pytest.raises(ValueError):
+        correct.integrate_samples(counts, fitted, places, "dog")
+    with pytest.raises(ValueError):
+        correct.integrate_samples(counts, fitted, places, rate=1.5)
+    with pytest.raises(ValueError):
+        correct.integrate_samples(counts.where("spot_id <> 'b3'"), fitted, places)
+    same = counts.union(counts.where("gene = 'Gene0'").withColumn("gene", F.lit("GENE0")))
+    got = correct.integrate_samples(same, fitted, places, "mouse", rate=0.5)
+    assert got.genes.count() == 14 and got.rows.count() == 110

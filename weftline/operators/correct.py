@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.blocks import Sparse, block_sums, sparse_rows, vectors
+from ..functions.order import sized_broadcast
 from ..sources.checkpoints import checkpointed
 from .markers import sample_rate
-from .qc import SPOT, align_spots, log_normalize
+from .qc import SPOT, align_spots, design_matrix, disambiguate_ids, firstup, log_normalize
 from .start import gramian, pca, project
 
 
@@ -73,7 +75,7 @@ def correct_by_factors(rows: DataFrame, factors: DataFrame, design: DataFrame, p
     d = rows.join(factors.select(*SPOT, "h"), SPOT).join(design.select(*SPOT, "d"), SPOT).withColumn("d", F.concat("h", "d"))
     first = factors.select(F.size("h")).first()
     size = first[0] if first else 0
-    fitted = d if rate is None else sample_rate(d, rate, seed=seed)
+    fitted = d if rate is None else sample_rate(d, rate, seed)
     return subtract(d, least_squares(fitted, p, size)[1], p)
 
 
@@ -88,8 +90,11 @@ def correct_all_genes(counts: DataFrame, genes: DataFrame, factors: DataFrame, d
     return correct_by_factors(rows, factors, design, genes.count(), rate, seed)
 
 
-def correct_by_controls(rows: DataFrame, controls: list[int], resp: DataFrame, design: DataFrame, p: int, most: int = 10) -> DataFrame:
-    """Method 2: components of the control genes (their places), cluster shares and the design without intercept; subtract the components' part."""
+def correct_by_controls(rows: DataFrame, controls: list[int], resp: DataFrame, design: DataFrame, p: int, most: int = 10, rate: float | None = None, seed: int = 1) -> DataFrame:
+    """Method 2: components of the control genes (their places), cluster shares and the design without intercept; subtract the components' part.
+
+    With ``rate``, coefficients are of that share of the spots, picked by hash; all spots are corrected.
+    """
     samples = [r[0] for r in rows.select("sample_id").distinct().orderBy("sample_id").collect()]
     at = {g: i for i, g in enumerate(sorted(controls))}
     place = F.create_map(*[F.lit(x) for g, i in at.items() for x in (g, i)])
@@ -100,9 +105,84 @@ def correct_by_controls(rows: DataFrame, controls: list[int], resp: DataFrame, d
     h = project(only, v, (m.sums.sum(0) / max(m.n.sum(), 1))[None], samples, "h")
     d = rows.join(h, SPOT).join(resp.select(*SPOT, "resp"), SPOT).join(design.select(*SPOT, "d"), SPOT)
     d = d.withColumn("d", F.concat("h", "resp", "d"))
-    return subtract(d, least_squares(d, p, v.shape[1])[1], p)
+    fitted = d if rate is None else sample_rate(d, rate, seed)
+    return subtract(d, least_squares(fitted, p, v.shape[1])[1], p)
+
+
+def long_values(corrected: DataFrame, genes: DataFrame) -> DataFrame:
+    """``(sample_id, spot_id, gene, value)`` of dense corrected arrays over ``genes (gene, gene_idx)``, for markers and displays."""
+    names = genes.select("gene", (F.col("gene_idx") - 1).cast("int").alias("__at"))
+    cells = corrected.select(*SPOT, F.posexplode("corrected").alias("__at", "value"))
+    return cells.join(sized_broadcast(names), "__at").select(*SPOT, "gene", "value")
 
 
 def integrate(corrected: DataFrame, fitted: DataFrame, spots: DataFrame) -> DataFrame:
     """Key, batch, cluster, corrected values, aligned embedding and place of each spot."""
     return corrected.join(fitted.select(*SPOT, "cluster", "hz"), SPOT).join(spots.select(*SPOT, "row", "col"), SPOT).withColumn("batch", F.col("sample_id"))
+
+
+def species_name(gene: Column, species: str) -> Column:
+    """A gene's name as the species' lists have it: upper case, with only the first letter in upper case, or as it is."""
+    if species.lower() not in ("human", "mouse", "unknown"):
+        raise ValueError("species is 'human', 'mouse' or 'unknown'")
+    return {"human": F.upper, "mouse": firstup, "unknown": lambda g: g}[species.lower()](gene)
+
+
+@dataclass(frozen=True)
+class Integrated:
+    """``rows``: sample_id, spot_id, new_id, batch, cluster, corrected, hz, row, col. ``genes (gene, gene_idx)`` name the corrected
+    values, ``controls (gene)`` those that were used; ``method`` is 'factors' or 'controls'."""
+
+    rows: DataFrame
+    genes: DataFrame
+    controls: DataFrame
+    method: str
+
+
+def integrate_samples(
+    counts: DataFrame,
+    fitted: DataFrame,
+    spots: DataFrame,
+    species: str = "unknown",
+    species_genes: DataFrame | None = None,
+    custom: DataFrame | None = None,
+    covariates: list[str] | None = None,
+    rate: float | None = None,
+    seed: int = 1,
+    least: int = 5,
+    most: int = 10,
+) -> Integrated:
+    """Batch-corrected expression of all genes after a fit, with the fit's clusters and embeddings, from one sample or many.
+
+    ``counts`` is the raw table, with more genes than the fit's and perhaps more spots; ``fitted`` has cluster, hz, hv and resp.
+    Counts are cut to the spots of the fit (``ValueError`` if one is missing) and normalised over all genes. Gene names, and
+    those of the user's own control genes, are written as the species' are; genes whose names become equal are added up. The control genes
+    are the species' list ``species_genes (gene)`` and the user's ``custom (gene)``, as far as the samples have them. With fewer
+    than ``least``, every gene is regressed on the spatial factors hv and the covariates with an intercept, and the factors'
+    part is subtracted; otherwise on at most ``most`` components of the control genes, the cluster shares resp and the
+    covariates, and the components' part is subtracted. ``rate`` fits on a share of the spots; all are corrected.
+    ``new_id`` has the sample's number appended where barcodes repeat over samples.
+    """
+    if rate is not None and not 0 < rate <= 1:
+        raise ValueError("rate is over 0, and 1 at most")
+    as_named = lambda df: None if df is None else df.select(species_name(F.col("gene"), species).alias("gene"))
+    named = counts.select(*SPOT, species_name(F.col("gene"), species).alias("gene"), "cnt")
+    if species.lower() != "unknown":
+        named = named.groupBy(*SPOT, "gene").agg(F.sum("cnt").alias("cnt"))
+    aligned = checkpointed(align_spots(named, fitted))
+    listed = aligned.select("gene").distinct()
+    genes = checkpointed(listed.withColumn("gene_idx", F.row_number().over(Window.orderBy("gene"))))  # a row a gene
+    controls = checkpointed(control_genes(genes.select("gene"), as_named(species_genes), as_named(custom)))
+    p, many = genes.count(), controls.limit(least).count() >= least
+    rows = checkpointed(sparse_rows(log_normalize(aligned), genes, SPOT))
+    own = spots.join(fitted.select(*SPOT), SPOT, "left_semi")
+    design = design_matrix(own, covariates or [])
+    columns = [F.col(f"`{c}`") for c in design.columns if c not in SPOT and not (many and c == "intercept")]
+    design = design.select(*SPOT, (F.array(*columns) if columns else F.array().cast("array<double>")).alias("d"))
+    if many:
+        places = [r[0] - 1 for r in genes.join(controls, "gene", "left_semi").select("gene_idx").collect()]  # the species' list at most
+        done = correct_by_controls(rows, places, fitted, design, p, most, rate, seed)
+    else:
+        done = correct_by_factors(rows, fitted.select(*SPOT, F.col("hv").alias("h")), design, p, rate, seed)
+    ids = disambiguate_ids(own.select(*SPOT))
+    return Integrated(integrate(done, fitted, spots).join(ids, SPOT), genes, controls, "controls" if many else "factors")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import quantiles
+from ..sources.checkpoints import checkpointed
 from .markers import downsample
 from .qc import SPOT
 
@@ -25,7 +27,7 @@ def scale_genes(expr: DataFrame, spots: int | None = None, cap: float = 10.0) ->
 
 def heatmap_rows(expr: DataFrame, clusters: DataFrame, genes: DataFrame, per_cluster: int = 50, seed: int | None = 1) -> DataFrame:
     """``(cluster, sample_id, spot_id, gene, scaled)`` of chosen genes in spots sampled from each cluster."""
-    few = downsample(clusters, "cluster", per_cluster, seed=seed)
+    few = downsample(clusters, "cluster", per_cluster, seed)
     return scale_genes(expr).join(genes.select("gene"), "gene", "left_semi").join(few, SPOT).select("cluster", *SPOT, "gene", "scaled")
 
 
@@ -62,11 +64,13 @@ def scatter_codes(spots: DataFrame, label: str, seed: int | None = None) -> Data
 
 
 def box_summary(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """``(name, min, q1, median, q3, max, low, high)`` of each column that isn't all NULL; low and high end the whiskers."""
-    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*").where("v IS NOT NULL")
-    each = long.groupBy("name", "v").agg(F.count("*").alias("n"))  # equal values are one row before they meet
-    q = each.groupBy("name").agg(F.min("v").alias("min"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias("q"), F.max("v").alias("max"))
-    q = q.select("name", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max")
+    """``(name, min, q1, median, q3, max, low, high)`` of each column that isn't all NULL; low and high end the whiskers.
+
+    Quantiles are exact and found from counts: no task gets a column's values. NaN and infinite values take no part.
+    """
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*").where(F.abs("v") < F.lit(float("inf")))
+    q = quantiles(long, ["name"], "v", [0.0, 0.25, 0.5, 0.75, 1.0])
+    q = q.select("name", *[F.col("q")[i].alias(c) for i, c in enumerate(("min", "q1", "median", "q3", "max"))])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     ends = long.join(F.broadcast(q), "name").groupBy("name").agg(F.min(F.when(F.col("v") >= F.col("q1") - reach, F.col("v"))).alias("low"), F.max(F.when(F.col("v") <= F.col("q3") + reach, F.col("v"))).alias("high"))
     return q.join(ends, "name")
@@ -74,4 +78,4 @@ def box_summary(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def feature_quantile(expr: DataFrame, quant: float = 0.5) -> DataFrame:
     """``(gene, midpoint)``: the quantile of a gene's scaled values."""
-    return scale_genes(expr).groupBy("gene").agg(F.percentile("scaled", F.lit(quant)).alias("midpoint"))
+    return quantiles(checkpointed(scale_genes(expr)), ["gene"], "scaled", [quant]).select("gene", F.col("q")[0].alias("midpoint"))

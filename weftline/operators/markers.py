@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import SMALL, cut_points, part_of, sized_broadcast
+from ..sources.checkpoints import checkpointed
 from .qc import SPOT
 
 
@@ -16,56 +19,100 @@ def top_n(rows: DataFrame, group: str, by: str, n: int) -> DataFrame:
     return rows.withColumn("rank", F.rank().over(Window.partitionBy(group).orderBy(F.desc(by)))).where(F.col("rank") <= n)
 
 
-def downsample(rows: DataFrame, group: str, m: int, key: str = "spot_id", seed: int | None = 1) -> DataFrame:
-    """At most ``m`` rows of each group, by a hash of seed and key (by the key alone for ``seed=None``)."""
-    order = [F.col(key)] if seed is None else [F.xxhash64(F.lit(seed), key), F.col(key)]
-    return rows.withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("__r") <= m).drop("__r")
+def row_hash(keys: list[str], seed: int) -> Column:
+    """A hash of seed and keys as text, the same in every engine: rows are in its order."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
 
 
-def sample_rate(rows: DataFrame, rate: float, key: str = "spot_id", seed: int = 1) -> DataFrame:
-    """Exactly floor(rate * n) rows, the same ones however rows are partitioned."""
-    n, h = int(rate * rows.count()), F.xxhash64(F.lit(seed), key)
-    bin_of = F.shiftright(h, 48)
-    bins = rows.groupBy(bin_of.alias("b")).agg(F.count("*").alias("n")).orderBy("b").collect()  # at most 65,536 rows
-    below = 0
-    for r in bins:
-        if below + r["n"] >= n:
-            break
-        below += r["n"]
-    else:
-        return rows
-    # whole bins are taken where they stand; only the last one is sorted
-    return rows.where(bin_of < r["b"]).union(rows.where(bin_of == r["b"]).orderBy(h, key).limit(n - below))
+def smallest_hashes(rows: DataFrame, by: list[str], want: Callable[[Column], Column], keys: list[str], seed: int) -> DataFrame:
+    """Of each group the rows with the smallest hashes of ``keys``, as many as ``want`` makes of the group's size.
+
+    The limit of each group is found from counts of the hashes' first four digits, which combine before they are shuffled. Rows
+    under it are taken where they stand; only those at the limit, one in 65,536 of a large group, are sorted.
+    """
+    h = row_hash(keys, seed)
+    bins = rows.groupBy(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)], F.substring(h, 1, 4).alias("__bin")).agg(F.count("*").alias("m"))
+    own = [f"__g{i}" for i in range(len(by))]
+    per = Window.partitionBy(*own, F.lit(0))
+    upto, total = F.sum("m").over(per.orderBy("__bin")), F.sum("m").over(per)
+    need = F.greatest(F.least(want(F.col("total")), F.col("total")), F.lit(0))
+    bins = bins.withColumns({"upto": upto, "total": total}).withColumn("need", need)
+    edge = F.min(F.when(F.col("upto") >= F.col("need"), F.struct(F.col("__bin").alias("at"), (F.col("need") - F.col("upto") + F.col("m")).alias("left"))))
+    limits = bins.groupBy(*own).agg(edge.alias("__edge"))
+    same = F.lit(True)
+    for c, k in zip(by, own, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    marked = rows.withColumn("__h", h).join(sized_broadcast(limits), same)
+    under = marked.where(F.substring("__h", 1, 4) < F.col("__edge.at"))
+    order = Window.partitionBy(*own, F.lit(0)).orderBy("__h", *keys)
+    at = marked.where(F.substring("__h", 1, 4) == F.col("__edge.at")).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= F.col("__edge.left"))
+    return under.select(*rows.columns).union(at.select(*rows.columns))
+
+
+def downsample(rows: DataFrame, group: str, m: int, seed: int | None = 1, keys: list[str] | None = None) -> DataFrame:
+    """At most ``m`` rows of each group, by a hash of seed and keys (the sample and the spot), or by the keys alone for ``seed=None``.
+
+    The same rows for any partitioning, also where barcodes repeat over samples.
+    """
+    keys = SPOT if keys is None else keys
+    if seed is None:
+        return rows.withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(*keys))).where(F.col("__r") <= m).drop("__r")
+    return smallest_hashes(rows, [group], lambda n: F.lit(m).cast("long"), keys, seed)
+
+
+def sample_rate(rows: DataFrame, rate: float, seed: int = 1, keys: list[str] | None = None) -> DataFrame:
+    """Exactly floor(rate * n) rows, by a hash of seed and keys (the sample and the spot): the same ones however rows are partitioned."""
+    if not 0 <= rate <= 1:
+        raise ValueError("rate is from 0 to 1")
+    return smallest_hashes(rows, [], lambda n: F.floor(n * F.lit(float(rate))), SPOT if keys is None else keys, seed)
 
 
-def rank_sums(expr: DataFrame, clusters: DataFrame) -> DataFrame:
-    """``(cluster, gene, n1, n, pct1, pct2, mean1, mean2, z)``: each cluster against the rest, by mid-ranks.
+def rank_sums(expr: DataFrame, clusters: DataFrame, small: int = SMALL) -> DataFrame:
+    """``(cluster, gene, n1, n, pct1, pct2, avg_log2fc, z)``: each cluster against the rest, by mid-ranks over all values.
 
-    Rows are genes times clusters at most, which is what the joins without a key make. Only values over 0 are ranked: zeros,
-    stored or not, are one block of ties below them. Values of equal size are summed
-    before they are ranked, so a gene's window has a row for each distinct value and not for each spot.
+    Zeros, stored or not, are one block of ties inside the order: negative values below it, positive ones above. Values of equal
+    size are summed before they are ranked. A gene with more than ``small`` of them is ranked in parts between cut points, so
+    that no task gets a gene's values, whatever the number of spots. All else is sums of genes by clusters. ``pct1`` and
+    ``pct2`` are shares of values over 0; fold changes are of means of exp(value) - 1, plus 1.
     """
-    size = clusters.groupBy("cluster").agg(F.count("*").alias("n1"))
-    n = F.broadcast(clusters.agg(F.count("*").alias("n")))
-    d = expr.where("value > 0").join(clusters.select(*SPOT, "cluster"), SPOT)
-    by_value = d.groupBy("gene", "value", "cluster").agg(F.count("*").alias("m"))
-    values = by_value.groupBy("gene", "value").agg(F.sum("m").alias("t"))
-    values = values.withColumn("below", F.coalesce(F.sum("t").over(Window.partitionBy("gene").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    per_gene = values.groupBy("gene").agg(F.sum("t").alias("pos"), F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties"))
-    ranked = by_value.join(values, ["gene", "value"])
-    mid = F.col("below") + (F.col("t") + 1) / 2
-    sums = ranked.groupBy("gene", "cluster").agg(F.sum(F.col("m") * mid).alias("r"), F.sum("m").alias("pos1"), F.sum(F.col("m") * F.expm1("value")).alias("e1"))
-    total = sums.groupBy("gene").agg(F.sum("e1").alias("e"))
-    every = per_gene.join(total, "gene").crossJoin(F.broadcast(size)).join(sums, ["gene", "cluster"], "left").crossJoin(n)
-    every = every.na.fill(0, ["r", "pos1", "e1"])
-    zeros, n1, n_, n2 = F.col("n") - F.col("pos"), F.col("n1"), F.col("n"), F.col("n") - F.col("n1")
-    rank_sum = F.col("r") + F.col("pos1") * zeros + (n1 - F.col("pos1")) * (zeros + 1) / 2
+    d = expr.where("value IS NOT NULL").join(clusters.select(*SPOT, "cluster"), SPOT)
+    by_value = checkpointed(d.groupBy("gene", F.col("value").cast("double").alias("value"), "cluster").agg(F.count("*").alias("m")))
+    sizes = {r["cluster"]: r["n1"] for r in clusters.groupBy("cluster").agg(F.count("*").alias("n1")).where("cluster IS NOT NULL").collect()}  # one number a cluster
+    n = sum(sizes.values())
+    most = by_value.groupBy("gene").agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 0
+    cuts = F.lit(None).cast("array<double>")
+    if most > small:
+        by_value = by_value.join(sized_broadcast(cut_points(by_value, ["gene"], "value", small)), "gene", "left")
+        cuts = F.col("cuts")
+    one = by_value.where("value <> 0").select("gene", "value", "cluster", "m", part_of(cuts, F.col("value")).alias("part"))
+    upto = F.sum("m").over(Window.partitionBy("gene", "part").orderBy("value"))
+    ties = F.sum("m").over(Window.partitionBy("gene", "part", "value"))
+    one = one.withColumns({"upto": upto, "t": ties})
+    mid, t = F.col("upto") - (F.col("t") - 1) / 2, F.col("t").cast("double")
+    sums = [F.sum(F.col("m") * mid).alias("r"), F.sum("m").alias("k"), F.sum(F.when(F.col("value") > 0, F.col("m")).otherwise(0)).alias("pos"), F.sum(F.col("m") * F.expm1("value")).alias("e"), F.sum(F.col("m") * (t * t - 1)).alias("ties")]
+    parts = one.groupBy("gene", "part", "cluster").agg(*sums)
+    # values in the parts below come first
+    before = F.coalesce(F.sum("k").over(Window.partitionBy("gene").orderBy("part").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("r", F.col("r") + F.col("k") * before)
+    own = parts.groupBy("gene", "cluster").agg(*[F.sum(c).alias(c) for c in ("r", "k", "pos", "e", "ties")])
+    genes = by_value.select("gene").distinct().join(own, "gene", "left").groupBy("gene")
+    per_gene = genes.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("k", "pos", "e", "ties")], F.map_from_entries(F.collect_list(F.when(F.col("cluster").isNotNull(), F.struct("cluster", F.struct("r", "k", "pos", "e"))))).alias("own"))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("cluster"), F.lit(k).cast("long").alias("n1")) for c, k in sizes.items()])).alias("c")
+    if not sizes:
+        return per_gene.select(F.lit(None).cast(dict(clusters.dtypes)["cluster"]).alias("cluster"), "gene", *[F.lit(None).cast("long").alias(c) for c in ("n1", "n")], *[F.lit(None).cast("double").alias(c) for c in ("pct1", "pct2", "avg_log2fc", "z")]).limit(0)
+    every = per_gene.select("gene", "k", "pos", "e", "ties", "own", each).select("*", F.col("c.cluster").alias("cluster"), F.col("c.n1").alias("n1"))
+    x = F.col("own")[F.col("cluster")]
+    r1, k1, pos1, e1 = (F.coalesce(x[c], F.lit(0)) for c in ("r", "k", "pos", "e"))
+    n1, n2, zeros = F.col("n1"), F.lit(n) - F.col("n1"), F.lit(n) - F.col("k")
+    negative = F.col("k") - F.col("pos")
+    rank_sum = r1 + pos1 * zeros + (n1 - k1) * (negative + (zeros + 1) / 2)
     u = rank_sum - n1 * (n1 + 1) / 2 - n1 * n2 / 2.0
-    ties = F.col("ties") + zeros.cast("double") ** 3 - zeros
-    sd = F.sqrt(n1 * n2 / 12.0 * ((n_ + 1) - ties / (n_ * (n_ - 1.0))))
+    block = zeros.cast("double") ** 3 - zeros
+    sd = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - (F.col("ties") + block) / (n * (n - 1.0)))) if n > 1 else F.lit(0.0)
     z = F.when(sd > 0, (u - F.signum(u) * 0.5) / sd).otherwise(F.lit(0.0))
-    mean1, mean2 = F.col("e1") / n1, F.when(n2 > 0, (F.col("e") - F.col("e1")) / n2).otherwise(F.lit(0.0))
-    return every.select("cluster", "gene", "n1", "n", F.round(F.col("pos1") / n1, 3).alias("pct1"), F.round(F.when(n2 > 0, (F.col("pos") - F.col("pos1")) / n2).otherwise(0.0), 3).alias("pct2"), (F.log2(mean1 + 1) - F.log2(mean2 + 1)).alias("avg_log2fc"), z.alias("z"))
+    share = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(F.lit(0.0)), 3)
+    mean1, mean2 = e1 / n1, F.when(n2 > 0, (F.col("e") - e1) / n2).otherwise(F.lit(0.0))
+    return every.select("cluster", "gene", "n1", F.lit(n).cast("long").alias("n"), share(pos1, n1).alias("pct1"), share(F.col("pos") - pos1, n2).alias("pct2"), (F.log2(mean1 + 1) - F.log2(mean2 + 1)).alias("avg_log2fc"), z.alias("z"))
 
 
 def markers(expr: DataFrame, clusters: DataFrame, min_pct: float = 0.1, min_log2fc: float = 0.25, max_p: float = 0.01) -> DataFrame:

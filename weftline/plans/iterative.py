@@ -133,15 +133,52 @@ def ols_correct_1d(spark: SparkSession, sf: str) -> DataFrame:
     return done.select(*KEY, F.posexplode("corrected").alias("j", "v")).select(*KEY, F.get(names, F.col("j")).alias("gene"), F.round("v", 5).alias("corrected"))
 
 
-def correct_all_genes(spark: SparkSession, sf: str) -> DataFrame:
-    """Every gene of the unfiltered counts corrected in the spots of a fit (the kept ones), by a factor (the spot's x)."""
+def corrected(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Every gene of the unfiltered counts corrected in the spots of a fit (the kept ones), by a factor (the spot's x); and the genes."""
     every = counts(spark, sf)
-    listed = every.select("gene").distinct().withColumn("gene_idx", F.row_number().over(Window.orderBy("gene")))
+    listed = checkpointed(every.select("gene").distinct().withColumn("gene_idx", F.row_number().over(Window.orderBy("gene"))))
     kept = qc.spot_filter(every, 20).select(*KEY).distinct()
     s = spots(spark, sf).join(kept, KEY, "left_semi").select(*KEY, F.array(F.col("x") / 100).alias("h"), F.array(F.lit(1.0)).alias("d"))
-    done = correct.correct_all_genes(every, checkpointed(listed), s.drop("d"), s.drop("h"))
-    names = F.array(*[F.lit(r["gene"]) for r in listed.orderBy("gene_idx").collect()])
-    return done.select(*KEY, F.posexplode("corrected").alias("j", "v")).select(*KEY, F.get(names, F.col("j")).alias("gene"), F.round("v", 5).alias("corrected"))
+    return correct.correct_all_genes(every, listed, s.drop("d"), s.drop("h")), listed
+
+
+def correct_all_genes(spark: SparkSession, sf: str) -> DataFrame:
+    """What ``corrected`` makes, a row a spot and gene."""
+    return correct.long_values(*corrected(spark, sf)).select(*KEY, "gene", F.round("value", 5).alias("corrected"))
+
+
+def _places(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Counts, spots and a stand-in for a fit on the kept spots, with places as barcodes, which repeat over samples.
+
+    The label is the cluster, x the spatial factor, and the labels' indicators are the cluster shares.
+    """
+    s = spots(spark, sf).withColumn("barcode", F.concat_ws("x", F.col("row").cast("long").cast("string"), F.col("col").cast("long").cast("string")))
+    c = counts(spark, sf).join(s.select(*KEY, "barcode"), KEY).select("sample_id", F.col("barcode").alias("spot_id"), "gene", "cnt")
+    s = s.drop("spot_id").withColumnRenamed("barcode", "spot_id")
+    labels = [r[0] for r in s.select("label").distinct().orderBy("label").limit(1000).collect()]
+    shares = F.array(*[(F.col("label") == x).cast("double") for x in labels])
+    kept = qc.spot_filter(c, 20).select(*KEY).distinct()
+    fitted = s.join(kept, KEY, "left_semi").select(*KEY, F.col("label").alias("cluster"), F.array("x", "y").alias("hz"), F.array(F.col("x") / 100).alias("hv"), shares.alias("resp"))
+    return c, s, fitted
+
+
+def integrate_factors(spark: SparkSession, sf: str) -> DataFrame:
+    """The composed integration of human samples with two control genes: fewer than five, so by the factors. A row a spot and gene."""
+    c, s, fitted = _places(spark, sf)
+    own = c.select("gene").distinct().where("gene IN ('Brand#11#1', 'Brand#12#2')").withColumn("gene", F.lower("gene"))
+    got = correct.integrate_samples(c, fitted, s, "human", custom=own)
+    values = correct.long_values(got.rows, got.genes).withColumn("corrected", F.round("value", 5))
+    keys = got.rows.select(*KEY, "new_id", "batch", "cluster", "row", "col", F.lit(got.method).alias("method"))
+    return keys.join(values.drop("value"), KEY)
+
+
+def integrate_controls(spark: SparkSession, sf: str) -> DataFrame:
+    """The composed integration with many control genes and a covariate: by components of the control genes. A row a spot."""
+    c, s, fitted = _places(spark, sf)
+    names = c.select("gene").distinct()
+    got = correct.integrate_samples(c, fitted, s, "mouse", names.where("gene LIKE 'Brand#2%'"), names.where("gene LIKE '%#3'").withColumn("gene", F.upper("gene")), ["covar"])
+    # corrected values are finite, and as many as genes
+    return got.rows.select(*KEY, "new_id", "batch", "cluster", "row", "col", F.lit(got.method).alias("method"), F.lit(got.controls.count()).alias("n_controls"), F.size("corrected").alias("n_genes"), F.forall("corrected", lambda v: F.abs(v) < float("inf")).alias("finite"))
 
 
 def correct_controls(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,6 +221,8 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 #: Shared by two oracles: genes that all five samples have, normalised over them.
 _FULL = """full_expr AS (SELECT sample_id, spot_id, gene, ln(1 + 1e4 * cnt / sum(cnt) OVER (PARTITION BY sample_id, spot_id)) AS value FROM kept SEMI JOIN (SELECT gene FROM kept GROUP BY gene HAVING count(DISTINCT sample_id) = (SELECT count(DISTINCT sample_id) FROM kept)) g USING (gene)),
   full_spots AS (SELECT DISTINCT sample_id, spot_id FROM full_expr), full_genes AS (SELECT DISTINCT gene FROM full_expr)"""
+#: A spot's place as its barcode.
+_BARCODE = "CAST(CAST(\"row\" AS BIGINT) AS VARCHAR) || 'x' || CAST(CAST(col AS BIGINT) AS VARCHAR)"
 _HEAVY = math.log(math.log(900))
 
 QUERIES = {
@@ -203,9 +242,9 @@ QUERIES = {
     "ols_correct_1d": (ols_correct_1d, f"""SELECT * FROM (WITH {_FULL},
   d AS (SELECT sample_id, spot_id, gene, coalesce(value, 0) AS value, x / 100 AS h FROM full_spots CROSS JOIN full_genes LEFT JOIN full_expr USING (sample_id, spot_id, gene) JOIN spots USING (sample_id, spot_id))
   SELECT sample_id, spot_id, gene, round(value - b * h, 5) AS corrected FROM d JOIN (SELECT gene, regr_slope(value, h) AS b FROM d GROUP BY gene) USING (gene))"""),
-    "correct_all_genes": (correct_all_genes, """SELECT * FROM (WITH e AS (SELECT sample_id, spot_id, gene, ln(1 + 1e4 * cnt / sum(cnt) OVER (PARTITION BY sample_id, spot_id)) AS value FROM spot_ok),
-  d AS (SELECT sample_id, spot_id, gene, coalesce(value, 0) AS value, x / 100 AS h FROM kept_spots CROSS JOIN (SELECT DISTINCT gene FROM counts) LEFT JOIN e USING (sample_id, spot_id, gene) JOIN spots USING (sample_id, spot_id))
-  SELECT sample_id, spot_id, gene, round(value - b * h, 5) AS corrected FROM d JOIN (SELECT gene, regr_slope(value, h) AS b FROM d GROUP BY gene) USING (gene))"""),
+    "correct_all_genes": (correct_all_genes, "SELECT sample_id, spot_id, gene, round(value, 5) AS corrected FROM corrected"),
+    "integrate_factors": (integrate_factors, f"SELECT sample_id, {_BARCODE} AS spot_id, {_BARCODE} || CAST(dense_rank() OVER (ORDER BY sample_id) AS VARCHAR) AS new_id, sample_id AS batch, label AS cluster, \"row\", col, 'factors' AS method, upper(gene) AS gene, round(value, 5) AS corrected FROM corrected JOIN spots USING (sample_id, spot_id)"),
+    "integrate_controls": (integrate_controls, f"SELECT sample_id, {_BARCODE} AS spot_id, {_BARCODE} || CAST(dense_rank() OVER (ORDER BY sample_id) AS VARCHAR) AS new_id, sample_id AS batch, label AS cluster, \"row\", col, 'controls' AS method, (SELECT count(DISTINCT gene) FROM counts WHERE gene LIKE 'Brand#2%' OR gene LIKE '%#3') AS n_controls, (SELECT CAST(count(DISTINCT gene) AS INTEGER) FROM counts) AS n_genes, true AS finite FROM kept_spots JOIN spots USING (sample_id, spot_id)"),
     "correct_controls": (correct_controls, None),
     "integrate": (integrate, None),
     "display_components": (display_components, None),

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import display, genes, graph, markers, metrics, potts, qc
+from ..operators import correct, display, genes, graph, markers, metrics, potts, qc
 from ..sources.adapters import COUNTS_SQL, SPOTS_SQL, counts, spots
 from ..sources.checkpoints import checkpointed
 from . import iterative
@@ -51,6 +51,9 @@ CTES = {
     "resp": "resp AS (SELECT *, ln(sum(exp(-t)) OVER (PARTITION BY sample_id, spot_id)) AS loglik, exp(-t) / sum(exp(-t)) OVER (PARTITION BY sample_id, spot_id) AS resp FROM total)",
     "ranked": "ranked AS (SELECT sample_id, gene, row_number() OVER (PARTITION BY sample_id ORDER BY sum(cnt) DESC, gene) AS rank FROM kept GROUP BY sample_id, gene)",
     "scaled": "scaled AS (SELECT sample_id, spot_id, gene, value, CASE WHEN sd > 0 THEN least((value - mean) / sd, 10) ELSE 0 END AS scaled FROM expr JOIN (SELECT gene, sum(value) / n AS mean, sqrt(greatest((sum(value * value) - n * (sum(value) / n) ** 2) / (n - 1), 0)) AS sd FROM expr, (SELECT count(*) n FROM (SELECT DISTINCT sample_id, spot_id FROM expr)) GROUP BY gene, n) USING (gene))",
+    "corrected": """corrected AS (WITH e AS (SELECT sample_id, spot_id, gene, ln(1 + 1e4 * cnt / sum(cnt) OVER (PARTITION BY sample_id, spot_id)) AS value FROM spot_ok),
+  d AS (SELECT sample_id, spot_id, gene, coalesce(value, 0) AS value, x / 100 AS h FROM kept_spots CROSS JOIN (SELECT DISTINCT gene FROM counts) LEFT JOIN e USING (sample_id, spot_id, gene) JOIN spots USING (sample_id, spot_id))
+  SELECT sample_id, spot_id, gene, value - b * h AS value FROM d JOIN (SELECT gene, regr_slope(value, h) AS b FROM d GROUP BY gene) USING (gene))""",
     "dots": "dots AS (SELECT label AS cluster, gene, coalesce(sum(e.ev), 0) / n AS mean, coalesce(sum(e.k), 0) / n AS pct FROM (SELECT DISTINCT gene FROM expr) CROSS JOIN (SELECT label, count(*) n FROM spots GROUP BY label) LEFT JOIN (SELECT label, gene, exp(value) - 1 AS ev, CAST(value > 0 AS INT) AS k FROM expr JOIN spots USING (sample_id, spot_id)) e USING (label, gene) GROUP BY label, gene, n)",
 }
 
@@ -404,14 +407,26 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return markers.top_n(d, "cluster", "pct", 10)
 
 
-@query("downsample", "SELECT sample_id, spot_id, cluster FROM (SELECT sample_id, spot_id, label AS cluster, row_number() OVER (PARTITION BY label ORDER BY spot_id) AS r FROM spots) WHERE r <= 40")
+#: Rows in the order of a hash that both engines have.
+BY_HASH = "md5(concat_ws('|', '1', sample_id, spot_id)), sample_id, spot_id"
+
+
+@query("downsample", f"SELECT sample_id, spot_id, cluster FROM (SELECT sample_id, spot_id, label AS cluster, row_number() OVER (PARTITION BY label ORDER BY {BY_HASH}) AS r FROM spots) WHERE r <= 40")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return markers.downsample(clusters(spark, sf), "cluster", 40, seed=None)
+    return markers.downsample(clusters(spark, sf), "cluster", 40)
+
+
+def by_place(spots: DataFrame) -> DataFrame:
+    """Spots with their place as the barcode, which repeats over samples."""
+    return spots.withColumn("spot_id", F.concat_ws("x", F.col("row").cast("long").cast("string"), F.col("col").cast("long").cast("string")))
+
 
+BY_PLACE = "(SELECT * EXCLUDE (spot_id), CAST(CAST(\"row\" AS BIGINT) AS VARCHAR) || 'x' || CAST(CAST(col AS BIGINT) AS VARCHAR) AS spot_id FROM spots)"
 
-@query("sample_rate", "SELECT CAST(floor(0.3 * count(*)) AS BIGINT) AS n FROM spots")
+
+@query("sample_rate", f"SELECT sample_id, spot_id FROM (SELECT *, row_number() OVER (ORDER BY {BY_HASH}) AS r, count(*) OVER () AS n FROM {BY_PLACE}) WHERE r <= floor(0.3 * n)")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return markers.sample_rate(spots(spark, sf), 0.3).agg(F.count("*").alias("n"))
+    return markers.sample_rate(by_place(spots(spark, sf)), 0.3).select("sample_id", "spot_id")
 
 
 @query("scale_genes", "SELECT sample_id, spot_id, gene, round(scaled, 6) AS scaled FROM scaled")
@@ -429,10 +444,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return display.dot_summary(expr(spark, sf), clusters(spark, sf)).select("cluster", "gene", r6("mean").alias("mean"), r6("pct").alias("pct"), r6("scaled").alias("scaled"))
 
 
-@query("heatmap_rows", "SELECT label AS cluster, sample_id, spot_id, gene, round(scaled, 6) AS scaled FROM scaled JOIN (SELECT sample_id, spot_id, label FROM spots QUALIFY row_number() OVER (PARTITION BY label ORDER BY spot_id) <= 40) USING (sample_id, spot_id) SEMI JOIN (SELECT gene FROM ranked WHERE rank <= 10) g USING (gene)")
+@query("heatmap_rows", f"SELECT label AS cluster, sample_id, spot_id, gene, round(scaled, 6) AS scaled FROM scaled JOIN (SELECT sample_id, spot_id, label FROM spots QUALIFY row_number() OVER (PARTITION BY label ORDER BY {BY_HASH}) <= 40) USING (sample_id, spot_id) SEMI JOIN (SELECT gene FROM ranked WHERE rank <= 10) g USING (gene)")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     chosen = ranked(spark, sf).where("rank <= 10").select("gene").distinct()
-    return display.heatmap_rows(expr(spark, sf), clusters(spark, sf), chosen, 40, None).withColumn("scaled", r6("scaled"))
+    return display.heatmap_rows(expr(spark, sf), clusters(spark, sf), chosen, 40).withColumn("scaled", r6("scaled"))
 
 
 @query("rgb_display", "SELECT sample_id, spot_id, '#' || " + " || ".join(f"printf('%02X', CAST(floor((CASE WHEN max({c}) OVER w > min({c}) OVER w THEN ({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) ELSE 0 END) * 255 + 0.5) AS BIGINT))" for c in ("x", "y", "col")) + " AS rgb FROM spots WINDOW w AS (PARTITION BY sample_id)")
@@ -483,6 +498,13 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("cluster", "gene", "pct1", "pct2", *[r6(c).alias(c) for c in ("avg_log2fc", "z", "p", "p_adj")])
 
 
+@query("markers_corrected", MARKER_SQL.replace("spots CROSS JOIN (SELECT DISTINCT gene FROM expr) LEFT JOIN expr USING (sample_id, spot_id, gene)", "spots JOIN corrected USING (sample_id, spot_id)"))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    done, listed = iterative.corrected(spark, sf)
+    own = clusters(spark, sf).join(done.select("sample_id", "spot_id"), ["sample_id", "spot_id"], "left_semi")
+    return markers.rank_sums(correct.long_values(done, listed), own).select("cluster", "gene", *[r6(c).alias(c) for c in ("pct1", "pct2", "avg_log2fc", "z")])
+
+
 for _name, (_run, _sql) in iterative.QUERIES.items():
     query(_name, _sql)(_run)
 
