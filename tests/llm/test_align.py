@@ -80,8 +80,8 @@ def test_without_broadcast(spark, monkeypatch):
 def test_document_counts(spark):
     docs = spark.createDataFrame([(i, "the the the cat" if i % 3 else "the dog") for i in range(300)], "doc_id long, text string").repartition(2)
     pairs = align.align(docs)[1].toPandas()
-    the = align.Aligner(align.Settings()).one("the")[1][0]
-    cat = align.Aligner(align.Settings()).one("cat")[1][0]
+    both = align.Aligner(align.Settings())
+    the, cat = (int(both.links(both.numbers([w]))[0]) for w in ("the", "cat"))
     by = pairs.set_index("pair")
     assert by.loc[the, "docs"] == 300 and by.loc[the, "links"] == 700
     assert by.loc[cat, "docs"] == by.loc[cat, "links"] == 200

@@ -27,6 +27,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -69,12 +70,26 @@ def piece_engine(name: str) -> tuple[sentencepiece.SentencePieceProcessor, list[
 
 #: A space after white space: no place to cut at.
 LOOSE = re.compile(r"\s ")
-#: Segments of a text that are handled at a time.
-BLOCK = 1 << 16
+#: Where a long text may be cut.
+CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Characters of a text that are handled at a time.
+BLOCK = 1 << 20
+
+
+def stretches(text: str) -> Iterator[str]:
+    """A long text in parts that both tokenizers encode as they do in place; each but the first is meant with the space before it."""
+    start = 0
+    while start + BLOCK < len(text):
+        found = CUT.search(text, start + BLOCK)
+        if not found:
+            break
+        yield text[start : found.start()]
+        start = found.start() + 1
+    yield text[start:]
 
 
 def segments(text: str) -> list[str]:
-    """Texts, each meant with a space before it, that both tokenizers encode as they do in place."""
+    """Words of a text, each meant with a space before it, that both tokenizers encode as they do in place."""
     words = text.split(" ")
     if words[0] and words[-1] and not LOOSE.search(text):
         return words
@@ -91,61 +106,100 @@ def segments(text: str) -> list[str]:
     return [*out, now]
 
 
+class Column:
+    """A growing array."""
+
+    def __init__(self, kind: type):
+        self.data, self.n = np.zeros(1024, kind), 0
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.zeros(max(self.n, len(x)), self.data.dtype)])
+        self.data[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+
 class Aligner:
-    """Encodes and aligns segments, and numbers those it has seen; arrays by number have what a segment adds to a text."""
+    """Encodes and aligns segments, and numbers those it has seen; columns by number have what a segment adds to a text.
+
+    New segments of a text are encoded together, as both tokenizers cut between them; ``n_a`` is -1 where bytes differ.
+    """
 
     def __init__(self, s: Settings):
         self.s = s
         self.a, self.bytes_a, _ = engine(s.vocabulary, s.tokenizer)
         self.b, self.bytes_b = piece_engine(s.pieces)
+        self.len_a, self.len_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
+        self.names = list(map(str, range(max(len(self.len_a), len(self.len_b)))))
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.groups: list[str] = []
-        self.links: list[list[int]] = []
-        self.sizes: list[tuple[int, int]] = []
+        self.n_a, self.n_b, self.n_links, self.starts, self.pairs = (Column(np.int64) for _ in range(5))
         self.held = 0
 
     def full(self) -> bool:
         return self.held > self.s.keep_bytes
 
-    def one(self, segment: str) -> tuple[tuple[int, int], list[int], str]:
-        """Numbers of tokens, linked pairs (a id, b id as one number) and groups of a segment; (-1, -1) if its bytes differ."""
-        a, b = self.a.encode_ordinary(" " + segment), self.b.encode(segment)
-        data = b" " + segment.encode("utf-8", "replace")
-        if not b or b"".join(map(self.bytes_a.__getitem__, a)) != data or b"".join(map(self.bytes_b.__getitem__, b)) != data:
-            return (-1, -1), [], ""
-        links, groups = [], []
-        i = j = first_a = first_b = 0
-        end_a, end_b = len(self.bytes_a[a[0]]), len(self.bytes_b[b[0]])
-        while True:
-            if end_a == end_b:
-                links.append(a[i] << 32 | b[j])
-                groups.append(f"{','.join(map(str, a[first_a : i + 1]))}|{','.join(map(str, b[first_b : j + 1]))}")
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    return (len(a), len(b)), links, ";".join(groups)
-                first_a, first_b = i, j
-                end_a, end_b = end_a + len(self.bytes_a[a[i]]), end_b + len(self.bytes_b[b[j]])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(self.bytes_a[a[i]])
-            else:
-                j += 1
-                end_b += len(self.bytes_b[b[j]])
+    def keep(self, parts: list[str], n_a: np.ndarray, n_b: np.ndarray, n_links: np.ndarray, pairs: np.ndarray, groups: list[str]) -> None:
+        first, starts = len(self.number), self.pairs.n + np.cumsum(n_links) - n_links
+        self.number.update(zip(parts, range(first, first + len(parts)), strict=True))
+        for column, x in ((self.n_a, n_a), (self.n_b, n_b), (self.n_links, n_links), (self.starts, starts), (self.pairs, pairs)):
+            column.add(x)
+        self.groups += groups
+        self.held += 2 * sum(map(len, parts)) + sum(map(len, groups)) + 8 * len(pairs) + 260 * len(parts)
+
+    def learn(self, parts: list[str]) -> None:
+        """Encodes and aligns new segments. Several must neither begin nor end with white space."""
+        text = " ".join(parts)
+        a, b = np.array(self.a.encode_ordinary(" " + text), np.int64), np.array(self.b.encode(text), np.int64)
+        data = (" " + text).encode("utf-8", "replace")
+        sizes = map(len, parts) if text.isascii() else (len(p.encode("utf-8", "replace")) for p in parts)
+        ends = np.cumsum(np.fromiter(sizes, np.int64, len(parts)) + 1)
+        ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
+        fine = b"".join(map(self.bytes_b.__getitem__, b.tolist())) == data and ends_a[-1] == len(data)  # the first tokenizer only cuts bytes
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True) if fine else ends[:0]
+        if not fine or not np.isin(ends, common).all():
+            if len(parts) == 1:
+                none = np.zeros(1, np.int64)
+                return self.keep(parts, none - 1, none - 1, none, none[:0], [""])
+            half = len(parts) // 2
+            self.learn(parts[:half])
+            return self.learn(parts[half:])
+        at_a, at_b = np.searchsorted(ends_a, common), np.searchsorted(ends_b, common)
+        last = np.searchsorted(common, ends)  # the last group of each segment
+        self.keep(parts, np.diff(at_a[last] + 1, prepend=0), np.diff(at_b[last] + 1, prepend=0), np.diff(last + 1, prepend=0), a[at_a] << 32 | b[at_b], self.written(a, b, ends_a, ends_b, common, at_a, at_b, last))
+
+    def written(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, common: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, last: np.ndarray) -> list[str]:
+        """The groups of each segment as text: all ids in the order of groups, with what stands before each."""
+        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        place_a = np.arange(len(a)) + np.append(0, at_b + 1)[group_a]
+        place_b = np.arange(len(b)) + (at_a + 1)[group_b]
+        ids, marks = np.empty(len(a) + len(b), np.int64), np.zeros(len(a) + len(b), np.int64)
+        ids[place_a], ids[place_b] = a, b
+        begins = np.ones(len(common), np.int64)  # a group begins with ";", the first one of a segment with a new line
+        begins[np.append(0, last[:-1] + 1)] = 2
+        marks[place_a[np.append(0, at_a[:-1] + 1)]] = begins
+        marks[place_b[np.append(0, at_b[:-1] + 1)]] = 3
+        signs = map((",", ";", "\n", "|").__getitem__, marks.tolist())
+        return "".join(chain.from_iterable(zip(signs, map(self.names.__getitem__, ids.tolist()), strict=True))).split("\n")[1:]
 
     def numbers(self, parts: list[str]) -> np.ndarray:
         """The numbers of segments; new ones are aligned."""
-        number = self.number
-        for p in set(parts).difference(number):
-            sizes, links, groups = self.one(p)
-            number[p] = len(self.sizes)
-            self.sizes.append(sizes)
-            self.links.append(links)
-            self.groups.append(groups)
-            self.held += 4 * len(p) + 2 * len(groups) + 40 * len(links) + 300
-        return np.fromiter(map(number.__getitem__, parts), np.int64, len(parts))
+        new = [p for p in dict.fromkeys(parts) if p not in self.number]
+        safe = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
+        if safe:
+            self.learn(safe)
+        if len(safe) < len(new):
+            for p in set(new).difference(safe):
+                self.learn([p])
+        return np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
+
+    def links(self, at: np.ndarray) -> np.ndarray:
+        """The linked pairs of segments, one after the other."""
+        n = self.n_links.data[at]
+        return self.pairs.data[np.arange(n.sum()) + np.repeat(self.starts.data[at] - np.cumsum(n) + n, n)]
 
 
 class Chunk:
@@ -166,9 +220,15 @@ class Chunk:
         if not self.pairs:
             return
         pair, doc = np.concatenate(self.pairs), np.concatenate(self.docs)
-        known, at = np.unique(pair, return_inverse=True)
-        key, times = np.unique(at << 16 | doc, return_counts=True)
-        at, doc, more = key >> 16, (key & 0xFFFF).astype(np.uint16), times - 1
+        b = pair & 0xFFFFFFFF
+        size = int(b.max()) + 1
+        key = ((pair >> 32) * size + b) << 16 | doc  # ids of at most 23 bits
+        key.sort()
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        more = np.diff(np.append(starts, len(key))) - 1
+        key = key[starts]
+        at, doc = key >> 16, (key & 0xFFFF).astype(np.uint16)
+        at = (at // size) << 32 | at % size
         for plane in range(1 + int(more.max()).bit_length()):
             set_ = np.ones(len(key), bool) if plane == 0 else (more >> (plane - 1) & 1).astype(bool)
             if not set_.any():
@@ -177,7 +237,7 @@ class Chunk:
             starts = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
             ends = np.append(starts[1:], len(pairs))
             data = docs.tobytes()
-            for p, low, high in zip(known[pairs[starts]].tolist(), starts.tolist(), ends.tolist(), strict=True):
+            for p, low, high in zip(pairs[starts].tolist(), starts.tolist(), ends.tolist(), strict=True):
                 yield p, plane, high - low, container(data[2 * low : 2 * high])
 
 
@@ -246,28 +306,22 @@ def document(align: Aligner, chunk: Chunk, text: str | None) -> tuple[int, int,
     """Numbers of tokens and groups of a text, and the digest of its groups; its links go to the chunk."""
     if not text:
         return 0, 0, 0, ""
-    n_a = n_b = n_groups = 0
-    digest, found, parts = hashlib.sha256(), [], segments(text)
-    for k in range(0, len(parts), BLOCK):
+    sums, digest, found = np.zeros(3, np.int64), hashlib.sha256(), []
+    for part in stretches(text):
         if align.full():
             align.clear()
-        at = align.numbers(parts[k : k + BLOCK]).tolist()
-        a, b = zip(*map(align.sizes.__getitem__, at), strict=True)
-        if -1 in a:
+        at = align.numbers(segments(part))
+        n_a = align.n_a.data[at]
+        if n_a.min() < 0:
             return 0, 0, 0, ""
-        n_a, n_b = n_a + sum(a), n_b + sum(b)
-        if k:
+        sums += n_a.sum(), align.n_b.data[at].sum(), align.n_links.data[at].sum()
+        if found:
             digest.update(b";")
-        digest.update(";".join(map(align.groups.__getitem__, at)).encode())
-        linked: list[int] = []
-        for links in map(align.links.__getitem__, at):
-            linked += links
-        found.append(np.array(linked, np.int64))
-        n_groups += len(linked)
-    row = len(chunk.rows)
+        digest.update(";".join(map(align.groups.__getitem__, at.tolist())).encode())
+        found.append(align.links(at))
     for pairs in found:
-        chunk.links(row, pairs)
-    return n_a, n_b, n_groups, digest.hexdigest()
+        chunk.links(len(chunk.rows), pairs)
+    return *sums.tolist(), digest.hexdigest()
 
 
 def pair_counts(lists: DataFrame) -> DataFrame:
