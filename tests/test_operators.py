@@ -389,3 +389,48 @@ def test_composed_integration_checks_its_input(spark):
     same = counts.union(counts.where("gene = 'Gene0'").withColumn("gene", F.lit("GENE0")))
     got = correct.integrate_samples(same, fitted, places, "mouse", rate=0.5)
     assert got.genes.count() == 14 and got.rows.count() == 110
+
+
+def slow_spatial_p(y, places):
+    """The combined p-value of one gene over all spots, by NumPy, with the rank of each pair of features."""
+    n, scale = len(y), 1 - y.sum() ** 2 / len(y) / (y * y).sum()
+    s = places - places.mean(0)
+    length = np.quantile(np.abs(s), [0.2, 0.4, 0.6, 0.8, 1.0], axis=0)
+    pairs = [s]
+    for w in np.maximum(length, 1e-12):
+        pairs += [np.exp(-s * s / (2 * w * w)), np.cos(2 * np.pi * s / w)]
+    found = []
+    for x in pairs:
+        x = x - x.mean(0)
+        rank = np.linalg.matrix_rank(x, tol=1e-9 * max(1, np.abs(x).max()) * math.sqrt(n))
+        if rank:
+            stat = n * np.sum((np.linalg.svd(x, full_matrices=False)[0][:, :rank].T @ y) ** 2) / (y * y).sum() / scale
+            found.append(math.exp(-stat / 2) if rank == 2 else math.erfc(math.sqrt(stat / 2)))
+    if not found:
+        return 1.0
+    most = 1 - 1 / len(found) if len(found) > 1 else 1.0
+    t = np.mean([1 / (max(p, 1e-300) * math.pi) if p < 1e-15 else math.tan((0.5 - min(p, most)) * math.pi) for p in found])
+    return 1 / (t * math.pi) if t > 1e15 else 0.5 - math.atan(t) / math.pi
+
+
+@pytest.mark.parametrize("shape", ["row", "column", "diagonal", "field", "point"])
+def test_spatial_genes_in_samples_of_any_shape(spark, shape):
+    """Spots along a line: the gene that is ten-fold at one end comes first, and p-values are those of dense projections."""
+    rng = np.random.default_rng(21)
+    n = 200
+    along = np.arange(n, dtype=float)
+    places = {"row": np.column_stack([along, np.full(n, 3.0)]), "column": np.column_stack([np.zeros(n), along * 7]), "diagonal": np.column_stack([along, 2 * along + 1]), "field": np.column_stack([along % 20, along // 20]), "point": np.full((n, 2), 5.0)}[shape]
+    counts = {"planted": rng.poisson(np.where(along < 60, 20, 2)), "flat": rng.poisson(5, n), "sparse": rng.poisson(0.3, n), "other": rng.poisson(3, n), "same": np.full(n, 2)}
+    c = spark.createDataFrame([("s", str(i), g, int(v)) for g, x in counts.items() for i, v in enumerate(x) if v], "sample_id string, spot_id string, gene string, cnt long")
+    s = spark.createDataFrame([("s", str(i), float(p[1]), float(p[0])) for i, p in enumerate(places)], "sample_id string, spot_id string, row double, col double")
+    got = {r["gene"]: r for r in genes.svg_rank(c, s).collect()}
+    p = {g: slow_spatial_p(x.astype(float), places) for g, x in counts.items() if g != "same"}
+    p["same"] = 1.0 if shape == "point" else 0.5  # nothing to test
+    order = sorted(p, key=lambda g: (p[g], g))
+    adjusted, least = {}, 1.0
+    h = sum(1 / i for i in range(1, 6))
+    for i in range(5, 0, -1):
+        least = min(least, p[order[i - 1]] * 5 * h / i)
+        adjusted[order[i - 1]] = least
+    assert {g: r["p_adj"] for g, r in got.items()} == pytest.approx(adjusted, rel=1e-6, abs=1e-12)
+    assert shape == "point" or (got["planted"]["rank"] == 1 and got["planted"]["p_adj"] < 1e-6)

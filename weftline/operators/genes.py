@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.error import erfc
+from ..functions.order import quantiles
 from ..sources.checkpoints import checkpointed
 from .qc import SPOT, gene_filter, log_normalize, spot_filter, subset_genes
 
@@ -28,10 +30,10 @@ def kernel_features(spots: DataFrame, x: str = "col", y: str = "row") -> DataFra
     middle = spots.groupBy("sample_id").agg(F.avg(x).alias("__x"), F.avg(y).alias("__y"))  # one row a sample, as below
     s = spots.join(F.broadcast(middle), "sample_id").select(*SPOT, (F.col(x) - F.col("__x")).cast("double").alias("a"), (F.col(y) - F.col("__y")).cast("double").alias("b"))
     q = [0.2, 0.4, 0.6, 0.8, 1.0]
-    for k in "ab":  # places are counted first: on a lattice few differ
-        each = s.groupBy("sample_id", F.abs(k).alias("v")).agg(F.count("*").alias("n"))
-        quantiles = each.groupBy("sample_id").agg(F.percentile("v", F.array(*map(F.lit, q)), F.col("n")).alias(f"q{k}"))
-        s = s.join(F.broadcast(quantiles), "sample_id")
+    sizes = checkpointed(s.select("sample_id", F.explode(F.array(*[F.struct(F.lit(k).alias("axis"), F.abs(k).alias("v")) for k in "ab"])).alias("e")).select("sample_id", "e.*"))
+    lengths = quantiles(sizes, ["sample_id", "axis"], "v", q)
+    lengths = lengths.groupBy("sample_id").agg(*[F.first(F.when(F.col("axis") == k, F.col("q")), ignorenulls=True).alias(f"q{k}") for k in "ab"])
+    s = s.join(F.broadcast(lengths), "sample_id")
     columns = [F.col(k) for k in "ab"]
     for i in range(len(q)):
         for form in (lambda v, w: F.exp(-v * v / (2 * w * w)), lambda v, w: F.cos(2 * math.pi * v / w)):
@@ -64,20 +66,37 @@ def projection_p(sums: DataFrame, moments: DataFrame, pair: int = 0) -> DataFram
 
 
 def svg_rank(counts: DataFrame, spots: DataFrame, pairs: int = 11) -> DataFrame:
-    """``(sample_id, gene, rank, p_adj)``: spatially variable genes by the combined, Benjamini-Yekutieli adjusted p-value."""
+    """``(sample_id, gene, rank, p_adj)``: spatially variable genes by the combined, Benjamini-Yekutieli adjusted p-value.
+
+    A pair of features whose columns depend on each other, as all do where spots lie along an axis, has rank one and one degree
+    of freedom; one whose columns vanish takes no part, so that the combination is over the pairs that a sample has.
+    """
     sums, moments = projection_sums(counts, checkpointed(kernel_features(spots)), pairs)
-    d = sums.join(F.broadcast(moments), "sample_id")
+    moments = checkpointed(moments)  # a row a sample
     scale = 1 - F.col("sy") * F.col("sy") / F.col("n") / F.col("syy")
-    terms = []
+    stats, two, one = [], [], []
     for k in range(pairs):
-        a, b, aa, ab, bb = F.col(f"s{2 * k}"), F.col(f"s{2 * k + 1}"), F.col(f"aa{k}"), F.col(f"ab{k}"), F.col(f"bb{k}")
+        a, b, aa, ab, bb = (F.col(x) for x in (f"s{2 * k}", f"s{2 * k + 1}", f"aa{k}", f"ab{k}", f"bb{k}"))
         det = aa * bb - ab * ab
-        stat = F.col("n") * (bb * a * a - 2 * ab * a * b + aa * b * b) / det / F.col("syy")
-        p = F.least(F.exp(-stat / (2 * scale)), F.lit(1 - 1 / pairs))
+        two.append(det > 1e-9 * aa * bb)
+        one.append(~two[k] & (F.greatest(aa, bb) > 1e-18 * F.col("n")))
+        full = (bb * a * a - 2 * ab * a * b + aa * b * b) / F.when(two[k], det)
+        stats.append(F.when(two[k], full).when(one[k], F.when(aa >= bb, a * a / aa).otherwise(b * b / bb)) * F.col("n") / F.col("syy") / scale)
+    d = sums.join(F.broadcast(moments), "sample_id")
+    alone = F.array(*[F.lit(None).cast("double")] * pairs)
+    if not moments.where(F.array_contains(F.array(*one), True)).isEmpty():
+        alone = erfc(F.array(*[F.when(o & (scale > 0), F.sqrt(x / 2)) for o, x in zip(one, stats, strict=True)]))
+    d = d.withColumn("alone", alone)
+    used = sum((F.when(t | o, 1).otherwise(0) for t, o in zip(two, one, strict=True)), F.lit(0))
+    d = d.withColumn("used", used)
+    most = F.when(F.col("used") > 1, 1 - 1 / F.col("used")).otherwise(F.lit(1.0))
+    terms = []
+    for k in range(pairs):
+        p = F.least(F.when(two[k], F.exp(-stats[k] / 2)).otherwise(F.col("alone")[k]), most)
         term = F.when(p < 1e-15, 1 / (F.greatest(p, F.lit(1e-300)) * math.pi)).otherwise(F.tan((0.5 - p) * math.pi))
-        terms.append(F.when((det > 1e-9 * aa * bb) & (scale > 0), term).otherwise(F.lit(0.0)))
-    t = sum(terms[1:], terms[0]) / pairs
-    p = F.when(t > 1e15, 1 / (t * math.pi)).otherwise(0.5 - F.atan(t) / math.pi)
+        terms.append(F.when((two[k] | one[k]) & (scale > 0), term).otherwise(F.lit(0.0)))
+    t = sum(terms[1:], terms[0]) / F.greatest(F.col("used"), F.lit(1))
+    p = F.when(F.col("used") == 0, F.lit(1.0)).when(t > 1e15, 1 / (t * math.pi)).otherwise(0.5 - F.atan(t) / math.pi)
     rows = d.select("sample_id", "gene", p.alias("p"))
     per = Window.partitionBy("sample_id")
     order = per.orderBy("p", "gene")

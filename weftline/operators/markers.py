@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.error import erfc
 from ..functions.order import SMALL, cut_points, part_of, sized_broadcast
 from ..sources.checkpoints import checkpointed
 from .qc import SPOT
@@ -54,7 +54,7 @@ def downsample(rows: DataFrame, group: str, m: int, seed: int | None = 1, keys:
 
     The same rows for any partitioning, also where barcodes repeat over samples.
     """
-    keys = SPOT if keys is None else keys
+    keys = [c for c in SPOT if c in rows.columns] if keys is None else keys
     if seed is None:
         return rows.withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(*keys))).where(F.col("__r") <= m).drop("__r")
     return smallest_hashes(rows, [group], lambda n: F.lit(m).cast("long"), keys, seed)
@@ -64,7 +64,7 @@ def sample_rate(rows: DataFrame, rate: float, seed: int = 1, keys: list[str] | N
     """Exactly floor(rate * n) rows, by a hash of seed and keys (the sample and the spot): the same ones however rows are partitioned."""
     if not 0 <= rate <= 1:
         raise ValueError("rate is from 0 to 1")
-    return smallest_hashes(rows, [], lambda n: F.floor(n * F.lit(float(rate))), SPOT if keys is None else keys, seed)
+    return smallest_hashes(rows, [], lambda n: F.floor(n * F.lit(float(rate))), [c for c in SPOT if c in rows.columns] if keys is None else keys, seed)
 
 
 def rank_sums(expr: DataFrame, clusters: DataFrame, small: int = SMALL) -> DataFrame:
@@ -119,10 +119,6 @@ def markers(expr: DataFrame, clusters: DataFrame, min_pct: float = 0.1, min_log2
     """Rows of ``rank_sums`` that pass the thresholds, with p and Bonferroni-adjusted p."""
     genes = expr.select("gene").distinct().count()
 
-    @F.pandas_udf("double")
-    def two_sided(z: pd.Series) -> pd.Series:
-        return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)))
-
     d = rank_sums(expr, clusters).where((F.greatest("pct1", "pct2") >= min_pct) & (F.col("avg_log2fc") >= min_log2fc))
-    d = d.withColumn("p", two_sided("z")).where(F.col("p") < max_p)
+    d = d.withColumn("p", erfc(F.array(F.abs("z") / math.sqrt(2)))[0]).where(F.col("p") < max_p)
     return d.withColumn("p_adj", F.least(F.lit(1.0), F.col("p") * genes))

@@ -273,7 +273,14 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return genes.projection_p(*genes.projection_sums(k, genes.kernel_features(s), 1)).select("sample_id", "gene", r6("stat").alias("stat"), r6("p").alias("p"))
 
 
-def _svg_sql() -> str:
+def _erfc_sql(x: str) -> str:
+    """The complementary error function: its series below 2, a continued fraction above."""
+    series = f"list_sum(list_transform(range(0, 60), lambda i: CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END * pow({x}, 2 * i + 1) / (gamma(i + 1) * (2 * i + 1))))"
+    fraction = f"list_reduce(list_concat([{x}], CAST(range(150, 0, -1) AS DOUBLE[])), lambda acc, k: {x} + k / 2 / acc)"
+    return f"CASE WHEN {x} < 2 THEN 1 - 2 / sqrt(pi()) * {series} ELSE exp(-{x} * {x}) / sqrt(pi()) / {fraction} END"
+
+
+def _svg_sql(places: str = "spots") -> str:
     """The combined test of all eleven pairs of features by SQL over every spot, with its adjusted ranks."""
     pairs = [("a", "b")]
     for i in range(1, 6):
@@ -281,20 +288,27 @@ def _svg_sql() -> str:
     flat = [x for p in pairs for x in p]
     n, each = len(flat), range(len(pairs))
     det = [f"(aa{k} * bb{k} - ab{k} * ab{k})" for k in each]
-    stat = [f"n * (bb{k} * s{2 * k} * s{2 * k} - 2 * ab{k} * s{2 * k} * s{2 * k + 1} + aa{k} * s{2 * k + 1} * s{2 * k + 1}) / {det[k]} / syy" for k in each]
-    p = [f"least(exp(-({stat[k]}) / (2 * (1 - sy * sy / n / syy))), {1 - 1 / len(pairs)!r})" for k in each]
-    terms = [f"CASE WHEN {det[k]} > 1e-9 * aa{k} * bb{k} AND 1 - sy * sy / n / syy > 0 THEN CASE WHEN p{k} < 1e-15 THEN 1 / (greatest(p{k}, 1e-300) * pi()) ELSE tan((0.5 - p{k}) * pi()) END ELSE 0 END" for k in each]
+    two = [f"{det[k]} > 1e-9 * aa{k} * bb{k}" for k in each]
+    full = [f"(bb{k} * s{2 * k} * s{2 * k} - 2 * ab{k} * s{2 * k} * s{2 * k + 1} + aa{k} * s{2 * k + 1} * s{2 * k + 1}) / {det[k]}" for k in each]
+    single = [f"CASE WHEN aa{k} >= bb{k} THEN s{2 * k} * s{2 * k} / aa{k} ELSE s{2 * k + 1} * s{2 * k + 1} / bb{k} END" for k in each]
+    rank = [f"CASE WHEN {two[k]} THEN 2 WHEN greatest(aa{k}, bb{k}) > 1e-18 * n THEN 1 ELSE 0 END" for k in each]
+    stat = [f"CASE r{k} WHEN 2 THEN {full[k]} WHEN 1 THEN {single[k]} END * n / syy / l" for k in each]
+    p = [f"CASE r{k} WHEN 2 THEN exp(-x{k} / 2) WHEN 1 THEN {_erfc_sql(f'sqrt(x{k} / 2)')} END" for k in each]
+    most = "CASE WHEN used > 1 THEN 1 - 1.0::DOUBLE / used ELSE 1 END"
+    terms = [f"CASE WHEN r{k} > 0 AND l > 0 THEN CASE WHEN p{k} < 1e-15 THEN 1 / (greatest(p{k}, 1e-300) * pi()) ELSE tan((0.5 - least(p{k}, {most})) * pi()) END ELSE 0 END" for k in each]
     return f"""SELECT sample_id, gene, row_number() OVER (PARTITION BY sample_id ORDER BY p_adj, p, gene) AS rank, round(p_adj, 6) AS p_adj FROM (WITH
-  s0 AS (SELECT sample_id, spot_id, col - avg(col) OVER (PARTITION BY sample_id) AS a, "row" - avg("row") OVER (PARTITION BY sample_id) AS b FROM spots SEMI JOIN kept USING (sample_id, spot_id)),
+  s0 AS (SELECT sample_id, spot_id, col - avg(col) OVER (PARTITION BY sample_id) AS a, "row" - avg("row") OVER (PARTITION BY sample_id) AS b FROM {places} SEMI JOIN kept USING (sample_id, spot_id)),
   q AS (SELECT sample_id, quantile_cont(abs(a), [0.2, 0.4, 0.6, 0.8, 1.0]) AS qa0, quantile_cont(abs(b), [0.2, 0.4, 0.6, 0.8, 1.0]) AS qb0 FROM s0 GROUP BY sample_id),
   q1 AS (SELECT sample_id, list_transform(qa0, lambda x: greatest(x, 1e-12)) AS qa, list_transform(qb0, lambda x: greatest(x, 1e-12)) AS qb FROM q),
   f0 AS (SELECT sample_id, spot_id, {", ".join(f"{x} AS f{i}" for i, x in enumerate(flat))} FROM s0 JOIN q1 USING (sample_id)),
   f AS (SELECT sample_id, spot_id, {", ".join(f"f{i} - avg(f{i}) OVER (PARTITION BY sample_id) AS f{i}" for i in range(n))} FROM f0),
   g AS (SELECT kept.sample_id, gene, {", ".join(f"sum(cnt * f{i}) AS s{i}" for i in range(n))}, sum(cnt)::DOUBLE AS sy, sum(cnt * cnt)::DOUBLE AS syy FROM kept JOIN f USING (sample_id, spot_id) GROUP BY ALL),
   m AS (SELECT sample_id, count(*) AS n, {", ".join(f"sum(f{2 * k} * f{2 * k}) AS aa{k}, sum(f{2 * k} * f{2 * k + 1}) AS ab{k}, sum(f{2 * k + 1} * f{2 * k + 1}) AS bb{k}" for k in each)} FROM f GROUP BY sample_id),
-  j AS (SELECT g.*, m.* EXCLUDE (sample_id), {", ".join(f"{x} AS p{k}" for k, x in enumerate(p))} FROM g JOIN m USING (sample_id)),
-  t AS (SELECT sample_id, gene, ({" + ".join(terms)}) / {len(pairs)} AS t FROM j),
-  p AS (SELECT sample_id, gene, CASE WHEN t > 1e15 THEN 1 / (t * pi()) ELSE 0.5 - atan(t) / pi() END AS p FROM t),
+  j0 AS (SELECT g.*, m.* EXCLUDE (sample_id), 1 - sy * sy / n / syy AS l, {", ".join(f"{x} AS r{k}" for k, x in enumerate(rank))} FROM g JOIN m USING (sample_id)),
+  j1 AS (SELECT *, {", ".join(f"{x} AS x{k}" for k, x in enumerate(stat))}, {" + ".join(f"CAST(r{k} > 0 AS INT)" for k in each)} AS used FROM j0),
+  j AS (SELECT *, {", ".join(f"{x} AS p{k}" for k, x in enumerate(p))} FROM j1),
+  t AS (SELECT sample_id, gene, used, ({" + ".join(terms)}) / greatest(used, 1) AS t FROM j),
+  p AS (SELECT sample_id, gene, CASE WHEN used = 0 THEN 1 WHEN t > 1e15 THEN 1 / (t * pi()) ELSE 0.5 - atan(t) / pi() END AS p FROM t),
   r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY p, gene) AS i, count(*) OVER (PARTITION BY sample_id) AS g FROM p),
   h AS (SELECT *, sum(1.0::DOUBLE / i) OVER (PARTITION BY sample_id) AS h FROM r)
   SELECT sample_id, gene, p, least(1.0, min(p * g * h / i) OVER (PARTITION BY sample_id ORDER BY i DESC ROWS UNBOUNDED PRECEDING)) AS p_adj FROM h)"""
@@ -307,6 +321,17 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("p_adj", r6("p_adj"))
 
 
+#: The same spots in one row of places a sample.
+LINE = "(SELECT sample_id, spot_id, 0.0::DOUBLE AS \"row\", CAST(CAST(spot_id AS BIGINT) // 5 AS DOUBLE) AS col FROM spots)"
+
+
+@query("svg_rank_line", _svg_sql(LINE))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    k = kept(spark, sf)
+    line = spots(spark, sf).select("sample_id", "spot_id", F.lit(0.0).alias("row"), F.floor(F.col("spot_id").cast("long") / 5).cast("double").alias("col"))
+    return genes.svg_rank(k, line.join(k.select("sample_id", "spot_id").distinct(), ["sample_id", "spot_id"], "left_semi")).withColumn("p_adj", r6("p_adj"))
+
+
 @query("hvg_moments", "SELECT sample_id, gene, round(sum(cnt) / n, 6) AS mean, round((sum(cnt * cnt) - n * (sum(cnt) / n) ** 2) / (n - 1), 6) AS var, count(*) AS nnz FROM kept JOIN (SELECT sample_id, count(DISTINCT spot_id) n FROM kept GROUP BY sample_id) USING (sample_id) GROUP BY sample_id, gene, n")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     k = kept(spark, sf)
@@ -483,12 +508,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _markers_sql() -> str:
-    """The same statistics with two-sided normal p-values from the series of the error function (0 where they are below 1e-9)."""
+    """The same statistics with two-sided normal p-values."""
     z = "(u - sign(u) * 0.5) / sqrt(n1 * (n - n1) / 12.0 * ((n + 1) - ties / (n * (n - 1.0))))"
     inner = MARKER_SQL.replace(f"round({z}, 6) AS z", f"{z} AS z").replace("round(log2(e1 / n1 + 1) - log2((e - e1) / (n - n1) + 1), 6) AS avg_log2fc", "log2(e1 / n1 + 1) - log2((e - e1) / (n - n1) + 1) AS avg_log2fc")
     x = "(abs(z) / sqrt(2))"
-    series = f"list_sum(list_transform(range(0, 90), lambda i: CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END * pow({x}, 2 * i + 1) / (gamma(i + 1) * (2 * i + 1))))"
-    p = f"CASE WHEN {x} > 4.5 THEN 0 ELSE 1 - 2 / sqrt(pi()) * {series} END"
+    p = _erfc_sql(x)
     return f"SELECT cluster, gene, pct1, pct2, round(avg_log2fc, 6) AS avg_log2fc, round(z, 6) AS z, round(p, 6) AS p, round(least(1, p * (SELECT count(DISTINCT gene) FROM expr)), 6) AS p_adj FROM (SELECT *, {p} AS p FROM ({inner})) WHERE greatest(pct1, pct2) >= 0.05 AND avg_log2fc >= 0 AND p < 0.5"
 
 
