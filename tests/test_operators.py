@@ -434,3 +434,52 @@ def test_spatial_genes_in_samples_of_any_shape(spark, shape):
         adjusted[order[i - 1]] = least
     assert {g: r["p_adj"] for g, r in got.items()} == pytest.approx(adjusted, rel=1e-6, abs=1e-12)
     assert shape == "point" or (got["planted"]["rank"] == 1 and got["planted"]["p_adj"] < 1e-6)
+
+
+def _sparse_samples(spark, n, p, seed, share=0.2):
+    """Sparse rows of two samples with a few strong directions."""
+    rng = np.random.default_rng(seed)
+    x = np.maximum(rng.normal(size=(n, 4)) @ rng.normal(size=(4, p)) * 2 + rng.normal(size=(n, p)), 0) * (rng.random((n, p)) < share)
+    rows = [("ab"[i % 2], str(i), np.flatnonzero(r).tolist(), r[r != 0].tolist()) for i, r in enumerate(x)]
+    return x, spark.createDataFrame(rows, "sample_id string, spot_id string, idx array<int>, val array<double>")
+
+
+@pytest.mark.parametrize("by_sample", [True, False])
+@pytest.mark.parametrize("weighted", [True, False])
+def test_components_without_a_matrix_of_genes(spark, weighted, by_sample):
+    """Products with the Gramian alone give its subspace and residuals."""
+    _, rows = _sparse_samples(spark, 150, 200, 31)
+    m, v, residual = start.components(rows, 200, 4, ["a", "b"], weighted, by_sample)
+    few, u, other = start.components(rows, 200, 4, ["a", "b"], weighted, by_sample, most=0)
+    assert few.gram is None and np.allclose(few.sums, m.sums) and np.allclose(few.squares, m.squares)
+    assert np.abs(u @ u.T - v @ v.T).max() < 1e-6 and np.allclose(np.abs((u * v).sum(0)), 1, atol=1e-6)
+    assert np.allclose(residual, other, atol=1e-8)
+
+
+def test_products_with_centred_genes(spark):
+    x, rows = _sparse_samples(spark, 60, 30, 32)
+    m = start.gramian(rows, 30, ["a", "b"], products=False)
+    w, d = np.random.default_rng(0).normal(size=(30, 3)), np.linspace(0.5, 2, 30)
+    c = x.copy()
+    for s in (0, 1):
+        c[s::2] -= c[s::2].mean(0)
+    assert np.allclose(start.times_products(rows, m, w), c.T @ c @ w)
+    assert np.allclose(start.times_products(rows, m, w, scale=d), (c / d).T @ (c / d) @ w)
+    assert np.allclose(m.variances(), (c**2).sum(0))
+
+
+def test_components_of_thirty_thousand_genes(spark):
+    x, rows = _sparse_samples(spark, 120, 30_000, 33, 0.01)
+    _, v, residual = start.components(rows.repartition(4), 30_000, 3, ["a", "b"])
+    c = x.copy()
+    for s in (0, 1):
+        c[s::2] -= c[s::2].mean(0)
+    want = np.linalg.svd(c, full_matrices=False)[2][:3].T
+    assert np.abs(v @ (v.T @ want) - want).max() < 1e-6 and residual.shape == (30_000,)
+
+
+def test_leading_vectors_of_small_and_flat_matrices():
+    for g in (np.zeros((5, 5)), np.eye(6), np.diag([3.0, 2.0, 1.0])):
+        v, gv = start.leading(lambda b, g=g: g @ b, len(g), 2)
+        assert np.allclose(v.T @ v, np.eye(2)) and np.allclose(gv, g @ v)
+        assert np.allclose(np.diag(v.T @ gv), np.linalg.eigvalsh(g)[::-1][:2])

@@ -15,7 +15,7 @@ from ..functions.order import sized_broadcast
 from ..sources.checkpoints import checkpointed
 from .markers import sample_rate
 from .qc import SPOT, align_spots, design_matrix, disambiguate_ids, firstup, log_normalize
-from .start import gramian, pca, project
+from .start import components, project
 
 
 def control_genes(genes: DataFrame, species: DataFrame | None = None, custom: DataFrame | None = None) -> DataFrame:
@@ -100,8 +100,7 @@ def correct_by_controls(rows: DataFrame, controls: list[int], resp: DataFrame, d
     place = F.create_map(*[F.lit(x) for g, i in at.items() for x in (g, i)])
     cells = F.filter(F.arrays_zip("idx", "val"), lambda c: c["idx"].isin(list(at)))
     only = rows.select(*SPOT, F.transform(cells, lambda c: place[c["idx"]]).alias("idx"), F.transform(cells, lambda c: c["val"]).alias("val"))
-    m = gramian(only, len(at), samples)
-    v, _ = pca(m, min(most, len(at)), by_sample=False)
+    m, v, _ = components(checkpointed(only), len(at), min(most, len(at)), samples, by_sample=False)
     h = project(only, v, (m.sums.sum(0) / max(m.n.sum(), 1))[None], samples, "h")
     d = rows.join(h, SPOT).join(resp.select(*SPOT, "resp"), SPOT).join(design.select(*SPOT, "d"), SPOT)
     d = d.withColumn("d", F.concat("h", "resp", "d"))

@@ -296,8 +296,7 @@ def prepare(rows: DataFrame, edges: DataFrame, p: int, q: int, s: ModelSettings
     rows = checkpointed(rows)
     rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *SPOT).persist(StorageLevel.MEMORY_AND_DISK)
     samples = [r[0] for r in rows.select("sample_id").distinct().orderBy("sample_id").collect()]
-    m = start.gramian(rows, p, samples)
-    v, residual = start.pca(m, q, s.weighted_pca)
+    m, v, residual = start.components(rows, p, q, samples, s.weighted_pca, seed=s.seed)
     scores = checkpointed(start.project(rows, v, m.sums / np.maximum(m.n, 1)[:, None], samples))
     aligned = scores if len(samples) < 2 else checkpointed(start.harmonize(scores, samples, seed=s.seed))
     flipped = edges if s.potts_direction == "in" else edges.select("sample_id", F.col("nbr_id").alias("spot_id"), F.col("spot_id").alias("nbr_id"))

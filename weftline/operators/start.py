@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,47 +15,119 @@ from pyspark.sql import functions as F
 from ..functions.blocks import Sparse, block_sums, codes, vectors
 from .qc import SPOT
 
-#: A p by p matrix of doubles is summed in tasks: its bound.
+#: A p by p matrix of doubles is summed in tasks: its bound. Beyond it, components are found without such a matrix.
 MAX_GENES = 4000
 
 
 @dataclass(frozen=True)
 class Moments:
-    """Spots of each sample, sums of each gene in each, sums of products over all, sums of squares in each."""
+    """Spots of each sample, sums of each gene in each, sums of products over all (None if there are too many genes), sums of squares in each."""
 
     samples: list[str]
     n: np.ndarray
     sums: np.ndarray
-    gram: np.ndarray
+    gram: np.ndarray | None
     squares: np.ndarray
 
+    def means(self, by_sample: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Spots and means (by genes) of each sample, or of all."""
+        n, sums = (self.n, self.sums) if by_sample else (self.n.sum(keepdims=True), self.sums.sum(0, keepdims=True))
+        return n, sums / np.maximum(n, 1)[:, None]
+
     def centred(self, by_sample: bool = True) -> np.ndarray:
         """Products of centred columns: with each sample's means, or the means of all."""
-        if by_sample:
-            return self.gram - (self.sums.T / np.maximum(self.n, 1)) @ self.sums
-        total = self.sums.sum(0)
-        return self.gram - np.outer(total, total) / max(self.n.sum(), 1)
+        n, mean = self.means(by_sample)
+        return self.gram - (mean.T * n) @ mean
+
+    def variances(self, by_sample: bool = True) -> np.ndarray:
+        """Sums of squares of centred columns."""
+        n, mean = self.means(by_sample)
+        return np.maximum(self.squares.sum(0) - (mean**2 * n[:, None]).sum(0), 0)
+
 
+def gramian(rows: DataFrame, p: int, samples: list[str], products: bool = True) -> Moments:
+    """Moments of sparse rows in one pass; centring is a correction of low rank, so rows are never made dense as a whole.
 
-def gramian(rows: DataFrame, p: int, samples: list[str]) -> Moments:
-    """Moments of sparse rows in one pass; centring is a correction of low rank, so rows are never made dense as a whole."""
-    if p > MAX_GENES:
-        raise ValueError(f"more than {MAX_GENES} genes")
+    Without ``products`` there is no p by p matrix.
+    """
+    if products and p > MAX_GENES:
+        raise ValueError(f"more than {MAX_GENES} genes: see components")
 
     def work(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
-        n, sums, gram, squares = np.zeros(len(samples)), np.zeros((len(samples), p)), np.zeros((p, p)), np.zeros((len(samples), p))
+        n, sums, gram, squares = np.zeros(len(samples)), np.zeros((len(samples), p)), np.zeros((p, p) if products else 0), np.zeros((len(samples), p))
         for b in batches:
             s, r = Sparse(b), codes(b, "sample_id", samples)
             n += np.bincount(r, minlength=len(samples))
-            for block in s.blocks():
+            place = r[s.row] * p + s.idx
+            sums += np.bincount(place, s.val, sums.size).reshape(sums.shape)
+            squares += np.bincount(place, s.val**2, sums.size).reshape(sums.shape)
+            for block in s.blocks() if products else ():
                 x = s.dense(p, block)
                 gram += x.T @ x
-                np.add.at(sums, r[block], x)
-                np.add.at(squares, r[block], x * x)
         return {"n": n, "sums": sums, "gram": gram, "squares": squares}
 
     got = block_sums(rows.select("sample_id", "idx", "val"), work)
-    return Moments(samples, got["n"], got["sums"], got["gram"], got["squares"])
+    return Moments(samples, got["n"], got["sums"], got["gram"] if products else None, got["squares"])
+
+
+def times_products(rows: DataFrame, m: Moments, v: np.ndarray, by_sample: bool = True, scale: np.ndarray | None = None) -> np.ndarray:
+    """G v for the p by p matrix G of products of centred (and by ``scale`` divided) genes, in one pass and without G."""
+    left = v if scale is None else v / scale[:, None]
+    shared = rows.sparkSession.sparkContext.broadcast(left)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
+        left, out = shared.value, np.zeros(v.shape)
+        for b in batches:
+            s = Sparse(b)
+            step = max(1, int(20_000 * s.n / max(len(s.idx), 1)))  # rows of some 20,000 cells
+            for k in range(0, s.n, step):
+                low, high = s.first[k], s.first[min(s.n, k + step)]
+                idx, val, row = s.idx[low:high], s.val[low:high, None], s.row[low:high] - k
+                if not len(idx):
+                    continue
+                y = np.zeros((min(s.n, k + step) - k, v.shape[1]))
+                starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                y[row[starts]] = np.add.reduceat(val * left[idx], starts)
+                order = np.argsort(idx, kind="stable")
+                genes = idx[order]
+                starts = np.flatnonzero(np.append(True, genes[1:] != genes[:-1]))
+                out[genes[starts]] += np.add.reduceat((val * y[row])[order], starts)
+        return {"out": out}
+
+    got = block_sums(rows.select("idx", "val"), work).get("out", np.zeros(v.shape))
+    n, mean = m.means(by_sample)
+    got = got - (mean.T * n) @ (mean @ left)
+    return got if scale is None else got / scale[:, None]
+
+
+def leading(times: Callable[[np.ndarray], np.ndarray], p: int, q: int, over: int = 10, rounds: int = 30, tolerance: float = 1e-9, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The q leading eigenvectors of a symmetric matrix G that is given by its products, and G times them.
+
+    A random block is multiplied by G again and again; each product, made orthogonal to those before, widens a basis in
+    which G is small. Rounds end when the leading vectors are eigenvectors up to ``tolerance`` (of the largest eigenvalue). Each
+    round is one pass over the rows; the basis has at most ``rounds`` blocks of q + ``over`` columns by genes.
+    """
+    width = min(p, q + over)
+    block = np.linalg.qr(np.random.default_rng(seed).normal(size=(p, width)))[0]
+    basis, images = np.zeros((p, 0)), np.zeros((p, 0))
+    for _ in range(rounds):
+        image = times(block)
+        basis, images = np.hstack([basis, block]), np.hstack([images, image])
+        small = basis.T @ images
+        values, c = np.linalg.eigh((small + small.T) / 2)
+        c = c[:, ::-1][:, :q]
+        v, gv = basis @ c, images @ c
+        left = np.linalg.norm(gv - v * values[::-1][:q], axis=0)
+        if left.max(initial=0) <= tolerance * max(values[-1], 1e-300) or basis.shape[1] >= p:
+            break
+        for _ in range(2):  # twice, as once leaves rounding errors
+            image = image - basis @ (basis.T @ image)
+            norms = np.linalg.norm(image, axis=0)
+            image = np.linalg.qr(image[:, norms > 1e-12 * max(norms.max(), 1e-300)])[0][:, : p - basis.shape[1]]
+        block = image
+        if not block.shape[1]:
+            break
+    return v, gv
 
 
 def signed(v: np.ndarray) -> np.ndarray:
@@ -65,17 +137,45 @@ def signed(v: np.ndarray) -> np.ndarray:
 
 def pca(m: Moments, q: int, weighted: bool = False, by_sample: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Loadings (p by q, orthonormal) and residual variance of each gene; ``weighted`` whitens by the residuals and does it again."""
-    g, n = m.centred(by_sample), max(m.n.sum(), 1)
-    v = signed(np.linalg.eigh(g)[1][:, ::-1][:, :q])
+    g = m.centred(by_sample)
+
+    def top(scale: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        own = g if scale is None else g / scale[:, None] / scale
+        v = np.linalg.eigh(own)[1][:, ::-1][:, :q]
+        return v, own @ v
+
+    return _loadings(m, top, lambda v: g @ v, weighted, by_sample)
+
 
-    def residual(v: np.ndarray) -> np.ndarray:
-        return np.maximum(np.diag(g) - 2 * ((g @ v) * v).sum(1) + ((v @ (v.T @ g @ v)) * v).sum(1), 0) / n
+def _loadings(m: Moments, top: Callable[[np.ndarray | None], tuple[np.ndarray, np.ndarray]], times: Callable[[np.ndarray], np.ndarray], weighted: bool, by_sample: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``top(scale)``: leading vectors of the products, divided by ``scale``, and their images; ``times``: images of other vectors."""
+    n, variances = max(m.n.sum(), 1), m.variances(by_sample)
 
+    def residual(v: np.ndarray, gv: np.ndarray) -> np.ndarray:
+        return np.maximum(variances - 2 * (gv * v).sum(1) + ((v @ (v.T @ gv)) * v).sum(1), 0) / n
+
+    v, gv = top(None)
+    turned = signed(v)
+    left = residual(turned, gv * np.where((turned == v).all(0), 1, -1))
     if weighted:
-        d = np.sqrt(np.maximum(residual(v), 1e-7))
-        u = np.linalg.eigh(g / d[:, None] / d)[1][:, ::-1][:, :q] * d[:, None]
-        v = signed(np.linalg.svd(u, full_matrices=False)[0])
-    return v, residual(v)
+        d = np.sqrt(np.maximum(left, 1e-7))
+        turned = signed(np.linalg.svd(top(d)[0] * d[:, None], full_matrices=False)[0])
+        left = residual(turned, times(turned))
+    return turned, left
+
+
+def components(rows: DataFrame, p: int, q: int, samples: list[str], weighted: bool = False, by_sample: bool = True, most: int = MAX_GENES, seed: int = 1) -> tuple[Moments, np.ndarray, np.ndarray]:
+    """Moments, loadings and residual variances for any number of genes.
+
+    Up to ``most`` genes their products are summed in one pass. Beyond it the leading components are found by products with G
+    (``leading``), a pass over the rows each; no p by p matrix is made anywhere.
+    """
+    if p <= most:
+        m = gramian(rows, p, samples)
+        return m, *pca(m, q, weighted, by_sample)
+    m = gramian(rows, p, samples, products=False)
+    times = lambda v, scale=None: times_products(rows, m, v, by_sample, scale)
+    return m, *_loadings(m, lambda scale: leading(lambda v: times(v, scale), p, min(p, q), seed=seed), times, weighted, by_sample)
 
 
 def project(rows: DataFrame, v: np.ndarray, means: np.ndarray, samples: list[str], name: str = "vec") -> DataFrame:

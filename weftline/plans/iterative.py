@@ -53,8 +53,7 @@ def gramian(spark: SparkSession, sf: str) -> DataFrame:
 def _components(spark: SparkSession, sf: str, weighted: bool) -> DataFrame:
     rows, _, p = _rows(spark, sf)
     samples = _samples(rows)
-    m = start.gramian(rows, p, samples)
-    v, _ = start.pca(m, 5, weighted)
+    m, v, _ = start.components(checkpointed(rows) if p > start.MAX_GENES else rows, p, 5, samples, weighted)
     return start.project(rows, v, m.sums / np.maximum(m.n, 1)[:, None], samples)
 
 
