@@ -11,12 +11,14 @@ characters beyond ASCII stay).
    has the q of at most 8 that leaves the most bytes to be found, m q; m is at least 1, as q is at most size / (k + 1).
 2. *Embedding.* Each window, and each item, is mapped by CGK random walks (Chakraborty, Goldenberg, Koucky 2016): step t
    writes the character under the pointer, and a random bit of (t, character) says whether the pointer moves. Few edits
-   become few differing positions of equally long strings.
+   become few differing positions of equally long strings. An item of two tiles or more is embedded tile by tile, and a
+   window of each tile is where an unchanged piece of it stands.
 3. *LSH.* Each of ``bands`` keys samples ``bits`` positions of one of ``walks`` walks. An item that agrees with a window in
    a key is a candidate. With half of the positions equal, the defaults find a pair with probability 1 - (1 - 2^-6)^1024,
    above 0.9999, and with three tenths equal above 0.52; a copy gives several windows, and nearer copies have more equal
    positions.
-4. *Verification.* The exact edit distance of each candidate item to the best stretch around its window.
+4. *Verification.* The exact edit distance of each candidate item to the best stretch around its windows. Windows of one copy
+   are merged first, so that a copy is verified once, and a column of distances is a few numbers of many bits.
 
 The benchmark is a list of questions, not a corpus: it is broadcast if its text has at most ``max_item_chars`` characters,
 and is otherwise cut into parts of that size, one pass each. Documents are read once a part, are never shuffled, and long
@@ -51,6 +53,8 @@ class Settings:
     bits: int = 6
     seed: int = 11
     max_item_chars: int = 4_000_000
+    tile: int = 1024
+    walk_bytes: int = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -62,8 +66,8 @@ class Item:
 
 @lru_cache(maxsize=256)
 def _moves(seed: int, walks: int, steps: int) -> np.ndarray:
-    """Random bits of the walks: walk, step, byte."""
-    return np.random.default_rng(seed).integers(0, 2, (walks, steps, 256), dtype=np.uint8)
+    """Random bits of the walks: walk, step, byte; eight bits a number."""
+    return np.random.default_rng(seed).integers(0, 256, (walks, steps, 32), dtype=np.uint8)
 
 
 def cgk(texts: np.ndarray, steps: int, s: Settings) -> np.ndarray:
@@ -76,20 +80,31 @@ def cgk(texts: np.ndarray, steps: int, s: Settings) -> np.ndarray:
     out = np.empty((steps, s.walks, n), np.uint8)
     for t in range(steps):
         out[t] = padded[at]
-        at += moves[walk, t, out[t]]
+        at += moves[walk, t, out[t] >> 3] >> (out[t] & 7) & 1
     return out.transpose(1, 2, 0)
 
 
-def edit_distance_within(item: np.ndarray, stretch: np.ndarray) -> int:
-    """Least edit distance of ``item`` to any part of ``stretch`` (Sellers)."""
-    at = np.arange(len(stretch) + 1)
-    row = np.zeros(len(stretch) + 1, np.int64)
-    for i, c in enumerate(item, 1):
-        new = np.empty_like(row)
-        new[0] = i
-        new[1:] = np.minimum(row[:-1] + (stretch != c), row[1:] + 1)
-        row = np.minimum.accumulate(new - at) + at
-    return int(row.min())
+def edit_distance_within(item: bytes, stretch: bytes) -> int:
+    """Least edit distance of ``item`` to any part of ``stretch``: bits of whole columns at a time (Myers 1999)."""
+    item, stretch = bytes(item), bytes(stretch)
+    size, letters = len(item), np.frombuffer(item, np.uint8)
+    places = {int(c): int.from_bytes(np.packbits(letters == c, bitorder="little").tobytes(), "little") for c in np.unique(letters)}
+    full, last = (1 << size) - 1, 1 << (size - 1)
+    up, down, score = full, 0, size  # where the column's next number is one more, one less; its last number
+    least = size
+    for c in stretch:
+        same = places.get(c, 0)
+        level = same | down
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | (full & ~(across | up)), up & across
+        if more & last:
+            score += 1
+        elif less & last:
+            score -= 1
+            least = min(least, score)
+        more, less = more << 1 & full, less << 1 & full
+        up, down = less | (full & ~(level | more)), more & level
+    return least
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,6 +133,17 @@ def _hashed(grams: np.ndarray) -> np.ndarray:
     return (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)
 
 
+def merged(places: list[int], gap: int) -> Iterator[tuple[int, int]]:
+    """First and last of the runs of sorted places that are no more than ``gap`` apart."""
+    low = high = places[0]
+    for p in places[1:]:
+        if p > high + gap:
+            yield low, high
+            low = p
+        high = p
+    yield low, high
+
+
 class Index:
     """Items, their anchor pieces, and the keys of their embeddings, by size of item."""
 
@@ -158,34 +184,42 @@ class Index:
         self.flat = np.concatenate(self.of) if self.of else np.zeros((0, 2), np.int64)
         self.size = np.array([len(x.text) for x in self.items])
         self.edits = np.array([x.edits for x in self.items])
+        # many edits lose the walks for good, so that a long item is looked for tile by tile
+        self.tiles = np.where(self.size >= 2 * s.tile, self.size // s.tile, 1)
+        whole = np.where(self.tiles > 1, s.tile, self.size)
         # a window is as long as the shortest item of its size class, so that both strings are full
-        ladder = np.unique((1.1 ** np.floor(np.log(np.maximum(self.size, 1)) / np.log(1.1))).astype(np.int64)) if len(self.size) else self.size
-        self.group = ladder[np.searchsorted(ladder, self.size, "right") - 1] if len(self.size) else self.size
+        ladder = np.unique((1.1 ** np.floor(np.log(np.maximum(whole, 1)) / np.log(1.1))).astype(np.int64)) if len(whole) else whole
+        self.group = ladder[np.searchsorted(ladder, whole, "right") - 1] if len(whole) else whole
         self.places: dict[int, np.ndarray] = {}
         self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for size in np.unique(self.group):
-            own = np.flatnonzero(self.group == size)
+            own = np.array([(k, t) for k in np.flatnonzero(self.group == size).tolist() for t in range(self.tiles[k])])
             self.places[size] = rng.integers(0, max(1, 3 * size // 2), (s.bands, s.bits))
-            keys = self.keys(np.stack([np.frombuffer(self.items[k].text[:size], np.uint8) for k in own]), size)
+            keys = self.keys(np.stack([np.frombuffer(self.items[k].text[t * s.tile :][:size], np.uint8) for k, t in own.tolist()]), size)
             order = np.argsort(keys.T, axis=1, kind="stable")
             self.tables[int(size)] = own, np.take_along_axis(keys.T, order, 1), order
 
     def keys(self, texts: np.ndarray, size: int) -> np.ndarray:
         """The sampled bytes of each row and band, as one number."""
-        walked = cgk(texts, max(1, 3 * int(size) // 2), self.s)
-        places = self.places[size]
+        steps, places = max(1, 3 * int(size) // 2), self.places[size]
         weights = np.uint64(256) ** np.arange(self.s.bits, dtype=np.uint64)  # up to 8 bits
-        return np.stack([walked[b % self.s.walks][:, places[b]].astype(np.uint64) @ weights for b in range(self.s.bands)], 1)
+        out = np.empty((len(texts), self.s.bands), np.uint64)
+        block = max(1, self.s.walk_bytes // (steps * self.s.walks))
+        for k in range(0, len(texts), block):
+            walked = cgk(texts[k : k + block], steps, self.s)
+            for b in range(self.s.bands):
+                out[k : k + block, b] = walked[b % self.s.walks][:, places[b]].astype(np.uint64) @ weights
+        return out
 
-    def retrieve(self, texts: np.ndarray, size: int) -> list[tuple[int, int]]:
-        """Sorted pairs (row of ``texts``, item) that share a key."""
+    def retrieve(self, texts: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+        """Sorted (row of ``texts``, item, tile) that share a key."""
         own, ranked, order = self.tables[size]
         keys = self.keys(texts, size)
         pairs = []
         for band in range(self.s.bands):
             low, high = np.searchsorted(ranked[band], keys[:, band], "left"), np.searchsorted(ranked[band], keys[:, band], "right")
             for w in np.flatnonzero(high > low).tolist():
-                pairs += [(w, int(own[k])) for k in order[band, low[w] : high[w]]]
+                pairs += [(w, *own[k].tolist()) for k in order[band, low[w] : high[w]]]
         return sorted(set(pairs))
 
     def _enough(self, cells: np.ndarray, pieces: np.ndarray) -> np.ndarray:
@@ -195,7 +229,7 @@ class Index:
         return enough | np.append(False, (enough & beside)[:-1])[: len(cells)]
 
     def windows(self, doc: np.ndarray, at: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-        """Rows (size class, document, byte place) where an item may start, from the anchors found and their byte places."""
+        """Rows (size class, document, byte place) where an item or a tile of a long one may start, from the anchors found and their byte places."""
         each = self.count[anchor]
         inner = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
         found = self.flat[np.repeat(self.first[anchor], each) + inner]
@@ -213,7 +247,8 @@ class Index:
         new = np.append(True, (np.diff(cell[inside]) != 0) | (np.diff(offset[inside]) != 0))[: len(inside)]
         pieces = np.add.reduceat(new.astype(np.int64), np.cumsum(size) - size) if len(inside) else size
         inside = inside[np.repeat(self._enough(cells, pieces), size)]
-        return np.unique(np.stack([self.group[item[inside]], doc[inside], np.maximum(start[inside], 0)], 1), axis=0)
+        tile = np.minimum(offset[inside] // self.s.tile, self.tiles[item[inside]] - 1)
+        return np.unique(np.stack([self.group[item[inside]], doc[inside], np.maximum(start[inside] + tile * self.s.tile, 0)], 1), axis=0)
 
     def found(self, normal: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, byte place and number of the anchors in texts of normal form."""
@@ -240,20 +275,24 @@ class Index:
         if not len(doc):
             return out
         windows = self.windows(doc, at, anchor)
-        best: dict[tuple[int, int], int] = {}
+        candidates: dict[tuple[int, int], list[int]] = defaultdict(list)
         for size in np.unique(windows[:, 0]).tolist():
             all_of = windows[windows[:, 0] == size, 1:]
             for k in range(0, len(all_of), 4096):
                 some = all_of[k : k + 4096].tolist()
                 cut = b"".join(normal[d][p : p + size].ljust(size, b"\0") for d, p in some)
-                for w, i in self.retrieve(np.frombuffer(cut, np.uint8).reshape(-1, size), size):
-                    (d, place), item = some[w], self.items[i]
-                    if best.get((d, i)) == 0:
-                        continue
-                    part = normal[d][max(0, place - 2 * item.edits) : place + len(item.text) + 2 * item.edits]
-                    edits = 0 if item.text in part else edit_distance_within(np.frombuffer(item.text, np.uint8), np.frombuffer(part, np.uint8))
-                    if edits <= item.edits:
-                        best[d, i] = min(edits, best.get((d, i), edits))
+                for w, i, t in self.retrieve(np.frombuffer(cut, np.uint8).reshape(-1, size), size):
+                    candidates[some[w][0], i].append(max(0, some[w][1] - t * self.s.tile))
+        best: dict[tuple[int, int], int] = {}
+        for (d, i), places in candidates.items():
+            item = self.items[i]
+            for low, high in merged(sorted(places), 4 * item.edits):
+                part = normal[d][max(0, low - 2 * item.edits) : high + len(item.text) + 2 * item.edits]
+                edits = 0 if item.text in part else edit_distance_within(item.text, part)
+                if edits <= item.edits:
+                    best[d, i] = min(edits, best.get((d, i), edits))
+                    if edits == 0:
+                        break
         for (d, i), edits in sorted(best.items()):
             out[d].append((self.items[i].item_id, edits))
         return out
