@@ -426,6 +426,47 @@ def test_fewer_candidates_than_neighbours(spark):
     assert got == [(20, 1, 1, 1.0), (20, 2, 2, 0.0)]
 
 
+def test_long_items_with_many_copies():
+    """A 12 kB item with sixty near copies in one document: windows of a copy are verified together."""
+    import time
+
+    rng = random.Random(60)
+    item = words(rng, 2600)
+    copies = []
+    for k in range(60):
+        some = list(item)
+        for at in rng.sample(range(len(some)), 300 + 10 * k):
+            some[at] = rng.choice("xyzw")
+        copies.append("".join(some))
+    other = words(rng, 20_000)
+    index = decontaminate.Index([(1, item), (2, words(rng, 2000))], decontaminate.Settings())
+    began = time.process_time()
+    found = index.search(["\n".join(copies), other, copies[-1], None])
+    assert time.process_time() - began < 150
+    want = decontaminate.edit_distance_within(index.items[0].text, " ".join(copies[0].split()).encode())
+    assert [[i for i, _ in x] for x in found] == [[1], [], [1], []] and found[0][0][1] <= want
+
+
+def test_bit_columns_against_tables():
+    """Distances by bits of whole columns are those of the table of all prefixes, for sizes around a word's."""
+    rng = random.Random(61)
+    for size in (1, 2, 7, 63, 64, 65, 200):
+        for _ in range(8):
+            item = bytes(rng.choice(b"abc ") for _ in range(size))
+            stretch = bytes(rng.choice(b"abc ") for _ in range(rng.randint(0, 150))) + item[: rng.randint(0, size)]
+            row = [0] * (len(stretch) + 1)
+            for i, c in enumerate(item, 1):
+                new = [i]
+                for j, x in enumerate(stretch, 1):
+                    new.append(min(row[j - 1] + (c != x), row[j] + 1, new[j - 1] + 1))
+                row = new
+            assert decontaminate.edit_distance_within(item, stretch) == min(row)
+
+
+def test_merged_windows():
+    assert list(decontaminate.merged([1, 3, 4, 20, 21, 50], 5)) == [(1, 4), (20, 21), (50, 50)]
+
+
 # --- language
 
 
@@ -540,6 +581,30 @@ def test_a_fingerprint_without_id_links_its_neighbours(spark):
     assert got == {(5, 0): 5, (None, 3): 5, (9, 15): 5, (7, 0xFF << 40): 7}
 
 
+def test_hot_fingerprints_without_broadcast(spark, monkeypatch):
+    """A third of all rows share a fingerprint, a component has many: the same result where key tables are too large to broadcast."""
+    from weftline.llm import common
+
+    rng = random.Random(77)
+    base = words(rng, 300).split()
+    texts = ["the same text again and again"] * 150 + [None] * 30
+    for i in range(120):
+        some = base.copy()
+        some[i * 2] = "changed"
+        texts.append(" ".join(some))
+    texts += [words(rng, 40) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = sorted(tuple(r) for r in simhash.near_duplicates(docs, keep=["doc_id"]).collect())
+    kept = sorted(r[0] for r in simhash.first_of_each(docs).select("doc_id").collect())
+    monkeypatch.setattr(common, "MOST_KEYS", 3)
+    assert sorted(tuple(r) for r in simhash.near_duplicates(docs, keep=["doc_id"]).collect()) == want
+    assert sorted(r[0] for r in simhash.first_of_each(docs).select("doc_id").collect()) == kept == sorted({c for _, _, c in want})
+    from pyspark.sql import functions as F
+
+    plan = common.keyed_join(docs.withColumn("k", F.coalesce(F.length("text") % 7, F.lit(0))).select("doc_id", "k"), spark.range(7).select(F.col("id").cast("int").alias("k"), F.lit(1).alias("x")), "k", "left")
+    assert plan.count() == docs.count() and plan.where("x IS NULL").isEmpty()
+
+
 def test_one_row_of_each_component_stays(spark):
     rng = random.Random(131)
     a, b, c = (words(rng, 200) for _ in range(3))

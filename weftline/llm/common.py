@@ -128,6 +128,22 @@ def sized_broadcast(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.limit(MOST_KEYS + 1).count() <= MOST_KEYS else keys
 
 
+def keyed_join(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner", share: int = 500) -> DataFrame:
+    """``rows`` joined with ``keyed``, which has a row a key, so that no task gets a frequent key's rows.
+
+    By broadcast if ``keyed`` has few rows. Otherwise keys with over one in ``share`` of all rows, at most ``share`` of them, are
+    joined by broadcast, and the others by a shuffle. Both tables are read several times.
+    """
+    small = sized_broadcast(keyed)
+    if small is not keyed:
+        return rows.join(small, key, how)
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    hot = F.broadcast(checkpointed(counts.where(F.col("__n") > total // share).select(key)))
+    often = rows.join(hot, key, "left_semi").join(F.broadcast(keyed.join(hot, key, "left_semi")), key, how)
+    return often.unionByName(rows.join(hot, key, "left_anti").join(keyed, key, how))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_chars: int) -> list[tuple[str, int]]:
     """At most ``max_rows`` texts of each class 0 and 1 with their labels, for fitting a model on the driver.
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, checkpointed, read, sized_broadcast
+from .common import add_columns, checkpointed, keyed_join, read, sized_broadcast
 
 SEED = 42
 
@@ -89,11 +89,12 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     edges = checkpointed(links.select("a", "b"))
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        low = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = keyed_join(both, low, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        large = checkpointed(large)
         # small star: each id's smaller neighbours and the id itself point to the smallest of them
-        parent = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(parent, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b")
+        parent = checkpointed(large.groupBy("b").agg(F.min("a").alias("m")))
+        small = keyed_join(large, parent, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b")
         new = checkpointed(small.distinct())
         # done when the links form stars: no id is both a centre and a leaf, and no leaf has two centres
         leaves = new.groupBy("b").agg(F.count("*").alias("n"))
@@ -110,8 +111,10 @@ def _with_components(marked: DataFrame, distance: int) -> DataFrame:
     nodes = checkpointed(prints.select("simhash", F.col("simhash").alias("id"), "least"))
     # components are of fingerprints, so that one whose rows have no id still links its neighbours
     found = nodes.join(components(ball_links(nodes, distance)), "id", "left").select("simhash", F.coalesce("component", "id").alias("component"), "least")
-    least = found.groupBy("component").agg(F.min("least").alias("component_id"))
-    return marked.drop("component", "component_id").join(found.join(least, "component").select("simhash", "component", "component_id"), "simhash", "left")
+    found = checkpointed(found)
+    least = checkpointed(found.groupBy("component").agg(F.min("least").alias("component_id")))
+    named = checkpointed(keyed_join(found, least, "component").select("simhash", "component", "component_id"))
+    return keyed_join(marked.drop("component", "component_id"), named, "simhash", "left")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 2, words: int = 3, keep: list[str] | None = None) -> DataFrame:
@@ -133,9 +136,9 @@ def first_of_each(docs: DataFrame, distance: int = 2, words: int = 3) -> DataFra
     """
     key = F.xxhash64("text").alias("__key")
     marked = checkpointed(fingerprints(docs.select("doc_id", "text", key).where("doc_id IS NOT NULL"), keep=["doc_id", "__key"], words=words))
-    found = _with_components(marked.groupBy("doc_id", "__key", "simhash").agg(F.count("*").alias("n")), distance)
-    first = found.where("doc_id = component_id").groupBy("component").agg(F.min("__key").alias("first"))
-    found = found.join(first, "component", "left")
+    found = checkpointed(_with_components(checkpointed(marked.groupBy("doc_id", "__key", "simhash").agg(F.count("*").alias("n"))), distance))
+    first = checkpointed(found.where("doc_id = component_id").groupBy("component").agg(F.min("__key").alias("first")))
+    found = keyed_join(found, first, "component", "left")
     stays = (F.col("doc_id") == F.col("component_id")) & (F.col("__key") == F.col("first"))
     found = checkpointed(found.select("doc_id", "__key", "n", stays.alias("stays")))
     keyed = docs.withColumn("__key", key)
