@@ -194,35 +194,52 @@ def sweep(state: DataFrame, edges: DataFrame, p: Params, spatial: bool, factor_e
     return checkpointed(got)
 
 
+class Sums:
+    """The sums over spots that new parameters are made of, for one model."""
+
+    def __init__(self, p: Params, s: ModelSettings):
+        k, q, m, genes = len(p.mu), p.w.shape[1], len(p.samples), p.w.shape[0]
+        self.samples, self.posts = p.samples, [Posterior(p, r, s.spatial_factor) for r in range(m)]
+        self.size, self.s1, self.s2, self.zz = np.zeros((m, k)), np.zeros((m, k, q)), np.zeros((m, k, q, q)), np.zeros((m, k, q, q))
+        self.xz, self.psi, self.ezv = np.zeros((m, genes, q)), np.zeros((m, q, q)), np.zeros((m, q))
+
+    def add(self, x: Sparse, r_of: np.ndarray, g: np.ndarray, m: np.ndarray, m_new: np.ndarray, resp: np.ndarray) -> None:
+        mean = np.zeros_like(g)
+        for r in np.unique(r_of).tolist():
+            at = np.flatnonzero(r_of == r)
+            for k in range(resp.shape[1]):
+                w = resp[at, k]
+                ez, ev = self.posts[r].moments(k, g[at], m[at])
+                both = ez + ev
+                self.size[r, k] += w.sum()
+                self.s1[r, k] += w @ ez
+                self.s2[r, k] += (ez * w[:, None]).T @ ez
+                self.zz[r, k] += (both * w[:, None]).T @ both
+                d = m_new[at] - ev
+                self.psi[r] += (d * w[:, None]).T @ d
+                mean[at] += w[:, None] * both
+            self.ezv[r] += mean[at].sum(0)
+        np.add.at(self.xz, (r_of[x.row], x.idx), x.val[:, None] * mean[x.row])
+
+    def named(self, prefix: str = "") -> dict[str, np.ndarray]:
+        return {prefix + k: getattr(self, k) for k in ("size", "s1", "s2", "zz", "xz", "psi", "ezv")}
+
+
 def m_step(rows: DataFrame, p: Params, s: ModelSettings, squares: np.ndarray, n: np.ndarray) -> Params:
     """New parameters from rows with idx, val, g, m (before the sweeps), m_new and resp; one pass of sums."""
-    k_, q, m_, genes = len(p.mu), p.w.shape[1], len(p.samples), p.w.shape[0]
 
     def work(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
-        size, s1, s2, zz = np.zeros((m_, k_)), np.zeros((m_, k_, q)), np.zeros((m_, k_, q, q)), np.zeros((m_, k_, q, q))
-        xz, psi, ezv = np.zeros((m_, genes, q)), np.zeros((m_, q, q)), np.zeros((m_, q))
-        posts = {r: Posterior(p, r, s.spatial_factor) for r in range(m_)}
+        sums = Sums(p, s)
         for b in batches:
-            x, g, m, m_new, resp = Sparse(b), vectors(b, "g"), vectors(b, "m"), vectors(b, "m_new"), vectors(b, "resp")
-            mean = np.zeros_like(g)
-            for r, at in by_sample(b, p.samples):
-                for k in range(k_):
-                    w = resp[at, k]
-                    ez, ev = posts[r].moments(k, g[at], m[at])
-                    both = ez + ev
-                    size[r, k] += w.sum()
-                    s1[r, k] += w @ ez
-                    s2[r, k] += (ez * w[:, None]).T @ ez
-                    zz[r, k] += (both * w[:, None]).T @ both
-                    d = m_new[at] - ev
-                    psi[r] += (d * w[:, None]).T @ d
-                    mean[at] += w[:, None] * both
-                ezv[r] += mean[at].sum(0)
-            r_of = codes(b, "sample_id", p.samples)
-            np.add.at(xz, (r_of[x.row], x.idx), x.val[:, None] * mean[x.row])
-        return {"size": size, "s1": s1, "s2": s2, "zz": zz, "xz": xz, "psi": psi, "ezv": ezv}
-
-    got = block_sums(rows.select("sample_id", "idx", "val", "g", "m", "m_new", "resp"), work)
+            sums.add(Sparse(b), codes(b, "sample_id", p.samples), *(vectors(b, c) for c in ("g", "m", "m_new", "resp")))
+        return sums.named()
+
+    return updated(block_sums(rows.select("sample_id", "idx", "val", "g", "m", "m_new", "resp"), work), p, s, squares, n)
+
+
+def updated(got: dict[str, np.ndarray], p: Params, s: ModelSettings, squares: np.ndarray, n: np.ndarray) -> Params:
+    """New parameters from the sums over all spots."""
+    k_, q, m_, genes = len(p.mu), p.w.shape[1], len(p.samples), p.w.shape[0]
     size = got["size"]
     xz = got["xz"] - p.means[:, :, None] * got["ezv"][:, None, :]
     posts = [Posterior(p, r, s.spatial_factor) for r in range(m_)]
@@ -304,8 +321,8 @@ def prepare(rows: DataFrame, edges: DataFrame, p: int, q: int, s: ModelSettings
     return Inputs(rows, checkpointed(flipped.select(*SPOT, "nbr_id")), m, v, residual, aligned, scores, others)
 
 
-def starting(x: Inputs, k: int, s: ModelSettings) -> tuple[DataFrame, Params]:
-    """First labels and parameters."""
+def starting(x: Inputs, k: int, s: ModelSettings, noise: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[DataFrame, Params]:
+    """First labels and parameters; ``noise`` is what ``start_noise`` gives, if it is known."""
     m, q = x.moments, x.loadings.shape[1]
     if s.init == "mixture":
         labels, got = start.mixture_start(x.scores, k, s.init_starts, s.seed)
@@ -317,8 +334,14 @@ def starting(x: Inputs, k: int, s: ModelSettings) -> tuple[DataFrame, Params]:
         sigma = np.repeat(sigma.mean(0)[None], k, 0)
     if s.sigma_diag:
         sigma = np.einsum("kij,ij->kij", sigma, np.eye(q))
+    lam, psi = start_noise(x, s) if noise is None else noise
+    return labels, Params(m.samples, m.sums / np.maximum(m.n, 1)[:, None], x.loadings, lam, mu, sigma + TINY * np.eye(q), psi, np.full(len(m.samples), s.beta_start))
+
+
+def start_noise(x: Inputs, s: ModelSettings) -> tuple[np.ndarray, np.ndarray]:
+    """Variance of x - W h in each sample, and covariance of h, from the sums of h and of x h'; the same for all K."""
+    m, q = x.moments, x.loadings.shape[1]
     means = m.sums / np.maximum(m.n, 1)[:, None]
-    # variance of x - W h in each sample, from the sums of h and of x h'
     genes, n_samples = len(x.loadings), len(m.samples)
 
     def work(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
@@ -341,8 +364,7 @@ def starting(x: Inputs, k: int, s: ModelSettings) -> tuple[DataFrame, Params]:
     lam = np.array(lam)
     if not s.error_heter:
         lam = np.repeat(lam.mean(1, keepdims=True), genes, 1)
-    p = Params(m.samples, means, x.loadings, lam, mu, sigma + TINY * np.eye(q), np.array(psi), np.full(n_samples, s.beta_start))
-    return labels, p
+    return lam, np.array(psi)
 
 
 def fit(x: Inputs, k: int, s: ModelSettings = ModelSettings()) -> tuple[DataFrame, Params]:

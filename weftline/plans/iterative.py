@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.blocks import sparse_rows
-from ..operators import correct, genes, graph, model, qc, start
+from ..operators import correct, genes, graph, model, qc, start, tiled
 from ..sources.adapters import counts, spots
 from ..sources.checkpoints import checkpointed
 
 KEY = ["sample_id", "spot_id"]
 #: Factors of a fit.
 Q = 15
+#: Side of a tile: some 2,000 spots of a lattice.
+SIDE = 64.0
 
 
 def _kept(spark: SparkSession, sf: str, pre: int = 20, cells: int = 20) -> DataFrame:
@@ -100,10 +102,10 @@ def _lattice_inputs(spark: SparkSession, sf: str, q: int, s: model.ModelSettings
 
 
 def fit(spark: SparkSession, sf: str) -> DataFrame:
-    """Labels, embeddings and spatial factors over all common genes, for the K of 3 and 4 that the criterion prefers; three rounds each."""
+    """Labels, embeddings and spatial factors over all common genes, for the K of 3 and 4 that the criterion prefers; three rounds."""
     s = model.ModelSettings(max_rounds=4, max_sweeps=4, init="kmeans", init_starts=1)
     x = _lattice_inputs(spark, sf, Q, s)
-    fits = model.fit_all(x, [3, 4], s)
+    fits = tiled.fit_many(x, [3, 4], s, tiled.tile_of(spots(spark, sf), SIDE))
     ll = spark.createDataFrame([(k, float(p.path[-1])) for k, (_, p) in fits.items()], "k int, loglik double")
     k = model.best_k(model.select_k(ll, *x.loadings.shape, len(x.moments.samples), int(x.moments.n.sum()), s))
     return fits[k][0].withColumn("k", F.lit(k))
@@ -193,7 +195,7 @@ def integrate(spark: SparkSession, sf: str) -> DataFrame:
     """A fit of two rounds over all common genes, their correction by its spatial factors, and both joined with places."""
     s = model.ModelSettings(max_rounds=3, max_sweeps=3, init="kmeans", init_starts=1)
     x = _lattice_inputs(spark, sf, Q, s)
-    fitted = checkpointed(model.fit(x, 4, s)[0])
+    fitted = tiled.fit_many(x, [4], s, tiled.tile_of(spots(spark, sf), SIDE))[4][0]
     one = x.rows.select(*KEY, F.array(F.lit(1.0)).alias("d"))
     done = correct.correct_by_factors(x.rows, fitted.select(*KEY, F.col("hv").alias("h")), one, len(x.loadings))
     return correct.integrate(done, fitted, spots(spark, sf))
@@ -213,7 +215,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Preprocess, lattice, a fit with K = 4, and ``(sample_id, cluster, n_spots)``; limits fit small inputs too."""
     s = model.ModelSettings(max_rounds=3, max_sweeps=3, init="kmeans", init_starts=1)
     x = _lattice_inputs(spark, sf, Q, s, 5, 2)
-    fitted, _ = model.fit(x, 4, s)
+    fitted, _ = tiled.fit_many(x, [4], s, tiled.tile_of(spots(spark, sf), SIDE))[4]
     return fitted.groupBy("sample_id", "cluster").agg(F.count("*").alias("n_spots"))
 
 
