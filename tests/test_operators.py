@@ -483,3 +483,17 @@ def test_leading_vectors_of_small_and_flat_matrices():
         v, gv = start.leading(lambda b, g=g: g @ b, len(g), 2)
         assert np.allclose(v.T @ v, np.eye(2)) and np.allclose(gv, g @ v)
         assert np.allclose(np.diag(v.T @ gv), np.linalg.eigvalsh(g)[::-1][:2])
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_radius_from_one_pass_is_that_of_graphs(spark, seed):
+    """The halving sees the medians that a graph for each radius has; samples of any size, equal places among them."""
+    rng = np.random.default_rng(seed)
+    rows = [(s, str(i), float(a), float(b)) for s, n in (("a", 90), ("b", 40 + seed), ("c", 3), ("d", 1)) for i, (a, b) in enumerate(np.round(rng.normal(size=(n, 2)) * 12, 0))]
+    spots = spark.createDataFrame(rows, "sample_id string, spot_id string, x double, y double")
+    median = graph.median_degrees(spots, 13)
+    for radius in (1.0, 2.5, 6.0):
+        want = graph.median_degree(spots, graph.radius_graph(spots, radius))
+        assert median(radius) == want if want <= 6 else median(radius) > 6
+    found = graph.auto_radius(spots)
+    assert 4 <= graph.median_degree(spots, graph.radius_graph(spots, found)) <= 6

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import order_statistics
 from ..sources.checkpoints import checkpointed
 from .qc import SPOT
 
@@ -54,11 +58,32 @@ def median_degree(spots: DataFrame, edges: DataFrame) -> float:
     return float(spots.join(degree, SPOT, "left").agg(F.percentile(F.coalesce("count", F.lit(0)), F.lit(0.5))).first()[0])
 
 
+def median_degrees(spots: DataFrame, most: int, x: str = "x", y: str = "y") -> Callable[[float], float]:
+    """The median number of neighbours nearer than a radius, as a function of the radius, without a graph for each.
+
+    From one pass of ``most`` nearest neighbours: a spot has k neighbours within a radius if its k-th nearest is, so the
+    middle spots' degrees follow from order statistics of the distances to the k-th nearest. Degrees over ``most`` count as ``most``.
+    """
+    n = spots.count()
+    near = checkpointed(nearest(spots, most, x, y).select("r", F.sqrt("d2").alias("d")))
+    middle = [(n - 1) // 2, n // 2]  # the same spot twice if their number is odd
+    at = F.array(*[F.lit(n - 1 - j).cast("long") for j in middle])
+    stats = order_statistics(near, ["r"], "d", lambda m: F.filter(at, lambda i: i < m))
+    found = {r["r"]: r["found"] for r in stats.collect()}  # two numbers a neighbour
+    reach = [[found.get(k, {}).get(n - 1 - j, math.inf) for k in range(1, most + 1)] for j in middle]
+    return lambda radius: sum(sum(t < radius for t in each) for each in reach) / 2
+
+
 def auto_radius(spots: DataFrame, low: float = 4, high: float = 6, start: float = 1.0, least: float = 1.0, most: float = 50.0, steps: int = 40, x: str = "x", y: str = "y") -> float:
-    """A radius, found by halving, for which the median number of neighbours is from ``low`` to ``high``."""
+    """A radius, found by halving, for which the median number of neighbours is from ``low`` to ``high``.
+
+    Distances are looked at once (``median_degrees``); a median of two degrees is within the bounds only if neither is over
+    twice ``high``.
+    """
+    median_at = median_degrees(spots, int(2 * high) + 1, x, y)
     radius, median = start, None
     for _ in range(steps):
-        median = median_degree(spots, radius_graph(spots, radius, x, y))
+        median = median_at(radius)
         if low <= median <= high:
             return radius
         least, most = (radius, most) if median < low else (least, radius)
@@ -66,26 +91,28 @@ def auto_radius(spots: DataFrame, low: float = 4, high: float = 6, start: float
     raise ValueError(f"no radius found: at {radius} the median is {median}")
 
 
-def knn_graph(spots: DataFrame, k: int = 6, x: str = "col", y: str = "row", rounds: int = 12) -> DataFrame:
-    """The ``k`` nearest spots of each, ties to the smaller id; exact.
+def nearest(spots: DataFrame, k: int, x: str = "col", y: str = "row", rounds: int = 24) -> DataFrame:
+    """``(sample_id, spot_id, nbr_id, d2, r)``: the ``k`` nearest spots of each (or all others, if there are fewer), ties to the
+    smaller id; exact.
 
     Cells start at a side that holds about ``k`` spots. A spot is done once its k-th neighbour is no farther than the side,
     as no spot outside the adjacent cells is nearer; for the others the side is doubled.
     """
-    size = spots.groupBy("sample_id").agg(F.count("*").alias("n"), (F.max(x) - F.min(x)).alias("w"), (F.max(y) - F.min(y)).alias("h"))
-    if size.isEmpty():
-        return spots.select(*SPOT, F.col("spot_id").alias("nbr_id"))
-    if not size.where(F.col("n") <= k).isEmpty():
-        raise ValueError(f"a sample has no more than {k} spots")
+    size = checkpointed(spots.groupBy("sample_id").agg(F.count("*").alias("n"), (F.max(x) - F.min(x)).alias("w"), (F.max(y) - F.min(y)).alias("h")))
+    none = spots.select(*SPOT, F.col("spot_id").alias("nbr_id"), F.lit(0.0).alias("d2"), F.lit(1).alias("r")).limit(0)
     side, far = size.agg(F.min(F.sqrt(F.greatest(F.col("w") * F.col("h"), F.lit(1e-9)) * k / F.col("n"))), F.max(F.greatest("w", "h"))).first()
-    side, open_, found = max(float(side), 1e-6), spots.select(*SPOT), None
+    if side is None:
+        return none
+    side, found = max(float(side), 1e-6), none
+    wanted = size.select("sample_id", F.least(F.lit(k), F.col("n") - 1).alias("k"))
+    open_ = spots.select(*SPOT).join(F.broadcast(wanted), "sample_id").where("k > 0")  # a row a sample
     order = Window.partitionBy(*SPOT).orderBy("d2", "nbr_id")
     for _ in range(rounds):
-        pairs = _close_pairs(spots, side, x, y).join(open_, SPOT, "left_semi").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
-        kept = pairs.withColumn("last", F.max(F.when(F.col("r") == k, F.sqrt("d2"))).over(Window.partitionBy(*SPOT)))
+        pairs = _close_pairs(spots, side, x, y).join(open_, SPOT).withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("k"))
+        kept = pairs.withColumn("last", F.max(F.when(F.col("r") == F.col("k"), F.sqrt("d2"))).over(Window.partitionBy(*SPOT)))
         done = kept if side > far else kept.where(F.col("last") <= side)
-        done = checkpointed(done.select(*SPOT, "nbr_id"))
-        found = done if found is None else found.union(done)
+        done = checkpointed(done.select(*SPOT, "nbr_id", "d2", "r"))
+        found = found.union(done)
         if side > far:
             return found
         open_ = checkpointed(open_.join(done.select(*SPOT).distinct(), SPOT, "left_anti"))
@@ -95,6 +122,13 @@ def knn_graph(spots: DataFrame, k: int = 6, x: str = "col", y: str = "row", roun
     raise ValueError("spots are spread over too many orders of magnitude")
 
 
+def knn_graph(spots: DataFrame, k: int = 6, x: str = "col", y: str = "row") -> DataFrame:
+    """The ``k`` nearest spots of each, ties to the smaller id; exact. Every sample needs more than ``k`` spots."""
+    if not spots.groupBy("sample_id").count().where(F.col("count") <= k).isEmpty():
+        raise ValueError(f"a sample has no more than {k} spots")
+    return nearest(spots, k, x, y).select(*SPOT, "nbr_id")
+
+
 def build_graph(spots: DataFrame, kind: str = "fixed_distance", platform: str = "Visium", radius: float | None = None, number: int = 6) -> DataFrame:
     """Lattice for Visium and ST places, a given or found radius for others, or a fixed number of neighbours."""
     if kind == "fixed_number":

@@ -199,7 +199,18 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return graph.radius_graph(spots(spark, sf), 8.0)
 
 
-@query("auto_radius")
+#: The order statistics that the middle spots' degrees follow from, and the halving over them.
+RADIUS_SQL = """SELECT sample_id, count(*) AS n_spots, count(d) AS n_identified, CAST(coalesce(sum(d), 0) AS BIGINT) AS n_edges FROM spots LEFT JOIN (
+  WITH RECURSIVE pair AS (SELECT a.sample_id, a.spot_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM spots a JOIN spots b ON a.sample_id = b.sample_id AND a.spot_id <> b.spot_id),
+  near AS (SELECT d, row_number() OVER (PARTITION BY sample_id, spot_id ORDER BY d) AS k FROM pair QUALIFY k <= 13),
+  t AS (SELECT list(coalesce(s[n - (n - 1) // 2], 'inf'::DOUBLE)) AS lo, list(coalesce(s[n - n // 2], 'inf'::DOUBLE)) AS hi FROM (SELECT k, list_sort(list(d)) AS s FROM near GROUP BY k), (SELECT count(*) AS n FROM spots)),
+  r AS (SELECT 1 AS i, 1.0::DOUBLE AS radius, 1.0::DOUBLE AS least, 50.0::DOUBLE AS most
+    UNION ALL SELECT i + 1, (least + most) / 2, least, most FROM (SELECT i, CASE WHEN m < 4 THEN radius ELSE least END AS least, CASE WHEN m < 4 THEN most ELSE radius END AS most, m FROM (
+      SELECT r.*, (len(list_filter(lo, lambda v: v < radius)) + len(list_filter(hi, lambda v: v < radius))) / 2.0 AS m FROM r, t)) WHERE NOT (m BETWEEN 4 AND 6) AND i < 40)
+  SELECT sample_id, spot_id, count(*) AS d FROM pair WHERE d < (SELECT max_by(radius, i) FROM r) GROUP BY ALL) USING (sample_id, spot_id) GROUP BY sample_id"""
+
+
+@query("auto_radius", RADIUS_SQL)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     s = spots(spark, sf)
     return graph.degree_summary(s, graph.radius_graph(s, graph.auto_radius(s)))
