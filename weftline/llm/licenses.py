@@ -12,8 +12,9 @@ so that any stretch of T shingles lies whole in a window. Classes double up to a
 3. The share of the template's shingles that the window holds is computed exactly, and kept if at least ``containment``.
 
 The result has a row for each document and license: the best containment and the number of windows that reached the
-threshold. Rows are exploded only for windows with a template's shingle. Templates are a fixed table (or a DataFrame the
-caller bounds by ``max_templates``), so their bands are broadcast; documents are shuffled once, after counting.
+threshold. Rows are exploded only for windows with a template's shingle. Templates are a fixed table or a DataFrame of any size:
+their bands are broadcast in parts of at most ``part_shingles`` shingles, one pass over the documents each; what is shuffled are
+windows that hold a template.
 
 Edge cases: NULL and empty texts and texts under five words hold nothing; templates under five words are passed over;
 repeated rows of a document count as one document with all their windows; rows with a NULL id are reported under NULL.
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
@@ -55,7 +56,7 @@ class Settings:
     words: int = 5
     bands: int = 24
     containment: float = 0.8
-    max_templates: int = 500
+    part_shingles: int = 50_000
 
 
 def fixed(column: Column) -> Column:
@@ -99,23 +100,40 @@ def template_table(templates: DataFrame, s: Settings) -> DataFrame:
     return t.select(F.xxhash64("license", "notice").alias("t_id"), "license", "grams", "hashes", length.alias("length"), step.alias("step"))
 
 
+def template_parts(table: DataFrame, s: Settings) -> list[list[Row]]:
+    """The templates in lists of at most ``part_shingles`` shingles each (or of one template)."""
+    out: list[list[Row]] = [[]]
+    room = s.part_shingles
+    for r in table.orderBy("t_id").toLocalIterator():
+        if r["length"] is None:
+            raise ValueError("a template is longer than the longest class")
+        if len(r["hashes"]) > room and out[-1]:
+            out.append([])
+            room = s.part_shingles
+        out[-1].append(r)
+        room -= len(r["hashes"])
+    return [x for x in out if x]
+
+
 def scan(docs: DataFrame, templates: DataFrame | None = None, s: Settings = Settings()) -> DataFrame:
-    """``(doc_id, license, containment, n_windows)`` for ``docs (doc_id, text)``."""
+    """``(doc_id, license, containment, n_windows)`` for ``docs (doc_id, text)``; any number of templates, one pass a part of them."""
     spark = docs.sparkSession
     if templates is None:
         templates = spark.createDataFrame(TEMPLATES, "license string, notice string")
     table = template_table(templates, s)
-    rows = table.limit(s.max_templates + 1).collect()
-    if len(rows) > s.max_templates:
-        raise ValueError(f"more than {s.max_templates} templates")
-    if any(r["length"] is None for r in rows):
-        raise ValueError("a template is longer than the longest class")
-    known = spark.createDataFrame(rows, table.schema)
-    wanted = sorted({h for r in rows for h in r["hashes"]})
-    classes = sorted({(r["length"], r["step"]) for r in rows})
-    if not rows:
+    windows = None
+    for rows in template_parts(table, s):
+        part = scan_part(docs, spark.createDataFrame(rows, table.schema), rows, s)
+        windows = part if windows is None else windows.union(part)
+    if windows is None:
         return spark.createDataFrame([], "doc_id long, license string, containment double, n_windows long")
+    return windows.groupBy("doc_id", "license").agg(F.max("c").alias("containment"), F.count("*").alias("n_windows"))
 
+
+def scan_part(docs: DataFrame, known: DataFrame, rows: list[Row], s: Settings) -> DataFrame:
+    """``(doc_id, license, t_id, at, length, c)``: the windows of documents that hold one of some templates."""
+    wanted = sorted({h for r in rows for h in r["hashes"]})
+    classes = sorted({(r["length"], r["step"]) for r in rows})
     # each expression over a whole text is fixed in a generated column, so that it is computed once and not where it is used
     d = docs.select("doc_id", fixed(words_of(F.col("text"))).alias("w")).where(F.size("w") >= s.words)
     d = d.select("doc_id", "w", fixed(shingles_of(F.col("w"), s.words)).alias("h"))
@@ -131,8 +149,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, s: Settings = Sett
     # a pair that shares several bands is verified for each and counted once, below
     found = d.join(F.broadcast(keys), ["length", "band", "value"]).join(F.broadcast(known.select("t_id", "license", "grams")), "t_id")
     found = found.withColumn("c", F.size(F.array_intersect("grams", shingles_of(F.col("w"), s.words, "text"))) / F.size("grams")).where(F.col("c") >= s.containment)
-    windows = found.groupBy("doc_id", "license", "t_id", "at", "length").agg(F.max("c").alias("c"))
-    return windows.groupBy("doc_id", "license").agg(F.max("c").alias("containment"), F.count("*").alias("n_windows"))
+    return found.groupBy("doc_id", "license", "t_id", "at", "length").agg(F.max("c").alias("c"))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
