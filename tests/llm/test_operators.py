@@ -420,6 +420,24 @@ def test_shards_grow_with_the_root_of_the_rows():
     assert [ann.shard_rows(n, s) for n in (0, 10_000, 1_000_000, 10**12)] == [1024, 6400, 64_000, 1 << 19]
 
 
+def test_wide_vectors_have_shards_of_bounded_bytes(spark):
+    """768 components: no column of a shard comes near what a value can hold, and small shards find the same."""
+    s = ann.Settings()
+    for length in (64, 768, 4096):
+        assert ann.shard_rows(10**12, s, length) * length * 8 <= s.most_bytes
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 768)).astype(np.float32)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    small = ann.Settings(most_bytes=40 * 768 * 8)
+    index, shards = ann.build_index(ann.distinct_points(ann.usable(v)[0], small), small)
+    assert shards == 8 and max(len(r["vectors"]) for r in index.collect()) < 2 * small.most_bytes
+    want = brute_neighbours([(i, r.tolist()) for i, r in enumerate(x)])
+    got = {}
+    for r in ann.neighbours(v, v.where("vec_id % 20 = 0"), small).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert np.mean([len(got[q] & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
 def test_fewer_candidates_than_neighbours(spark):
     v = spark.createDataFrame([(20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.neighbours(v, v.where("vec_id % 20 = 0")).orderBy("rank").collect()]
@@ -467,6 +485,25 @@ def test_merged_windows():
     assert list(decontaminate.merged([1, 3, 4, 20, 21, 50], 5)) == [(1, 4), (20, 21), (50, 50)]
 
 
+def test_templates_in_parts(spark):
+    """Two thousand templates, looked for in parts: the same as one by one."""
+    rng = random.Random(14)
+    notices = [("L%d" % (i % 7), words(rng, rng.randint(3, 12))) for i in range(2000)]
+    docs = [(i, words(rng, 20) + " " + notices[i * 13 % 2000][1] + " " + words(rng, 20)) for i in range(60)] + [(60, None), (None, notices[0][1])]
+    d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(notices, "license string, notice string")
+    table = licenses.template_table(t, licenses.Settings())
+    parts = licenses.template_parts(table, licenses.Settings(part_shingles=4000))
+    assert len(parts) > 1 and sum(map(len, parts)) == table.count() and all(sum(len(r["hashes"]) for r in p) <= 4000 for p in parts)
+    got = [sorted(map(str, licenses.scan(d, t, licenses.Settings(part_shingles=n)).collect())) for n in (4000, 10**6)]
+    assert got[0] == got[1] and got[0]
+    held = {r["doc_id"] for r in licenses.scan(d, t).collect()}
+    assert held == {i for i, x in docs if x and len(notices[i * 13 % 2000 if i is not None else 0][1].split()) >= 5}
+
+
+def test_licenses_of_odd_tables(spark, odd):
+    assert licenses.op5_licenses(spark, odd).count() == 0
+
+
 # --- language
 
 

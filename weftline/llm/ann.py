@@ -8,7 +8,7 @@ closer one kept before is nearer to it by the factor ``alpha``, so that diverse
 again where there are too many.
 
 Every query is searched for in every shard, so shards are few and large: for n points about ``growth`` times the root of n
-rows each, from ``least_rows`` to ``most_rows`` (which bounds a task's memory). A search keeps no table of visited points: a
+rows each, from ``least_rows`` to ``most_rows``, and of at most ``most_bytes`` of vectors (which bound a task's memory). A search keeps no table of visited points: a
 point that fell out of the beam can't come back into it, so only the beam is compared. Queries are dealt in parts, and a
 task has one shard and one part: a beam search of width ``beam`` finds the nearest points, whose inner products are then
 taken in double precision on the original vectors. The shards' answers are rows, of which a ranking that drops the worse ones
@@ -38,6 +38,7 @@ class Settings:
     growth: int = 64
     least_rows: int = 1024
     most_rows: int = 1 << 19
+    most_bytes: int = 1 << 27
     part: int = 1 << 16
     degree: int = 32
     beam: int = 96
@@ -166,9 +167,10 @@ def distinct_points(rows: DataFrame, s: Settings) -> DataFrame:
     return few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
-def shard_rows(n: int, s: Settings) -> int:
-    """About how many rows a shard has."""
-    return int(min(s.most_rows, max(s.least_rows, s.growth * n**0.5)))
+def shard_rows(n: int, s: Settings, length: int = 1) -> int:
+    """About how many rows of vectors of ``length`` a shard has, so that a column of it stays under ``most_bytes``."""
+    room = max(1, s.most_bytes // (8 * max(length, s.degree // 2, s.k + 1)))
+    return int(min(s.most_rows, room, max(s.least_rows, s.growth * n**0.5)))
 
 
 def _lengthened(vectors: np.ndarray, most: float) -> np.ndarray:
@@ -178,8 +180,8 @@ def _lengthened(vectors: np.ndarray, most: float) -> np.ndarray:
 def build_index(points: DataFrame, s: Settings) -> tuple[DataFrame, int]:
     """One row a shard: (shard, vectors, ids, sizes, graph, start, most), arrays as bytes; and the number of shards."""
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    n, most = points.agg(F.count("*"), F.max(norm)).first()
-    shards = max(1, round((n or 0) / shard_rows(n or 0, s)))
+    n, most, length = points.agg(F.count("*"), F.max(norm), F.max(F.size("v"))).first()
+    shards = max(1, round((n or 0) / shard_rows(n or 0, s, length or 1)))
     most = float(most or 0.0)
 
     def build(t: pa.Table) -> pa.Table:
