@@ -119,8 +119,8 @@ def where_text(df: DataFrame, start: Callable[[], Callable[[list], list[bool]]],
     return df.mapInArrow(run, df.schema)
 
 
-#: Most rows of a table of keys that is broadcast: 64 MB at some 32 bytes a row.
-MOST_KEYS = 2_000_000
+#: Most rows of a table of keys that is broadcast: 60 MB at some 120 bytes a row.
+MOST_KEYS = 500_000
 
 
 def sized_broadcast(keys: DataFrame) -> DataFrame:
