@@ -111,6 +111,48 @@ def test_10x_folder(spark, tmp_path):
     assert kept.count() == 3 and [r["spot_id"] for r in lost.collect()] == ["b2"]
 
 
+def _folder_10x(path, zipped, cells, genes_, barcodes, size=None):
+    import gzip
+
+    inner = path / "filtered_feature_bc_matrix"
+    inner.mkdir(parents=True)
+    (path / "spatial").mkdir()
+    write = (lambda name, text: (inner / f"{name}.gz").write_bytes(gzip.compress(text.encode()))) if zipped else (lambda name, text: (inner / name).write_text(text))
+    write("features.tsv", "".join(f"id{i}\t{g}\tGene Expression\n" for i, g in enumerate(genes_)))
+    write("barcodes.tsv", "".join(f"{b}\n" for b in barcodes))
+    size = size or f"{len(genes_)} {len(barcodes)} {len(cells)}"
+    write("matrix.mtx", f"%%MatrixMarket matrix coordinate integer general\n% a note\n{size}\n" + "".join(f"{g} {s} {n}\n" for g, s, n in cells))
+    (path / "spatial" / "tissue_positions_list.csv").write_text("".join(f"{b},1,{i},{i},0,0\n" for i, b in enumerate(barcodes)))
+    return f"file://{path}"
+
+
+@pytest.mark.parametrize("zipped", [True, False])
+def test_lines_are_numbered_over_splits(spark, tmp_path, zipped):
+    """Many splits of a plain file, one of a zipped one: genes and barcodes keep their numbers, the size line is checked."""
+    rng = np.random.default_rng(40)
+    genes_, barcodes = [f"gene {i}" for i in range(700)], [f"BC{i:05d}-1" for i in range(900)]
+    cells = [(int(g) + 1, int(s) + 1, int(n) + 1) for g, s, n in zip(rng.permutation(700).repeat(3), rng.integers(0, 900, 2100), rng.integers(0, 9, 2100), strict=True)]
+    cells = list({(g, s): (g, s, n) for g, s, n in cells}.values())
+    folder = _folder_10x(tmp_path / "a", zipped, cells, genes_, barcodes)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        lines = tables.numbered_lines(spark, f"{folder}/filtered_feature_bc_matrix/barcodes.tsv*")
+        assert [tuple(r) for r in lines.orderBy("n").collect()] == list(enumerate(barcodes, 1))
+        assert zipped or lines.rdd.getNumPartitions() > 5
+        counts, spots = tables.read_10x(spark, folder, "s")
+        assert sorted(tuple(r)[1:] for r in counts.collect()) == sorted((barcodes[s - 1], genes_[g - 1], n) for g, s, n in cells)
+        assert spots.count() == 900
+        for i, size in enumerate(("700 900 5", "701 900 " + str(len(cells)))):
+            with pytest.raises(ValueError, match="size line"):
+                tables.read_10x(spark, _folder_10x(tmp_path / f"bad{i}", zipped, cells, genes_, barcodes, size), "s")
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "SinglePartition" not in plan
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 # --- the model
 
 

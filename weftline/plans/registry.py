@@ -6,14 +6,16 @@ Doubles are rounded to six places on both sides.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import correct, display, genes, graph, markers, metrics, potts, qc
+from ..sources import tables
 from ..sources.adapters import COUNTS_SQL, SPOTS_SQL, counts, spots
-from ..sources.checkpoints import checkpointed
+from ..sources.checkpoints import checkpointed, shared_folder
 from . import iterative
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +101,50 @@ def ranked(spark: SparkSession, sf: str) -> DataFrame:
     return totals.select("sample_id", "gene", F.row_number().over(Window.partitionBy("sample_id").orderBy(F.desc("t"), "gene")).alias("rank"))
 
 
+@query("read_10x", "SELECT counts.sample_id, spot_id, gene, cnt, \"row\", col FROM counts JOIN spots USING (sample_id, spot_id) WHERE counts.sample_id = '2'")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A sample written as a 10x folder and read again."""
+    folder = f"{shared_folder(spark)}/sample-{uuid.uuid4().hex}"
+    tables.write_10x(checkpointed(counts(spark, sf).where("sample_id = '2'").drop("sample_id")), spots(spark, sf).where("sample_id = '2'"), folder)
+    cells, places = tables.read_10x(spark, folder, "2")
+    return cells.join(places.drop("pxl_row", "pxl_col"), ["sample_id", "spot_id"])
+
+
+@query("assemble", 'SELECT counts.* FROM counts SEMI JOIN (SELECT sample_id, spot_id FROM spots WHERE "row" % 2 = 0) s USING (sample_id, spot_id)')
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.assemble(counts(spark, sf), spots(spark, sf).where("row % 2 = 0"))[0]
+
+
+@query("spots_missing", 'SELECT DISTINCT sample_id, spot_id FROM counts ANTI JOIN (SELECT sample_id, spot_id FROM spots WHERE "row" % 2 = 0) s USING (sample_id, spot_id)')
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.assemble(counts(spark, sf), spots(spark, sf).where("row % 2 = 0"))[1]
+
+
+@query("check_inputs", "SELECT kept.* FROM kept SEMI JOIN (SELECT gene FROM kept GROUP BY gene HAVING count(DISTINCT sample_id) = (SELECT count(DISTINCT sample_id) FROM kept)) g USING (gene)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.check_inputs(kept(spark, sf), spots(spark, sf), k=[4, 5], on_mismatch="intersect").select("sample_id", "spot_id", "gene", "cnt")
+
+
+@query("save_load", "SELECT * FROM counts")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}"
+    tables.save(counts(spark, sf), path)
+    return tables.load(spark, path).select("sample_id", "spot_id", "gene", "cnt")
+
+
+@query("keep_raw", "SELECT * FROM counts")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    listed = counts(spark, sf).select("gene").distinct().withColumn("pos", F.hash("gene"))
+    return genes.preprocess(counts(spark, sf), spots(spark, sf), genes=listed, keep_raw=True)[1]
+
+
+@query("translate_genes", "SELECT sample_id, spot_id, CASE WHEN gene LIKE '%#3' THEN 'symbol ' || lower(gene) ELSE gene END AS gene, cnt FROM counts")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    c = counts(spark, sf)
+    mapping = c.select("gene").distinct().where("gene LIKE '%#3'").withColumn("symbol", F.concat(F.lit("symbol "), F.lower("gene")))
+    return qc.translate_genes(c, mapping).select("sample_id", "spot_id", "gene", "cnt")
+
+
 @query("spot_filter", "SELECT * FROM spot_ok")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return qc.spot_filter(counts(spark, sf), 20)

@@ -4,12 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` in the folder of ``spark.checkpoint.dir``, which all executors share; a temporary one only where it is unset."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share; a temporary one only where it is unset and Spark is local."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that they share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-checkpoint-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` in the folder that all executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
