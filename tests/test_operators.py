@@ -539,3 +539,34 @@ def test_radius_from_one_pass_is_that_of_graphs(spark, seed):
         assert median(radius) == want if want <= 6 else median(radius) > 6
     found = graph.auto_radius(spots)
     assert 4 <= graph.median_degree(spots, graph.radius_graph(spots, found)) <= 6
+
+
+def test_neighbours_where_nearly_all_spots_are_in_one_cell(spark, monkeypatch):
+    """Nine tenths of the spots in a thousandth of the field, some at one place: exact, and without all pairs of the dense cell."""
+    rng = np.random.default_rng(50)
+    p = np.round(np.concatenate([rng.normal(size=(540, 2)) * 0.01 + 5, rng.random((50, 2)) * 1000, np.full((10, 2), 5.0)]), 4)
+    s = spots_of(spark, p)
+    pairs = []
+    plain = graph._close_pairs
+    monkeypatch.setattr(graph, "_close_pairs", lambda *a: pairs.append(plain(*a).count()) or plain(*a))
+    got = {}
+    for r in graph.knn_graph(s, 5).collect():
+        got.setdefault(int(r["spot_id"]), []).append(r["nbr_id"])
+    assert sum(pairs) < 200 * 600  # 290,000 in the dense cell alone
+    y = p[:, ::-1]
+    for i in range(len(y)):
+        d = ((y - y[i]) ** 2).sum(1)
+        order = sorted((j for j in range(len(y)) if j != i), key=lambda j: (d[j], str(j)))[:5]
+        assert sorted(round(d[int(j)], 9) for j in got[i]) == sorted(round(d[j], 9) for j in order)
+
+
+def test_radius_with_dense_cells_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(51)
+    s = spots_of(spark, np.concatenate([rng.random((150, 2)) * 2, rng.random((40, 2)) * 30]))
+    want = {tuple(r) for r in graph.radius_graph(s, 2.0, "col", "row").collect()}
+    monkeypatch.setattr(graph, "DENSE", 20)
+    got = [tuple(r) for r in graph.radius_graph(s, 2.0, "col", "row").collect()]
+    assert set(got) == want and len(got) == len(want) > 5000
+    parts = graph._close_pairs(s, 2.0, "col", "row")
+    plan = parts._jdf.queryExecution().toString()
+    assert "part" in plan

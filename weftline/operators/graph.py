@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.order import order_statistics
+from ..functions.order import order_statistics, sized_broadcast
 from ..sources.checkpoints import checkpointed
 from .qc import SPOT
 
@@ -38,13 +38,29 @@ def _around(rings: int) -> Column:
     return F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-rings, rings + 1) for b in range(-rings, rings + 1)])
 
 
-def _close_pairs(spots: DataFrame, side: float, x: str, y: str) -> DataFrame:
-    """Pairs of spots in the same or adjacent cells of ``side``, with their squared distance; no self."""
-    c = _cells(spots, side, x, y)
-    one = c.withColumn("o", F.explode(_around(1))).select(*SPOT, "x", "y", (F.col("cx") + F.col("o.a")).alias("cx"), (F.col("cy") + F.col("o.b")).alias("cy"))
+#: Spots of a cell that one task compares with what is around them; those of a denser cell are dealt to several.
+DENSE = 2048
+
+
+def _close_pairs(spots: DataFrame, side: float, x: str, y: str, askers: DataFrame | None = None, dense: int | None = None) -> DataFrame:
+    """Pairs of spots in the same or adjacent cells of ``side``, with their squared distance; no self.
+
+    ``askers (sample_id, spot_id, …)`` are the spots whose neighbours are wanted, with columns to keep (all spots if None). A
+    cell with more than ``dense`` spots is copied to as many parts as it has so many, and who asks for it is dealt to one
+    of them by a hash, so that no task has all pairs of a dense cell.
+    """
+    dense = DENSE if dense is None else dense
+    c = checkpointed(_cells(spots, side, x, y))
+    cell = ["sample_id", "cx", "cy"]
+    parts = c.groupBy(*cell).agg(F.count("*").alias("n")).where(F.col("n") > dense).select(*cell, F.ceil(F.col("n") / dense).cast("int").alias("parts"))
+    parts = sized_broadcast(checkpointed(parts))
+    own = c if askers is None else c.join(askers, SPOT)
+    one = own.withColumn("o", F.explode(_around(1))).withColumns({"cx": F.col("cx") + F.col("o.a"), "cy": F.col("cy") + F.col("o.b")}).drop("o")
+    one = one.join(parts, cell, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(*SPOT), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
     two = c.select("sample_id", F.col("spot_id").alias("nbr_id"), F.col("x").alias("nx"), F.col("y").alias("ny"), "cx", "cy")
+    two = two.join(parts, cell, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     d2 = (F.col("x") - F.col("nx")) ** 2 + (F.col("y") - F.col("ny")) ** 2
-    return one.join(two, ["sample_id", "cx", "cy"]).where("spot_id <> nbr_id").withColumn("d2", d2)
+    return one.join(two, [*cell, "part"]).where("spot_id <> nbr_id").withColumn("d2", d2).drop("part")
 
 
 def radius_graph(spots: DataFrame, radius: float, x: str = "x", y: str = "y") -> DataFrame:
@@ -95,8 +111,9 @@ def nearest(spots: DataFrame, k: int, x: str = "col", y: str = "row", rounds: in
     """``(sample_id, spot_id, nbr_id, d2, r)``: the ``k`` nearest spots of each (or all others, if there are fewer), ties to the
     smaller id; exact.
 
-    Cells start at a side that holds about ``k`` spots. A spot is done once its k-th neighbour is no farther than the side,
-    as no spot outside the adjacent cells is nearer; for the others the side is doubled.
+    Cells start at a side that holds about ``k`` spots, or at smaller ones where spots are dense, in which only spots with enough
+    others in their cell ask. A spot is done once its k-th neighbour is no farther than the side, as no spot outside the
+    adjacent cells is nearer; for the others the side is doubled.
     """
     size = checkpointed(spots.groupBy("sample_id").agg(F.count("*").alias("n"), (F.max(x) - F.min(x)).alias("w"), (F.max(y) - F.min(y)).alias("h")))
     none = spots.select(*SPOT, F.col("spot_id").alias("nbr_id"), F.lit(0.0).alias("d2"), F.lit(1).alias("r")).limit(0)
@@ -107,8 +124,15 @@ def nearest(spots: DataFrame, k: int, x: str = "col", y: str = "row", rounds: in
     wanted = size.select("sample_id", F.least(F.lit(k), F.col("n") - 1).alias("k"))
     open_ = spots.select(*SPOT).join(F.broadcast(wanted), "sample_id").where("k > 0")  # a row a sample
     order = Window.partitionBy(*SPOT).orderBy("d2", "nbr_id")
-    for _ in range(rounds):
-        pairs = _close_pairs(spots, side, x, y).join(open_, SPOT).withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("k"))
+    fine = _finer_sides(spots, side, k, x, y, float(far))
+    sides = [*fine, *(side * 2.0**i for i in range(rounds))]
+    for i, side in enumerate(sides):
+        now = open_
+        if i < len(fine):  # in cells too small for most spots only those ask whose cell has enough
+            cells = _cells(spots, side, x, y)
+            full = cells.groupBy("sample_id", "cx", "cy").agg(F.count("*").alias("n")).where(F.col("n") > k)
+            now = open_.join(cells.join(full, ["sample_id", "cx", "cy"]).select(*SPOT), SPOT, "left_semi")
+        pairs = _close_pairs(spots, side, x, y, now).withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("k"))
         kept = pairs.withColumn("last", F.max(F.when(F.col("r") == F.col("k"), F.sqrt("d2"))).over(Window.partitionBy(*SPOT)))
         done = kept if side > far else kept.where(F.col("last") <= side)
         done = checkpointed(done.select(*SPOT, "nbr_id", "d2", "r"))
@@ -118,10 +142,21 @@ def nearest(spots: DataFrame, k: int, x: str = "col", y: str = "row", rounds: in
         open_ = checkpointed(open_.join(done.select(*SPOT).distinct(), SPOT, "left_anti"))
         if open_.isEmpty():
             return found
-        side *= 2
     raise ValueError("spots are spread over too many orders of magnitude")
 
 
+def _finer_sides(spots: DataFrame, side: float, k: int, x: str, y: str, far: float) -> list[float]:
+    """Sides of smaller cells, least first, where cells of ``side`` hold far more than ``k`` spots: halved until none does."""
+    out: list[float] = []
+    while side > 1e-9 * max(far, 1e-9):
+        most = _cells(spots, side, x, y).groupBy("sample_id", "cx", "cy").count().agg(F.max("count")).first()[0] or 0
+        if most <= 16 * (k + 1):
+            break
+        side /= 2
+        out.insert(0, side)
+    return out
+
+
 def knn_graph(spots: DataFrame, k: int = 6, x: str = "col", y: str = "row") -> DataFrame:
     """The ``k`` nearest spots of each, ties to the smaller id; exact. Every sample needs more than ``k`` spots."""
     if not spots.groupBy("sample_id").count().where(F.col("count") <= k).isEmpty():
