@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.functions.blocks import sparse_rows
 from weftline.operators import graph, model, tiled
 
 KEY = ["sample_id", "spot_id"]
@@ -21,7 +22,9 @@ def inputs(spark, s, seed=3, factor=False):
                 rows.append((sample, i, np.flatnonzero(x).tolist(), x[x > 0].tolist()))
     spots = spark.createDataFrame([*places, ("a", "lone", 90.0, 90.0)], "sample_id string, spot_id string, row double, col double")
     rows.append(("a", "lone", [0, 3], [1.0, 2.0]))
-    data = spark.createDataFrame(rows, "sample_id string, spot_id string, idx array<int>, val array<double>")
+    long = [(sample, i, f"g{g:02d}", v) for sample, i, idx, val in rows for g, v in zip(idx, val, strict=True)]
+    listed = spark.createDataFrame([(f"g{g:02d}", g + 1) for g in range(12)], "gene string, gene_idx int")
+    data = sparse_rows(spark.createDataFrame(long, "sample_id string, spot_id string, gene string, value double"), listed, KEY)
     other = graph.knn_graph(spots.where("spot_id <> 'lone'"), 3) if factor else None
     return model.prepare(data, graph.lattice(spots), 12, 2, s, other), spots
 

@@ -30,6 +30,12 @@ from .model import Inputs, ModelSettings, Params, Posterior
 from .qc import SPOT
 
 
+BLOCK = "tile string, sample_id string, spot_id string, hop int, at int, near array<int>, other array<int>, idx array<int>, val array<double>"
+_TEXTS = [(c, pa.string()) for c in ("tile", *SPOT)]
+#: Without bounds on NULLs, which Spark's own array functions set.
+BLOCK_SCHEMA = pa.schema([*_TEXTS, ("hop", pa.int32()), ("at", pa.int32()), *[(c, pa.list_(pa.int32())) for c in ("near", "other", "idx")], ("val", pa.list_(pa.float64()))])
+
+
 @dataclass(frozen=True)
 class Tiles:
     """``blocks``: tile, sample_id, spot_id, hop (edges from the tile's own spots), at (place in the tile), near and other (places of
@@ -74,9 +80,9 @@ def cut(x: Inputs, tiles: DataFrame | None, depth: int) -> Tiles:
         for c in ("near", "other"):
             lists = [[at[s] for s in x if s in at] if x and i else [] for x, i in zip(table.column(c).to_pylist(), inner, strict=True)]
             out[c] = pa.array(lists, pa.list_(pa.int32()))
-        return pa.table(out | {c: table.column(c) for c in ("idx", "val")})
+        return pa.table(out | {c: table.column(c) for c in ("idx", "val")}).cast(BLOCK_SCHEMA)
 
-    blocks = rows.groupBy("tile").applyInArrow(number, "tile string, sample_id string, spot_id string, hop int, at int, near array<int>, other array<int>, idx array<int>, val array<double>")
+    blocks = rows.groupBy("tile").applyInArrow(number, BLOCK)
     parts = int(x.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return Tiles(checkpointed(blocks).repartition(parts, "tile").persist(StorageLevel.MEMORY_AND_DISK), members, depth, len(graphs) > 1)
 
@@ -154,7 +160,7 @@ def sweeps(joined: DataFrame, params: list[Params], s: ModelSettings, two_graphs
                 for c, x in (("y", y[:, None] + 1), ("v", v), ("m_new", near), ("t", t)):
                     out[c].append(x[own])
         if not len(own):
-            return pa.Table.from_batches([], OUT_SCHEMA)
+            return OUT_SCHEMA.empty_table()
         whole = pa.table({c: table.column(c).take(pa.array(own)) for c in ("tile", *SPOT)})
         for c, parts in out.items():
             x = np.hstack(parts)
@@ -165,7 +171,7 @@ def sweeps(joined: DataFrame, params: list[Params], s: ModelSettings, two_graphs
     return joined.groupBy("tile").applyInArrow(run, OUT)
 
 
-OUT_SCHEMA = pa.schema([("tile", pa.string()), ("sample_id", pa.string()), ("spot_id", pa.string()), ("y", pa.list_(pa.int32())), *[(c, pa.list_(pa.float64())) for c in ("g", "m", "v", "m_new", "t", "sums")]])
+OUT_SCHEMA = pa.schema([*_TEXTS, ("y", pa.list_(pa.int32())), *[(c, pa.list_(pa.float64())) for c in ("g", "m", "v", "m_new", "t", "sums")]])
 
 
 @dataclass
