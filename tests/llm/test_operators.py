@@ -49,19 +49,29 @@ def test_toxicity_reaches_unseen_spellings():
     assert abs(toxicity.Scorer(model)([None, ""])[0] - toxicity.Scorer(model)(["..."])[0]) < 1e-12
 
 
+def test_a_short_insult_in_a_long_text_is_not_averaged_away():
+    rng = random.Random(3)
+    data = toxic_rows(rng, 400, ["grumbolf", "snarvick"])
+    scorer = toxicity.Scorer(toxicity.train([t for t, _ in data], [y for _, y in data]))
+    clean = [prose(rng, 4000) for _ in range(20)]
+    assert (scorer(clean) < 0.7).all()
+    assert (scorer([f"{t} grumbolf {prose(rng, 1000)} snarvickzz {t}" for t in clean]) >= 0.7).all()
+
+
 def test_scores_against_brute_force():
     rng = np.random.default_rng(17)
-    model = toxicity.Model(rng.normal(size=1 << 10), -0.3, 2)
+    model = toxicity.Model(rng.normal(size=1 << 10), 3 * rng.normal(size=1 << 10), -0.3, 6)
     text_rng = random.Random(18)
-    texts = [words(text_rng, n) for n in (1, 2, 3, 4, 7, 50)] + ["Ünï cödé!", None, "..."]
+    texts = [words(text_rng, n) for n in (1, 2, 3, 4, 7, 50)] + ["Ünï cödé!", None, "...", "same same same other"]
     for text, got in zip(texts, toxicity.Scorer(model)(texts), strict=True):
-        value = []
-        for w in re.sub(r"[^a-z0-9\x80-\U0010ffff]", " ", (text or "").lower()).split():
+        above = below = 0.0
+        parts = re.sub(r"[^a-z0-9\x80-\U0010ffff]", " ", (text or "").lower()).split()
+        for w in parts:
             ids, _ = toxicity.subwords([w.encode()], 1 << 10)
-            value.append(model.bucket_score[ids].mean())
-        starts = list(range(0, max(1, len(value) - 1), 2)) if value else []
-        best = max((np.mean(value[a:b]) for a, b in zip(starts, [*starts[1:], len(value)])), default=0.0)
-        assert abs(got - 1 / (1 + math.exp(-(best - 0.3)))) < 1e-12
+            weight = math.exp(max(1, math.log(1 + len(parts)) / math.log(7)) * model.bucket_weight[ids].mean())
+            above, below = above + weight * model.bucket_score[ids].mean(), below + weight
+        average = above / below if below else 0.0
+        assert abs(got - 1 / (1 + math.exp(-(average - 0.3)))) < 1e-12
 
 
 def test_subwords_of_a_word_do_not_depend_on_the_others():

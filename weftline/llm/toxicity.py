@@ -1,14 +1,13 @@
 """Toxicity scores from subword-bag embeddings and a linear softmax.
 
-A word is the bag of its hashed character n-grams (3 to 6 bytes, with word edges) and of itself. A stretch of words is the
-mean of its words' mean vectors; a linear softmax reads its class. A document is as toxic as its most toxic window of two
-words, so a short insult in a long text isn't averaged away. Training starts with whole documents as stretches (``whole``
-rounds), which tells words apart, and goes on with each document's most toxic window. Vectors and softmax are trained jointly in NumPy on the driver, over a
-bounded sample of labelled rows (``max_docs`` a class, texts up to ``max_chars``). As n-gram vectors are shared, unseen
-misspellings get the score of what they resemble.
+A word is the mean vector of its hashed character n-grams (3 to 6 bytes, with word edges) and of itself. A document is the
+average of its words' vectors, and a linear softmax reads its class. Words weigh in the average by the softmax of a linear
+function of their vectors, equal for all words at first and sharper in texts of over ``long`` words, so that a short insult
+isn't averaged away in a text of any length. Vectors, weights and softmax are trained jointly in NumPy on the driver, over a
+bounded sample of labelled rows (``max_docs`` a class, texts up to ``max_chars``). As n-gram vectors are shared, unseen misspellings get the score of what they resemble.
 
-Scoring is one pass over all whole texts in Arrow batches, without a shuffle. The model (``buckets`` numbers once the
-vectors are folded with the softmax) has a fixed size.
+Scoring is one pass over all whole texts in Arrow batches, without a shuffle. The model (two numbers a bucket once the
+vectors are folded with the softmax and the weights) has a fixed size.
 
 Edge cases: a NULL or empty text, and one without a word, scores as the bias alone (the class prior); repeated rows are
 scored each; NULL labels aren't learnt from; with no labelled row, or one class only, the score is the Laplace-smoothed
@@ -33,11 +32,10 @@ class Settings:
 
     buckets: int = 1 << 16
     dim: int = 8
-    window: int = 2
-    whole: int = 4
+    long: int = 1000
     max_docs: int = 3000
     max_chars: int = 60_000
-    steps: int = 1500
+    steps: int = 250
     batch: int = 64
     rate: float = 0.03
     shrink: float = 1e-5
@@ -47,11 +45,12 @@ class Settings:
 
 @dataclass(frozen=True)
 class Model:
-    """``bucket_score``: each bucket's vector times the difference of the softmax's two rows."""
+    """Of each bucket's vector: its product with the difference of the softmax's two rows, and with the weights' vector."""
 
     bucket_score: np.ndarray
+    bucket_weight: np.ndarray
     bias: float
-    window: int
+    long: int
 
 
 #: Bytes of the longest n-gram.
@@ -85,28 +84,20 @@ def subwords(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate(owners)
 
 
-def _windows(n: int, size: int) -> np.ndarray:
-    """Starts of the windows over ``n`` words; the last, short one is joined to the one before."""
-    return np.arange(0, max(1, n - size // 2), size)
+def sharpness(words: np.ndarray | int, long: int) -> np.ndarray:
+    """What the logarithms of the words' weights are multiplied by: 1 up to ``long`` words, then as the logarithm of their number."""
+    return np.maximum(1.0, np.log1p(words) / np.log1p(long))
 
 
 class _Sample:
-    """The training texts as word numbers, cut into windows; ``ids`` of word w are ``ids[first[w]:first[w + 1]]``."""
+    """The training texts as word numbers; ``ids`` of word w are ``ids[first[w]:first[w + 1]]``."""
 
     def __init__(self, texts: list[str], s: Settings):
         known: dict[bytes, int] = {}
-        tokens, sizes, row_doc = [], [], []
-        for doc, text in enumerate(texts):
-            words = plain_words(text)
-            if words:
-                tokens.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
-                starts = _windows(len(words), s.window)
-                sizes.append(np.diff(np.append(starts, len(words))))
-                row_doc += [doc] * len(starts)
+        tokens = [np.fromiter((known.setdefault(w, len(known)) for w in plain_words(text)), np.int32) for text in texts]
+        self.size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.start = np.cumsum(self.size) - self.size
         self.token = np.concatenate(tokens) if tokens else np.zeros(0, np.int32)
-        self.size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-        self.start = np.append(0, np.cumsum(self.size))
-        self.doc_row = np.searchsorted(row_doc, np.arange(len(texts) + 1))
         ids, count, names = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], list(known)
         for k in range(0, len(names), 20_000):  # so that what hashing needs beside the ids is bounded
             some, owner = subwords(names[k : k + 20_000], s.buckets)
@@ -115,70 +106,71 @@ class _Sample:
         self.ids, self.count = np.concatenate(ids), np.concatenate(count)
         self.first = np.append(0, np.cumsum(self.count))
 
-    def best_windows(self, bucket_score: np.ndarray) -> np.ndarray:
-        """Of each document, the window that scores highest; -1 without words."""
-        word = np.add.reduceat(bucket_score[self.ids], self.first[:-1]) / self.count
-        row = np.add.reduceat(word[self.token], self.start[:-1]) / self.size
-        return np.array([a + int(np.argmax(row[a:b])) if b > a else -1 for a, b in zip(self.doc_row, self.doc_row[1:], strict=False)])
-
-    def bag(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For some stretches of tokens: shares of their distinct words (dense), those words' ids in a row, and where each word's begin."""
-        size = end - begin
-        line = np.repeat(np.arange(len(begin)), size)
-        at = self.token[np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)]
+    def bag(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For some documents: counts of their distinct words (dense), those words' ids in a row, and how many each word has."""
+        size = self.size[docs]
+        line = np.repeat(np.arange(len(docs)), size)
+        at = self.token[np.arange(size.sum()) + np.repeat(self.start[docs] - np.cumsum(size) + size, size)]
         words, back = np.unique(at, return_inverse=True)
-        share = np.bincount(line * len(words) + back, minlength=len(begin) * len(words)).reshape(len(begin), -1)
+        counts = np.bincount(line * len(words) + back, minlength=len(docs) * len(words)).reshape(len(docs), -1)
         each = self.count[words]
-        first = np.cumsum(each) - each
-        inner = np.arange(each.sum()) - np.repeat(first - self.first[words], each)
-        return (share / size[:, None] / each).astype(np.float32), self.ids[inner], first
+        inner = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each - self.first[words], each)
+        return counts.astype(np.float32), self.ids[inner], each
 
 
 def train(texts: list[str], labels: list[int], s: Settings = Settings()) -> Model:
-    """Joint training by Adam on mini-batches of documents; the window that scores highest stands for its document."""
+    """Joint training by Adam on mini-batches of documents."""
     y = np.asarray(labels, np.int64)
     prior = (y.sum() + 1) / (len(y) + 2)
     bias0 = float(np.log(prior / (1 - prior)))
     sample = _Sample(texts, s)
-    docs = np.flatnonzero(np.diff(sample.doc_row))
+    docs = np.flatnonzero(sample.size)
     if len(set(y[docs].tolist())) < 2:
-        return Model(np.zeros(s.buckets), bias0, s.window)
+        return Model(np.zeros(s.buckets), np.zeros(s.buckets), bias0, s.long)
     rng = np.random.default_rng(s.seed)
     emb = rng.normal(0, 0.1, (s.buckets, s.dim)).astype(np.float32)
     soft = rng.normal(0, 0.5, (s.dim, 2)).astype(np.float32)
-    bias = np.array([0, bias0], np.float32)
-    params = (emb, soft, bias)
+    bias, weigh = np.array([0, bias0], np.float32), np.zeros(s.dim, np.float32)
+    params = (emb, soft, bias, weigh)
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in params]
     epochs = -(-s.steps // -(-len(docs) // s.batch))  # a small sample is gone over more often
     steps, step = epochs * -(-len(docs) // s.batch), 0
-    for epoch in range(epochs):
-        best = sample.best_windows((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float64))
+    for _ in range(epochs):
         order = rng.permutation(docs)
         for k in range(0, len(order), s.batch):
             chosen = order[k : k + s.batch]
-            first, last = (best[chosen], best[chosen] + 1) if epoch >= s.whole else (sample.doc_row[chosen], sample.doc_row[chosen + 1])
-            share, ids, begin = sample.bag(sample.start[first], sample.start[last])
-            bag = share @ np.add.reduceat(emb[ids], begin)
+            counts, ids, each = sample.bag(chosen)
+            begin = np.cumsum(each) - each
+            used, back = np.unique(ids, return_inverse=True)
+            size = each[:, None].astype(np.float32)
+            word = np.add.reduceat(emb[ids], begin) / size
+            sharp = sharpness(sample.size[chosen], s.long).astype(np.float32)[:, None]
+            share = np.where(counts > 0, sharp * (word @ weigh), -np.inf)
+            share = counts * np.exp(share - share.max(1, keepdims=True))
+            share /= share.sum(1, keepdims=True)
+            bag = share @ word
             logit = bag @ soft + bias
             p = np.exp(logit - logit.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(p)), y[chosen]] -= 1
             p /= len(chosen)
-            per_word = share.T @ (p @ soft.T)
-            used, back = np.unique(ids, return_inverse=True)
-            spread = np.repeat(per_word, np.diff(np.append(begin, len(ids))), axis=0)
+            to_bag = p @ soft.T
+            to_weight = (sharp * share * (to_bag @ word.T - (to_bag * bag).sum(1, keepdims=True))).sum(0)
+            to_word = (share.T @ to_bag + to_weight[:, None] * weigh) / size
+            spread = np.repeat(to_word, each, axis=0)
             grad = np.stack([np.bincount(back, spread[:, j], len(used)) for j in range(s.dim)], 1).astype(np.float32)
             step += 1
             rate = s.rate * (1 - step / (steps + 1))
-            for value, part, g, (m, v) in zip(params, (used, slice(None), slice(None)), (grad + s.shrink * emb[used], bag.T @ p, p.sum(0)), state, strict=True):
+            grads = (grad + s.shrink * emb[used], bag.T @ p, p.sum(0), word.T @ to_weight)
+            for value, part, g, (m, v) in zip(params, (used, *[slice(None)] * 3), grads, state, strict=True):
                 m[part] = 0.9 * m[part] + 0.1 * g
                 v[part] = 0.999 * v[part] + 0.001 * g**2
                 value[part] -= rate * (m[part] / (1 - 0.9**step)) / (np.sqrt(v[part] / (1 - 0.999**step)) + 1e-8)
-    return Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float64), float(bias[1] - bias[0]), s.window)
+    return Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float64), (emb @ weigh).astype(np.float64), float(bias[1] - bias[0]), s.long)
 
 
 class Scorer:
-    """Scores texts with a model; keeps the scores of words seen before, up to ``keep`` of them."""
+    """Scores texts with a model; keeps the scores and weights of words seen before, up to ``keep`` of them."""
 
     def __init__(self, model: Model, keep: int = 300_000):
         self.model, self.keep, self.known = model, keep, {}
@@ -190,14 +182,15 @@ class Scorer:
         new = list(set().union(*docs).difference(self.known))
         if new:
             ids, owner = subwords(new, len(self.model.bucket_score))
-            value = np.bincount(owner, self.model.bucket_score[ids], len(new)) / np.bincount(owner, minlength=len(new))
-            self.known.update(zip(new, value.tolist(), strict=True))
+            many = np.bincount(owner, minlength=len(new))
+            score, weight = (np.bincount(owner, x[ids], len(new)) / many for x in (self.model.bucket_score, self.model.bucket_weight))
+            self.known.update(zip(new, zip(score.tolist(), weight.tolist(), strict=True), strict=True))
         out = np.full(len(docs), self.model.bias)
         for i, words in enumerate(docs):
             if words:
-                values = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
-                starts = _windows(len(values), self.model.window)
-                out[i] += (np.add.reduceat(values, starts) / np.diff(np.append(starts, len(values)))).max()
+                score, weight = np.array(list(map(self.known.__getitem__, words))).T
+                weight = np.exp(sharpness(len(words), self.model.long) * (weight - weight.max()))
+                out[i] += (score @ weight) / weight.sum()
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
