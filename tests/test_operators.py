@@ -1,6 +1,7 @@
 """Hand-checked answers, dense oracles and invariants of the sample-integration operators."""
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,14 @@ def test_names_filters_and_rotation(spark):
     assert abs(r["col"]) < 1e-12 and abs(r["row"] - 1) < 1e-12
 
 
+def test_reported_loglik():
+    z, old = np.zeros((1, 1)), model.ModelSettings(legacy_loglik=True, eps_loglik=1e-3)
+    p = model.Params(["a"], z, z, z, z, z, z, z, path=[-900.0, -800.0, -799.9])
+    assert model.reported_loglik(p) == -799.9 and model.reported_loglik(p, old) == -800.0
+    for path in ([-900.0, -800.0], [-5.0]):  # ended by the number of rounds
+        assert model.reported_loglik(replace(p, path=path), old) == path[-1]
+
+
 def test_entry_checks(spark, tmp_path):
     c = spark.createDataFrame([("a", "1", "g", 1), ("b", "2", "h", 2), ("b", "2", "g", 2)], "sample_id string, spot_id string, gene string, cnt long")
     s = spark.createDataFrame([("a", "1", 0.0, 0.0), ("b", "2", 0.0, 0.0)], "sample_id string, spot_id string, row double, col double")

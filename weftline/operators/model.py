@@ -44,6 +44,7 @@ class ModelSettings:
     weighted_pca: bool = True
     potts_direction: str = "in"
     seed: int = 1
+    legacy_loglik: bool = False
 
     def __post_init__(self):
         if self.init not in ("mixture", "kmeans"):
@@ -367,6 +368,16 @@ def start_noise(x: Inputs, s: ModelSettings) -> tuple[np.ndarray, np.ndarray]:
     return lam, np.array(psi)
 
 
+def settled(path: list[float], s: ModelSettings) -> bool:
+    """Whether the log-likelihood changed by less than the wanted share in the last round."""
+    return len(path) > 1 and abs(path[-1] - path[-2]) < s.eps_loglik * abs(path[-2])
+
+
+def reported_loglik(p: Params, s: ModelSettings = ModelSettings()) -> float:
+    """The last round's log-likelihood; with ``legacy_loglik``, that of the round before if the fit settled."""
+    return float(p.path[-2] if s.legacy_loglik and settled(p.path, s) else p.path[-1])
+
+
 def fit(x: Inputs, k: int, s: ModelSettings = ModelSettings()) -> tuple[DataFrame, Params]:
     """``(sample_id, spot_id, cluster, hz, hv, resp)`` and parameters for one K. Every sweep is checkpointed; the driver holds scalars and parameters."""
     labels, p = starting(x, k, s)
@@ -392,8 +403,7 @@ def fit(x: Inputs, k: int, s: ModelSettings = ModelSettings()) -> tuple[DataFram
         path.append(swept.agg(F.sum("loglik")).first()[0])
         rows = x.rows.join(swept.select(*SPOT, "y", "g", "m", "m_new", "v", "resp"), SPOT)
         old = p
-        done = len(path) > 1 and abs(path[-1] - path[-2]) < s.eps_loglik * abs(path[-2])
-        if done or len(path) == s.max_rounds - 1:
+        if settled(path, s) or len(path) == s.max_rounds - 1:
             return final_embedding(swept, old, s.spatial_factor), replace(p, path=path)
         p = m_step(rows, p, s, x.moments.squares, x.moments.n)
         state = swept.select(*SPOT, "y", "v", F.col("m_new").alias("m"))

@@ -224,8 +224,7 @@ def advance(x: Inputs, tiles: Tiles, f: Fitting, s: ModelSettings) -> Fitting:
         beta = np.array(s.beta_grid)[own.argmax(1)] if s.beta_grid else p.beta
         path = [*p.path, float(sums[:, i, at, 1].sum())]
         params[i] = replace(p, beta=beta, path=path)
-        done = len(path) > 1 and abs(path[-1] - path[-2]) < s.eps_loglik * abs(path[-2])
-        finished.append(done or len(path) == s.max_rounds - 1)
+        finished.append(model.settled(path, s) or len(path) == s.max_rounds - 1)
         place, wide = i * many + at, len(p.mu)
         part = lambda c, place=place: F.slice(c, place * q + 1, q)
         chosen.append({"y": F.col("y")[place], "g": F.slice("g", i * q + 1, q), "m": F.slice("m", i * q + 1, q), "v": part("v"), "m_new": part("m_new"), "t": F.slice("t", int(starts[i]) + at * wide + 1, wide)})

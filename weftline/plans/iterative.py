@@ -106,7 +106,7 @@ def fit(spark: SparkSession, sf: str) -> DataFrame:
     s = model.ModelSettings(max_rounds=4, max_sweeps=4, init="kmeans", init_starts=1)
     x = _lattice_inputs(spark, sf, Q, s)
     fits = tiled.fit_many(x, [3, 4], s, tiled.tile_of(spots(spark, sf), SIDE))
-    ll = spark.createDataFrame([(k, float(p.path[-1])) for k, (_, p) in fits.items()], "k int, loglik double")
+    ll = spark.createDataFrame([(k, model.reported_loglik(p, s)) for k, (_, p) in fits.items()], "k int, loglik double")
     k = model.best_k(model.select_k(ll, *x.loadings.shape, len(x.moments.samples), int(x.moments.n.sum()), s))
     return fits[k][0].withColumn("k", F.lit(k))
 
