@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpus_pipeline import STAGES, run
+from weftline.llm import licenses
 from weftline.llm.queries import QUERIES
 
 PER_DOCUMENT = ["op1_toxicity", "op2_quality", "op3_lm", "op7_language", "op8_simhash", "op9_token_counts", "op10_bpe", "op12_rules", "op13_alignment"]
@@ -38,6 +39,15 @@ def test_items_found_once(spark, odd):
     assert {(7, 1, 0), (7, 5, 0)} <= got and not {d for d, _, _ in got} & {60, 61, 62, 63}
 
 
+def test_licenses_in_odd_documents(spark, odd):
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    notices = {r["doc_id"]: r["text"] for r in docs.where("doc_id IN (0, 5)").collect()}
+    templates = spark.createDataFrame([("a", notices[0]), ("b", notices[5])], "license string, notice string")
+    got = {(r["doc_id"], r["license"], r["containment"]) for r in licenses.scan(docs, templates).collect()}
+    assert got == {(0, "a", 1.0), (70, "a", 1.0), (71, "a", 1.0), (5, "b", 1.0), (None, "b", 1.0)}
+    assert QUERIES["op5_licenses"](spark, odd).count() == 0
+
+
 def test_stages_on_odd_and_empty_documents(spark, odd, empty):
     for folder in (odd, empty):
         docs = spark.read.parquet(f"{folder}/documents.parquet")
