@@ -112,3 +112,43 @@ def test_equal_texts_have_equal_verdicts(spark):
     labels = docs.select("doc_id", (F.col("kind") == "clean").cast("int").alias("quality"))
     found = rules.apply_rules(docs.union(docs), labels)
     assert found.count() == 200 and found.groupBy("doc_id").agg(F.countDistinct("kept").alias("k")).where("k > 1").isEmpty()
+
+
+def _counted(spark, n):
+    """Numbers of ``n`` documents, one in 20 with many symbols, and labels of quality for most."""
+    rng = np.random.default_rng(8)
+    words = rng.integers(50, 400, n)
+    junk = np.arange(n) % 20 == 0
+    x = np.stack([words, 5 * words, np.where(junk, 5 * words, words * (0.3 + rng.exponential(0.2, n))).astype(int), rng.integers(0, 3, n), rng.integers(0, 9, n), rng.integers(3, 9, n), rng.integers(0, 5, n)], 1)
+    counted = spark.createDataFrame([(i, *row) for i, row in enumerate(x.tolist())], ["doc_id", *rules.COUNTS])
+    labels = counted.where("doc_id % 7 <> 0").select("doc_id", F.when(F.col("doc_id") % 20 == 0, 0).otherwise(1).alias("quality"))
+    return x, counted, labels, (np.arange(n) % 7 != 0) & ~junk
+
+
+def test_thresholds_come_from_all_labelled_rows(spark):
+    x, counted, labels, good = _counted(spark, 12_000)
+    s = rules.Settings(trees=32)
+    model = rules.fit(counted, labels, s)
+    scores = np.sort(model.forests["symbols"].scores(rules.shares(x[good])))[::-1]
+    assert good.sum() > 9000 and model.thresholds["symbols"] == scores[int(s.good_loss * len(scores))]
+
+
+def test_forests_are_grown_over_all_documents(spark):
+    """Trees grown by passes are those grown over the whole matrix, whatever the partitions; the one far document counts."""
+    x, counted, _, _ = _counted(spark, 10_000)
+    x[1234, 2] = 10**9
+    counted = counted.withColumn("n_symbols", F.when(F.col("doc_id") == 1234, 10**9).otherwise(F.col("n_symbols")))
+    s = rules.Settings(trees=3)
+    got = [rules.grow_forests(counted.repartition(k), s) for k in (1, 6)]
+    for i, (family, columns) in enumerate(rules.FAMILIES.items()):
+        matrix = np.stack([rules.shares(x)[c] for c in columns], 1)
+        for k in range(s.trees):
+            growing = rules.Growing(np.random.default_rng([s.seed, i * s.trees + k]), s.points)
+            while growing.open:
+                growing.advance(rules.ranges(growing.tree, matrix, np.ones(len(matrix))))
+            want = growing.tree
+            for forests in got:
+                tree = forests[family].trees[k]
+                assert all(np.array_equal(getattr(tree, a), getattr(want, a)) for a in ("column", "cut", "left", "right", "path"))
+    far = got[0]["symbols"].scores(rules.shares(x))
+    assert far[1234] > np.delete(far, 1234).max()
