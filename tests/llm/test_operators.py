@@ -202,6 +202,24 @@ def test_lm_probabilities_sum_to_one(spark):
     assert n.tolist() == [5, 1, 1] and value[1] == value[2] and all(w in text for w, _ in rest[0])
 
 
+def test_only_words_are_joined_with_the_vocabulary(spark):
+    """The end's count is known in the tasks even if no head is broadcast; unknown words add nothing."""
+    rng = random.Random(63)
+    docs = spark.createDataFrame([(i, prose(rng, 20)) for i in range(40)] + [(40, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "the river zzq zzq"), (2, None), (3, "zzq")], "doc_id long, text string")
+    vocabulary = lm.count_words(docs)
+    c = {r["token"]: r["c"] for r in vocabulary.collect()}
+    total, v = sum(c.values()), len(c)
+    s = lm.Settings(least_buckets=256, head=0)
+    model = lm.fit(docs, vocabulary, s)
+    assert not len(model.head.hash) and model.head.end == 41
+    assert [[w for w, _ in x] for x in lm.Scorer(model, s)([None, "zzq"])[4]] == [[], ["zzq"]]
+    for r in lm.score(asked, vocabulary, model, s).collect():
+        split = (r["text"] or "").split() + [lm.END]
+        assert r["n_known"] == sum(w in c for w in split)
+        assert abs(r["base_score"] - sum(math.log10((c.get(w, 0) + 1) / (total + v + 1)) for w in split)) < 1e-8
+
+
 def test_word_hashes_do_not_depend_on_place_and_blocks():
     rng = random.Random(61)
     s, texts = lm.Settings(), [words(rng, 200), None, "", "A\tb\x0b\u00e9 ", "x" * 5000, words(rng, 50)]
