@@ -579,3 +579,35 @@ def test_radius_with_dense_cells_in_parts(spark, monkeypatch):
     parts = graph._close_pairs(s, 2.0, "col", "row")
     plan = parts._jdf.queryExecution().toString()
     assert "part" in plan
+
+
+@pytest.mark.parametrize("copies, scale", [(9, 1.0), (1, 1000.0)])
+def test_radius_where_no_median_is_in_the_bounds(spark, tmp_path, copies, scale):
+    """Too many spots at each place, or all too far from each other: the last step's radius, as in SQL."""
+    import duckdb
+
+    from weftline.plans.registry import ORACLES, QUERIES
+
+    # a thousand keys on are the same sample and the same y
+    rows = [(i % 60 + i // 60 * 1000, i % 60 * 37.5 % 100 * scale, "A", 1) for i in range(60 * copies)]
+    path = str(tmp_path / "customer.parquet")
+    spark.createDataFrame(rows, "c_custkey long, c_acctbal double, c_mktsegment string, c_nationkey int").coalesce(1).write.parquet(path)
+    with pytest.warns(UserWarning, match="no radius"):
+        got = sorted(tuple(r) for r in QUERIES["auto_radius"](spark, str(tmp_path)).collect())
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW customer AS SELECT * FROM '{path}/*.parquet'")
+    assert got == sorted(duck.sql(ORACLES["auto_radius"]).fetchall())
+
+
+def test_nearest_of_many_spots_at_a_place(spark, monkeypatch):
+    """Equal places don't make all pairs of their spots, and ties still go to the smaller id."""
+    p = np.array([(0.0, 0.0)] * 200 + [(0.5, 0.0)] * 3 + [(9.0, 9.0)])
+    s, pairs, plain = spots_of(spark, p), [], graph._close_pairs
+    monkeypatch.setattr(graph, "_close_pairs", lambda *a: pairs.append(plain(*a).count()) or plain(*a))
+    got = {}
+    for r in graph.knn_graph(s, 4).collect():
+        got.setdefault(int(r["spot_id"]), set()).add(r["nbr_id"])
+    assert sum(pairs) < 200 * 20  # 40,000 of all pairs
+    for i in range(len(p)):
+        d = ((p - p[i]) ** 2).sum(1)
+        assert got[i] == {str(j) for j in sorted((j for j in range(len(p)) if j != i), key=lambda j: (d[j], str(j)))[:4]}
