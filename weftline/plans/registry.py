@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import correct, display, genes, graph, markers, metrics, potts, qc
 from ..sources import tables
 from ..sources.adapters import COUNTS_SQL, SPOTS_SQL, counts, spots
-from ..sources.checkpoints import checkpointed, shared_folder
+from ..sources.checkpoints import checkpointed, shared_folder, stored
 from . import iterative
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,8 +74,8 @@ def r6(c: Column | str) -> Column:
 
 def kept(spark: SparkSession, sf: str, once: bool = True) -> DataFrame:
     """The counts after both filters, written once where a query reads them several times."""
-    found = qc.gene_filter(qc.spot_filter(checkpointed(counts(spark, sf)), 20), 20)
-    return checkpointed(found) if once else found
+    found = qc.gene_filter(qc.spot_filter(stored(counts(spark, sf)), 20), 20)
+    return stored(found) if once else found
 
 
 def expr(spark: SparkSession, sf: str) -> DataFrame:
@@ -325,8 +325,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
   (SELECT kept.sample_id, gene, sum(cnt * fa) AS a, sum(cnt * fb) AS b, sum(cnt)::DOUBLE AS sy, sum(cnt * cnt)::DOUBLE AS syy FROM kept JOIN (SELECT sample_id, spot_id, col - avg(col) OVER (PARTITION BY sample_id) AS fa, "row" - avg("row") OVER (PARTITION BY sample_id) AS fb FROM spots SEMI JOIN kept_spots USING (sample_id, spot_id)) f USING (sample_id, spot_id) GROUP BY ALL)
   JOIN (SELECT sample_id, count(*) AS n, sum(fa * fa) AS aa, sum(fa * fb) AS ab, sum(fb * fb) AS bb FROM (SELECT sample_id, col - avg(col) OVER (PARTITION BY sample_id) AS fa, "row" - avg("row") OVER (PARTITION BY sample_id) AS fb FROM spots SEMI JOIN kept_spots USING (sample_id, spot_id)) GROUP BY ALL) USING (sample_id)""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    k = kept(spark, sf)
-    s = spots(spark, sf).join(qc.spot_filter(counts(spark, sf), 20).select("sample_id", "spot_id").distinct(), ["sample_id", "spot_id"], "left_semi")
+    c = stored(counts(spark, sf))
+    spot_ok = stored(qc.spot_filter(c, 20))
+    s = spots(spark, sf).join(spot_ok.select("sample_id", "spot_id").distinct(), ["sample_id", "spot_id"], "left_semi")
+    k = qc.gene_filter(spot_ok, 20)
     return genes.projection_p(*genes.projection_sums(k, genes.kernel_features(s), 1)).select("sample_id", "gene", r6("stat").alias("stat"), r6("p").alias("p"))
 
 
